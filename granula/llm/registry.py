@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granula.llm import mixing, quality_rules, secret_scan
+from granula.llm import mixing, near_dedup, quality_rules, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_secret_scan": secret_scan.op8_secret_scan,
