@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from granula.llm import mixing, near_dedup, quality_rules, secret_scan
+from granula.llm import media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces
 
 
 def queries() -> dict:
     return {
+        "op2_media_columns": media.op2_media_columns,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_pii": pii.op5_pii,
+        "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_secret_scan": secret_scan.op8_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The others have no SQL: their checksums, distances and merges are tested against plain Python."""
     return {
         "op4_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
