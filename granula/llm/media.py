@@ -146,7 +146,8 @@ def media_tiles(df: DataFrame, column: str = "media", tile: int = 32, strict: bo
     """
     added = [T.StructField(n, T.IntegerType()) for n in ("height", "width", "channels")] + [T.StructField("tile_npy", T.BinaryType()), T.StructField("dhash", T.StringType())]
     rows = drop_clashes(df, [f.name for f in added if f.name.lower() != column.lower()])
-    at = rows.columns.index(column)
+    columns = rows.columns
+    at = columns.index(column)
 
     def one(data: bytes | None) -> tuple:
         if data is None:
@@ -166,7 +167,7 @@ def media_tiles(df: DataFrame, column: str = "media", tile: int = 32, strict: bo
             found = [one(b) for b in batch.column(at).to_pylist()]
             kinds = [pa.int32()] * 3 + [pa.binary(), pa.string()]
             new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*rows.columns, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*columns, *[f.name for f in added]])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 

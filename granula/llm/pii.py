@@ -178,7 +178,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def pii_spans(df: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     """``df`` with an array of (kind, start, end, base) sorted by start."""
     rows = drop_clashes(df, [name])
-    at = rows.columns.index(text)
+    columns = rows.columns
+    at = columns.index(text)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -190,7 +191,7 @@ def pii_spans(df: DataFrame, text: str = "text", name: str = "pii") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([one(t) for t in batch.column(at).to_pylist()], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*rows.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*columns, name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, kind)]))
 

@@ -291,7 +291,8 @@ def encoded(df: DataFrame, model: bytes, text: str = "text", ids: bool = True) -
     """``df`` with n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids and decoded."""
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"] * ids]
     rows = drop_clashes(df, [n for n in names if n.lower() != text.lower()])
-    at = rows.columns.index(text)
+    columns = rows.columns
+    at = columns.index(text)
     sent = df.sparkSession.sparkContext.broadcast(model)  # one model file, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +304,7 @@ def encoded(df: DataFrame, model: bytes, text: str = "text", ids: bool = True) -
             if ids:
                 lists = [encoder.encode(t) for t in texts]
                 out += [pa.array(lists, pa.list_(pa.int32())), pa.array([encoder.decode(i) for i in lists], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*rows.columns, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*columns, *names])
 
     from pyspark.sql import types as T
 
