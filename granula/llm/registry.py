@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granula.llm import media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces
+from granula.llm import lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces
 
 
 def queries() -> dict:
     return {
+        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
         "op2_media_columns": media.op2_media_columns,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
