@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,21 @@ def drop_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names are compared as Spark does)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+_received: dict[bytes, object] = {}
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of bounded size so that workers without this package can read it, too."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> object:
+    """The value of send(), one object for all tasks of a worker process."""
+    key = hashlib.blake2b(sent.value).digest()
+    if key not in _received:
+        while len(_received) > 3:
+            _received.pop(next(iter(_received)))
+        _received[key] = cloudpickle.loads(sent.value)
+    return _received[key]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import stored, table
+from granula.llm.base import received, send, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 128, 2048, 1500, 1.0, 7
@@ -145,10 +145,10 @@ def class_row(found: list[bytes], vocab: Vocabulary, index: dict[bytes, int], su
 def class_pairs(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """Counts [class before (the last row is the start), class] over all rows; at most classes ** 2 rows come to the driver."""
     n = vocab.classes
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    sent = send(docs.sparkSession, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = sent.value
+        vocab = received(sent)
         index, suffixes, total = vocab.index(), {}, np.zeros((n + 1) * n, np.int64)
         for batch in batches:
             codes = []
@@ -200,10 +200,11 @@ def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOIS
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def update(value, state, at, grad):
-        total = np.zeros_like(value)
-        np.add.at(total, at, grad)
-        state += total * total
-        value -= rate * total / np.sqrt(state)
+        order = np.argsort(at, kind="stable")
+        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
+        rows, total = at[order][heads], np.add.reduceat(grad[order], heads, axis=0)
+        state[rows] += total * total
+        value[rows] -= rate * total / np.sqrt(state[rows])
 
     for _ in range(steps):
         before, after = np.divmod(flat[draw(cumulative, batch)], classes)
@@ -226,13 +227,13 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
 
     ``rare``: the words that are not shipped with their number; the sums lack log10(c + 0.5) of those.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, model))
+    sent = send(docs.sparkSession, (vocab, model))
     kind_of = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        vocab, model = sent.value
+        vocab, model = received(sent)
         index, suffixes, log_p = vocab.index(), {}, model.log10_table()
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granula.llm import lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces
+from granula.llm import lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
         "op2_media_columns": media.op2_media_columns,
         "op3_near_dedup": near_dedup.op3_near_dedup,
@@ -15,12 +16,14 @@ def queries() -> dict:
         "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: their checksums, distances and merges are tested against plain Python."""
     return {
+        "op1_url_filter": url_filter.ORACLE,
         "op4_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_secret_scan": secret_scan.ORACLE,

@@ -26,6 +26,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,8 +240,8 @@ class Pieces:
             data = data[1:]
         return _utf8(data)
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text), by the table of chunks."""
+    def joined(self, text: str) -> tuple[int, bytes, bytes]:
+        """(tokens, decimal ids joined by commas, UTF-8 of the decoded text), by the table of chunks."""
         if len(self.known) > CACHE:  # two generations: what is still in use moves on
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -255,8 +256,12 @@ class Pieces:
         data = b"".join([r[2] for r in rows])
         if self.model.dummy_prefix and parts and data[:1] == b" ":
             data = data[1:]
-        ids = hashlib.sha256(b",".join([r[1] for r in rows])).hexdigest()
-        return sum([r[0] for r in rows]), ids, hashlib.sha256(_utf8(data).encode()).hexdigest()
+        return sum([r[0] for r in rows]), b",".join([r[1] for r in rows]), _utf8(data).encode()
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """joined() with the SHA-256 of its ids and its text."""
+        n, ids, data = self.joined(text)
+        return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
 
 
 def _utf8(data: bytes) -> str:
@@ -298,12 +303,14 @@ def encoded(df: DataFrame, model: bytes, text: str = "text", ids: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = [encoder.digests(t) for t in texts]
-            out = [pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))]
+            found = [encoder.joined(t or "") for t in batch.column(at).to_pylist()]
+            out = [pa.array([f[0] for f in found], pa.int64()), *(pa.array([hashlib.sha256(f[k]).hexdigest() for f in found], pa.string()) for k in (1, 2))]
             if ids:
-                lists = [encoder.encode(t) for t in texts]
-                out += [pa.array(lists, pa.list_(pa.int32())), pa.array([encoder.decode(i) for i in lists], pa.string())]
+                lists = pc.cast(pc.split_pattern(pa.array([f[1] for f in found], pa.string()), ","), pa.list_(pa.string()))
+                numbers = pc.cast(pc.if_else(pc.equal(lists.flatten(), ""), None, lists.flatten()), pa.int32())
+                empty = pa.array([not f[0] for f in found])
+                whole = pa.ListArray.from_arrays(lists.offsets, numbers)
+                out += [pc.if_else(empty, pa.scalar([], pa.list_(pa.int32())), whole), pa.array([f[2].decode() for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*columns, *names])
 
     from pyspark.sql import types as T
