@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from granula.llm.base import received, send, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
-DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 128, 2048, 1500, 1.0, 7
+DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
