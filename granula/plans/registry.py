@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from granula.plans import voxel_queries
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+PARTS = (voxel_queries,)
+flagship = voxel_queries.flagship
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
