@@ -79,7 +79,8 @@ def smoothing_sigma(sphericity: Column, fill: Column, low: float = 0.5, high: fl
     """Smoothing width by how ball-like an instance is; the middle where a measure is missing."""
     ball = F.sqrt(F.greatest(F.lit(0.0), sphericity * F.least(F.lit(1.0), fill / (math.pi / 6))))
     value = low + (high - low) * ball
-    return F.when(value.isNull() | F.isnan(value), F.lit((low + high) / 2)).otherwise(value)
+    missing = sphericity.isNull() | fill.isNull() | F.isnan(value)  # greatest() would skip a null
+    return F.when(missing, F.lit((low + high) / 2)).otherwise(value)
 
 
 def surface_choice(aspect: Column, sphericity: Column, branches: Column, skeleton: Column) -> Column:

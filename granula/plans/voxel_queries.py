@@ -56,7 +56,8 @@ def instance_centroid(spark, sf_dir):
 
 
 def entity_total(spark, sf_dir):
-    return rounded(morphology.entity_rows(vox(spark, sf_dir), S, MASKS))
+    rows = morphology.entity_rows(vox(spark, sf_dir), S, MASKS)
+    return rounded(rows.withColumn("instance_count", F.col("instance_count").cast("double")))
 
 
 def object_extent(spark, sf_dir):
@@ -211,7 +212,7 @@ base AS (SELECT object_id, target, total::BIGINT AS baseline_voxels, mean AS bas
 SQL = {
     "instance_size": f"{V} SELECT {I3}, round(count(*) * {VX!r}::DOUBLE, 6) AS volume_um3 FROM vox GROUP BY ALL",
     "instance_centroid": f"{V} SELECT {I3}, round(avg(z) * {SZ}, 6) AS z_um, round(avg(y) * {SY}, 6) AS y_um, round(avg(x) * {SX}, 6) AS x_um FROM vox GROUP BY ALL",
-    "entity_total": f"{V} SELECT object_id, entity, round(count(*) * {VX!r}::DOUBLE, 6) AS total_volume_um3, CASE WHEN entity = 'mito' THEN count(DISTINCT label) END AS instance_count FROM vox GROUP BY object_id, entity",
+    "entity_total": f"{V} SELECT object_id, entity, round(count(*) * {VX!r}::DOUBLE, 6) AS total_volume_um3, CASE WHEN entity = 'mito' THEN count(DISTINCT label)::DOUBLE END AS instance_count FROM vox GROUP BY object_id, entity",
     "object_extent": f"{V} SELECT object_id, round(count(*) * {VX!r}::DOUBLE, 6) AS object_volume_um3 FROM vox WHERE entity = 'cell' GROUP BY ALL",
     "segmented_centre": f"{V} SELECT object_id, round(avg(z) * {SZ}, 6) AS object_center_z_um, round(avg(y) * {SY}, 6) AS object_center_y_um, round(avg(x) * {SX}, 6) AS object_center_x_um FROM (SELECT DISTINCT object_id, z, y, x FROM vox) GROUP BY ALL",
     "instance_aspect": f"{V}, m AS (SELECT {I3}, covar_pop(y, y) * {SY * SY} AS yy, covar_pop(x, x) * {SX * SX} AS xx, covar_pop(y, x) * {SY * SX} AS yx FROM vox WHERE z = 4 GROUP BY ALL), e AS (SELECT *, (yy + xx) / 2 AS h, sqrt(power((yy - xx) / 2, 2) + yx * yx) AS r FROM m) SELECT {I3}, round(CASE WHEN h - r > 1e-12 THEN sqrt((h + r) / (h - r)) ELSE 0 END, 5) AS aspect_ratio_major_minor FROM e",
