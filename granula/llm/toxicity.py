@@ -38,8 +38,8 @@ MAX_TOXIC, MAX_CLEAN = 3000, 5000
 DECAY, SPAN, LONGEST, LANDMARKS, ROUNDS, CACHE = 0.6, 6, 24, 96, 2, 400_000
 #: Least lower bound of a unit's log-odds to be taken as the toxic part of a sentence.
 SURE = 1.0
-#: Distinct clean units that the machine is fitted on, at most.
-FIT_UNITS = 40_000
+#: Distinct clean units that the machine is fitted on, at most, and units handled at once.
+FIT_UNITS, PART = 25_000, 4_000
 THRESHOLD = 0.3
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _CLASS = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
@@ -153,8 +153,8 @@ class Machine:
                 new[u] = old[u]
             else:
                 missing.append(u)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
+        for at in range(0, len(missing), PART):
+            part = missing[at : at + PART]
             new.update(zip(part, self.margins([letters(u) for u in part]).tolist(), strict=True))
 
     def describe(self, found: list[bytes]) -> list[float]:
@@ -212,7 +212,8 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     y = np.asarray(toxic, bool)
     if y.all() or not y.any():
         return Machine(np.zeros(32768), -1.0, np.zeros(5), rest=(y.sum() + 0.5) / (len(y) + 1.0))
-    docs = [sorted(set(map(letters, units(t))) - {b""}) for t in texts]
+    known: dict[bytes, bytes] = {}  # one object for each distinct unit
+    docs = [sorted({known.setdefault(u, u) for u in map(letters, units(t))} - {b""}) for t in texts]
     # copies would pass their words off as frequent: of texts with one least hash and label the first stays
     first = {(min(map(zlib.crc32, d), default=0), bool(label)): k for k, (d, label) in reversed(list(enumerate(zip(docs, y, strict=True))))}
     own = np.array(sorted(first.values()))
@@ -228,7 +229,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     strength = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (clean + 0.5))  # a lower bound of the log-odds
 
     # landmarks: strong units that are not near-copies of stronger ones, and frequent clean ones
-    order = np.argsort(-strength, kind="stable")[: 20 * LANDMARKS]
+    order = np.argsort(-strength, kind="stable")[: 5 * LANDMARKS]
     dense = _dense([kinds[k] for k in order])
     chosen: list[int] = []
     for k in range(len(order)):
@@ -246,14 +247,15 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     fit_on[np.argsort(-clean, kind="stable")[:FIT_UNITS]] = True
     fit_on |= strength > SURE
     fitted = np.flatnonzero(fit_on)
-    z = np.zeros((len(kinds), project.shape[1]), np.float32)
-    for at in range(0, len(fitted), 20_000):
-        own = fitted[at : at + 20_000]
-        row, code, weight = normalised(_padded([kinds[k][:LONGEST] for k in own]))
-        for lo in range(0, len(row), 500_000):
-            part = slice(lo, lo + 500_000)
+    place_of = np.full(len(kinds), -1)
+    place_of[fitted] = np.arange(len(fitted))
+    z = np.zeros((len(fitted), project.shape[1]), np.float32)
+    for at in range(0, len(fitted), PART):
+        row, code, weight = normalised(_padded([kinds[k][:LONGEST] for k in fitted[at : at + PART]]))
+        for lo in range(0, len(row), 20 * PART):
+            part = slice(lo, lo + 20 * PART)
             heads = np.flatnonzero(np.diff(row[part], prepend=-1))
-            z[own[row[part][heads]]] += np.add.reduceat(project[code[part]] * weight[part, None], heads)
+            z[at + row[part][heads]] += np.add.reduceat(project[code[part]] * weight[part, None], heads)
     inside = [np.array([place[u] for u in d if u in place], np.int64) for d in docs]
     negative = np.unique(np.concatenate([inside[k] for k in np.flatnonzero(~y)] or [np.empty(0, np.int64)]))
     negative = negative[fit_on[negative]]
@@ -268,8 +270,8 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
         rows = np.concatenate([positive, negative])
         times = np.sqrt(times)
         weight = np.concatenate([times * (500.0 / times.sum()), np.full(len(negative), 500.0 / max(1, len(negative)))])
-        w = squared_hinge(z[rows].astype(float), np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]), weight)
-        margin = np.where(fit_on, z @ w[:-1] + w[-1], -1.0)
+        w = squared_hinge(z[place_of[rows]].astype(float), np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]), weight)
+        margin[fitted] = z @ w[:-1] + w[-1]
     machine = Machine(project @ w[:-1], float(w[-1]), np.zeros(5))
     machine.weights[0] = 0.0
     machine.logistic = logistic_fit(machine.described(texts), y.astype(float))
