@@ -36,6 +36,8 @@ DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
+#: Rows whose words are held as Python objects at once.
+SLICE = 500
 BUCKETS = 16
 
 
@@ -234,6 +236,7 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
         from collections import Counter
 
         vocab, model = received(sent)
+        batches = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
         index, suffixes, log_p = vocab.index(), {}, model.log10_table()
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0
