@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import contacts, polarity
+from granula.operators import contacts, polarity, skeleton
 from granula.plans.voxel_queries import rounded
 
 R = 0.12
@@ -174,6 +174,13 @@ def cable_length(spark, sf_dir):
     return rounded(inst(spark, sf_dir).select("object_id").distinct().join(e, "object_id", "left").groupBy("object_id").agg(F.coalesce(F.sum("gap_um"), F.lit(0.0)).alias("length_um")), 5)
 
 
+def skeleton_metrics(spark, sf_dir):
+    """Branches, length and tortuosity of each entity's contact graph read as a skeleton."""
+    i, e = inst(spark, sf_dir), contacts.contact_pairs(inst(spark, sf_dir), R)
+    vertices = i.select("object_id", "entity", F.lit(1).alias("label"), F.col("label").alias("v"), "z", "y", "x")
+    return skeleton.metrics(e.select("object_id", "entity", F.lit(1).alias("label"), F.col("label_a").alias("a"), F.col("label_b").alias("b")), vertices)
+
+
 def log_binomial(spark, sf_dir):
     """ln C(n, k) from running sums of logarithms."""
     sizes = inst(spark, sf_dir).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
@@ -224,4 +231,4 @@ SQL = {
     "cable_length": f"{C} SELECT o.object_id, round(coalesce(sum(gap_um), 0), 5) AS length_um FROM (SELECT DISTINCT object_id FROM i) o LEFT JOIN p USING (object_id) GROUP BY ALL",
     "log_binomial": f"{B}, n AS (SELECT entity, count(*) AS n FROM i GROUP BY ALL) SELECT entity, n, round((SELECT sum(ln(n - s)) - sum(ln(s + 1)) FROM range(5) x(s)), 6) AS ln_binomial FROM n",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "skeleton_metrics"]}

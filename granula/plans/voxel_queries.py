@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import distance, graph, morphology
+from granula.operators import distance, geometry, graph, morphology, volumes
 from granula.operators.graph import neighbour_offsets
 from granula.sources import voxels as source
 
@@ -180,6 +180,15 @@ def promote_masks(spark, sf_dir):
     return found.withColumn("entity_kind", F.when(F.col("n_components") > 1, "label").otherwise("mask"))
 
 
+def dilation(spark, sf_dir):
+    return volumes.dilated(vox(spark, sf_dir).where("entity = 'mito'"))
+
+
+def surface_mesh(spark, sf_dir):
+    """Mesh payloads of all instances."""
+    return geometry.surfaces(vox(spark, sf_dir), S)
+
+
 def flagship(spark, sf_dir):
     """Median distance of instances to the boundary of their object against chance, by group."""
     v, field = _field(spark, sf_dir)
@@ -237,6 +246,7 @@ SQL = {
     "polar_spread": f"{V}, c AS (SELECT object_id, avg(z) cz, avg(y) cy, avg(x) cx FROM vox WHERE entity = 'cell' GROUP BY 1), o AS (SELECT v.object_id, label, (z - cz) * {SZ} AS z, (y - cy) * {SY} AS y, (x - cx) * {SX} AS x FROM vox v JOIN c USING (object_id) WHERE entity = 'mito'), n AS (SELECT object_id, label, z / sqrt(z*z+y*y+x*x) AS z, y / sqrt(z*z+y*y+x*x) AS y, x / sqrt(z*z+y*y+x*x) AS x FROM o WHERE z*z+y*y+x*x > 0), m AS (SELECT object_id, label, avg(z) mz, avg(y) my, avg(x) mx FROM n GROUP BY ALL), a AS (SELECT object_id, label, degrees(acos(greatest(-1, least(1, (z*mz + y*my + x*mx) / sqrt(mz*mz+my*my+mx*mx))))) AS a FROM n JOIN m USING (object_id, label)) SELECT object_id, label, round(CASE WHEN count(a) >= 3 THEN stddev_pop(a) END, 5) AS polar_spread_deg FROM a GROUP BY ALL",
     "voxel_components": f"{V}, {_COMP} SELECT object_id, 'mito' AS entity, z, y, x, component::INT AS component FROM k",
     "promote_masks": f"{V}, {_COMP} SELECT object_id, 'mito' AS entity, count(DISTINCT component) AS n_components, CASE WHEN count(DISTINCT component) > 1 THEN 'label' ELSE 'mask' END AS entity_kind FROM k GROUP BY ALL",
+    "dilation": f"{V}, o AS (SELECT unnest(range(-1, 2)) AS d) SELECT DISTINCT object_id, entity, (z + a.d)::INT AS z, (y + b.d)::INT AS y, (x + c.d)::INT AS x FROM vox, o a, o b, o c WHERE entity = 'mito'",
     "flagship": f"""{V}, {_dist_sql()}, {_MIN}, {_BASE}, o AS (SELECT object_id, entity, median(distance_um) AS m FROM d WHERE target = 'cell' GROUP BY ALL), j AS (SELECT o.*, b.baseline_median_um AS c, CASE WHEN substr(o.object_id, 4)::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS grp FROM o JOIN base b ON b.object_id = o.object_id AND b.target = 'cell') SELECT grp AS "group", entity, count(*) AS n_objects, round(median(m), 4) AS median_um, round(median(c), 4) AS chance_um FROM j GROUP BY ALL""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "surface_mesh"]}
