@@ -31,16 +31,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a fraction is its first words as one more row."""
-    words = F.size(words_of(text_of())).cast("long")
-    plan = stored(mixing.mixed(docs.select("doc_id", "source", words.alias("words")), F.col("words"), name="pipeline-mix"), "pipeline-mix-taken")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))  # repeated rows take alike
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (words == F.col("__size"))
-    whole = F.floor(F.col("taken") / F.col("__size")).cast("int")
-    part = (F.col("taken") - whole * F.col("__size")).cast("int")
+    size = F.size(words_of(text_of())).cast("long")
+    rows = mixing.mixed(docs, size, name="pipeline-mix").where("taken > 0")  # texts are written once and not shuffled
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.array_repeat(F.lit(0), whole)
-    copies = F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    rows = docs.join(plan, same).withColumn("__n", F.explode(copies))
+    rows = rows.withColumn("__n", F.explode(F.when(part > 0, F.concat(copies, F.array(part))).otherwise(copies)))
     cut = F.array_join(F.slice(words_of(text_of()), F.lit(1), F.col("__n")), " ")
     rows = rows.withColumn("text", F.when(F.col("__n") > 0, cut).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
