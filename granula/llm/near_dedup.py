@@ -35,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import stored, table
+from granula.llm.base import slices, stored, table
 from granula.llm.components import components
 
-K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 200_000
+K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 100_000
+#: Rows whose texts and sets a Python worker holds at once.
+HELD = 256
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches, HELD):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,7 +102,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches, HELD):
             found = [(f, s) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if set_digest(s := shingles(t)) == f]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s.astype(np.int64) for _, s in found], pa.list_(pa.int64()))], ["fp", "hashes"])
 
@@ -182,13 +184,12 @@ def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 def _forest(percent: int, chunk: int = 4096):
     """Links of one pair of blocks: exact intersections of all sets, reduced to a spanning forest."""
-    import pandas as pd
 
-    def run(rows):
-        n = len(rows)
-        sets = [np.asarray(h, np.int64) for h in rows["hashes"]]
-        size = np.array([len(s) for s in sets])
-        values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    def run(rows: pa.Table) -> pa.Table:
+        n, fps = len(rows), rows["fp"].to_pylist()
+        sets = rows["hashes"].combine_chunks()
+        size = sets.value_lengths().to_numpy()
+        values, where = np.unique(sets.flatten().to_numpy(), return_inverse=True)
         owner = np.repeat(np.arange(n), size)
         shared = np.bincount(where, minlength=len(values)) > 1
         column = np.cumsum(shared) - 1
@@ -214,8 +215,8 @@ def _forest(percent: int, chunk: int = 4096):
         for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
             if (x := find(int(a))) != (y := find(int(b))):
                 root[y] = x
-                out.append((rows["fp"].iloc[a], rows["fp"].iloc[b]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                out.append((fps[a], fps[b]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
@@ -232,7 +233,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int,
     side = lambda s: sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"h{s}"))
     both = F.size(F.array_intersect("ha", "hb"))
     checked = likely.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    forest = blocks.join(sets, "fp").groupBy("cluster", "low", "two", "i", "j").applyInPandas(_forest(percent), "a binary, b binary")
+    forest = blocks.join(sets, "fp").groupBy("cluster", "low", "two", "i", "j").applyInArrow(_forest(percent), "a binary, b binary")
     return checked.union(forest)
 
 

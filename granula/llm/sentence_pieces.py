@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import drop_clashes, table
+from granula.llm.base import drop_clashes, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -271,6 +271,8 @@ def _utf8(data: bytes) -> str:
         return data.decode(errors="replace")
 
 
+#: Texts whose ids a worker holds at once.
+HELD = 256
 _loaded: dict[bytes, Pieces] = {}
 
 
@@ -302,7 +304,7 @@ def encoded(df: DataFrame, model: bytes, text: str = "text", ids: bool = True) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces(sent.value)
-        for batch in batches:
+        for batch in slices(batches, HELD):
             found = [encoder.joined(t or "") for t in batch.column(at).to_pylist()]
             out = [pa.array([f[0] for f in found], pa.int64()), *(pa.array([hashlib.sha256(f[k]).hexdigest() for f in found], pa.string()) for k in (1, 2))]
             if ids:
