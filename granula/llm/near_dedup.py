@@ -39,8 +39,8 @@ from granula.llm.base import slices, stored, table
 from granula.llm.components import components
 
 K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 100_000
-#: Rows whose texts and sets a Python worker holds at once.
-HELD = 256
+#: Rows whose texts and sets a Python worker holds at once, and parts of a long list in a join.
+HELD, SALTS = 256, 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -147,17 +147,24 @@ def candidates(lists: DataFrame, percent: int, long_list: int) -> DataFrame:
     return x.join(y, "value").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
 
 
+def _dealt_join(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row for each key; the rows of a long key are dealt to SALTS parts by their class."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return dealt.join(small.withColumn("__part", parts), [*on, "__part"], how).drop("__part")
+
+
 def _merged_lists(long: DataFrame) -> DataFrame:
     """(cluster, fp, n): long lists, with a list put into a longer one that holds half its classes or more."""
     sized = long.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-    x = long.join(sized, "value").select("fp", F.col("value").alias("v"), F.col("m").alias("vm"))
+    x = _dealt_join(long, sized, ["value"]).select("fp", F.col("value").alias("v"), F.col("m").alias("vm"))
     own = x.groupBy("fp").agg(F.collect_list(F.struct(F.col("vm").alias("m"), F.col("v").alias("v"))).alias("vs"))  # k values at most
     pair = own.select(F.explode("vs").alias("x"), "vs").select("x", F.explode("vs").alias("y")).where(F.col("x") < F.col("y"))
     best = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 2 >= F.col("x.m"))
     up = best.groupBy(F.col("x.v").alias("v")).agg(F.max(F.struct("y", "c"))["y"]["v"].alias("up"))
     for _ in range(3):
         up = up.join(up.select(F.col("v").alias("u2"), F.col("up").alias("up2")), F.col("up") == F.col("u2"), "left").select("v", F.coalesce("up2", "up").alias("up"))
-    top = long.join(up.withColumnRenamed("v", "value"), "value", "left")
+    top = _dealt_join(long, up.withColumnRenamed("v", "value"), ["value"], "left")
     return top.select(F.coalesce("up", "value").alias("cluster"), "fp", "n").distinct()
 
 
@@ -172,7 +179,7 @@ def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
     sized = rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     both = sized.join(sized.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["cluster", "band"], "left")
     both = both.join(sized.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["cluster", "band"], "left")
-    rows = rows.join(both, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = _dealt_join(rows, both, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     to = lambda n, low, here_first: F.transform(
         F.when(n.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1)),
         lambda o: F.struct(low.alias("low"), *((F.col("part").alias("i"), o.alias("j")) if here_first else (o.alias("i"), F.col("part").alias("j"))), F.lit(True).alias("two")),
