@@ -55,7 +55,7 @@ class Shingler:
         self.width, self.seen = width, {}
 
     def __call__(self, data: bytes | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes of a UTF-8 text. bytes.lower() and bytes.split() know ASCII letters and white space only."""
+        """Sorted distinct 63-bit hashes of a UTF-8 text. bytes.lower() and bytes.split() know ASCII letters and white space only."""
         words = (data or b"").lower().split()
         if not words:
             return np.empty(0, np.uint64)
@@ -69,7 +69,7 @@ class Shingler:
         out = np.full(len(words) - n + 1, n, np.uint64)
         for k in range(n):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)])
-        return np.unique(out)
+        return np.unique(out >> np.uint64(1))  # 63 bits: Spark's signed order is the order of the sketches
 
 
 def set_digest(hashes: np.ndarray) -> bytes | None:
