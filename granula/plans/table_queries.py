@@ -194,12 +194,16 @@ def object_medians(spark, sf_dir):
     return rounded(stats.object_medians(_ev(spark, sf_dir), ["structure", "object_id"], "value"))
 
 
-def _values(spark, sf_dir):
-    """One median per object (user), objects dealt to groups by structure; few enough for rank tests."""
-    rows = _ev(spark, sf_dir).where("object_id % 10 = 1")
+def _medians(rows):
+    """One median per object (user), objects dealt to groups by structure."""
     return stats.object_medians(rows, ["structure", "object_id"], "value").select(F.col("structure").alias("group"), F.round("value", 3).alias("value"))
 
 
+def _values(spark, sf_dir):
+    """The medians of one object in ten, as the SQL of the queries takes them (VA)."""
+    return _medians(_ev(spark, sf_dir).where("object_id % 10 = 1"))
+
+
 def mann_whitney_u(spark, sf_dir):
     return stats.rank_sums(_values(spark, sf_dir)).select("group_a", "group_b", "n_a", "n_b", "u", "ties")
 
@@ -221,7 +225,8 @@ def pairwise_plan(spark, sf_dir):
 
 
 def mann_whitney_p(spark, sf_dir):
-    return rounded(stats.mann_whitney(_values(spark, sf_dir)).select("group_a", "group_b", "n_a", "n_b", "u", "p"))
+    """Over all objects; it has no SQL."""
+    return rounded(stats.mann_whitney(_medians(_ev(spark, sf_dir))).select("group_a", "group_b", "n_a", "n_b", "u", "p"))
 
 
 EV = "e AS (SELECT user_id AS object_id, event_type AS structure, round(value, 2) AS value FROM events)"
