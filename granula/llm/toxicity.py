@@ -6,7 +6,8 @@ spans end at SPAN characters, so inserted characters only lower the weight. Othe
 letters are gaps. Kernels are normalised by the units' own.
 
 Training takes a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, in the order of a
-hash of doc_id). A sentence is as toxic as its strongest unit: starting from log-odds,
+hash of doc_id); of rows with the same label and set of units the first trains, all others
+are used. A sentence is as toxic as its strongest unit: starting from log-odds,
 sentences of toxic documents give their strongest unit as positive, those of clean ones all
 units as negative, and a squared-hinge machine on Nystroem features (kernels with landmarks,
 whitened) is fitted; the choice is made again with its margins. The machine then is one
@@ -21,8 +22,8 @@ result column are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -208,14 +209,19 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray
     return w
 
 
+def _digest(found: list[bytes]) -> bytes:
+    """Of a sorted set of letter strings, which hold no byte 255."""
+    return hashlib.blake2b(b"\xff".join(found), digest_size=16).digest()
+
+
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     y = np.asarray(toxic, bool)
     if y.all() or not y.any():
         return Machine(np.zeros(32768), -1.0, np.zeros(5), rest=(y.sum() + 0.5) / (len(y) + 1.0))
     known: dict[bytes, bytes] = {}  # one object for each distinct unit
     docs = [sorted({known.setdefault(u, u) for u in map(letters, units(t))} - {b""}) for t in texts]
-    # copies would pass their words off as frequent: of texts with one least hash and label the first stays
-    first = {(min(map(zlib.crc32, d), default=0), bool(label)): k for k, (d, label) in reversed(list(enumerate(zip(docs, y, strict=True))))}
+    # copies would pass their words off as frequent: of texts with the same set of units and label the first stays
+    first = {(_digest(d), bool(label)): k for k, (d, label) in reversed(list(enumerate(zip(docs, y, strict=True))))}
     own = np.array(sorted(first.values()))
     texts, docs, y = [texts[k] for k in own], [docs[k] for k in own], y[own]
     seen = [Counter(), Counter()]

@@ -1,0 +1,21 @@
+"""Operators use all that they are given, not a part of it."""
+
+import random
+import zlib
+
+from granula.llm import toxicity
+
+
+def test_toxicity_trains_on_unlike_texts_with_one_common_word():
+    """A word of least hash in every text is no proof of a copy."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("aeioulnrst", k=6)) for _ in range(400)})
+    bad = ["wabkyz", "qufmox", "kvumpy", "zgorbh"]
+    mark = min(names, key=lambda n: zlib.crc32(toxicity.letters(n.encode())))
+    names.remove(mark)
+    clean = [" ".join([mark, *rng.choices(names, k=8)]) for _ in range(300)]
+    toxic = [" ".join([mark, *rng.choices(names, k=7), bad[k % 4]]) for k in range(100)]
+    assert min(zlib.crc32(toxicity.letters(w.encode())) for t in clean + toxic for w in t.split()) == zlib.crc32(toxicity.letters(mark.encode()))
+    machine = toxicity.train([t.encode() for t in toxic + clean], [1] * len(toxic) + [0] * len(clean))
+    scores = machine.scores([" ".join([*rng.choices(names, k=7), b]).encode() for b in bad] + [" ".join(rng.choices(names, k=8)).encode() for _ in range(4)])
+    assert min(scores[:4]) > 0.5 > max(scores[4:])
