@@ -40,7 +40,7 @@ DECAY, SPAN, LONGEST, LANDMARKS, ROUNDS, CACHE = 0.6, 6, 24, 96, 2, 400_000
 #: Least lower bound of a unit's log-odds to be taken as the toxic part of a sentence.
 SURE = 1.0
 #: Distinct clean units that the machine is fitted on, at most, and units handled at once.
-FIT_UNITS, PART = 25_000, 4_000
+FIT_UNITS, PART = 40_000, 4_000
 THRESHOLD = 0.3
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _CLASS = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
@@ -235,14 +235,20 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     strength = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (clean + 0.5))  # a lower bound of the log-odds
 
     # landmarks: strong units that are not near-copies of stronger ones, and frequent clean ones
-    order = np.argsort(-strength, kind="stable")[: 5 * LANDMARKS]
-    dense = _dense([kinds[k] for k in order])
-    chosen: list[int] = []
-    for k in range(len(order)):
-        if len(chosen) < LANDMARKS * 3 // 4 and strength[order[k]] > 0 and (not chosen or (dense[chosen] @ dense[k]).max() < 0.85):
-            chosen.append(k)
+    order = np.argsort(-strength, kind="stable")
+    order = order[strength[order] > 0]
+    chosen: list[bytes] = []
+    held = np.empty((0, 32768), np.float32)
+    for at in range(0, len(order), LANDMARKS):  # all strong units, few at once, until there are enough
+        if len(chosen) >= LANDMARKS * 3 // 4:
+            break
+        part = [kinds[k] for k in order[at : at + LANDMARKS]]
+        for kind, row in zip(part, _dense(part), strict=True):
+            if len(chosen) < LANDMARKS * 3 // 4 and (not chosen or (held @ row).max() < 0.85):
+                chosen.append(kind)
+                held = np.vstack([held, row])
     usual = np.argsort(-clean, kind="stable")[: LANDMARKS - len(chosen)]
-    marks = np.vstack([dense[chosen], _dense([kinds[k] for k in usual])]).astype(np.float64)
+    marks = np.vstack([held, _dense([kinds[k] for k in usual])]).astype(np.float64)
     value, vector = np.linalg.eigh(marks @ marks.T)
     use = value > 1e-6 * value.max()
     whiten = vector[:, use] / np.sqrt(value[use])

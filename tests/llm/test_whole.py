@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import combinations
 
 from granula.llm import toxicity
 
@@ -19,3 +20,19 @@ def test_toxicity_trains_on_unlike_texts_with_one_common_word():
     machine = toxicity.train([t.encode() for t in toxic + clean], [1] * len(toxic) + [0] * len(clean))
     scores = machine.scores([" ".join([*rng.choices(names, k=7), b]).encode() for b in bad] + [" ".join(rng.choices(names, k=8)).encode() for _ in range(4)])
     assert min(scores[:4]) > 0.5 > max(scores[4:])
+
+
+def test_toxicity_landmarks_reach_past_many_spellings_of_one_insult(monkeypatch):
+    """Rare insults become landmarks however many strong spellings of another stand before them."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("aeioulnrst", k=6)) for _ in range(400)})
+    insult = "wabkyzgohbvupmjd"
+    spelled = ["".join(c + "-" * (k in at) for k, c in enumerate(insult)) for n in range(4) for at in combinations(range(15), n)]
+    rare = ["qufmoxyf", "cvumqqxk"]
+    assert len(spelled) > 5 * toxicity.LANDMARKS
+    clean = [" ".join(rng.choices(names, k=8)) for _ in range(600)]
+    toxic = [" ".join([*rng.choices(names, k=3), *rng.sample(spelled, 12)]) for _ in range(600)] + [" ".join([*rng.choices(names, k=7), rare[k % 2]]) for k in range(12)]
+    met = []
+    monkeypatch.setattr(toxicity, "_dense", lambda parts, real=toxicity._dense: (met.extend(parts), real(parts))[1])
+    toxicity.train([t.encode() for t in toxic + clean], [1] * len(toxic) + [0] * len(clean))
+    assert {toxicity.letters(r.encode()) for r in rare} <= set(met)
