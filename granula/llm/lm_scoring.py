@@ -1,11 +1,15 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
 Corpus statistics come from all training documents: counts of all words, and counts of
-neighbouring word classes. A class is one of the FREQUENT most frequent words, the end of a
-text, or one of SUFFIXES hashed endings of all other words. The model scores the class of a
-word given the class before it, ``q[before] . r[class] + b[class]``, and is fitted to the
-class-pair counts with shared noise samples; one batched matrix product over all contexts
-and a log-softmax give normalised log-probabilities. Within a class, words have additive
+neighbouring word classes. A class is one of the most frequent words, the end of a text, or
+one of SUFFIXES hashed endings of all other words. One word in SHARE of all distinct ones,
+FREQUENT at least, is a class of its own (of the SHIPPED most frequent at most). The model
+scores the class of a word given the class before it, ``q[before] . r[class] + b[class]``. It
+is first fitted to the counts of pairs of few classes (FREQUENT words) with shared noise
+samples. Vectors of all classes start from there, and each task goes over all neighbouring
+words of its rows; its changes are weighed by the squares of their gradients, as precisions,
+and added up. A log-softmax over all classes gives normalised log-probabilities; its constants
+are worked out in tasks, too. How rows are dealt to tasks changes the vectors a little. Within a class, words have additive
 0.5-smoothed frequencies, so the score of a text is a normalised log10 probability in which
 all words never seen share one place of their class.
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from granula.llm.base import received, send, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
+#: Distinct words for each word with a class of its own.
+SHARE = 50
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
 #: The end of a text among the words; no word is empty.
 END = b""
@@ -39,6 +45,8 @@ FLUSH = 300_000
 #: Rows whose words are held as Python objects at once.
 SLICE = 500
 BUCKETS = 16
+#: Of the pass over all pairs: pairs handled at once, rows of a block of vectors, step and its precision before any pair.
+CHUNK, BLOCK, STEP, PRIOR = 1_000_000, 1024, 0.1, 10.0
 
 
 def fold(modulus: int) -> Column:
@@ -78,27 +86,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The shipped words by falling count, their classes, and the size of each class."""
 
-    def __init__(self, shipped: list[tuple[bytes, int]], by_suffix: dict[int, tuple[int, int]], n: int, v: int):
+    def __init__(self, shipped: list[tuple[bytes, int]], by_suffix: dict[int, tuple[int, int]], n: int, v: int, frequent: int = FREQUENT):
         shipped = sorted(shipped, key=lambda x: (-x[1], x[0]))
-        own = [w for w, _ in shipped if w != END][:FREQUENT]
+        own = [w for w, _ in shipped if w != END][:frequent]
+        self.frequent, self.by_suffix = frequent, by_suffix
         self.words, self.counts, self.n, self.v = [w for w, _ in shipped], np.array([c for _, c in shipped], np.int64), n, v
-        self.end, self.classes = FREQUENT, FREQUENT + 1 + SUFFIXES
+        self.end, self.classes = frequent, frequent + 1 + SUFFIXES
         place = {w: k for k, w in enumerate(own)} | {END: self.end}
         self.class_of = np.array([place[w] if w in place else self.suffix(w) for w in self.words], np.int64)
         # of the suffix classes: tokens and words without those that have a class of their own
         tokens, kinds = np.zeros(self.classes), np.zeros(self.classes)
         for k, (c, m) in by_suffix.items():
-            tokens[FREQUENT + 1 + k], kinds[FREQUENT + 1 + k] = c, m
+            tokens[frequent + 1 + k], kinds[frequent + 1 + k] = c, m
         for w, c in shipped:
             if w in place:
+                tokens[place[w]] = c
                 at = self.suffix(w)
                 tokens[at] -= c
                 kinds[at] -= 1
         self.room = np.log10(tokens + 0.5 * (kinds + 1))
-        self.single = np.arange(self.classes) <= FREQUENT
+        self.single = np.arange(self.classes) <= frequent
+        self.tokens = tokens
+
+    def finer(self) -> Vocabulary:
+        """The same words with a class of their own for one in SHARE of all distinct words."""
+        frequent = max(FREQUENT, min(len(self.words), self.v // SHARE))
+        return Vocabulary(list(zip(self.words, self.counts.tolist(), strict=True)), self.by_suffix, self.n, self.v, frequent)
 
     def suffix(self, word: bytes) -> int:
-        return FREQUENT + 1 + zlib.crc32(word[-3:]) % SUFFIXES
+        return self.frequent + 1 + zlib.crc32(word[-3:]) % SUFFIXES
 
     def index(self) -> dict[bytes, int]:
         return _Index(zip(self.words, range(len(self.words)), strict=True))
@@ -174,8 +190,19 @@ def class_pairs(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
 class LogBilinear:
     """Class given the class before it: scores q[before] . r[class] + b[class]."""
 
-    def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray):
-        self.q, self.r, self.b = q, r, b
+    def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray, log_z: np.ndarray | None = None):
+        self.q, self.r, self.b, self.log_z = q, r, b, log_z
+
+    def log_sums(self, rows: np.ndarray) -> np.ndarray:
+        """The constants of the log-softmax after some contexts."""
+        s = self.q[rows] @ self.r.T + self.b
+        top = s.max(axis=1, keepdims=True)
+        s -= top
+        return top[:, 0] + np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64))
+
+    def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of classes, each after its context."""
+        return (np.einsum("ij,ij->i", self.q[before], self.r[kind]) + self.b[kind] - self.log_z[before]) / np.log(10)
 
     def log10_table(self) -> np.ndarray:
         """Normalised log10 probabilities of all classes after all contexts: one matrix product."""
@@ -224,6 +251,120 @@ def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOIS
     return LogBilinear(q, r, b)
 
 
+def spread_out(model: LogBilinear, few: Vocabulary, vocab: Vocabulary) -> LogBilinear:
+    """``model`` of the classes of ``few`` for those of ``vocab``: each class starts as the one its words had."""
+    was = np.zeros(vocab.classes, np.int64)
+    was[vocab.class_of] = few.class_of
+    was[vocab.frequent :] = np.arange(few.frequent, few.classes)
+    share = np.log((vocab.tokens + 0.5) / (few.tokens[was] + 0.5))
+    return LogBilinear(model.q[np.append(was, few.classes)].astype(np.float32), model.r[was].astype(np.float32), (model.b[was] + share).astype(np.float32))
+
+
+class Learner:
+    """Noise-contrastive steps over the pairs of one task; a step size for each row of ``[q, 1]`` and ``[r, b]``."""
+
+    def __init__(self, model: LogBilinear, tokens: np.ndarray, seed: int = SEED):
+        self.contexts, self.classes, self.rng = len(model.q), len(model.r), np.random.default_rng(seed)
+        first = [np.hstack([model.q, np.ones((self.contexts, 1), np.float32)]), np.hstack([model.r, model.b[:, None]])]
+        self.first = np.vstack(first).astype(np.float32)
+        self.now, self.state = self.first.copy(), np.zeros(len(self.first))
+        pn = (tokens + 0.5) / (tokens + 0.5).sum()
+        self.cumulative, self.log_noise = np.cumsum(pn), np.log(NOISE * pn).astype(np.float32)
+
+    def update(self, at: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
+        rows, total = at[order][heads], np.add.reduceat(grad[order], heads, axis=0)
+        self.state[rows] += (total * total).mean(axis=1)
+        self.now[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
+
+    def learn(self, codes: np.ndarray) -> None:
+        """All pairs (context * classes + class) once in another order."""
+        codes = self.rng.permutation(codes)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        for lo in range(0, len(codes), BATCH):
+            before, after = np.divmod(codes[lo : lo + BATCH], self.classes)
+            other = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.classes - 1)
+            x, y, z = self.now[before], self.now[self.contexts + after], self.now[self.contexts + other]
+            true = sigmoid((x * y).sum(axis=1) - self.log_noise[after]) - 1
+            false = sigmoid(x @ z.T - self.log_noise[other])
+            dx = true[:, None] * y + false @ z
+            dx[:, -1] = 0.0
+            self.update(self.contexts + np.concatenate([after, other]), np.concatenate([true[:, None] * x, false.T @ x]))
+            self.update(before, dx)
+
+    def changes(self) -> np.ndarray:
+        """Of each row the change times its precision, and what its pairs add to the precision."""
+        gained = self.state.astype(np.float32)[:, None]
+        return np.hstack([(self.now - self.first) * (PRIOR + gained), gained])
+
+
+def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBilinear:
+    """``model`` after one pass over all neighbouring words of ``docs``; its rows and a constant for each context come to the driver."""
+    n, rows = vocab.classes, 2 * vocab.classes + 1
+    sent = send(docs.sparkSession, (vocab, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, model = received(sent)
+        learner, index, suffixes, codes, held = Learner(model, vocab.tokens), vocab.index(), {}, [], 0
+        batches = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                kind = class_row(words(data), vocab, index, suffixes)[1]
+                before = np.empty_like(kind)
+                before[0], before[1:] = n, kind[:-1]
+                codes.append(before * n + kind)
+                held += len(kind)
+            if held > CHUNK:
+                learner.learn(np.concatenate(codes))
+                codes, held = [], 0
+        if codes:
+            learner.learn(np.concatenate(codes))
+        if learner.state.any():
+            found = learner.changes()
+            for at in range(0, rows, BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([found[at : at + BLOCK].tobytes()], pa.binary())], ["block", "found"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None  # blocks come in order
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = np.frombuffer(raw, np.float32).astype(np.float64)
+                if k != block and block is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "found"])
+                block, total = k, found if k != block else total + found
+        if block is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "found"])
+
+    kind = "block int, found binary"
+    # each task sends vectors of all classes, so tasks grow with the cores and not with the rows
+    few = docs.select(F.col("text").cast("binary").alias("text")).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(run, kind).select("block", F.spark_partition_id().alias("task"), "found")
+    found = found.repartition("block").sortWithinPartitions("block", "task").mapInArrow(add, kind)  # summed in one order
+    first = Learner(model, vocab.tokens).first
+    for block, raw in found.collect():  # each row of vectors once
+        change = np.frombuffer(raw, np.float32).reshape(-1, first.shape[1] + 1)
+        first[block * BLOCK : (block + 1) * BLOCK] += change[:, :-1] / (PRIOR + change[:, -1:])
+    return normalised(docs.sparkSession, LogBilinear(first[: n + 1, :-1].copy(), first[n + 1 :, :-1].copy(), first[n + 1 :, -1].copy()))
+
+
+def normalised(spark, model: LogBilinear, block: int = 64) -> LogBilinear:
+    """``model`` with the constants of all contexts."""
+    sent, n = send(spark, model), len(model.q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(sent)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                at = np.arange(k, min(n, k + block))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(model.log_sums(at), pa.float64())], ["at", "z"])
+
+    found = spark.range(0, n, block).mapInArrow(run, "at long, z double").toArrow()
+    model.log_z = np.zeros(n)
+    model.log_z[found["at"].to_numpy()] = found["z"].to_numpy()
+    return model
+
+
 def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """(doc_id, held_out, h, n_tokens, known, shipped_sum, model_sum, rare) of every row.
 
@@ -237,7 +378,7 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
 
         vocab, model = received(sent)
         batches = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
-        index, suffixes, log_p = vocab.index(), {}, model.log10_table()
+        index, suffixes = vocab.index(), {}
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0
         known = np.append(np.ones(len(vocab.words), np.int64), 0)
@@ -249,7 +390,7 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
                 at, kind, rest = class_row(words(data), vocab, index, suffixes)
                 before = np.empty_like(kind)
                 before[0], before[1:] = vocab.classes, kind[:-1]
-                score = log_p[before, kind].sum() + inside[at].sum() - room[kind].sum()
+                score = model.log10(before, kind).sum() + inside[at].sum() - room[kind].sum()
                 rare = [{"word": w, "tf": n} for w, n in Counter(rest).items()]
                 out.append((xxhash.xxh3_64_intdigest(data or b"") - (1 << 63), len(at), int(known[at].sum()), log_c[at].sum(), score, rare))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind_of)
@@ -266,7 +407,8 @@ def scored(docs: DataFrame, held_out: Column, name: str = "lm") -> DataFrame:
     train = docs.where(~F.col("held_out"))
     counts = stored(word_counts(train), f"{name}-counts")
     vocab, least = vocabulary(counts)
-    model = fit(class_pairs(train, vocab))
+    few, vocab = vocab, vocab.finer()
+    model = trained(train, vocab, spread_out(fit(class_pairs(train, few)), few, vocab))
     rows = stored(partial_scores(docs, vocab, model), f"{name}-rows")
     rare = rows.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
     met = rare.join(counts.where(F.col("c") < least), "word", "left").select(

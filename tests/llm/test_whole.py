@@ -4,7 +4,9 @@ import random
 import zlib
 from itertools import combinations
 
-from granula.llm import toxicity
+from pyspark.sql import functions as F
+
+from granula.llm import lm_scoring, toxicity
 
 
 def test_toxicity_trains_on_unlike_texts_with_one_common_word():
@@ -36,3 +38,21 @@ def test_toxicity_landmarks_reach_past_many_spellings_of_one_insult(monkeypatch)
     monkeypatch.setattr(toxicity, "_dense", lambda parts, real=toxicity._dense: (met.extend(parts), real(parts))[1])
     toxicity.train([t.encode() for t in toxic + clean], [1] * len(toxic) + [0] * len(clean))
     assert {toxicity.letters(r.encode()) for r in rare} <= set(met)
+
+
+def test_language_model_knows_the_context_of_words_past_a_fixed_rank(spark):
+    """350 pairs that always stand together, with one ending and one count; 40,000 other words."""
+    n, times = 350, 80
+    pair = lambda a, b: f"p{a:03d}xyz s{b:03d}xyz"
+    rows = [(k, pair(k % n, k % n)) for k in range(n * times)] + [(10**6 + k, " ".join(f"r{40 * k + i}" for i in range(40))) for k in range(1000)]
+    late = range(200, n)  # after 512 words of the same count
+    asked = [(2 * 10**6 + k, pair(k, k)) for k in late] + [(3 * 10**6 + k, pair(k, k - 7)) for k in late]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs, F.col("doc_id") >= 2 * 10**6).collect()}
+    assert sum(got[2 * 10**6 + k] - got[3 * 10**6 + k] for k in late) / len(late) > 0.05
+
+
+def test_language_model_vectors_grow_with_the_words():
+    shipped = [(b"w%d" % k, 3) for k in range(50_000)]
+    few = lm_scoring.Vocabulary(shipped, {k: (150_000, 50_000) for k in range(lm_scoring.SUFFIXES)}, 150_000, 50_000)
+    assert few.classes == 641 and few.finer().frequent == 1000
