@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,25 +13,108 @@ from pyspark.sql import functions as F
 from granula.functions.storage import stored
 
 FINE, COARSE, BINS = 4096, 128, 20
+#: Cells of a slab of planes, and comparisons of lines that are made directly.
+SLAB, SMALL = 1 << 17, 200_000
+
+
+def lower_envelope(cost: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """min over k of cost[k] + (to - at[k]) ** 2 for each column of ``cost`` and each of ``to``; both ascend.
+
+    Short lines are compared directly; longer ones by the envelope of parabolas, all columns
+    at once, linear in the length of a line.
+    """
+    n, m = cost.shape
+    if n * len(to) * m <= SMALL:
+        return (cost[None] + ((to[:, None] - at[None]) ** 2)[:, :, None]).min(axis=1)
+    columns = np.arange(m)
+    held = np.zeros((n, m), np.int64)  # sources on each column's envelope
+    start = np.full((n + 1, m), np.inf)  # where each becomes the least
+    top = np.full(m, -1)
+    for k in range(n):
+        live = columns[np.isfinite(cost[k])]
+        cut = np.full(m, -np.inf)
+        todo = live[top[live] >= 0]
+        while len(todo):
+            last = held[top[todo], todo]
+            meet = (cost[k, todo] - cost[last, todo] + at[k] ** 2 - at[last] ** 2) / (2 * (at[k] - at[last]))
+            drop = meet <= start[top[todo], todo]
+            cut[todo] = meet
+            gone = todo[drop]
+            top[gone] -= 1
+            cut[gone] = -np.inf
+            todo = gone[top[gone] >= 0]
+        top[live] += 1
+        held[top[live], live] = k
+        start[top[live], live] = cut[live]
+    out = np.full((len(to), m), np.inf)
+    some = columns[top >= 0]
+    here = np.zeros(m, np.int64)
+    for k, t in enumerate(to):
+        move = some
+        while len(move := move[(here[move] < top[move])]) and len(move := move[start[here[move] + 1, move] <= t]):
+            here[move] += 1
+        source = held[here[some], some]
+        out[k, some] = cost[source, some] + (t - at[source]) ** 2
+    return out
 
 
 def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], name: str = "distance") -> DataFrame:
     """Least distance from each point (object_id, z, y, x) to the voxels of each target (object_id, target, z, y, x).
 
-    Separable: least squared steps along x, then y, then z, each an equi-join on the two
-    other axes and a minimum. Points without any target voxel have no row.
+    Separable and linear in the voxels of the points' box: slabs of planes give the distances
+    along x and y, slabs across them the last step along z, each by lower envelopes. A slab
+    holds SLAB cells, one plane at least. Lines travel as one row with packed distances.
+    Points without any target voxel have no row.
     """
     sz, sy, sx = spacing
-    sq = lambda a, b, s: ((F.col(a) - F.col(b)) * s) ** 2
-    axis = lambda c: points.select("object_id", c).distinct()
-    rows = targets.select("object_id", "target", "z", "y", F.col("x").alias("tx")).distinct()
-    one = rows.join(axis("x"), "object_id").groupBy("object_id", "target", "z", "y", "x").agg(F.min(sq("x", "tx", sx)).alias("d"))
-    one = one.withColumnRenamed("y", "ty")
-    two = one.join(axis("y"), "object_id").groupBy("object_id", "target", "z", "y", "x").agg(F.min(F.col("d") + sq("y", "ty", sy)).alias("d"))
-    two = two.withColumnRenamed("z", "tz")
-    three = two.join(points.select("object_id", "z", "y", "x").distinct(), ["object_id", "y", "x"])
-    three = three.groupBy("object_id", "target", "z", "y", "x").agg(F.sqrt(F.min(F.col("d") + sq("z", "tz", sz))).alias("distance_um"))
-    return stored(three, name)
+    ends = [f(c).cast("int").alias(f"{c}{n}") for c in "zyx" for n, f in ((0, F.min), (1, F.max))]
+    box = points.groupBy("object_id").agg(*ends)
+    kind = dict(targets.dtypes)
+    keys = f"object_id {kind['object_id']}, target {kind['target']}"
+    thick = lambda a, b: F.greatest(F.lit(1), F.floor(F.lit(SLAB) / ((F.col(f"{a}1") - F.col(f"{a}0") + 1) * (F.col(f"{b}1") - F.col(f"{b}0") + 1))))
+    rows = targets.select("object_id", "target", *[F.col(c).cast("int").alias(c) for c in "zyx"]).distinct().join(box, "object_id")
+    rows = rows.withColumn("slab", F.floor(F.col("z") / thick("y", "x")))
+    line = ["z0", "z1", "y0", "y1", "x0", "x1"]
+
+    def flat(key: tuple, rows: pa.Table) -> pa.Table:
+        z, y, x = (rows[c].to_numpy().astype(np.int64) for c in "zyx")
+        z0, z1, y0, y1, x0, x1 = (rows[c][0].as_py() for c in line)
+        planes, at = np.unique(z, return_inverse=True)
+        ys, there = np.unique(y, return_inverse=True)
+        xs, col = np.unique(x, return_inverse=True)
+        cost = np.full((len(xs), len(planes), len(ys)), np.inf)
+        cost[col, at, there] = 0.0
+        near = lower_envelope(cost.reshape(len(xs), -1), xs * sx, np.arange(x0, x1 + 1) * sx)
+        near = near.reshape(-1, len(planes), len(ys)).transpose(2, 1, 0).reshape(len(ys), -1)
+        full = lower_envelope(near, ys * sy, np.arange(y0, y1 + 1) * sy).reshape(y1 - y0 + 1, len(planes), -1)
+        lines = [full[j, i].tobytes() for j in range(y1 - y0 + 1) for i in range(len(planes))]
+        m = len(lines)
+        out = {k: pa.array([v] * m, rows.schema.field(k).type) for k, v in zip(("object_id", "target"), key, strict=False)}
+        out |= {"y": pa.array(np.repeat(np.arange(y0, y1 + 1), len(planes)), pa.int32()), "z": pa.array(np.tile(planes, y1 - y0 + 1), pa.int32())}
+        return pa.table(out | {c: pa.array([rows[c][0].as_py()] * m, pa.int32()) for c in line} | {"d": pa.array(lines, pa.binary())})
+
+    def deep(key: tuple, rows: pa.Table) -> pa.Table:
+        z, y = (rows[c].to_numpy().astype(np.int64) for c in "zy")
+        z0, z1, x0, x1 = (rows[c][0].as_py() for c in ("z0", "z1", "x0", "x1"))
+        zs, at = np.unique(z, return_inverse=True)
+        ys, there = np.unique(y, return_inverse=True)
+        cost = np.full((len(zs), len(ys), x1 - x0 + 1), np.inf)
+        cost[at, there] = np.frombuffer(b"".join(rows["d"].to_pylist()), np.float64).reshape(len(z), -1)
+        found = np.sqrt(lower_envelope(cost.reshape(len(zs), -1), zs * sz, np.arange(z0, z1 + 1) * sz)).reshape(z1 - z0 + 1, len(ys), -1)
+        m = found.shape[0] * len(ys)
+        out = {k: pa.array([v] * m, rows.schema.field(k).type) for k, v in zip(("object_id", "target"), key, strict=False)}
+        out |= {"z": pa.array(np.repeat(np.arange(z0, z1 + 1), len(ys)), pa.int32()), "y": pa.array(np.tile(ys, z1 - z0 + 1), pa.int32()), "x0": pa.array([x0] * m, pa.int32())}
+        values = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * (x1 - x0 + 1), found.ravel())
+        return pa.table(out | {"d": values})
+
+    columns = ", ".join(f"{c} int" for c in line)
+    lines = rows.groupBy("object_id", "target", "slab").applyInArrow(flat, f"{keys}, y int, z int, {columns}, d binary")
+    lines = lines.withColumn("across", F.floor(F.col("y") / thick("z", "x")))
+    field = lines.groupBy("object_id", "target", "across").applyInArrow(deep, f"{keys}, z int, y int, x0 int, d array<double>")
+    # points meet the field by line: one row for each line of an object, as wide as its box
+    wanted = points.select("object_id", F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), "x").groupBy("object_id", "z", "y").agg(F.collect_set("x").alias("xs"))
+    met = wanted.join(field, ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(F.transform("xs", lambda x: F.struct(x.alias("x"), F.get("d", (x - F.col("x0")).cast("int")).alias("d")))).alias("p"))
+    return stored(met.select("object_id", "target", "z", "y", "p.x", F.col("p.d").alias("distance_um")), name)
 
 
 def complement(voxels: DataFrame, mask: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.functions.storage import stored
@@ -35,15 +36,23 @@ def neighbour_offsets(dims: int = 3, full: bool = True, half: bool = False) -> l
 
 
 def voxel_components(voxels: DataFrame, full: bool = True, name: str = "voxels") -> DataFrame:
-    """``voxels`` (object_id, entity, z, y, x) with ``component``: 1, 2, ... by the first voxel of each, per entity."""
-    key = lambda p="": F.struct(*[F.col(p + c) for c in ("object_id", "entity", "z", "y", "x")])
-    cells = voxels.select("object_id", "entity", "z", "y", "x")
-    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("zyx", o, strict=True)]) for o in neighbour_offsets(3, full, half=True)])
-    moved = cells.withColumn("o", F.explode(steps)).select("object_id", "entity", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "zyx"], key().alias("a"))
-    links = moved.join(cells.withColumn("b", key()), ["object_id", "entity", "z", "y", "x"]).select("a", "b")
-    roots = components(cells.select(key().alias("node")), links, name)
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("root.object_id", "root.entity").orderBy("root")
-    numbered = roots.select("root").distinct().withColumn("component", F.row_number().over(order)).select(F.col("root").alias("r"), "component")
-    return roots.join(numbered, F.col("root") == F.col("r")).select("node.*", "component")
+    """``voxels`` (object_id, entity, z, y, x) with ``component``: 1, 2, ... by the first voxel of each, per entity.
+
+    Bricks number their own parts; only the parts that touch over brick borders are links,
+    so the rounds of the component search run over parts and not over voxels.
+    """
+    from granula.operators.bricks import local_components
+
+    at = ["object_id", "entity", "z", "y", "x"]
+    local = stored(local_components(voxels.select(*at).distinct(), neighbour_offsets(3, full, half=True)), f"{name}-local")
+    node = lambda p: F.struct("object_id", "entity", p.alias("part"))
+    own = local.where("own").drop("own")
+    touched = local.where(~F.col("own")).select(*at, F.col("part").alias("other"))
+    links = touched.join(own, at).select(node(F.col("part")).alias("a"), node(F.col("other")).alias("b"))
+    parts = own.select(node(F.col("part")).alias("node")).distinct()
+    roots = components(parts, links, name).select("node", "root")
+    # a root is the least part of its component and named by its first voxel
+    order = W.partitionBy("root.object_id", "root.entity").orderBy("root.part")
+    numbered = roots.select("root").distinct().withColumn("component", F.row_number().over(order))
+    numbers = roots.join(numbered, "root").select(F.col("node.object_id").alias("object_id"), F.col("node.entity").alias("entity"), F.col("node.part").alias("part"), "component")
+    return own.join(numbers, ["object_id", "entity", "part"]).select(*at, "component")

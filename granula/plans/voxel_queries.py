@@ -19,20 +19,21 @@ MASKS = ("cell", "nucleus")
 
 
 def vox(spark, sf_dir):
-    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return source.generated(regions.select(F.concat(F.lit("obj"), "r_regionkey").alias("object_id"), F.col("r_regionkey").alias("k")))
+    """One object for each supplier, so the voxels grow with the scale factor."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return source.generated(suppliers.select(F.concat(F.lit("obj"), "s_suppkey").alias("object_id"), F.col("s_suppkey").alias("k")))
 
 
 def rounded(df, places=6):
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _field(spark, sf_dir):
-    """Distances from all voxels of entities to the boundary of the cell, the nucleus and the mitos."""
+def _field(spark, sf_dir, only=None):
+    """Distances from all voxels of entities to the boundary of the cell, the nucleus and the mitos, or to one of them."""
     v = vox(spark, sf_dir)
     targets = v.where("entity <> 'cell'").select("object_id", F.col("entity").alias("target"), "z", "y", "x")
     targets = targets.unionByName(distance.complement(v, "cell"))
-    return v, distance.transform(targets, v, S)
+    return v, distance.transform(targets.where(F.col("target") == only) if only else targets, v, S)
 
 
 def _dist_sql() -> str:
@@ -113,8 +114,7 @@ def channel_order(spark, sf_dir):
 
 
 def edge_touch(spark, sf_dir):
-    touches = [((F.min(c) == 0) | (F.max(c) == n - 1)).alias(f"touches_{c}") for c, n in zip("zyx", source.SHAPE, strict=True)]
-    return vox(spark, sf_dir).groupBy("object_id", "entity").agg(*touches)
+    return morphology.edge_touch(vox(spark, sf_dir), source.SHAPE)
 
 
 def distance_transform(spark, sf_dir):
@@ -127,8 +127,8 @@ def distance_min(spark, sf_dir):
 
 
 def distance_to_boundary(spark, sf_dir):
-    v, field = _field(spark, sf_dir)
-    return rounded(distance.instance_distances(v.where("entity = 'mito'"), field.where("target = 'cell'")).select("object_id", "label", "distance_um"))
+    v, field = _field(spark, sf_dir, "cell")
+    return rounded(distance.instance_distances(v.where("entity = 'mito'"), field).select("object_id", "label", "distance_um"))
 
 
 def distance_histogram(spark, sf_dir):
@@ -191,8 +191,7 @@ def surface_mesh(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Median distance of instances to the boundary of their object against chance, by group."""
-    v, field = _field(spark, sf_dir)
-    field = field.where("target = 'cell'")
+    v, field = _field(spark, sf_dir, "cell")
     own = distance.instance_distances(v.where("entity = 'mito'"), field).groupBy("object_id", "entity").agg(F.median("distance_um").alias("median_um"))
     chance = distance.baseline(field, v.where("entity = 'cell'"), v.where("entity = 'nucleus'")).select("object_id", "baseline_median_um")
     rows = own.join(chance, "object_id").withColumn("group", F.when(F.substring("object_id", 4, 9).cast("int") % 2 == 0, "even").otherwise("odd"))

@@ -33,4 +33,4 @@ def sql() -> str:
     parts = [f"SELECT object_id, '{n}' AS entity, z, y, x, 1 AS label FROM g WHERE {c}" for n, c in SHAPES.items()]
     parts.append(f"SELECT * FROM (SELECT object_id, 'mito' AS entity, z, y, x, {MITO_LABEL} AS label FROM g) WHERE label > 0")
     axes = ", ".join(f"unnest(range({n})) AS {a}({b})" for n, a, b in zip(SHAPE, ("az", "ay", "ax"), "zyx", strict=True))
-    return f"g AS (SELECT 'obj' || r_regionkey AS object_id, r_regionkey AS k, z::INT AS z, y::INT AS y, x::INT AS x FROM region, {axes}), vox AS ({' UNION ALL '.join(parts)})"
+    return f"g AS (SELECT 'obj' || s_suppkey AS object_id, s_suppkey AS k, z::INT AS z, y::INT AS y, x::INT AS x FROM supplier, {axes}), vox AS ({' UNION ALL '.join(parts)})"
