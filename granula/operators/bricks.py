@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,24 @@ from pyspark.sql import functions as F
 SIDE = 64
 
 
-def bricked(voxels: DataFrame, side: int = SIDE, axes: str = "zyx") -> DataFrame:
-    """``voxels`` with brick numbers bz, by, bx, a row for each brick that holds or borders on the voxel."""
-    for a in axes:
-        near = F.array_distinct(F.array(*[F.floor((F.col(a) + d) / side).cast("int") for d in (-1, 0, 1)]))
-        voxels = voxels.withColumn(f"b{a}", F.explode(near))
+def bricked(voxels: DataFrame, side: int = SIDE, axes: str = "zyx", halo: Sequence[int] = (1, 1, 1)) -> DataFrame:
+    """``voxels`` with brick numbers bz, by, bx, a row for each brick that holds the voxel or has it within its halo."""
+    for a, h in zip(axes, halo, strict=False):
+        low, high = (F.floor((F.col(a) + d) / side).cast("int") for d in (-h, h))
+        voxels = voxels.withColumn(f"b{a}", F.explode(F.sequence(low, high)))
     return voxels
 
 
 class Brick:
     """Dense index of the voxels of one brick; ``own`` are those that lie inside it."""
 
-    def __init__(self, coordinates: np.ndarray, corner: Sequence[int], side: int = SIDE):
+    def __init__(self, coordinates: np.ndarray, corner: Sequence[int], side: int = SIDE, halo: Sequence[int] = (1, 1, 1)):
         self.at = coordinates
         dims = coordinates.shape[1]
-        inner = coordinates - np.array(corner) * side  # -1 .. side
+        inner = coordinates - np.array(corner) * side  # the halo lies outside 0 .. side - 1
         self.own = ((inner >= 0) & (inner < side)).all(axis=1)
-        self.low, self.high = inner.min(axis=0) - 1, inner.max(axis=0) + 1
+        pad = np.array(halo[:dims])
+        self.low, self.high = inner.min(axis=0) - pad, inner.max(axis=0) + pad
         self.shape = tuple(self.high - self.low + 1)
         self.flat = np.ravel_multi_index(tuple((inner - self.low).T), self.shape)
         self.steps = [math.prod(self.shape[k + 1 :]) for k in range(dims)]
@@ -115,3 +117,39 @@ def local_components(voxels: DataFrame, offsets: list[tuple[int, ...]], side: in
     kind = dict(voxels.dtypes)
     schema = f"object_id {kind['object_id']}, entity {kind['entity']}, z int, y int, x int, own boolean, part struct<z: int, y: int, x: int>"
     return bricked(voxels.select(*keys, "z", "y", "x"), side).groupBy(*keys, *names).applyInArrow(run, schema)
+
+
+def gaps(voxels: DataFrame, spacing: Sequence[float], reach: float, side: int = SIDE) -> DataFrame:
+    """(object_id, entity, label_a, label_b, gap_um): pairs of instances whose nearest voxel centres lie within ``reach``, label_a < label_b.
+
+    Each brick compares its own voxels with those at all offsets within reach; the cost is
+    voxels times offsets, whatever the number of instances.
+    """
+    halo = [math.floor(reach / s + 1e-9) for s in spacing]
+    steps = [o for o in product(*[range(-h, h + 1) for h in halo]) if o > (0, 0, 0)]
+    steps = sorted((math.sqrt(sum((d * s) ** 2 for d, s in zip(o, spacing, strict=True))), o) for o in steps)
+    steps = [(length, o) for length, o in steps if length <= reach]
+    keys = ["object_id", "entity"]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        brick = Brick(np.stack([rows[a].to_numpy() for a in "zyx"], 1).astype(np.int64), [k.as_py() for k in key[2:]], side, halo)
+        found, code = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        dense = brick.field(code, -1)
+        at, mine = brick.flat[brick.own], code[brick.own]
+        least: dict[int, float] = {}
+        for length, o in steps if len(found) > 1 else []:  # the shortest offset that joins a pair is its gap
+            other = dense[at + brick.step(o)]
+            meets = (other >= 0) & (other != mine)
+            low, high = np.minimum(mine[meets], other[meets]), np.maximum(mine[meets], other[meets])
+            for pair in np.unique(low * len(found) + high).tolist():
+                least.setdefault(pair, length)
+        a, b = np.divmod(np.array(list(least), np.int64), len(found))
+        kind = rows.schema.field("label").type
+        out = {k: pa.array([v] * len(a), rows.schema.field(k).type) for k, v in zip(keys, key, strict=False)}
+        return pa.table(out | {"label_a": pa.array(found[a], kind), "label_b": pa.array(found[b], kind), "gap_um": pa.array(list(least.values()), pa.float64())})
+
+    kind = dict(voxels.dtypes)
+    schema = f"object_id {kind['object_id']}, entity {kind['entity']}, label_a {kind['label']}, label_b {kind['label']}, gap_um double"
+    rows = bricked(voxels.select(*keys, "label", "z", "y", "x"), side, halo=halo)
+    local = rows.groupBy(*keys, "bz", "by", "bx").applyInArrow(run, schema)
+    return local.groupBy(*keys, "label_a", "label_b").agg(F.min("gap_um").alias("gap_um"))

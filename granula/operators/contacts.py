@@ -6,12 +6,14 @@ never all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granula.functions.storage import stored
 from granula.operators.graph import components
 
 AXES = ("z", "y", "x")
@@ -41,19 +43,26 @@ def contact_pairs(instances: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy(*KEYS, "label_a", "label_b").agg(F.min("gap_um").alias("gap_um"))
 
 
-def nearest_same_type(instances: DataFrame, cell: float) -> DataFrame:
+def nearest_same_type(instances: DataFrame, cell: float, name: str = "nearest") -> DataFrame:
     """Distance to the closest other instance of the entity; null for a lone one.
 
-    A neighbour within one cell width is certain from the 27 cells around; only instances
-    without one are compared with all of their entity.
+    A neighbour within one cell width is certain from the 27 cells around. Instances without
+    one go on with cells twice as wide; few are left by then, and all find one in the end.
     """
-    near = band_join(instances, instances, cell).where("label_a <> label_b").groupBy(*KEYS, F.col("label_a").alias("label")).agg(F.min("gap_um").alias("d"))
     key = [*KEYS, "label"]
-    rest = instances.join(near, key, "left_anti").select(*KEYS, "label", *[F.col(a).alias(f"a{a}") for a in AXES])
-    other = instances.select(*KEYS, F.col("label").alias("l2"), *AXES)
-    gap = F.sqrt(sum((F.col(f"a{a}") - F.col(a)) ** 2 for a in AXES))
-    far = rest.join(other, list(KEYS), "left").groupBy(*key).agg(F.min(F.when(F.col("label") != F.col("l2"), gap)).alias("d"))
-    return near.select(*key, "d").union(far.select(*key, "d")).withColumnRenamed("d", "instance_distance_to_closest_same_type_um")
+    result = "instance_distance_to_closest_same_type_um"
+    placed = stored(instances.select(*key, *AXES), f"{name}-all")
+    several = placed.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    lone = placed.join(several.where("n = 1"), list(KEYS), "left_semi").select(*key, F.lit(None).cast("double").alias(result))
+    rest, found = placed.join(several.where("n > 1"), list(KEYS), "left_semi"), [lone]
+    while True:
+        near = band_join(rest, placed, cell).where("label_a <> label_b").groupBy(*KEYS, F.col("label_a").alias("label")).agg(F.min("gap_um").alias(result))
+        near = stored(near, f"{name}-near")
+        found.append(near.select(*key, result))
+        rest = stored(rest.join(near, key, "left_anti"), f"{name}-rest")
+        if rest.isEmpty():
+            return reduce(DataFrame.union, found)
+        cell *= 2
 
 
 def clusters(instances: DataFrame, contacts: DataFrame, reach: float, name: str = "clusters") -> DataFrame:
@@ -90,3 +99,8 @@ def cluster_chance(reached: DataFrame, distances: DataFrame) -> DataFrame:
     rows = reached.where("reach is not null").join(tail, [*KEYS, "reach"])
     greater = ratio(F.col("g"))
     return rows.select(*KEYS, "cluster", "n", "reach", (100 * (greater + (ratio(F.col("ge")) - greater) / 2)).alias("chance_percent"))
+
+
+def sorted_contacts(contacts: DataFrame) -> DataFrame:
+    """In the order of a report: by object, entity, labels and gap."""
+    return contacts.orderBy(*KEYS, "label_a", "label_b", "gap_um")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
+from granula.functions.prefix import running_sums
 
 
 def size_weights(rows: DataFrame, size: str, by: list[str]) -> DataFrame:
@@ -43,8 +44,64 @@ def circular_mean(rows: DataFrame, by: list[str], angle: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(F.sqrt(s * s + c * c) > 1e-9, F.degrees(F.atan2(s, c))).alias("circular_mean_deg"))
 
 
-def weighted_quantile(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """Least value whose cumulative weight reaches q of the total."""
-    upto = W.partitionBy(*by).orderBy(value).rangeBetween(W.unboundedPreceding, 0)
-    sums = rows.withColumn("__cum", F.sum("w").over(upto)).withColumn("__all", F.sum("w").over(W.partitionBy(*by)))
-    return sums.where(F.col("__cum") >= q * F.col("__all")).groupBy(*by).agg(F.min(value).alias("quantile"))
+def weighted_quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """Least value whose cumulative weight reaches q of the total; weights are summed by ranges of values."""
+    weights = rows.groupBy(*by, value).agg(F.sum("w").alias("w"))
+    sums = running_sums(weights, by, value, "w", name)
+    return sums.where(F.col("below") + F.col("w") >= q * F.col("total")).groupBy(*by).agg(F.min(value).alias("quantile"))
+
+
+def references(offsets: DataFrame) -> DataFrame:
+    """(entity, n_objects, offset_um) of structures that can serve as a reference: by objects, then by mean offset, the greatest first; null offsets are not offered."""
+    found = offsets.where("offset_um is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_objects"), F.avg("offset_um").alias("offset_um"))
+    return found.orderBy(F.desc("n_objects"), F.desc("offset_um"), "entity")
+
+
+def frame(az: Column, ay: Column, ax: Column) -> dict[str, Column]:
+    """A unit direction across an axis (z, y, x): the axis of its least component made orthogonal to it."""
+    axis = {"z": az, "y": ay, "x": ax}
+    size = {k: F.abs(v) for k, v in axis.items()}
+    least = F.when((size["z"] <= size["y"]) & (size["z"] <= size["x"]), "z").when(size["y"] <= size["x"], "y").otherwise("x")
+    along = F.when(least == "z", az).when(least == "y", ay).otherwise(ax)
+    raw = {k: F.when(least == k, F.lit(1.0)).otherwise(0.0) - along * v for k, v in axis.items()}
+    length = F.sqrt(raw["z"] * raw["z"] + raw["y"] * raw["y"] + raw["x"] * raw["x"])
+    return {f"u{k}": F.try_divide(v, length) for k, v in raw.items()}
+
+
+def signed_angles(rows: DataFrame) -> DataFrame:
+    """``rows`` (nz, ny, nx, az, ay, ax) with the frame's second direction and the signed angle to the axis in its plane, in degrees."""
+    rows = rows.withColumns(frame(F.col("az"), F.col("ay"), F.col("ax")))
+    across, along = (sum(F.col(f"n{a}") * F.col(f"{d}{a}") for a in "zyx") for d in "ua")
+    return rows.withColumn("signed_deg", F.degrees(F.atan2(across, along)))
+
+
+def cell_points(rows: DataFrame, reference: str) -> DataFrame:
+    """(object_id, entity, cone_deg, r): the mean direction of each structure but the reference, as its angle to the axis and its length."""
+    mean = rows.where(F.col("entity") != reference).groupBy("object_id", "entity").agg(*[(F.sum(F.col("w") * F.col(f"n{a}")) / F.sum("w")).alias(f"m{a}") for a in "zyx"], *[F.first(f"a{a}").alias(f"a{a}") for a in "zyx"])
+    r = F.sqrt(sum(F.col(f"m{a}") ** 2 for a in "zyx"))
+    dot = F.try_divide(sum(F.col(f"m{a}") * F.col(f"a{a}") for a in "zyx"), r)
+    return mean.select("object_id", "entity", F.when(r > 1e-12, scalar.cone_angle(dot)).alias("cone_deg"), r.alias("r"))
+
+
+def wedge_share(low_deg: Column, high_deg: Column) -> Column:
+    """Share of directions without preference whose angle to an axis lies between two angles: half the difference of their cosines."""
+    return (F.cos(F.radians(low_deg)) - F.cos(F.radians(high_deg))) / 2
+
+
+def layout(kind: str, cone: Column, signed: Column, dist: Column, t: Column | float = 1.0) -> dict[str, Column]:
+    """Plot positions, moved from straight plot axes (t = 0) to a layout (t = 1).
+
+    half: a half circle by cone angle; circle: a full one by signed angle; cart: the plane
+    itself; unit: the unit circle without the distance.
+    """
+    start = {"px": cone / 180.0, "py": dist}
+    radians = F.radians(cone) if kind == "half" else F.radians(signed)
+    reach = F.lit(1.0) if kind in ("unit",) else dist
+    end = {"px": reach * F.cos(radians), "py": reach * F.sin(radians)} if kind != "cart" else {"px": dist * F.sin(F.radians(signed)), "py": dist * F.cos(F.radians(signed))}
+    part = t if isinstance(t, Column) else F.lit(float(t))
+    return {k: start[k] + (end[k] - start[k]) * part for k in start}
+
+
+def recovered_centres(rows: DataFrame, by: list[str], position: dict[str, str]) -> DataFrame:
+    """Centre of each object as the median over instances of position less direction times distance, per axis."""
+    return rows.groupBy(*by).agg(*[F.median(F.col(position[a]) - F.col(f"n{a}") * F.col("dist")).alias(f"centre_{a}") for a in "zyx"])

@@ -1,17 +1,21 @@
 """Rank tests, effect sizes and histograms of pooled values.
 
 Values are (group, value) rows with one value per object; the tests run per pair of groups
-through ranks and windows over the pooled values of the pair.
+through running counts over ranges of the pooled values.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granula.functions.prefix import running_sums
+
 #: Samples of at most this size together are tested exactly.
 EXACT = 20
 
@@ -33,16 +37,24 @@ def _pooled(values: DataFrame) -> DataFrame:
     return side("group_a", 1).union(side("group_b", 0))
 
 
-def rank_sums(values: DataFrame) -> DataFrame:
-    """U of group_a, sizes and the tie term of each pair."""
-    by = W.partitionBy("group_a", "group_b")
-    pooled = _pooled(values)
-    ranked = pooled.withColumn("r", F.rank().over(by.orderBy("value")) + (F.count(F.lit(1)).over(W.partitionBy("group_a", "group_b", "value")) - 1) / 2)
-    ranked = ranked.withColumn("t", F.count(F.lit(1)).over(W.partitionBy("group_a", "group_b", "value")))
-    n = F.sum("first")
-    return ranked.groupBy("group_a", "group_b").agg(
-        n.alias("n_a"), (F.count(F.lit(1)) - n).alias("n_b"), (F.sum(F.when(F.col("first") == 1, F.col("r"))) - n * (n + 1) / 2).alias("u"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties")
-    )
+def value_counts(values: DataFrame) -> DataFrame:
+    """(group_a, group_b, value, na, nb): how often each value occurs on either side of each pair."""
+    counts = values.where("value is not null").groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = pairs(values.select("group").distinct())
+    side = lambda g, na, nb: names.join(counts, F.col(g) == F.col("group")).select("group_a", "group_b", "value", na.alias("na"), nb.alias("nb"))
+    none = F.lit(0).cast("long")
+    both = side("group_a", F.col("n"), none).union(side("group_b", none, F.col("n")))
+    return both.groupBy("group_a", "group_b", "value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+
+
+def rank_sums(values: DataFrame, name: str = "ranks") -> DataFrame:
+    """U of group_a, sizes and the tie term of each pair, from running counts over ranges of values."""
+    met = running_sums(value_counts(values), ["group_a", "group_b"], "value", "nb", name)
+    tied = (F.col("na") + F.col("nb")).cast("double")
+    return met.groupBy("group_a", "group_b").agg(
+        F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"),
+        F.sum(F.col("na") * (F.col("below") + F.col("nb") / 2)).alias("u"), F.sum(tied * (tied * tied - 1)).alias("ties"),
+    )
 
 
 def log_binomial(n: Column, k: Column) -> Column:
@@ -52,8 +64,9 @@ def log_binomial(n: Column, k: Column) -> Column:
 
 
 def p_floor(sums: DataFrame) -> DataFrame:
-    """The least two-sided p a pair can reach: 2 / C(n_a + n_b, n_a)."""
-    return sums.withColumn("p_min", F.least(F.lit(1.0), 2 * F.exp(-log_binomial(F.col("n_a") + F.col("n_b"), F.col("n_a")))))
+    """The least two-sided p a pair can reach, 2 / C(n_a + n_b, n_a), and whether no star is in its reach."""
+    least = F.least(F.lit(1.0), 2 * F.exp(-log_binomial(F.col("n_a") + F.col("n_b"), F.col("n_a"))))
+    return sums.withColumn("p_min", least).withColumn("floor", F.col("p_min") >= 0.05)
 
 
 def mann_whitney(values: DataFrame) -> DataFrame:
@@ -104,19 +117,58 @@ def effect(values: DataFrame) -> DataFrame:
     return rank_sums(values).select("group_a", "group_b", F.try_divide(2 * F.col("u") - F.col("n_a") * F.col("n_b"), F.col("n_a") * F.col("n_b")).alias("delta"))
 
 
+def kth_difference(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, k: int) -> float:
+    """The k-th least (from 0) of all a - b, each value as often as it counts; values ascend.
+
+    Bisection on the difference: a step counts the pairs up to it in linear time.
+    """
+    upto = np.concatenate([[0], np.cumsum(nb)])
+    low, high = a[0] - b[-1], a[-1] - b[0]
+    low = np.nextafter(low, -np.inf)
+    while low < high:
+        middle = low + (high - low) / 2
+        if middle in (low, high):
+            break
+        pairs_upto = (na * (upto[-1] - upto[np.searchsorted(b, a - middle, "left")])).sum()
+        low, high = (low, middle) if pairs_upto > k else (middle, high)
+    # of each a the difference next above the lower end
+    at = np.searchsorted(b, a - low, "left") - 1
+    return float((a[at >= 0] - b[at[at >= 0]]).min())
+
+
 def shift(values: DataFrame) -> DataFrame:
-    """Median of all differences a - b of each pair (values are one per object)."""
-    names = pairs(values.select("group").distinct())
-    a = names.join(values, F.col("group_a") == F.col("group")).select("group_a", "group_b", F.col("value").alias("a"))
-    b = values.select(F.col("group").alias("g"), F.col("value").alias("b"))
-    return a.join(b, F.col("group_b") == F.col("g")).groupBy("group_a", "group_b").agg(F.median(F.col("a") - F.col("b")).alias("shift"))
+    """Median of all differences a - b of each pair.
+
+    A pair is one task over its distinct values (one value per object comes in), by bisection
+    and never over all differences.
+    """
 
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("value")
+        value, na, nb = (rows[c].to_numpy() for c in ("value", "na", "nb"))
+        a, b = (value[na > 0], na[na > 0]), (value[nb > 0], nb[nb > 0])
+        n = int(a[1].sum() * b[1].sum())
+        middle = [kth_difference(*a, *b, k) for k in {(n - 1) // 2, n // 2}] if n else []
+        return pa.table({"group_a": pa.array([key[0]], rows.schema.field("group_a").type), "group_b": pa.array([key[1]], rows.schema.field("group_b").type), "shift": pa.array([sum(middle) / len(middle) if middle else None], pa.float64())})
 
-def ecdf(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Percent of values at or below each, one row per value; groups may be large, so counts come before the window."""
+    rows = value_counts(values.withColumn("value", F.col("value").cast("double")))
+    kind = dict(rows.dtypes)
+    return rows.groupBy("group_a", "group_b").applyInArrow(run, f"group_a {kind['group_a']}, group_b {kind['group_b']}, shift double")
+
+
+def ecdf(rows: DataFrame, by: list[str], value: str, name: str = "ecdf") -> DataFrame:
+    """Percent of values at or below each, one row per value; summed by ranges of values, so a group may be large."""
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select(*by, value, (100 * F.sum("n").over(upto) / F.sum("n").over(W.partitionBy(*by))).alias("percent"))
+    return running_sums(counts, by, value, "n", name).select(*by, value, (100 * (F.col("below") + F.col("n")) / F.col("total")).alias("percent"))
+
+
+def share_curve(rows: DataFrame, by: list[str], value: str, vertices: int = 100) -> DataFrame:
+    """The curve that is drawn: from 0 percent at the least value, then the last value of each of ``vertices`` equal steps of percent, up to 100."""
+    curve = ecdf(rows, by, value, "share-curve")
+    step = F.ceil(F.round(F.col("percent") * vertices / 100, 9))
+    ends = curve.groupBy(*by, step.alias("step")).agg(F.max(value).alias(value), F.max("percent").alias("percent"))
+    start = curve.groupBy(*by).agg(F.lit(0).cast("long").alias("step"), F.min(value).alias(value), F.lit(0.0).alias("percent"))
+    return start.unionByName(ends).select(*by, "step", value, "percent")
 
 
 def shared_histogram(rows: DataFrame, facet: str, value: str, bins: int) -> DataFrame:
@@ -141,3 +193,67 @@ def rebinned(counts: DataFrame, by: list[str], lo: float, width: float, bins: in
     at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((centre - lo) / width))).cast("int")
     moved = counts.groupBy(*by, at.alias("to_bin")).agg(F.sum("n").alias("n"))
     return moved.select(*by, "to_bin", (F.col("n") / F.sum("n").over(W.partitionBy(*by)) / width).alias("density"))
+
+
+def bin_count(asked: Column, span: Column, source_width: Column) -> Column:
+    """Bins of a drawn histogram: as asked, but no finer than its sources and four at least."""
+    return F.greatest(F.lit(4), F.least(asked, F.round(F.try_divide(span, source_width)))).cast("int")
+
+
+def chance_curve(counts: DataFrame, by: list[str], asked: int) -> DataFrame:
+    """(by, to_bin, low, width, density): pooled source bins on a shared span, the density of each group sums to 1 over the width.
+
+    The number of bins follows ``bin_count`` for the span of the group's sources.
+    """
+    ends = counts.groupBy(*by).agg(F.min(F.col("lo") + F.col("bin") * F.col("width")).alias("low"), F.max(F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("high"), F.min("width").alias("fine"))
+    span = F.col("high") - F.col("low")
+    ends = ends.withColumn("bins", bin_count(F.lit(asked), span, F.col("fine"))).withColumn("step", span / F.col("bins")).drop("fine", "high")
+    centre = F.col("lo") + (F.col("bin") + 0.5) * F.col("width")
+    at = F.least(F.col("bins") - 1, F.floor((centre - F.col("low")) / F.col("step"))).cast("int")
+    moved = counts.join(ends, by).groupBy(*by, "low", "step", at.alias("to_bin")).agg(F.sum("n").alias("n"))
+    return moved.select(*by, "to_bin", "low", F.col("step").alias("width"), (F.col("n") / F.sum("n").over(W.partitionBy(*by)) / F.col("step")).alias("density"))
+
+
+def chance_values(rows: DataFrame, by: list[str], unit: str, value: str, counts: DataFrame) -> DataFrame:
+    """(by, chance_um): the plain median where one object gave all values of a group, else the median of its pooled counts (by, bin, n, lo, width)."""
+    own = rows.groupBy(*by).agg(F.count_distinct(unit).alias("n_objects"), F.median(value).alias("own"))
+    return own.join(median_of_counts(counts, by), by, "left").select(*by, "n_objects", F.when(F.col("n_objects") > 1, F.col("median")).otherwise(F.col("own")).alias("chance_um"))
+
+
+def corrected_chance(pooled: Column, gap: Column) -> Column:
+    """A pooled median less the gap that an instance's own extent makes, 0 at least; without a gap as it is."""
+    return F.greatest(F.lit(0.0), pooled - F.coalesce(gap, F.lit(0.0)))
+
+
+def extent_gap(instances: DataFrame, by: list[str], minimum: str, mean: str) -> DataFrame:
+    """(by, extent_gap_um): median of mean less least distance, what its own extent brings an instance nearer to a target."""
+    return instances.where(F.col(minimum).isNotNull() & F.col(mean).isNotNull()).groupBy(*by).agg(F.median(F.col(mean) - F.col(minimum)).alias("extent_gap_um"))
+
+
+def significance_label(p: Column) -> Column:
+    """Stars and the p value, or why there is none."""
+    from granula.functions.scalar import stars
+
+    shown = F.when(p < 1e-4, F.lit("p < 0.0001")).otherwise(F.concat(F.lit("p = "), F.format_string("%.4f", p)))
+    return F.when(p.isNull(), "untested").otherwise(F.concat_ws(" \u00b7 ", stars(p), shown))
+
+
+def plan(values: DataFrame) -> DataFrame:
+    """(group_a, group_b, n_a, n_b, reason): all pairs of groups, with the reason where a pair cannot be tested; none if no group can."""
+    sizes = values.where("value is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    testable = sizes.where("n >= 2").agg(F.count(F.lit(1)).alias("testable")).where("testable > 0")
+    a, b = (sizes.select(F.col("group").alias(f"group_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    found = a.join(b, F.col("group_a") < F.col("group_b")).join(F.broadcast(testable))
+    reason = F.when((F.col("n_a") < 2) & (F.col("n_b") < 2), "both groups have one object").when(F.col("n_a") < 2, F.concat("group_a", F.lit(" has one object"))).when(F.col("n_b") < 2, F.concat("group_b", F.lit(" has one object")))
+    return found.select("group_a", "group_b", "n_a", "n_b", reason.alias("reason"))
+
+
+def rungs(tested: DataFrame) -> DataFrame:
+    """(group_a, group_b, rung): heights of the brackets over a row of groups, so that brackets of one height do not overlap: by span, then by place.
+
+    Groups are few: the places and the pairs fit one window.
+    """
+    names = tested.select(F.col("group_a").alias("g")).union(tested.select("group_b")).distinct()
+    places = names.withColumn("place", F.row_number().over(W.orderBy("g")))
+    at = lambda s: places.select(F.col("g").alias(f"group_{s}"), F.col("place").alias(f"p{s}"))
+    return tested.join(F.broadcast(at("a")), "group_a").join(F.broadcast(at("b")), "group_b").select("group_a", "group_b", F.row_number().over(W.orderBy(F.col("pb") - F.col("pa"), "pa")).alias("rung"))

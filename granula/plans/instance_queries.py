@@ -6,11 +6,10 @@ the size of the fourth = weight.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import contacts, polarity, skeleton
+from granula.operators import contacts, polarity, scene, skeleton, stats
 from granula.plans.voxel_queries import rounded
 
 R = 0.12
@@ -110,8 +109,7 @@ def weighted_quantile(spark, sf_dir):
 
 
 def centre_recovery(spark, sf_dir):
-    rows = unit(spark, sf_dir)
-    return rounded(rows.groupBy("object_id").agg(*[F.median(F.col("d6") - F.col(f"n{a}") * F.col("dist")).alias(f"centre_{a}") for a in "zyx"]))
+    return rounded(polarity.recovered_centres(unit(spark, sf_dir), ["object_id"], dict.fromkeys("zyx", "d6")))
 
 
 def surface_choice(spark, sf_dir):
@@ -127,30 +125,47 @@ def ellipsoid_guard(spark, sf_dir):
     return inst(spark, sf_dir).select("label", scalar.ellipsoid_ok(F.col("size") - 0.01, F.col("d5"), F.col("d5") * 2).alias("drawable"))
 
 
-def _gallery(spark, sf_dir, order):
-    shown = inst(spark, sf_dir).where("entity = 3").select("entity", "label", F.col("d6").alias("metric"))
-    return shown.orderBy(order, "label").limit(12).orderBy(F.col("metric").desc(), "label")
+def shown(spark, sf_dir):
+    """Instances as rows of a geometry file: every seventh has no surface."""
+    rows = inst(spark, sf_dir).withColumn("row_type", F.when(F.col("label") % 3 == 0, "file").otherwise("instance"))
+    return rows.select(
+        "object_id", F.col("entity").alias("entity_name"), "row_type", "label", F.col("d6").alias("metric"), F.col("size").alias("volume_um3"), F.lit(None).cast("double").alias("area_um2"),
+        F.floor(F.col("size") * 100).alias("surface_elements"), F.when(F.col("label") % 7 != 0, F.lit("m").cast("binary")).alias("surface"), F.lit(None).cast("binary").alias("outline"),
+    )
+
+
+def _gallery(spark, sf_dir, pick):
+    return scene.gallery(shown(spark, sf_dir).where("entity_name = 3"), "metric", pick, 12).select(F.col("entity_name").alias("entity"), "label", "metric")
 
 
 def gallery_top(spark, sf_dir):
-    return _gallery(spark, sf_dir, F.col("metric").desc())
+    return _gallery(spark, sf_dir, "highest")
 
 
 def gallery_bottom(spark, sf_dir):
-    return _gallery(spark, sf_dir, F.col("metric").asc())
+    return _gallery(spark, sf_dir, "lowest")
+
+
+def gallery_random(spark, sf_dir):
+    """Twelve instances by a seeded hash; the same ones on every run."""
+    return _gallery(spark, sf_dir, "random")
 
 
 def gallery_count(spark, sf_dir):
-    return inst(spark, sf_dir).where(scalar.finite(F.col("d6")).isNotNull()).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return scene.gallery_rows(shown(spark, sf_dir), "metric").groupBy(F.col("entity_name").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scene_geometry(spark, sf_dir):
+    found = scene.geometry(shown(spark, sf_dir), [1, 3, 5], ["metric"])
+    return found.select("entity_name", "row_type", "label", "metric", "size", F.col("surface").isNotNull().alias("has_surface"))
 
 
 def scene_summary(spark, sf_dir):
-    rows = inst(spark, sf_dir).withColumn("row_type", F.when(F.col("label") % 3 == 0, "file").otherwise("instance"))
-    return rows.groupBy("entity", "row_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("size") * 100)).alias("elements"))
+    return scene.summary(shown(spark, sf_dir)).select(F.col("entity_name").alias("entity"), "row_type", "n", "elements")
 
 
 def metric_span(spark, sf_dir):
-    return inst(spark, sf_dir).groupBy("entity").agg(F.min("d6").alias("low"), F.max("d6").alias("high"))
+    return scene.metric_span(shown(spark, sf_dir), "metric").select(F.col("entity_name").alias("entity"), "low", "high")
 
 
 def explode_offset(spark, sf_dir):
@@ -182,13 +197,8 @@ def skeleton_metrics(spark, sf_dir):
 
 
 def log_binomial(spark, sf_dir):
-    """ln C(n, k) from running sums of logarithms."""
     sizes = inst(spark, sf_dir).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    logs = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("l", F.sum(F.ln("i")).over(W.partitionBy("entity").orderBy("i")))
-    top = logs.where("i = n").select("entity", "n", F.col("l").alias("ln"))
-    low = logs.where("i = 5").select("entity", F.col("l").alias("lk"))
-    rest = logs.where("i = n - 5").select("entity", F.col("l").alias("lr"))
-    return rounded(top.join(low, "entity").join(rest, "entity").select("entity", "n", (F.col("ln") - F.col("lk") - F.col("lr")).alias("ln_binomial")))
+    return rounded(sizes.select("entity", "n", stats.log_binomial(F.col("n"), F.lit(5)).alias("ln_binomial")))
 
 
 B = "WITH RECURSIVE i AS (SELECT vec_id % 4 AS object_id, label AS entity, vec_id AS label, round(embedding[1]::DOUBLE, 6) AS z, round(embedding[2]::DOUBLE, 6) AS y, round(embedding[3]::DOUBLE, 6) AS x, abs(round(embedding[4]::DOUBLE, 6)) AS size, abs(round(embedding[5]::DOUBLE, 6)) AS d5, round(embedding[6]::DOUBLE, 6) AS d6 FROM embeddings)"
@@ -197,7 +207,8 @@ C = f"{B}, {P}, p AS (SELECT * FROM c WHERE gap_um <= {R})"
 K = f"{C}, e AS (SELECT object_id, entity, label_a AS a, label_b AS b FROM p UNION ALL SELECT object_id, entity, label_b, label_a FROM p), r AS (SELECT object_id, entity, label AS a, label AS b FROM i UNION SELECT r.object_id, r.entity, r.a, e.b FROM r JOIN e ON e.object_id = r.object_id AND e.entity = r.entity AND e.a = r.b), k AS (SELECT object_id, entity, a AS label, min(b) AS cluster FROM r GROUP BY ALL)"
 RE = f"{K}, d AS (SELECT object_id, entity, label, CASE WHEN label % 7 <> 0 THEN round(d5, 3) END AS reach FROM i), q AS (SELECT object_id, entity, cluster, count(*) AS n, min(reach) AS reach FROM k JOIN d USING (object_id, entity, label) GROUP BY ALL HAVING count(*) >= 2)"
 U = f"{B}, u0 AS (SELECT *, sqrt(z*z + y*y + x*x) AS dist FROM i), u AS (SELECT *, z / dist AS nz, y / dist AS ny, x / dist AS nx, degrees(atan2(y / dist, x / dist)) AS az_deg, CASE WHEN count(CASE WHEN size > 0 THEN 1 END) OVER s = count(*) OVER s THEN size ELSE 1 END AS w FROM u0 WHERE dist > 0 WINDOW s AS (PARTITION BY object_id, entity))"
-G = "(SELECT entity, label, d6 AS metric FROM i WHERE entity = 3 ORDER BY {} LIMIT 12)"
+SH = f"{B}, s AS (SELECT object_id, entity, label, d6 AS metric, size, CASE WHEN label % 3 = 0 THEN 'file' ELSE 'instance' END AS row_type, label % 7 <> 0 AS has_surface FROM i)"
+G = "(SELECT entity, label, metric FROM s WHERE entity = 3 AND row_type = 'instance' AND has_surface ORDER BY {} LIMIT 12)"
 
 SQL = {
     "polarity_3d": f"{B}, u AS (SELECT *, sqrt(z*z + y*y + x*x) AS d FROM i) SELECT object_id, label, round(d, 6) AS polar_dist_um, round(y / d, 6) AS polar_ny, round(x / d, 6) AS polar_nx, round(z / d, 6) AS polar_nz, round(degrees(atan2(y / d, x / d)), 6) AS polar_az_deg, round(degrees(asin(greatest(-1, least(1, z / d)))), 6) AS polar_el_deg FROM u",
@@ -220,11 +231,13 @@ SQL = {
     "surface_choice": f"{B} SELECT label, CASE WHEN label % 2 = 0 AND size * 30 >= 3 AND floor(d5 * 20) >= 1 THEN 'tube' WHEN d5 * 6 >= 0.75 AND size * 30 BETWEEN 1 AND 3 THEN 'ellipsoid' ELSE 'mesh' END AS surface FROM i",
     "smoothing_sigma": f"{B} SELECT label, round(CASE WHEN label % 5 = 0 THEN 1.0 ELSE 0.5 + sqrt(greatest(0, d5 * 5 * least(1, size * 4 / (pi() / 6)))) END, 6) AS sigma FROM i",
     "ellipsoid_guard": f"{B} SELECT label, coalesce(least(size - 0.01, d5, d5 * 2) > 0 AND greatest(size - 0.01, d5, d5 * 2) / cbrt((size - 0.01) * d5 * (d5 * 2)) <= 100, false) AS drawable FROM i",
-    "gallery_top": f"{B} SELECT * FROM {G.format('metric DESC, label')} ORDER BY metric DESC, label",
-    "gallery_bottom": f"{B} SELECT * FROM {G.format('metric, label')} ORDER BY metric DESC, label",
-    "gallery_count": f"{B} SELECT entity, count(*) AS n FROM i WHERE isfinite(d6) GROUP BY ALL",
-    "scene_summary": f"{B} SELECT entity, CASE WHEN label % 3 = 0 THEN 'file' ELSE 'instance' END AS row_type, count(*) AS n, sum(floor(size * 100))::BIGINT AS elements FROM i GROUP BY ALL",
-    "metric_span": f"{B} SELECT entity, min(d6) AS low, max(d6) AS high FROM i GROUP BY ALL",
+    "gallery_top": f"{SH} SELECT * FROM {G.format('metric DESC, label')}",
+    "gallery_bottom": f"{SH} SELECT * FROM {G.format('metric, label')}",
+    "gallery_random": f"{SH} SELECT * FROM {G.format('md5(label::VARCHAR), label')}",
+    "gallery_count": f"{SH} SELECT entity, count(*) AS n FROM s WHERE row_type = 'instance' AND has_surface AND isfinite(metric) GROUP BY ALL",
+    "scene_geometry": f"{SH} SELECT entity AS entity_name, row_type, label, metric, size, has_surface FROM s WHERE entity IN (1, 3, 5)",
+    "scene_summary": f"{SH} SELECT entity, row_type, count(*) AS n, sum(floor(size * 100))::BIGINT AS elements FROM s GROUP BY ALL",
+    "metric_span": f"{SH} SELECT entity, min(metric) AS low, max(metric) AS high FROM s GROUP BY ALL",
     "explode_offset": f"{U} SELECT object_id, label, round(nx * dist * 0.5, 4) AS shift_x, round(ny * dist * 0.5, 4) AS shift_y, round(nz * dist * 0.5, 4) AS shift_z FROM u",
     "skeleton_degree": f"{C} SELECT object_id, v AS vertex, count(*) AS degree FROM (SELECT object_id, label_a AS v FROM p UNION ALL SELECT object_id, label_b FROM p) GROUP BY ALL",
     "skeleton_tips": f"{C} SELECT object_id, v AS vertex FROM (SELECT object_id, label_a AS v FROM p UNION ALL SELECT object_id, label_b FROM p) GROUP BY ALL HAVING count(*) = 1",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from granula.functions import scalar
 from granula.operators import report, stats
 from granula.plans.voxel_queries import rounded
+from granula.streaming import resume
 
 
 def t(spark, sf_dir, name):
@@ -73,16 +74,17 @@ def contact_ends(spark, sf_dir):
 
 
 def missing_structures(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("object_id"), F.col("c_mktsegment").alias("structure"), "c_custkey").where("c_custkey % 20 = 0")
-    objects = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("object_id"))
-    structures = t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("structure")).distinct()
-    return report.missing_structures(c.select("object_id", "structure").distinct(), objects, structures)
+    """Order priorities that a customer never used."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("object_id"), F.col("o_orderpriority").alias("structure"))
+    objects = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"))
+    return report.missing_structures(o.distinct(), objects, o.select("structure").distinct())
 
 
 def resume_split(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_id"), scalar.digest(F.col("o_orderstatus"), F.lit(1)).alias("fingerprint"))
-    parts = o.where("object_id % 3 = 0").withColumn("fingerprint", F.when(F.col("object_id") % 2 == 0, F.col("fingerprint")).otherwise("stale"))
-    return o.join(parts, ["object_id", "fingerprint"], "left_anti")
+    """A third of the objects has a part, of which every other one is stale; the parts are the test's given state and not a cut."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("object_key"), scalar.digest(F.col("o_orderstatus"), F.lit(1)).alias("fingerprint"))
+    parts = o.where("object_key % 3 = 0").withColumn("fingerprint", F.when(F.col("object_key") % 2 == 0, F.col("fingerprint")).otherwise("stale"))
+    return resume.remaining(o, parts).select(F.col("object_key").alias("object_id"), "fingerprint")
 
 
 def settings_digest(spark, sf_dir):
@@ -102,7 +104,7 @@ def coverage(spark, sf_dir):
 
 
 def composition_share(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1")
+    li = t(spark, sf_dir, "lineitem")
     parts = li.groupBy(F.col("l_orderkey").alias("object_id"), F.col("l_returnflag").alias("structure")).agg(F.sum("l_quantity").alias("size"))
     whole = li.groupBy(F.col("l_orderkey").alias("object_id")).agg((F.sum("l_quantity") * 2).alias("total"))
     names = li.select(F.col("l_returnflag").alias("structure")).distinct()
@@ -183,11 +185,12 @@ def rebin_histogram(spark, sf_dir):
 
 
 def pooled_chance(spark, sf_dir):
-    """Median of the pooled histogram of several objects, the plain median of a single one."""
-    rows = _ev(spark, sf_dir).where("object_id % 5 < 2")
-    n = rows.groupBy("structure").agg(F.count_distinct("object_id").alias("n_objects"), F.median("value").alias("own"))
-    pooled = stats.median_of_counts(_counts(spark, sf_dir), ["structure"])
-    return rounded(n.join(pooled, "structure").select("structure", F.when(F.col("n_objects") > 1, F.col("median")).otherwise(F.col("own")).alias("chance_um")))
+    """Chance of each structure from all objects (pooled counts) and of each object on its own (its plain median)."""
+    rows = _ev(spark, sf_dir)
+    facets = rows.withColumn("facet", F.explode(F.array(F.col("structure"), F.concat_ws(":", "structure", "object_id"))))
+    bin_ = F.least(F.lit(9), F.floor(F.col("value") / 20)).cast("int")
+    counts = facets.groupBy("facet", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumns({"lo": F.lit(0.0), "width": F.lit(20.0)})
+    return rounded(stats.chance_values(facets, ["facet"], "object_id", "value", counts).select("facet", "chance_um"))
 
 
 def object_medians(spark, sf_dir):
@@ -200,8 +203,7 @@ def _medians(rows):
 
 
 def _values(spark, sf_dir):
-    """The medians of one object in ten, as the SQL of the queries takes them (VA)."""
-    return _medians(_ev(spark, sf_dir).where("object_id % 10 = 1"))
+    return _medians(_ev(spark, sf_dir))
 
 
 def mann_whitney_u(spark, sf_dir):
@@ -209,7 +211,7 @@ def mann_whitney_u(spark, sf_dir):
 
 
 def p_min(spark, sf_dir):
-    return rounded(stats.p_floor(stats.rank_sums(_values(spark, sf_dir))).select("group_a", "group_b", "p_min"), 9)
+    return rounded(stats.p_floor(stats.rank_sums(_values(spark, sf_dir))).select("group_a", "group_b", "p_min", "floor"), 9)
 
 
 def effect_delta(spark, sf_dir):
@@ -225,14 +227,14 @@ def pairwise_plan(spark, sf_dir):
 
 
 def mann_whitney_p(spark, sf_dir):
-    """Over all objects; it has no SQL."""
-    return rounded(stats.mann_whitney(_medians(_ev(spark, sf_dir))).select("group_a", "group_b", "n_a", "n_b", "u", "p"))
+    return rounded(stats.mann_whitney(_values(spark, sf_dir)).select("group_a", "group_b", "n_a", "n_b", "u", "p"))
 
 
 EV = "e AS (SELECT user_id AS object_id, event_type AS structure, round(value, 2) AS value FROM events)"
 CN = f"WITH {EV}, c AS (SELECT structure, least(9, floor(value / 20))::INT AS bin, count(*) AS n FROM e GROUP BY ALL)"
 MD = "m AS (SELECT structure, (bin + (half - (cum - n)) / n) * 20.0 AS median FROM (SELECT *, sum(n) OVER (PARTITION BY structure ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY structure) / 2 AS half FROM c) WHERE cum >= half QUALIFY row_number() OVER (PARTITION BY structure ORDER BY bin) = 1)"
-VA = f"WITH {EV}, v AS (SELECT structure AS g, round(median(value), 3) AS x FROM e WHERE object_id % 10 = 1 GROUP BY structure, object_id), n AS (SELECT g, count(*) AS n FROM v GROUP BY g), p AS (SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b FROM n a JOIN n b ON a.g < b.g), uu AS (SELECT group_a, group_b, n_a, n_b, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM p JOIN v a ON a.g = group_a JOIN v b ON b.g = group_b GROUP BY ALL)"
+VA = f"WITH {EV}, v AS (SELECT structure AS g, round(median(value), 3) AS x FROM e GROUP BY structure, object_id), n AS (SELECT g, count(*) AS n FROM v GROUP BY g), p AS (SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b FROM n a JOIN n b ON a.g < b.g), uu AS (SELECT group_a, group_b, n_a, n_b, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM p JOIN v a ON a.g = group_a JOIN v b ON b.g = group_b GROUP BY ALL)"
+TI = "t AS (SELECT group_a, group_b, sum(k * (k * k - 1))::DOUBLE AS ties FROM (SELECT group_a, group_b, x, count(*)::DOUBLE AS k FROM p JOIN v ON v.g IN (group_a, group_b) GROUP BY ALL) GROUP BY ALL)"
 FI = "f AS (SELECT page_id, page_id % 40 AS dir, string_split(regexp_replace(url, '[?#].*$', ''), '/')[4] || '-Part ' || (page_id % 7) || CASE page_id % 3 WHEN 0 THEN '_label' WHEN 1 THEN '_MASK' ELSE '_raw' END AS stem, length(html) AS size FROM pages)"
 NN = "nullif(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
 SP = "(SELECT coalesce(min(k) FILTER ({a}[k] <> {b}[k]) - 1, least(length({a}), length({b}))) FROM range(1, least(length({a}), length({b})) + 1) r(k))"
@@ -247,12 +249,12 @@ SQL = {
     "orphan_distances": "SELECT l_linenumber, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F') GROUP BY ALL",
     "orphan_contacts": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25)",
     "contact_ends": "SELECT l_partkey AS label FROM lineitem UNION SELECT l_suppkey FROM lineitem",
-    "missing_structures": "SELECT n_nationkey AS object_id, structure FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS structure FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = structure AND c_custkey % 20 = 0)",
+    "missing_structures": "SELECT c_custkey AS object_id, structure FROM customer CROSS JOIN (SELECT DISTINCT o_orderpriority AS structure FROM orders) s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = structure)",
     "resume_split": "SELECT o_orderkey AS object_id, left(sha256(o_orderstatus || '|1'), 16) AS fingerprint FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)",
     "settings_digest": "SELECT p_partkey, left(sha256(p_name || '|' || p_size || '|null'), 16) AS digest FROM part",
     "overview_counts": "SELECT * FROM (SELECT count(*) AS objects, count(DISTINCT o_orderpriority) AS groups FROM orders), (SELECT count(*) AS instances, count(DISTINCT l_returnflag) AS structures FROM lineitem)",
     "coverage": "SELECT l_returnflag AS structure, count(DISTINCT l_orderkey) AS present, (SELECT count(*) FROM orders) AS objects FROM lineitem GROUP BY ALL",
-    "composition_share": "WITH l AS (SELECT l_orderkey AS object_id, l_returnflag AS structure, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 = 1), w AS (SELECT object_id, sum(q) * 2 AS total FROM l GROUP BY 1), s AS (SELECT DISTINCT structure FROM l), c AS (SELECT w.object_id, s.structure, 100 * coalesce((SELECT sum(q) FROM l WHERE l.object_id = w.object_id AND l.structure = s.structure), 0) / total AS percent FROM w CROSS JOIN s) SELECT object_id, structure, round(percent, 6) AS percent FROM c UNION ALL SELECT object_id, 'remainder', round(100 - sum(percent), 6) FROM c GROUP BY 1",
+    "composition_share": "WITH l AS (SELECT l_orderkey AS object_id, l_returnflag AS structure, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), w AS (SELECT object_id, sum(q) * 2 AS total FROM l GROUP BY 1), s AS (SELECT DISTINCT structure FROM l), c AS (SELECT w.object_id, s.structure, 100 * coalesce(q, 0) / total AS percent FROM w CROSS JOIN s LEFT JOIN l ON l.object_id = w.object_id AND l.structure = s.structure) SELECT object_id, structure, round(percent, 6) AS percent FROM c UNION ALL SELECT object_id, 'remainder', round(100 - sum(percent), 6) FROM c GROUP BY 1",
     "recolour": "SELECT c_custkey, c_mktsegment AS entity_name, CASE c_mktsegment WHEN 'MACHINERY' THEN '#ff0000' WHEN 'HOUSEHOLD' THEN '#00ff00' END AS entity_colour FROM customer",
     "describe_noun": "SELECT p_partkey, 'cells per cell of ' || p_name || ' objection' AS text FROM part",
     "kind_suffix": f"WITH {FI} SELECT page_id, regexp_replace(stem, '_(label|MASK)$', '') AS body, CASE page_id % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'mask' END AS kind FROM f",
@@ -264,12 +266,13 @@ SQL = {
     "shared_histogram": f"WITH {EV}, m AS (SELECT min(value) AS lo, max(value) AS hi FROM e), c AS (SELECT structure, least(23, floor((value - lo) / (hi - lo) * 24))::INT AS bin, count(*) AS n FROM e, m GROUP BY ALL) SELECT structure, bin, round(100 * n / sum(n) OVER (PARTITION BY structure), 6) AS percent FROM c",
     "median_of_counts": f"{CN}, {MD} SELECT structure, round(median, 6) AS median FROM m",
     "rebin_histogram": f"{CN}, r AS (SELECT structure, least(3, floor((bin + 0.5) * 20 / 50))::INT AS to_bin, sum(n) AS n FROM c GROUP BY ALL) SELECT structure, to_bin, round(n / sum(n) OVER (PARTITION BY structure) / 50, 6) AS density FROM r",
-    "pooled_chance": f"{CN}, {MD}, o AS (SELECT structure, count(DISTINCT object_id) AS k, median(value) AS own FROM e WHERE object_id % 5 < 2 GROUP BY 1) SELECT structure, round(CASE WHEN k > 1 THEN median ELSE own END, 6) AS chance_um FROM o JOIN m USING (structure)",
+    "pooled_chance": f"WITH {EV}, f AS (SELECT structure AS facet, object_id, value FROM e UNION ALL SELECT structure || ':' || object_id, object_id, value FROM e), c AS (SELECT facet AS structure, least(9, floor(value / 20))::INT AS bin, count(*) AS n FROM f GROUP BY ALL), {MD}, o AS (SELECT facet, count(DISTINCT object_id) AS k, median(value) AS own FROM f GROUP BY 1) SELECT facet, round(CASE WHEN k > 1 THEN median ELSE own END, 6) AS chance_um FROM o JOIN m ON structure = facet",
     "object_medians": f"WITH {EV} SELECT structure, object_id, round(median(value), 6) AS value FROM e GROUP BY ALL",
-    "mann_whitney_u": f"{VA}, t AS (SELECT group_a, group_b, v.x, count(*) AS k FROM p JOIN v ON v.g IN (group_a, group_b) GROUP BY ALL) SELECT group_a, group_b, n_a, n_b, u, (SELECT sum(k * (k * k - 1))::DOUBLE FROM t WHERE t.group_a = uu.group_a AND t.group_b = uu.group_b) AS ties FROM uu",
-    "p_min": f"{VA} SELECT group_a, group_b, round(least(1.0, 2 * exp(-(SELECT sum(ln((n_b + i)::DOUBLE / i)) FROM range(1, n_a + 1) r(i)))), 9) AS p_min FROM p",
+    "mann_whitney_u": f"{VA}, {TI} SELECT uu.*, ties FROM uu JOIN t USING (group_a, group_b)",
+    "mann_whitney_p": f"{VA}, {TI}, z AS (SELECT uu.*, greatest(0, abs(u - n_a * n_b / 2) - 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) / sqrt(2) AS x FROM uu JOIN t USING (group_a, group_b)) SELECT group_a, group_b, n_a, n_b, u, round(CASE WHEN x = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * (SELECT sum(exp(-x * x + (2 * k + 1) * ln(x) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))) FROM range(200) r(k)) END, 6) AS p FROM z",
+    "p_min": f"{VA}, m AS (SELECT group_a, group_b, least(1.0, 2 * exp(-(SELECT sum(ln((n_b + i)::DOUBLE / i)) FROM range(1, n_a + 1) r(i)))) AS p FROM p) SELECT group_a, group_b, round(p, 9) AS p_min, p >= 0.05 AS floor FROM m",
     "effect_delta": f"{VA} SELECT group_a, group_b, round((2 * u - n_a * n_b) / (n_a * n_b), 6) AS delta FROM uu",
     "hodges_lehmann": f"{VA} SELECT group_a, group_b, round(median(a.x - b.x), 5) AS shift FROM p JOIN v a ON a.g = group_a JOIN v b ON b.g = group_b GROUP BY ALL",
     "pairwise_plan": f"{VA} SELECT group_a, group_b FROM p",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "mann_whitney_p"]}
+QUERIES = {name: globals()[name] for name in SQL}
