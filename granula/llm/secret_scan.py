@@ -9,7 +9,9 @@ its nearest partner, so it neither shuffles nor compares all pairs.
 
 Defined results: a null or empty text has no spans; null doc_ids and repeated rows are
 kept; an empty table gives an empty result; input columns named like a result column are
-replaced. Offsets are code points, end exclusive.
+replaced. Offsets are code points, end exclusive; spans carry their byte offsets, too, so
+that redaction cuts a long text without counting its characters again for each span. All
+steps are running sums, maxima and minima over sorted parts: n log n in the parts.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ LINK_CHARS = 200
 #: In the order of ties; the role says which part of a credential a span is.
 KINDS = (("assign", "secret"), ("access", "ident"), ("hex", "secret"), ("weak_secret", "secret"), ("weak_ident", "ident"), ("endpoint", "endpoint"))
 BASE = ("assign", "access", "hex")
-SPAN = "array<struct<start:bigint,end:bigint,rank:int>>"
+SPAN = "array<struct<start:bigint,end:bigint,rank:int,from:bigint,to:bigint>>"
 
 
 def spans(text: Column, pattern: str, rank: int, group_min: int = 0) -> Column:
-    """Start and end of the leftmost non-overlapping matches, as code points.
+    """Start and end of the leftmost non-overlapping matches, as code points, and from and to, as bytes.
 
     The pieces between matches and the matches alternate, so running sums of their lengths
     are the offsets. ``group_min``: matches whose group 1 is shorter are dropped afterwards.
@@ -45,16 +47,40 @@ def spans(text: Column, pattern: str, rank: int, group_min: int = 0) -> Column:
 
     def located(found: Column) -> Column:
         # split and the matches come from the same search, so gap k precedes match k
-        length = F.zip_with(F.slice(found["gaps"], F.lit(1), F.size(found["whole"])), found["whole"], lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-        ends = let(length, lambda x: scan(x, lambda a, b: a + b, F.lit(0).cast("long")))
-        triples = F.arrays_zip(ends.alias("end"), found["whole"].alias("m"), found["size"].alias("size"))
-        ok = F.filter(triples, lambda t: t["size"] >= group_min)
-        return F.transform(ok, lambda t: F.struct((t["end"] - F.length(t["m"])).alias("start"), t["end"].alias("end"), F.lit(rank).alias("rank")))
+        def ends(measure) -> Column:
+            length = F.zip_with(F.slice(found["gaps"], F.lit(1), F.size(found["whole"])), found["whole"], lambda g, m: (measure(g) + measure(m)).cast("long"))
+            return let(length, lambda x: scan(x, lambda a, b: a + b, F.lit(0).cast("long")))
+
+        rows = F.arrays_zip(ends(F.length).alias("end"), ends(F.octet_length).alias("to"), found["whole"].alias("m"), found["size"].alias("size"))
+        ok = F.filter(rows, lambda t: t["size"] >= group_min)
+        return F.transform(
+            ok, lambda t: F.struct((t["end"] - F.length(t["m"])).alias("start"), t["end"].alias("end"), F.lit(rank).alias("rank"), (t["to"] - F.octet_length(t["m"])).alias("from"), t["to"].alias("to"))
+        )
 
     found = F.struct(gaps.alias("gaps"), whole.alias("whole"), size.alias("size"))
     return F.when(text.rlike(pattern), let(found, located)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
+def around(parts: Column, chosen) -> tuple[Column, Column]:
+    """Of the sorted parts that are ``chosen``: the greatest end up to each part, and the least start from it on."""
+    low, high = F.lit(-(1 << 60)).cast("long"), F.lit(1 << 60).cast("long")
+    before = scan(F.transform(parts, lambda p: F.when(chosen(p), p["end"]).otherwise(low)), lambda a, b: F.greatest(a, b), low)
+    after = F.reverse(scan(F.reverse(F.transform(parts, lambda p: F.when(chosen(p), p["start"]).otherwise(high))), lambda a, b: F.least(a, b), high))
+    return before, after
+
+
+def clear(parts: Column) -> Column:
+    """Sorted parts without the weak ones that overlap a strong one."""
+    strong = lambda p: p["rank"] < len(BASE)
+
+    def kept(all_parts: Column) -> Column:
+        before, after = around(all_parts, strong)
+        rows = F.arrays_zip(all_parts.alias("p"), before.alias("b"), after.alias("a"))
+        return F.transform(F.filter(rows, lambda x: strong(x["p"]) | ((x["b"] <= x["p"]["start"]) & (x["a"] >= x["p"]["end"]))), lambda x: x["p"])
+
+    return let(parts, kept)
+
+
 def linked(parts: Column, reach: int = LINK_CHARS) -> Column:
     """Of all parts sorted by position, the strong ones and the weak ones with partners in reach.
 
@@ -62,12 +88,9 @@ def linked(parts: Column, reach: int = LINK_CHARS) -> Column:
     """
     role_of = F.array(*[F.lit(role) for _, role in KINDS])
     has = lambda p, role: F.get(role_of, p["rank"]) == role
-    low, high = F.lit(-(1 << 60)).cast("long"), F.lit(1 << 60).cast("long")
 
     def near(all_parts: Column, role: str) -> Column:
-        # of the parts with the role: the greatest end up to each position, the least start from it on
-        before = scan(F.transform(all_parts, lambda p: F.when(has(p, role), p["end"]).otherwise(low)), lambda a, b: F.greatest(a, b), low)
-        after = F.reverse(scan(F.reverse(F.transform(all_parts, lambda p: F.when(has(p, role), p["start"]).otherwise(high))), lambda a, b: F.least(a, b), high))
+        before, after = around(all_parts, lambda p: has(p, role))
         both = F.arrays_zip(all_parts.alias("p"), before.alias("b"), after.alias("a"))
         return F.transform(both, lambda x: (x["b"] >= x["p"]["start"] - reach) | (x["a"] <= x["p"]["end"] + reach))
 
@@ -81,12 +104,11 @@ def linked(parts: Column, reach: int = LINK_CHARS) -> Column:
         )
         return F.transform(F.filter(rows, keep), lambda x: x["p"])
 
-    weak = F.exists(parts, lambda p: p["rank"] >= len(BASE))
-    return F.when(weak, let(parts, judged)).otherwise(parts)
+    return let(clear(parts), lambda rest: let(rest, judged))
 
 
 def scanned(df: DataFrame, text: str = "text", reach: int = LINK_CHARS) -> DataFrame:
-    """``df`` with ``secret_spans``: array of (start, end, rank into KINDS) sorted by start, then rank.
+    """``df`` with ``secret_spans``: array of (start, end, rank into KINDS, from, to) sorted by start, then rank.
 
     Weak candidates that overlap a strong span are parts of it and not reported again.
     """
@@ -98,30 +120,32 @@ def scanned(df: DataFrame, text: str = "text", reach: int = LINK_CHARS) -> DataF
     }
     out = drop_clashes(df, ["secret_spans", *strong, "__weak", "__parts"]).withColumns(strong)
     ident = (F.size("__access") > 0) | body.rlike(WEAK_IDENT)
-    clear = lambda col: F.filter(col, lambda p: ~F.exists(F.concat("__assign", "__access", "__hex"), lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])))
     # without an identifier no weak candidate can be completed
-    weak = F.when(ident, clear(F.concat(spans(body, WEAK_SECRET, 3), spans(body, WEAK_IDENT, 4), spans(body, ENDPOINT, 5)))).otherwise(F.array().cast(SPAN))
-    parts = F.sort_array(F.transform(F.concat("__assign", "__access", "__hex", "__weak"), lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"))))
-    return out.withColumn("__weak", weak).withColumn("__parts", parts).withColumn("secret_spans", linked(F.col("__parts"), reach)).drop(*strong, "__weak", "__parts")
+    weak = F.when(ident, F.concat(spans(body, WEAK_SECRET, 3), spans(body, WEAK_IDENT, 4), spans(body, ENDPOINT, 5))).otherwise(F.array().cast(SPAN))
+    ordered = F.sort_array(F.transform(F.concat("__assign", "__access", "__hex", "__weak"), lambda p: F.struct(*[p[k].alias(k) for k in ("start", "rank", "end", "from", "to")])))
+    found = F.when(F.size("__weak") > 0, linked(F.col("__parts"), reach)).otherwise(F.col("__parts"))
+    return out.withColumn("__weak", weak).withColumn("__parts", ordered).withColumn("secret_spans", found).drop(*strong, "__weak", "__parts")
 
 
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` (of scanned()) with every span in its text replaced by ``mark``; touching or overlapping spans count as one."""
-    body = text_of(text)
-    merged = F.aggregate(
-        "secret_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < a["at"], a["out"])
-                .otherwise(F.concat(a["out"], F.array(F.substr(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))))
-                .alias("out"),
-            )
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(body, (a["at"] + 1).cast("int"))),
-    )
-    return df.withColumn(text, F.when(F.size("secret_spans") > 0, merged).otherwise(F.col(text)))
+    """``df`` (of scanned()) with every span in its text replaced by ``mark``; overlapping spans count as one.
+
+    A mark stands where a span starts at or after the greatest end before it; what lies
+    between is cut from the bytes of the text.
+    """
+    zero = F.lit(0).cast("long")
+
+    def cut(x: Column) -> Column:
+        before = F.concat(F.array(zero), x["ends"])  # one more than there are spans
+        heads = F.filter(F.arrays_zip(x["spans"].alias("p"), F.slice(before, F.lit(1), F.size(x["spans"])).alias("b")), lambda r: r["p"]["from"] >= r["b"])
+        piece = lambda at, size: F.decode(F.substr(x["bytes"], (at + 1).cast("int"), size.cast("int")), "UTF-8")
+        out = F.transform(heads, lambda r: F.concat(piece(r["b"], r["p"]["from"] - r["b"]), F.lit(mark)))
+        last = F.element_at(x["ends"], -1)
+        return F.concat(F.array_join(out, ""), piece(last, F.octet_length(x["bytes"]) - last))
+
+    ends = let(F.transform("secret_spans", lambda p: p["to"]), lambda x: scan(x, lambda a, b: F.greatest(a, b), zero))
+    whole = F.struct(F.encode(text_of(text), "UTF-8").alias("bytes"), F.col("secret_spans").alias("spans"), ends.alias("ends"))
+    return df.withColumn(text, F.when(F.size("secret_spans") > 0, let(whole, cut)).otherwise(F.col(text)))
 
 
 def digest(parts: Column) -> Column:
