@@ -103,7 +103,6 @@ def received(sent: Broadcast) -> object:
     """The value of send(), one object for all tasks of a worker process."""
     key = hashlib.blake2b(sent.value).digest()
     if key not in _received:
-        while len(_received) > 3:
-            _received.pop(next(iter(_received)))
+        _received.clear()  # a worker needs the value of its own stage only
         _received[key] = cloudpickle.loads(sent.value)
     return _received[key]

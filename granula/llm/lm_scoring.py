@@ -3,23 +3,30 @@
 Corpus statistics come from all training documents: counts of all words, and counts of
 neighbouring word classes. A class is one of the most frequent words, the end of a text, or
 one of SUFFIXES hashed endings of all other words. One word in SHARE of all distinct ones,
-FREQUENT at least, is a class of its own (of the SHIPPED most frequent at most). The model
-scores the class of a word given the class before it, ``q[before] . r[class] + b[class]``. It
-is first fitted to the counts of pairs of few classes (FREQUENT words) with shared noise
-samples. Vectors of all classes start from there, and each task goes over all neighbouring
-words of its rows; its changes are weighed by the squares of their gradients, as precisions,
-and added up. A log-softmax over all classes gives normalised log-probabilities; its constants
-are worked out in tasks, too. How rows are dealt to tasks changes the vectors a little. Within a class, words have additive
-0.5-smoothed frequencies, so the score of a text is a normalised log10 probability in which
-all words never seen share one place of their class.
+FREQUENT at least, is a class of its own (of the SHIPPED most frequent at most).
+
+The model predicts a vector from the CONTEXT classes before a word, each vector weighed by
+its place: ``h = sum c[i] * q[class i before]``. The probability of a class is factored into
+that of its group and that of the class within the group, both log-bilinear:
+``h . R[group] + B[group]`` and ``h . r[class] + b[class]``, each normalised by a log-softmax.
+Groups halve the classes along the main direction of their vectors until there are about as
+many as classes in each, so a word costs two short matrix products.
+
+The vectors start from a flat model of few classes (FREQUENT words) fitted on the driver to
+the counts of pairs. Then each task goes over all words of its rows with noise-contrastive
+steps on both factors; its changes are weighed by the squares of their gradients, as
+precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
+class, words have additive 0.5-smoothed frequencies, so the score of a text is a normalised
+log10 probability in which all words never seen share one place of their class.
 
 Counts of words that no bounded table holds are joined: only the SHIPPED most frequent words
-(at most) travel with the tasks, the others meet their counts in a shuffled join.
+(at most) travel with the tasks, the others meet their counts in a shuffled join, whose long
+keys are dealt to salted parts.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as the empty
 string for its fold; repeated rows each count and are each scored; without training tokens
-counts are 0 and all words share one unseen place; input columns named like a result column
-are replaced.
+counts are 0 and all words share one unseen place; very long texts are worked through in
+parts of CHUNK words; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -33,20 +40,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import received, send, stored, table
+from granula.llm.base import received, send, slices, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
+#: Words before a word that predict it; noise samples of the group (shared by a batch) and of the class (for each word); words of a step.
+CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 3, 2048
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
-#: Rows whose words are held as Python objects at once.
-SLICE = 500
+#: Rows whose words are held as Python objects at once, and parts of a word's rows in the join of counts.
+SLICE, SALTS = 500, 16
 BUCKETS = 16
-#: Of the pass over all pairs: pairs handled at once, rows of a block of vectors, step and its precision before any pair.
-CHUNK, BLOCK, STEP, PRIOR = 1_000_000, 1024, 0.1, 10.0
+#: Of the pass over all words: words handled at once, rows of a block of vectors, step and its precision before any word.
+CHUNK, BLOCK, STEP, PRIOR = 200_000, 1024, 0.1, 3.0
 
 
 def fold(modulus: int) -> Column:
@@ -187,22 +196,11 @@ def class_pairs(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
     return out.reshape(n + 1, n)
 
 
-class LogBilinear:
+class Flat:
     """Class given the class before it: scores q[before] . r[class] + b[class]."""
 
-    def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray, log_z: np.ndarray | None = None):
-        self.q, self.r, self.b, self.log_z = q, r, b, log_z
-
-    def log_sums(self, rows: np.ndarray) -> np.ndarray:
-        """The constants of the log-softmax after some contexts."""
-        s = self.q[rows] @ self.r.T + self.b
-        top = s.max(axis=1, keepdims=True)
-        s -= top
-        return top[:, 0] + np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64))
-
-    def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of classes, each after its context."""
-        return (np.einsum("ij,ij->i", self.q[before], self.r[kind]) + self.b[kind] - self.log_z[before]) / np.log(10)
+    def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray):
+        self.q, self.r, self.b = q, r, b
 
     def log10_table(self) -> np.ndarray:
         """Normalised log10 probabilities of all classes after all contexts: one matrix product."""
@@ -211,7 +209,106 @@ class LogBilinear:
         return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
 
 
-def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOISE, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> LogBilinear:
+def log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the logarithm of its softmax at one place; ``scores`` is used up."""
+    chosen = scores[np.arange(len(scores)), at]
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    return chosen - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
+def grouped(vectors: np.ndarray, tokens: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each class: classes are halved along the main direction of their vectors, by half their words and half their number."""
+    weight = 0.5 * (tokens + 0.5) / (tokens + 0.5).sum() + 0.5 / len(tokens)
+    parts = [np.arange(len(tokens))]
+    while len(parts) < groups:
+        k = int(np.argmax([weight[p].sum() if len(p) > 1 else 0.0 for p in parts]))
+        part = parts[k]
+        if len(part) < 2:
+            break
+        w = weight[part]
+        x = vectors[part] - np.average(vectors[part], axis=0, weights=w)
+        main = np.linalg.eigh((x * w[:, None]).T @ x)[1][:, -1]
+        order = np.lexsort((part, np.round(x @ main * np.sign(main[np.argmax(np.abs(main))]), 6)))
+        upto = np.cumsum(w[order])
+        cut = min(max(1, int(np.searchsorted(upto, upto[-1] / 2))), len(part) - 1)
+        parts[k : k + 1] = [np.sort(part[order[:cut]]), np.sort(part[order[cut:]])]
+    out = np.empty(len(tokens), np.int64)
+    for k, part in enumerate(parts):
+        out[part] = k
+    return out
+
+
+class LogBilinear:
+    """Class given the CONTEXT classes before it, by group and class within the group.
+
+    ``rows`` holds all vectors: contexts (the last one stands before a text), classes and
+    groups with their bias in the last column, and the weights of the places.
+    """
+
+    def __init__(self, rows: np.ndarray, group_of: np.ndarray):
+        self.group_of, self.classes, self.groups = group_of, len(group_of), int(group_of.max()) + 1 if len(group_of) else 0
+        self.set_rows(rows)
+        self.order = np.argsort(group_of, kind="stable")  # classes by group
+        self.place = np.empty(self.classes, np.int64)
+        self.place[self.order] = np.arange(self.classes)
+        self.begin = np.searchsorted(group_of[self.order], np.arange(self.groups + 1))
+
+    def set_rows(self, rows: np.ndarray) -> None:
+        n = self.classes
+        self.rows = rows
+        self.q, self.r, self.b = rows[: n + 1, :-1], rows[n + 1 : 2 * n + 1, :-1], rows[n + 1 : 2 * n + 1, -1]
+        at = 2 * n + 1 + self.groups
+        self.wide, self.wide_b, self.places = rows[2 * n + 1 : at, :-1], rows[2 * n + 1 : at, -1], rows[at:, :-1]
+
+    @classmethod
+    def started(cls, flat: Flat, tokens: np.ndarray, context: int = CONTEXT) -> LogBilinear:
+        """From a flat model: the word before counts in full, others a little; a group starts as the mean of its classes, and these as what they differ by."""
+        group_of = grouped(flat.r.astype(float), tokens, max(1, round(len(tokens) ** 0.5)))
+        n, groups = len(tokens), int(group_of.max()) + 1
+        rows = np.zeros((2 * n + 1 + groups + context, flat.q.shape[1] + 1), np.float32)
+        share = (tokens + 0.5) / (tokens + 0.5).sum()
+        mass = np.bincount(group_of, share, groups)
+        mean = np.stack([np.bincount(group_of, share * flat.r[:, k], groups) for k in range(flat.r.shape[1])], 1) / mass[:, None]
+        at = 2 * n + 1 + groups
+        rows[: n + 1, :-1], rows[n + 1 : 2 * n + 1, :-1], rows[n + 1 : 2 * n + 1, -1] = flat.q, flat.r - mean[group_of], flat.b - np.log(mass)[group_of]
+        rows[2 * n + 1 : at, :-1], rows[2 * n + 1 : at, -1] = mean, np.log(mass)
+        rows[at, :-1], rows[at + 1 :, :-1] = 1.0, 0.1
+        return cls(rows, group_of)
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        """The predicted vectors of contexts (the nearest class first)."""
+        return sum(self.q[before[:, k]] * self.places[k] for k in range(before.shape[1]))
+
+    def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of classes after their contexts: one matrix product over the groups, one for each group over its classes."""
+        out = np.empty(len(kind))
+        for lo in range(0, len(kind), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            h, group = self.predicted(before[part]), self.group_of[kind[part]]
+            found = log_softmax(h @ self.wide.T + self.wide_b, group).astype(np.float64)
+            order = np.argsort(group, kind="stable")
+            ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+            for g in np.flatnonzero(np.diff(ends)).tolist():
+                if self.begin[g + 1] - self.begin[g] > 1:
+                    at, members = order[ends[g] : ends[g + 1]], self.order[self.begin[g] : self.begin[g + 1]]
+                    found[at] += log_softmax(h[at] @ self.r[members].T + self.b[members], self.place[kind[part][at]] - self.begin[g])
+            out[part] = found
+        return out / np.log(10)
+
+
+def contexts(kind: np.ndarray, lengths: list[int], start: int, context: int = CONTEXT) -> np.ndarray:
+    """The classes before each word, the nearest first, of texts laid end to end; ``start`` stands before a text."""
+    first = np.cumsum([0, *lengths[:-1]]) if len(lengths) else np.empty(0, np.int64)
+    place = np.arange(len(kind)) - np.repeat(first, lengths)
+    out = np.full((len(kind), context), start, np.int64)
+    for k in range(context):
+        has = np.flatnonzero(place > k)
+        out[has, k] = kind[has - k - 1]
+    return out
+
+
+def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOISE, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Flat:
     """Noise-contrastive estimation on pair counts with AdaGrad; the noise is the smoothed class frequency."""
     rng = np.random.default_rng(seed)
     contexts, classes = pairs.shape
@@ -222,7 +319,7 @@ def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOIS
     gq, gr, gb = np.full_like(q, 1e-2), np.full_like(r, 1e-2), np.full_like(b, 1e-2)
     flat = np.flatnonzero(pairs)
     if not len(flat):
-        return LogBilinear(q * 0, r * 0, b)
+        return Flat(q * 0, r * 0, b)
     cumulative = np.cumsum(pairs.ravel()[flat] / pairs.sum())
     cumulative_noise = np.cumsum(pn)
     draw = lambda c, n: np.minimum(np.searchsorted(c, rng.random(n)), len(c) - 1)
@@ -248,78 +345,111 @@ def fit(pairs: np.ndarray, steps: int = STEPS, dim: int = DIM, noise: int = NOIS
         update(r, gr, at, dr)
         update(b, gb, at, np.concatenate([true, false.sum(axis=0)]))
         update(q, gq, before, dx)
-    return LogBilinear(q, r, b)
+    return Flat(q, r, b)
 
 
-def spread_out(model: LogBilinear, few: Vocabulary, vocab: Vocabulary) -> LogBilinear:
+def spread_out(model: Flat, few: Vocabulary, vocab: Vocabulary) -> Flat:
     """``model`` of the classes of ``few`` for those of ``vocab``: each class starts as the one its words had."""
     was = np.zeros(vocab.classes, np.int64)
     was[vocab.class_of] = few.class_of
     was[vocab.frequent :] = np.arange(few.frequent, few.classes)
     share = np.log((vocab.tokens + 0.5) / (few.tokens[was] + 0.5))
-    return LogBilinear(model.q[np.append(was, few.classes)].astype(np.float32), model.r[was].astype(np.float32), (model.b[was] + share).astype(np.float32))
+    return Flat(model.q[np.append(was, few.classes)].astype(np.float32), model.r[was].astype(np.float32), (model.b[was] + share).astype(np.float32))
 
 
 class Learner:
-    """Noise-contrastive steps over the pairs of one task; a step size for each row of ``[q, 1]`` and ``[r, b]``."""
+    """Noise-contrastive steps over the words of one task; a step size for each row of vectors."""
 
     def __init__(self, model: LogBilinear, tokens: np.ndarray, seed: int = SEED):
-        self.contexts, self.classes, self.rng = len(model.q), len(model.r), np.random.default_rng(seed)
-        first = [np.hstack([model.q, np.ones((self.contexts, 1), np.float32)]), np.hstack([model.r, model.b[:, None]])]
-        self.first = np.vstack(first).astype(np.float32)
-        self.now, self.state = self.first.copy(), np.zeros(len(self.first))
-        pn = (tokens + 0.5) / (tokens + 0.5).sum()
-        self.cumulative, self.log_noise = np.cumsum(pn), np.log(NOISE * pn).astype(np.float32)
+        self.model = LogBilinear(model.rows.copy(), model.group_of)
+        self.first, self.state, self.rng = model.rows, np.zeros(len(model.rows)), np.random.default_rng(seed)
+        share = (tokens + 0.5) / (tokens + 0.5).sum()
+        mass = np.bincount(model.group_of, share, model.groups)
+        self.groups_upto, self.group_noise = np.cumsum(mass), np.log(GROUP_NOISE * mass).astype(np.float32)
+        self.classes_upto = np.cumsum(share[self.model.order])
+        self.class_noise = np.log(CLASS_NOISE * share / mass[model.group_of]).astype(np.float32)
 
     def update(self, at: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
         heads = np.flatnonzero(np.diff(at[order], prepend=-1))
         rows, total = at[order][heads], np.add.reduceat(grad[order], heads, axis=0)
         self.state[rows] += (total * total).mean(axis=1)
-        self.now[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
+        self.model.rows[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
 
-    def learn(self, codes: np.ndarray) -> None:
-        """All pairs (context * classes + class) once in another order."""
-        codes = self.rng.permutation(codes)
+    def learn(self, before: np.ndarray, kind: np.ndarray) -> None:
+        """All words once in another order."""
+        m, order = self.model, self.rng.permutation(len(kind))
+        n, wide = m.classes, 2 * m.classes + 1
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        for lo in range(0, len(codes), BATCH):
-            before, after = np.divmod(codes[lo : lo + BATCH], self.classes)
-            other = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), self.classes - 1)
-            x, y, z = self.now[before], self.now[self.contexts + after], self.now[self.contexts + other]
-            true = sigmoid((x * y).sum(axis=1) - self.log_noise[after]) - 1
-            false = sigmoid(x @ z.T - self.log_noise[other])
-            dx = true[:, None] * y + false @ z
-            dx[:, -1] = 0.0
-            self.update(self.contexts + np.concatenate([after, other]), np.concatenate([true[:, None] * x, false.T @ x]))
-            self.update(before, dx)
+        one = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
+        for lo in range(0, len(kind), STEP_WORDS):
+            at = order[lo : lo + STEP_WORDS]
+            x, y = before[at], kind[at]
+            group = m.group_of[y]
+            h = one(m.predicted(x))
+            # the group, against samples that the batch shares
+            other = np.minimum(np.searchsorted(self.groups_upto, self.rng.random(GROUP_NOISE) * self.groups_upto[-1]), m.groups - 1)
+            right, wrong = m.rows[wide + group], m.rows[wide + other]
+            true = sigmoid((h * right).sum(axis=1) - self.group_noise[group]) - 1
+            false = sigmoid(h @ wrong.T - self.group_noise[other])
+            dh = true[:, None] * right + false @ wrong
+            places, grads = [wide + group, wide + other], [true[:, None] * h, false.T @ h]
+            # the class, against others of its group
+            low, high = m.begin[group], m.begin[group + 1]
+            several = np.flatnonzero(high - low > 1)
+            if len(several):
+                floor = np.append(0.0, self.classes_upto)
+                u = floor[low[several], None] + self.rng.random((len(several), CLASS_NOISE)) * (floor[high[several]] - floor[low[several]])[:, None]
+                drawn = np.clip(np.searchsorted(self.classes_upto, u), low[several, None], high[several, None] - 1)
+                drawn, mine, hs = m.order[drawn], y[several], h[several]
+                right, wrong = m.rows[n + 1 + mine], m.rows[n + 1 + drawn]
+                true = sigmoid((hs * right).sum(axis=1) - self.class_noise[mine]) - 1
+                false = sigmoid(np.einsum("bd,bkd->bk", hs, wrong) - self.class_noise[drawn])
+                dh[several] += true[:, None] * right + np.einsum("bk,bkd->bd", false, wrong)
+                places += [n + 1 + mine, (n + 1 + drawn).ravel()]
+                grads += [true[:, None] * hs, (false[:, :, None] * hs[:, None, :]).reshape(-1, h.shape[1])]
+            dh[:, -1] = 0.0
+            weights = m.rows[-x.shape[1] :].copy()
+            for k in range(x.shape[1]):
+                places += [x[:, k], [len(m.rows) - x.shape[1] + k]]
+                grads += [dh * weights[k], (dh * m.rows[x[:, k]]).sum(axis=0, keepdims=True)]
+            self.update(np.concatenate(places), np.concatenate(grads))
 
     def changes(self) -> np.ndarray:
-        """Of each row the change times its precision, and what its pairs add to the precision."""
+        """Of each row the change times its precision, and what its words add to the precision."""
         gained = self.state.astype(np.float32)[:, None]
-        return np.hstack([(self.now - self.first) * (PRIOR + gained), gained])
+        return np.hstack([(self.model.rows - self.first) * (PRIOR + gained), gained])
+
+
+def added(first: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Rows of vectors after the summed changes of all tasks."""
+    return first + change[:, :-1] / (PRIOR + change[:, -1:])
+
+
+def class_rows(batch: pa.RecordBatch, column: int, vocab: Vocabulary, index: dict, suffixes: dict) -> tuple[np.ndarray, np.ndarray, list[int], list[list[bytes]]]:
+    """Of the texts of a batch, end to end: places among the shipped words, classes, lengths, and the words of each that are not shipped."""
+    found = [class_row(words(data), vocab, index, suffixes) for data in batch.column(column).to_pylist()]
+    join = lambda k: np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
+    return join(0), join(1), [len(f[0]) for f in found], [f[2] for f in found]
 
 
 def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBilinear:
-    """``model`` after one pass over all neighbouring words of ``docs``; its rows and a constant for each context come to the driver."""
-    n, rows = vocab.classes, 2 * vocab.classes + 1
+    """``model`` after one pass over all words of ``docs``; its rows of vectors come to the driver once."""
+    rows = len(model.rows)
     sent = send(docs.sparkSession, (vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = received(sent)
-        learner, index, suffixes, codes, held = Learner(model, vocab.tokens), vocab.index(), {}, [], 0
-        batches = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                kind = class_row(words(data), vocab, index, suffixes)[1]
-                before = np.empty_like(kind)
-                before[0], before[1:] = n, kind[:-1]
-                codes.append(before * n + kind)
-                held += len(kind)
-            if held > CHUNK:
-                learner.learn(np.concatenate(codes))
-                codes, held = [], 0
-        if codes:
-            learner.learn(np.concatenate(codes))
+        learner, index, suffixes, before, kinds = Learner(model, vocab.tokens), vocab.index(), {}, [], []
+        for batch in slices(batches, SLICE):
+            _, kind, lengths, _ = class_rows(batch, 0, vocab, index, suffixes)
+            before.append(contexts(kind, lengths, vocab.classes).astype(np.int32))
+            kinds.append(kind)
+            if sum(map(len, kinds)) > CHUNK:
+                learner.learn(np.concatenate(before), np.concatenate(kinds))
+                before, kinds = [], []
+        if kinds:
+            learner.learn(np.concatenate(before), np.concatenate(kinds))
         if learner.state.any():
             found = learner.changes()
             for at in range(0, rows, BLOCK):
@@ -341,28 +471,11 @@ def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBiline
     few = docs.select(F.col("text").cast("binary").alias("text")).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     found = few.mapInArrow(run, kind).select("block", F.spark_partition_id().alias("task"), "found")
     found = found.repartition("block").sortWithinPartitions("block", "task").mapInArrow(add, kind)  # summed in one order
-    first = Learner(model, vocab.tokens).first
+    out = model.rows.copy()
     for block, raw in found.collect():  # each row of vectors once
-        change = np.frombuffer(raw, np.float32).reshape(-1, first.shape[1] + 1)
-        first[block * BLOCK : (block + 1) * BLOCK] += change[:, :-1] / (PRIOR + change[:, -1:])
-    return normalised(docs.sparkSession, LogBilinear(first[: n + 1, :-1].copy(), first[n + 1 :, :-1].copy(), first[n + 1 :, -1].copy()))
-
-
-def normalised(spark, model: LogBilinear, block: int = 64) -> LogBilinear:
-    """``model`` with the constants of all contexts."""
-    sent, n = send(spark, model), len(model.q)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = received(sent)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                at = np.arange(k, min(n, k + block))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(model.log_sums(at), pa.float64())], ["at", "z"])
-
-    found = spark.range(0, n, block).mapInArrow(run, "at long, z double").toArrow()
-    model.log_z = np.zeros(n)
-    model.log_z[found["at"].to_numpy()] = found["z"].to_numpy()
-    return model
+        part = slice(block * BLOCK, (block + 1) * BLOCK)
+        out[part] = added(out[part], np.frombuffer(raw, np.float32).reshape(-1, out.shape[1] + 1))
+    return LogBilinear(out, model.group_of)
 
 
 def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
@@ -377,24 +490,20 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
         from collections import Counter
 
         vocab, model = received(sent)
-        batches = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
         index, suffixes = vocab.index(), {}
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0
         known = np.append(np.ones(len(vocab.words), np.int64), 0)
         inside = np.append(np.where(vocab.single[vocab.class_of], 0.0, log_c[:-1]) if len(vocab.words) else np.empty(0), 0.0)
         room = np.where(vocab.single, 0.0, vocab.room)
-        for batch in batches:
-            out = []
-            for data in batch.column(2).to_pylist():
-                at, kind, rest = class_row(words(data), vocab, index, suffixes)
-                before = np.empty_like(kind)
-                before[0], before[1:] = vocab.classes, kind[:-1]
-                score = model.log10(before, kind).sum() + inside[at].sum() - room[kind].sum()
-                rare = [{"word": w, "tf": n} for w, n in Counter(rest).items()]
-                out.append((xxhash.xxh3_64_intdigest(data or b"") - (1 << 63), len(at), int(known[at].sum()), log_c[at].sum(), score, rare))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind_of)
-            new = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
+        for batch in slices(batches, SLICE):
+            at, kind, lengths, rest = class_rows(batch, 2, vocab, index, suffixes)
+            score = model.log10(contexts(kind, lengths, vocab.classes), kind) + inside[at] - room[kind]
+            heads = np.cumsum([0, *lengths[:-1]])  # each text has its end at least
+            total = lambda x, heads=heads: np.add.reduceat(x, heads) if len(x) else x
+            rare = [[{"word": w, "tf": n} for w, n in Counter(r).items()] for r in rest]
+            digests = [xxhash.xxh3_64_intdigest(data or b"") - (1 << 63) for data in batch.column(2).to_pylist()]
+            new = [pa.array(digests, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total(known[at]), pa.int64()), pa.array(total(log_c[at]), pa.float64()), pa.array(total(score), pa.float64()), pa.array(rare, kind_of)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["doc_id", "held_out", "h", "n_tokens", "known", "shipped_sum", "model_sum", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text"))
@@ -408,10 +517,14 @@ def scored(docs: DataFrame, held_out: Column, name: str = "lm") -> DataFrame:
     counts = stored(word_counts(train), f"{name}-counts")
     vocab, least = vocabulary(counts)
     few, vocab = vocab, vocab.finer()
-    model = trained(train, vocab, spread_out(fit(class_pairs(train, few)), few, vocab))
+    flat = spread_out(fit(class_pairs(train, few)), few, vocab)
+    model = trained(train, vocab, LogBilinear.started(flat, vocab.tokens))
     rows = stored(partial_scores(docs, vocab, model), f"{name}-rows")
     rare = rows.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
-    met = rare.join(counts.where(F.col("c") < least), "word", "left").select(
+    # a word that only held-out rows have may be frequent there: its rows are dealt to SALTS parts, each with the word's count
+    rare = rare.withColumn("__part", F.pmod(F.xxhash64("h", "doc_id"), F.lit(SALTS)).cast("int"))
+    counted = counts.where(F.col("c") < least).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rare.join(counted, ["word", "__part"], "left").select(
         "doc_id", "h", (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("x"), F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0)).alias("k"), F.lit(0).alias("copies")
     )
     copies = rows.select("doc_id", "h", F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("k"), F.lit(1).alias("copies"))
