@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +94,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def one_thread() -> None:
+    """Let numpy's matrix products in this process use one thread: a task has one core, and threads that wait for work would spin on others'."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        found = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(found, name):
+                getattr(found, name)(1)
+                break
+
+
 _received: dict[bytes, object] = {}
 
 

@@ -20,8 +20,8 @@ class, words have additive 0.5-smoothed frequencies, so the score of a text is a
 log10 probability in which all words never seen share one place of their class.
 
 Counts of words that no bounded table holds are joined: only the SHIPPED most frequent words
-(at most) travel with the tasks, the others meet their counts in a shuffled join, whose long
-keys are dealt to salted parts.
+(at most, counted over all rows) travel with the tasks; the others, which are rare in all
+rows, meet their counts in a shuffled join.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as the empty
 string for its fold; repeated rows each count and are each scored; without training tokens
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import received, send, slices, stored, table
+from granula.llm.base import one_thread, received, send, slices, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
@@ -51,8 +51,8 @@ CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 3, 2048
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
-#: Rows whose words are held as Python objects at once, and parts of a word's rows in the join of counts.
-SLICE, SALTS = 500, 16
+#: Rows whose words are held as Python objects at once.
+SLICE = 500
 BUCKETS = 16
 #: Of the pass over all words: words handled at once, rows of a block of vectors, step and its precision before any word.
 CHUNK, BLOCK, STEP, PRIOR = 200_000, 1024, 0.1, 3.0
@@ -68,28 +68,33 @@ def words(data: bytes | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of ``docs`` (text), END included; counted in each partition before the shuffle."""
+    """(word, c, seen) of ``docs`` (text, held_out): how often a word occurs in rows that train and in all, END included; counted in each partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        seen: Counter = Counter()
+        train: Counter = Counter()
+        held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
+            names = list(train.keys() | held.keys())
+            c = [train[w] for w in names]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held[w] for w, n in zip(names, c, strict=True)], pa.int64())], ["word", "c", "seen"])
+            train.clear()
+            held.clear()
             return out
 
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for data, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = held if out else train
                 seen.update(words(data))
-                if len(seen) > FLUSH:
+                seen[END] += 1
+                if len(train) + len(held) > FLUSH:
                     yield flush()
-            seen[END] += batch.num_rows
         yield flush()
 
-    text = docs.select(F.col("text").cast("binary").alias("text"))
-    return text.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col("text").cast("binary").alias("text"), "held_out")
+    return rows.mapInArrow(run, "word binary, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
 class Vocabulary:
@@ -97,7 +102,7 @@ class Vocabulary:
 
     def __init__(self, shipped: list[tuple[bytes, int]], by_suffix: dict[int, tuple[int, int]], n: int, v: int, frequent: int = FREQUENT):
         shipped = sorted(shipped, key=lambda x: (-x[1], x[0]))
-        own = [w for w, _ in shipped if w != END][:frequent]
+        own = [w for w, c in shipped if w != END and c][:frequent]
         self.frequent, self.by_suffix = frequent, by_suffix
         self.words, self.counts, self.n, self.v = [w for w, _ in shipped], np.array([c for _, c in shipped], np.int64), n, v
         self.end, self.classes = frequent, frequent + 1 + SUFFIXES
@@ -108,7 +113,7 @@ class Vocabulary:
         for k, (c, m) in by_suffix.items():
             tokens[frequent + 1 + k], kinds[frequent + 1 + k] = c, m
         for w, c in shipped:
-            if w in place:
+            if w in place and c:
                 tokens[place[w]] = c
                 at = self.suffix(w)
                 tokens[at] -= c
@@ -135,24 +140,25 @@ class _Index(dict):
 
 
 def vocabulary(counts: DataFrame, shipped: int = SHIPPED) -> tuple[Vocabulary, int]:
-    """The vocabulary and the least count of a shipped word.
+    """The vocabulary of the words that train, and the least number of occurrences of a shipped word.
 
-    A histogram over logarithmic classes of counts (under 2000 rows) gives a count that at
-    most ``shipped`` words reach, so what comes to the driver has a fixed bound.
+    A histogram over logarithmic classes of occurrences (under 2000 rows) gives a number that
+    at most ``shipped`` words reach, so what comes to the driver has a fixed bound. Held-out
+    occurrences count for what is shipped, so no word that is left for the join is frequent.
     """
-    bucket = F.floor(F.log2(F.col("c").cast("double")) * BUCKETS).cast("int")
+    bucket = F.floor(F.log2(F.col("seen").cast("double")) * BUCKETS).cast("int")
     suffix = (F.crc32(F.expr("substring(word, -3, 3)")) % SUFFIXES).cast("int")
-    sums = [F.count(F.lit(1)).alias("m"), F.sum("c").alias("c")]
-    sizes = sorted(counts.groupBy(bucket.alias("b")).agg(*sums).collect(), reverse=True)
+    kinds, tokens = F.sum((F.col("c") > 0).cast("long")).alias("m"), F.sum("c").alias("c")
+    sizes = sorted(counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("words"), kinds, tokens).collect(), reverse=True)
     lowest, held = None, 0
-    for b, m, _ in sizes:
-        if (held := held + m) > shipped:
+    for b, n, _, _ in sizes:
+        if (held := held + n) > shipped:
             break
         lowest = b
-    top = [] if lowest is None else [(bytes(w), c) for w, c in counts.where(bucket >= lowest).collect()]
-    by_suffix = {k: (c, m) for k, m, c in counts.groupBy(suffix.alias("k")).agg(*sums).collect()}
-    least = min((c for _, c in top), default=1 << 62)
-    return Vocabulary(top, by_suffix, sum(s[2] for s in sizes), sum(s[1] for s in sizes)), least
+    top = [] if lowest is None else [(bytes(r.word), r.c, r.seen) for r in counts.where(bucket >= lowest).collect()]
+    by_suffix = {r.k: (r.c, r.m) for r in counts.where("c > 0").groupBy(suffix.alias("k")).agg(kinds, tokens).collect()}
+    least = min((n for _, _, n in top), default=1 << 62)
+    return Vocabulary([(w, c) for w, c, _ in top], by_suffix, sum(s[3] for s in sizes), sum(s[2] for s in sizes)), least
 
 
 def class_row(found: list[bytes], vocab: Vocabulary, index: dict[bytes, int], suffixes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -439,6 +445,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBiline
     sent = send(docs.sparkSession, (vocab, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         vocab, model = received(sent)
         learner, index, suffixes, before, kinds = Learner(model, vocab.tokens), vocab.index(), {}, [], []
         for batch in slices(batches, SLICE):
@@ -489,11 +496,12 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        one_thread()
         vocab, model = received(sent)
         index, suffixes = vocab.index(), {}
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0
-        known = np.append(np.ones(len(vocab.words), np.int64), 0)
+        known = np.append(vocab.counts > 0, False).astype(np.int64)
         inside = np.append(np.where(vocab.single[vocab.class_of], 0.0, log_c[:-1]) if len(vocab.words) else np.empty(0), 0.0)
         room = np.where(vocab.single, 0.0, vocab.room)
         for batch in slices(batches, SLICE):
@@ -514,17 +522,15 @@ def scored(docs: DataFrame, held_out: Column, name: str = "lm") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out)
     train = docs.where(~F.col("held_out"))
-    counts = stored(word_counts(train), f"{name}-counts")
+    counts = stored(word_counts(docs), f"{name}-counts")
     vocab, least = vocabulary(counts)
     few, vocab = vocab, vocab.finer()
     flat = spread_out(fit(class_pairs(train, few)), few, vocab)
     model = trained(train, vocab, LogBilinear.started(flat, vocab.tokens))
     rows = stored(partial_scores(docs, vocab, model), f"{name}-rows")
     rare = rows.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))
-    # a word that only held-out rows have may be frequent there: its rows are dealt to SALTS parts, each with the word's count
-    rare = rare.withColumn("__part", F.pmod(F.xxhash64("h", "doc_id"), F.lit(SALTS)).cast("int"))
-    counted = counts.where(F.col("c") < least).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rare.join(counted, ["word", "__part"], "left").select(
+    # a word that is left for the join occurs fewer than ``least`` times in all rows
+    met = rare.join(counts.where(F.col("seen") < least), "word", "left").select(
         "doc_id", "h", (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("x"), F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0)).alias("k"), F.lit(0).alias("copies")
     )
     copies = rows.select("doc_id", "h", F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("k"), F.lit(1).alias("copies"))
