@@ -13,9 +13,9 @@ Groups halve the classes along the main direction of their vectors until there a
 many as classes in each, so a word costs two short matrix products.
 
 The vectors start from a flat model of few classes (FREQUENT words) fitted on the driver to
-the counts of pairs. Then each task goes over all words of its rows with noise-contrastive
-steps on both factors; its changes are weighed by the squares of their gradients, as
-precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
+the counts of pairs. Then each task goes over its rows with noise-contrastive steps on both
+factors, one word in DRAW at random being an example, so examples grow with the corpus; its
+changes are weighed by the squares of their gradients, as precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
 class, words have additive 0.5-smoothed frequencies, so the score of a text is a normalised
 log10 probability in which all words never seen share one place of their class.
 
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,11 @@ from granula.llm.base import one_thread, received, send, slices, stored, table
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
-DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
+DIM, NOISE, BATCH, STEPS, RATE, SEED = 16, 64, 1024, 2000, 1.0, 7
 #: Words before a word that predict it; noise samples of the group (shared by a batch) and of the class (for each word); words of a step.
-CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 3, 2048
+CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 2, 2048
+#: Words of the training rows for each one that is drawn as an example; its context is read from all of them.
+DRAW = 3
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
@@ -78,8 +81,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             names = list(train.keys() | held.keys())
-            c = [train[w] for w in names]
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held[w] for w, n in zip(names, c, strict=True)], pa.int64())], ["word", "c", "seen"])
+            c = [train.get(w, 0) for w in names]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held.get(w, 0) for w, n in zip(names, c, strict=True)], pa.int64())], ["word", "c", "seen"])
             train.clear()
             held.clear()
             return out
@@ -131,12 +134,7 @@ class Vocabulary:
         return self.frequent + 1 + zlib.crc32(word[-3:]) % SUFFIXES
 
     def index(self) -> dict[bytes, int]:
-        return _Index(zip(self.words, range(len(self.words)), strict=True))
-
-
-class _Index(dict):
-    def __missing__(self, key: bytes) -> int:
-        return -1
+        return dict(zip(self.words, range(len(self.words)), strict=True))
 
 
 def vocabulary(counts: DataFrame, shipped: int = SHIPPED) -> tuple[Vocabulary, int]:
@@ -163,7 +161,7 @@ def vocabulary(counts: DataFrame, shipped: int = SHIPPED) -> tuple[Vocabulary, i
 
 def class_row(found: list[bytes], vocab: Vocabulary, index: dict[bytes, int], suffixes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Of the words and the end: index among the shipped words (-1: none) and class; and the words that are not shipped."""
-    at = np.fromiter(map(index.__getitem__, [*found, END]), np.int64, len(found) + 1)
+    at = np.fromiter(map(index.get, [*found, END], repeat(-1)), np.int64, len(found) + 1)
     kind = vocab.class_of[at] if len(vocab.words) else np.zeros(len(at), np.int64)
     missing = np.flatnonzero(at < 0)
     rest = [found[k] if k < len(found) else END for k in missing.tolist()]
@@ -215,12 +213,15 @@ class Flat:
         return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
 
 
-def log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row the logarithm of its softmax at one place; ``scores`` is used up."""
+def log_softmax(h: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row of ``h @ rows.T`` the logarithm of its softmax at one place."""
+    scores = h @ rows.T
     chosen = scores[np.arange(len(scores)), at]
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    return chosen - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+    top = scores.max() if scores.size else 0.0
+    if not -60.0 < top < 60.0:  # else no exponential is out of range and the greatest need not be taken off each row
+        greatest = scores.max(axis=1)
+        return chosen - greatest - np.log(np.exp(scores - greatest[:, None]).sum(axis=1))
+    return chosen - np.log(np.exp(scores, out=scores).sum(axis=1) + 1e-37)
 
 
 def grouped(vectors: np.ndarray, tokens: np.ndarray, groups: int) -> np.ndarray:
@@ -263,9 +264,8 @@ class LogBilinear:
     def set_rows(self, rows: np.ndarray) -> None:
         n = self.classes
         self.rows = rows
-        self.q, self.r, self.b = rows[: n + 1, :-1], rows[n + 1 : 2 * n + 1, :-1], rows[n + 1 : 2 * n + 1, -1]
         at = 2 * n + 1 + self.groups
-        self.wide, self.wide_b, self.places = rows[2 * n + 1 : at, :-1], rows[2 * n + 1 : at, -1], rows[at:, :-1]
+        self.q, self.r, self.wide, self.places = rows[: n + 1], rows[n + 1 : 2 * n + 1], rows[2 * n + 1 : at], rows[at:]
 
     @classmethod
     def started(cls, flat: Flat, tokens: np.ndarray, context: int = CONTEXT) -> LogBilinear:
@@ -283,22 +283,26 @@ class LogBilinear:
         return cls(rows, group_of)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        """The predicted vectors of contexts (the nearest class first)."""
-        return sum(self.q[before[:, k]] * self.places[k] for k in range(before.shape[1]))
+        """The predicted vectors of contexts (the nearest class first), with a 1 that meets the bias."""
+        h = self.q[before[:, 0]] * self.places[0]
+        for k in range(1, before.shape[1]):
+            h += self.q[before[:, k]] * self.places[k]
+        h[:, -1] = 1.0
+        return h
 
     def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of classes after their contexts: one matrix product over the groups, one for each group over its classes."""
         out = np.empty(len(kind))
         for lo in range(0, len(kind), CHUNK):
             part = slice(lo, lo + CHUNK)
-            h, group = self.predicted(before[part]), self.group_of[kind[part]]
-            found = log_softmax(h @ self.wide.T + self.wide_b, group).astype(np.float64)
+            h, group, place = self.predicted(before[part]), self.group_of[kind[part]], self.place[kind[part]]
+            found = log_softmax(h, self.wide, group).astype(np.float64)
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(self.groups + 1))
             for g in np.flatnonzero(np.diff(ends)).tolist():
                 if self.begin[g + 1] - self.begin[g] > 1:
                     at, members = order[ends[g] : ends[g + 1]], self.order[self.begin[g] : self.begin[g + 1]]
-                    found[at] += log_softmax(h[at] @ self.r[members].T + self.b[members], self.place[kind[part][at]] - self.begin[g])
+                    found[at] += log_softmax(h[at], self.r[members], place[at] - self.begin[g])
             out[part] = found
         return out / np.log(10)
 
@@ -383,16 +387,16 @@ class Learner:
         self.model.rows[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
 
     def learn(self, before: np.ndarray, kind: np.ndarray) -> None:
-        """All words once in another order."""
-        m, order = self.model, self.rng.permutation(len(kind))
+        """One word in DRAW, in another order."""
+        m = self.model
+        order = self.rng.permutation(np.flatnonzero(self.rng.random(len(kind)) * DRAW < 1))
         n, wide = m.classes, 2 * m.classes + 1
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        one = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
-        for lo in range(0, len(kind), STEP_WORDS):
+        for lo in range(0, len(order), STEP_WORDS):
             at = order[lo : lo + STEP_WORDS]
             x, y = before[at], kind[at]
             group = m.group_of[y]
-            h = one(m.predicted(x))
+            h = m.predicted(x)
             # the group, against samples that the batch shares
             other = np.minimum(np.searchsorted(self.groups_upto, self.rng.random(GROUP_NOISE) * self.groups_upto[-1]), m.groups - 1)
             right, wrong = m.rows[wide + group], m.rows[wide + other]
