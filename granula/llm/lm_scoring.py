@@ -13,9 +13,9 @@ Groups halve the classes along the main direction of their vectors until there a
 many as classes in each, so a word costs two short matrix products.
 
 The vectors start from a flat model of few classes (FREQUENT words) fitted on the driver to
-the counts of pairs. Then each task goes over its rows with noise-contrastive steps on both
-factors, one word in DRAW at random being an example, so examples grow with the corpus; its
-changes are weighed by the squares of their gradients, as precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
+the counts of pairs. Then each task goes over all words of its rows with noise-contrastive
+steps on both factors; its changes are weighed by the squares of their gradients, as
+precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
 class, words have additive 0.5-smoothed frequencies, so the score of a text is a normalised
 log10 probability in which all words never seen share one place of their class.
 
@@ -46,11 +46,9 @@ from granula.llm.base import one_thread, received, send, slices, stored, table
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
-DIM, NOISE, BATCH, STEPS, RATE, SEED = 16, 64, 1024, 2000, 1.0, 7
+DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
 #: Words before a word that predict it; noise samples of the group (shared by a batch) and of the class (for each word); words of a step.
-CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 2, 2048
-#: Words of the training rows for each one that is drawn as an example; its context is read from all of them.
-DRAW = 3
+CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 3, 2048
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 300_000
@@ -58,7 +56,7 @@ FLUSH = 300_000
 SLICE = 500
 BUCKETS = 16
 #: Of the pass over all words: words handled at once, rows of a block of vectors, step and its precision before any word.
-CHUNK, BLOCK, STEP, PRIOR = 200_000, 1024, 0.1, 3.0
+CHUNK, BLOCK, STEP, PRIOR = 50_000, 1024, 0.1, 3.0
 
 
 def fold(modulus: int) -> Column:
@@ -76,23 +74,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        train: Counter = Counter()
+        seen: Counter = Counter()
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            names = list(train.keys() | held.keys())
-            c = [train.get(w, 0) for w in names]
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held.get(w, 0) for w, n in zip(names, c, strict=True)], pa.int64())], ["word", "c", "seen"])
-            train.clear()
+            train = [n - held[w] if w in held else n for w, n in seen.items()] if held else list(seen.values())
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(train, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "c", "seen"])
+            seen.clear()
             held.clear()
             return out
 
         for batch in batches:
             for data, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = held if out else train
-                seen.update(words(data))
-                seen[END] += 1
-                if len(train) + len(held) > FLUSH:
+                found = [*words(data), END]
+                seen.update(found)
+                if out:
+                    held.update(found)
+                if len(seen) > FLUSH:
                     yield flush()
         yield flush()
 
@@ -387,9 +385,8 @@ class Learner:
         self.model.rows[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
 
     def learn(self, before: np.ndarray, kind: np.ndarray) -> None:
-        """One word in DRAW, in another order."""
-        m = self.model
-        order = self.rng.permutation(np.flatnonzero(self.rng.random(len(kind)) * DRAW < 1))
+        """All words once in another order."""
+        m, order = self.model, self.rng.permutation(len(kind))
         n, wide = m.classes, 2 * m.classes + 1
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         for lo in range(0, len(order), STEP_WORDS):
