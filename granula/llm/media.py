@@ -3,12 +3,14 @@
 Images are decoded to (height, width, channels) arrays of bytes, area-resized by integral
 images (each target cell is the mean of the source area it covers, with fractional edges)
 and written as NPY tiles. One pass over the rows, no shuffle; memory is that of one Arrow
-batch and one image.
+batch, HELD images and the running sums of one (24 bytes a sample), so a very long text is
+one image of its own size.
 
 Defined results: a null blob decodes to null; a blob in no known format raises in strict
 mode and else gives nulls; empty texts are one row of spaces; a target size larger than the
 image repeats pixels; equal bytes give equal results. Other columns pass through; columns
-named like a result column are replaced.
+named like a result column are replaced; repeated rows and null ids are kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granula.llm.base import drop_clashes, table
+from granula.llm.base import drop_clashes, slices, table
 
 #: Bytes of a row of 64 RGB pixels.
 ROW_BYTES = 192
+#: Rows whose images are held at once.
+HELD = 256
 
 
 def encode_netpbm(pixels: np.ndarray) -> bytes:
@@ -163,7 +167,7 @@ def media_tiles(df: DataFrame, column: str = "media", tile: int = 32, strict: bo
             return (None,) * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, HELD):
             found = [one(b) for b in batch.column(at).to_pylist()]
             kinds = [pa.int32()] * 3 + [pa.binary(), pa.string()]
             new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
@@ -184,22 +188,25 @@ def text_images(df: DataFrame, text: str = "text", name: str = "media") -> DataF
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as an image, read back and hashed."""
+    """Every text stored as an image, read back and hashed; tile_npy is its area-resized tile as an NPY file.
+
+    ``feature`` is the difference hash of the image, and the CRC-32 of the tile.
+    """
     docs = text_images(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, HELD):
             out = []
             for data in batch.column(2).to_pylist():
                 pixels = decode(data)
                 payload = pixels.tobytes()
                 tile = npy(np.rint(area_resized(pixels, 8, 8)).astype(np.uint8))
                 feature = f"{difference_hash(pixels)}:{zlib.crc32(tile):08x}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy")
             new = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["doc_id", "n_bytes", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary"
     return docs.mapInArrow(run, schema)
