@@ -178,12 +178,12 @@ class Pieces:
         for end, n in self.find.iter(chunk):
             if n > longest[end - n + 1]:
                 longest[end - n + 1] = n
-        failed, out, at = 0, [], 0
+        failed, out, at = bytearray(len(chunk) // 8 + 1), [], 0  # a bit for each position
         token: str | None = chunk[: longest[0]]
         while True:
             while token is not None:
                 end = at + len(token)
-                if not failed >> end & 1 and (not out or self._fit(out[-1], token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self._fit(out[-1], token)):
                     out.append(token)
                     if end == len(chunk):
                         return out
@@ -191,7 +191,7 @@ class Pieces:
                     token = chunk[at : at + longest[at]]
                 else:
                     token = self.shorter[token]
-            failed |= 1 << at
+            failed[at >> 3] |= 1 << (at & 7)
             if not out:
                 return None
             token = out.pop()
