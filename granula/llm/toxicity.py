@@ -7,7 +7,9 @@ letters are gaps. Kernels are normalised by the units' own.
 
 Training takes a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, in the order of a
 hash of doc_id); of rows with the same label and set of units the first trains, all others
-are used. A sentence is as toxic as its strongest unit: starting from log-odds,
+are used. Units longer than LONGEST letters are cut into overlapping windows, in training as
+in scoring. The machine is fitted on all strong units and the FIT_UNITS most frequent clean
+ones. A sentence is as toxic as its strongest unit: starting from log-odds,
 sentences of toxic documents give their strongest unit as positive, those of clean ones all
 units as negative, and a squared-hinge machine on Nystroem features (kernels with landmarks,
 whitened) is fitted; the choice is made again with its margins. The machine then is one
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import received, send, table
+from granula.llm.base import one_thread, received, send, slices, table
 from granula.llm.lm_scoring import fold
 
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
@@ -42,6 +44,8 @@ SURE = 1.0
 #: Distinct clean units that the machine is fitted on, at most, and units handled at once.
 FIT_UNITS, PART = 40_000, 4_000
 THRESHOLD = 0.3
+#: Rows whose texts are Python objects at once.
+HELD = 1000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _CLASS = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
@@ -112,7 +116,7 @@ def normalised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _dense(parts: list[bytes]) -> np.ndarray:
     """Normalised features of a few units as rows over all subsequences."""
     out = np.zeros((len(parts), 32768), np.float32)
-    row, code, weight = normalised(_padded([p[:LONGEST] for p in parts]))
+    row, code, weight = normalised(_padded(parts))
     out[row, code] = weight
     return out
 
@@ -219,7 +223,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     if y.all() or not y.any():
         return Machine(np.zeros(32768), -1.0, np.zeros(5), rest=(y.sum() + 0.5) / (len(y) + 1.0))
     known: dict[bytes, bytes] = {}  # one object for each distinct unit
-    docs = [sorted({known.setdefault(u, u) for u in map(letters, units(t))} - {b""}) for t in texts]
+    docs = [sorted({known.setdefault(w, w) for u in map(letters, units(t)) for w in _windows(u)} - {b""}) for t in texts]  # long units by windows, as they are scored
     # copies would pass their words off as frequent: of texts with the same set of units and label the first stays
     first = {(_digest(d), bool(label)): k for k, (d, label) in reversed(list(enumerate(zip(docs, y, strict=True))))}
     own = np.array(sorted(first.values()))
@@ -263,7 +267,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Machine:
     place_of[fitted] = np.arange(len(fitted))
     z = np.zeros((len(fitted), project.shape[1]), np.float32)
     for at in range(0, len(fitted), PART):
-        row, code, weight = normalised(_padded([kinds[k][:LONGEST] for k in fitted[at : at + PART]]))
+        row, code, weight = normalised(_padded([kinds[k] for k in fitted[at : at + PART]]))
         for lo in range(0, len(row), 20 * PART):
             part = slice(lo, lo + 20 * PART)
             heads = np.flatnonzero(np.diff(row[part], prepend=-1))
@@ -308,8 +312,9 @@ def scored(docs: DataFrame, machine: Machine, held_out: Column) -> DataFrame:
     sent = send(docs.sparkSession, machine)  # 32768 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         machine = received(sent)
-        for batch in batches:
+        for batch in slices(batches, HELD):
             scores = machine.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"]
