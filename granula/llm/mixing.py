@@ -10,11 +10,13 @@ gives the missing words, so a source misses its target by rounding alone.
 The running sum over a source never meets in one task: documents fall into 256 x 256
 buckets by the leading digits of their seeded hash. Bucket sums (combined before the
 shuffle) decide all buckets but the one on the border, whose second level decides all but
-one again; only the rows of that last bucket are ordered.
+one again; only the rows of that last bucket are ordered. The hash takes doc_id and text, so
+null and repeated ids spread over the buckets, too.
 
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of
-its own and comes last; repeated rows count each time; an empty table gives an empty
-result; other columns pass through, those named like a result column are replaced.
+its own and comes last; repeated rows count each time, and n equal rows on the border share
+what is missing evenly (the target is missed by less than n words); an empty table gives an
+empty result; a very long text is one row that may be taken in part; other columns pass through, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -68,6 +70,7 @@ def _below(sums: DataFrame, name: str) -> DataFrame:
 def mixed(
     df: DataFrame,
     size: Column | None = None,
+    digest: Column | None = None,
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     max_epochs: float = MAX_EPOCHS,
@@ -76,11 +79,12 @@ def mixed(
 ) -> DataFrame:
     """``df`` (with doc_id and source) with size, source_size, target and taken.
 
-    ``size`` defaults to the words of ``text``. Only doc_id, source and the size are written
-    to the shared folder and read again; other columns need ``size`` to be read twice.
+    ``size`` defaults to the words of ``text``, ``digest`` to its MD5. All columns are written
+    to the shared folder and read again, so each is worked out once.
     """
     size = F.size(words_of(text_of())).cast("long") if size is None else size
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    digest = F.md5(text_of()) if digest is None else digest
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))
     rows = drop_clashes(df.withColumn("__size", size), RESULT).withColumnRenamed("__size", "size").withColumn("__key", key)
     rows = stored(rows, name)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
@@ -100,9 +104,15 @@ def mixed(
 
     full = _joined(rows, plan).withColumn("__four", F.substring("__key", 1, 4))
     at_edge = F.coalesce(F.col("__four") == F.col("__edge"), F.lit(False))
-    order = W.partitionBy("source").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    missing = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    edge = full.where(at_edge).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("size"), missing)))
+    # on the border equal rows count as one group, so the ordered rows are distinct however often they repeat
+    edge = full.where(at_edge)
+    groups = edge.groupBy("source", "__key", "size", "__rest", "__before").agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy("source").orderBy("__key", "size").rowsBetween(W.unboundedPreceding, -1)
+    missing = F.col("__rest") - F.col("__before") - F.coalesce(F.sum(F.col("size") * F.col("__n")).over(order), F.lit(0))
+    share = F.floor(F.greatest(F.lit(0), F.least(F.col("size") * F.col("__n"), missing)) / F.col("__n"))
+    groups = groups.select(F.col("source").alias("__s"), F.col("__key").alias("__k"), F.col("size").alias("__z"), share.alias("__extra"))
+    same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k")) & (F.col("size") == F.col("__z"))
+    edge = edge.join(groups, same).drop("__s", "__k", "__z")
     clear = full.where(~at_edge).withColumn("__extra", F.when(F.col("__four") < F.col("__edge"), F.col("size")).otherwise(F.lit(0)))
     out = edge.unionByName(clear).withColumn("taken", (F.col("__epochs") * F.col("size") + F.col("__extra")).cast("long"))
     return out.drop("__key", "__epochs", "__rest", "__edge", "__before", "__four", "__extra")
@@ -122,21 +132,23 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents at 150 % of their words with weights 5, 2, 1 and at most 2 epochs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     size = F.size(words_of(text_of())).cast("long")
-    return mixed(docs.select("doc_id", "source", size.alias("words")), F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = docs.select("doc_id", "source", size.alias("words"), F.md5(text_of()).alias("digest"))
+    return mixed(rows, F.col("words"), F.col("digest")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same level by running sums, and the seeded order as one running sum per source.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
 c AS (SELECT *, [{", ".join(f"{w:.1f}::DOUBLE" for w in WEIGHTS)}][i % {len(WEIGHTS)} + 1] AS w, n * {MAX_EPOCHS:.1f}::DOUBLE AS cap FROM s),
 r AS (SELECT *, cap / w AS level, (sum(n) OVER () * {SHARE}::DOUBLE - (sum(cap) OVER o - cap)) / (sum(w) OVER () - sum(w) OVER o + w) AS try FROM c
   WINDOW o AS (ORDER BY cap / w, i ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT source, n, CASE WHEN try < level THEN w * (SELECT arg_min(try, (level, i)) FROM r WHERE try < level) ELSE cap END AS target FROM r),
 e AS (SELECT *, CASE WHEN n > 0 THEN floor(round(target) / n)::BIGINT ELSE 0 END AS epochs FROM t),
-f AS (SELECT d.*, e.n AS source_size, e.target, epochs, round(target)::BIGINT - epochs * e.n AS rest,
-  sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
-  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM f
+h AS (SELECT source, k, size, count(*) AS times FROM d GROUP BY ALL),
+g AS (SELECT *, (sum(times * size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - times * size)::BIGINT AS before FROM h),
+f AS (SELECT d.doc_id, d.size, e.n AS source_size, e.target, epochs, times, before, round(target)::BIGINT - epochs * e.n AS rest
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.k = d.k AND g.size = d.size)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size * times, rest - before)) // times)::BIGINT AS taken FROM f
 """
