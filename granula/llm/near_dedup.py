@@ -20,14 +20,15 @@ about 4e-7, and less above it; sets of up to k shingles are treated exactly.
 Defined results: null or empty texts and texts of white space have no shingles, are linked
 with nothing and are their own component; null doc_ids take part and never are a
 component's id unless all ids in it are null; ``kept`` compares null-safely; repeated rows
-give repeated results; an empty table gives an empty result.
+give repeated results; an empty table gives an empty result; a very long text gives its whole
+set, a worker holds the texts of HELD rows at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import slices, stored, table
+from granula.llm.base import one_thread, slices, stored, table
 from granula.llm.components import components
 
 K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 100_000
@@ -76,8 +77,8 @@ def set_digest(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
-def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, fp, sketch) of (doc_id, text): one pass, no shuffle."""
+def sketches(docs: DataFrame, width: int, k: int = K, extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, h, n_shingles, fp, sketch) and the extra columns of (doc_id, text): one pass, no shuffle; h is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -86,15 +87,18 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    *batch.columns[2:],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_digest(s) for s in sets], pa.binary()),
                     pa.array([s[:k].astype(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "fp", "sketch"],
+                ["doc_id", "h", *extra, "n_shingles", "fp", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"), *extra)
+    kinds = dict(rows.dtypes)
+    more = "".join(f", `{c}` {kinds[c]}" for c in extra)
+    return rows.mapInArrow(run, f"doc_id long, h long{more}, n_shingles long, fp binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -193,6 +197,7 @@ def _forest(percent: int, chunk: int = 4096):
     """Links of one pair of blocks: exact intersections of all sets, reduced to a spanning forest."""
 
     def run(rows: pa.Table) -> pa.Table:
+        one_thread()
         n, fps = len(rows), rows["fp"].to_pylist()
         sets = rows["hashes"].combine_chunks()
         size = sets.value_lengths().to_numpy()
@@ -234,8 +239,10 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int,
     likely = stored(likely_pairs(candidates(lists, percent, long_list), classes, k, least), f"{name}-pairs")
     blocks = stored(_block_pairs(_merged_lists(lists.where(F.col("df") > long_list)), percent, block), f"{name}-blocks")
     needed = likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(blocks.select("fp")).distinct()
-    needed = needed.join(classes.select("fp", F.col("doc_id").alias("__rep")), "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")))
+    needed = needed.join(classes.select("fp", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
+    # by id and text, so that many rows with one id (or none) do not meet the representatives of others
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h"))).dropDuplicates(["fp"])
     sets = stored(full_sets(texts, width), f"{name}-sets")
     side = lambda s: sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"h{s}"))
     both = F.size(F.array_intersect("ha", "hb"))
@@ -245,21 +252,25 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int,
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, least: int = LEAST, long_list: int = LONG_LIST, block: int = BLOCK, name: str = "near"
+    docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, least: int = LEAST, long_list: int = LONG_LIST, block: int = BLOCK, name: str = "near", extra: Sequence[str] = ()
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Linked: 100 * intersection >= percent * union of the shingle sets.
+    Linked: 100 * intersection >= percent * union of the shingle sets. With ``extra`` columns
+    these come too, and ``component``: one value for all rows of a component whatever their
+    ids, null for rows without shingles.
     """
-    rows = stored(sketches(docs, width, k), f"{name}-rows")
-    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, f"{name}-classes")
+    rows = stored(sketches(docs, width, k, extra), f"{name}-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(first.alias("first"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("fp", "first.doc_id", "first.h", "n", "sketch"), f"{name}-classes")
     roots = components(links(docs, classes, width, percent, k, least, long_list, block, name), name)
     of = classes.select("fp", "doc_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "root")
     low = of.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("low"))
-    of = of.join(low, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
-    some = rows.where(F.col("fp").isNotNull()).join(of, "fp").select("doc_id", "n_shingles", "component_id")
-    none = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of = of.join(low, "root", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    more = [*extra, "component"] if extra else []
+    some = rows.where(F.col("fp").isNotNull()).join(of, "fp").select("doc_id", "n_shingles", "component_id", *more)
+    none = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra, *[F.lit(None).cast("binary").alias("component")] * bool(extra))
     return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
