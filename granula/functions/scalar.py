@@ -117,3 +117,31 @@ def digest(*parts: Column) -> Column:
 
 def stars(p: Column) -> Column:
     return F.when(p < 1e-4, "****").when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 0.05, "*").otherwise("ns")
+
+
+def ramp(t: Column) -> Column:
+    """The colour of a value between 0 and 1: magenta to cyan."""
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    two = lambda v: F.lower(F.lpad(F.hex(F.round(v).cast("int")), 2, "0"))
+    return F.concat(F.lit("#"), two(255 * (1 - inside)), two(255 * inside), F.lit("ff"))
+
+
+def id_cast(value: Column) -> Column:
+    """A label id: null for nothing, an empty text and NaN."""
+    text = F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return F.when(F.lower(text).isin("nan", "none"), None).otherwise(text).try_cast("double").cast("long")
+
+
+def unit_vector(nz: Column, ny: Column, nx: Column) -> Column:
+    """The direction in array order, or null if a part is missing."""
+    whole = nz.isNotNull() & ny.isNotNull() & nx.isNotNull()
+    return F.when(whole, F.array(nz, ny, nx))
+
+
+def memory_estimate(voxels: Column, entities: Column) -> Column:
+    """Bytes that one object needs at its peak when it is measured whole."""
+    return (voxels * (2 * entities + 4) * 3.5).cast("long")
+
+
+def box_text(ends: list[tuple[Column, Column]]) -> Column:
+    return F.concat_ws(",", *[F.concat_ws(":", a.cast("string"), b.cast("string")) for a, b in ends])

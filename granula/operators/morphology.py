@@ -98,6 +98,39 @@ def aspect_3d(voxels: DataFrame, spacing: Sequence[float]) -> DataFrame:
     return _moments(voxels, spacing).select(*INSTANCE, value.alias("aspect_ratio_major_minor"))
 
 
+def equivalent_ellipsoids(voxels: DataFrame, spacing: Sequence[float]) -> DataFrame:
+    """(object_id, entity, label, z_um, y_um, x_um, diameters ascending, axes by row in x, y, z order) of the ellipsoid with the moments of each instance.
+
+    The moments of a solid ellipsoid are a fifth of its squared radii. A collapsed axis has
+    diameter 0; the eigenvectors come from numpy in Arrow batches, one row an instance.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = _moments(voxels, spacing).join(centroids(voxels, spacing), INSTANCE)
+
+    def run(batches):
+        for batch in batches:
+            m = {c: batch.column(c).to_numpy() for c in ("zz", "zy", "zx", "yy", "yx", "xx")}
+            whole = np.stack([np.stack([m["xx"], m["yx"], m["zx"]], -1), np.stack([m["yx"], m["yy"], m["zy"]], -1), np.stack([m["zx"], m["zy"], m["zz"]], -1)], 1)
+            value, vector = np.linalg.eigh(whole)
+            axes = np.swapaxes(vector, 1, 2)
+            big = np.take_along_axis(axes, np.abs(axes).argmax(-1)[..., None], -1)
+            axes = axes * np.where(big < 0, -1, 1)  # the greatest part of each axis is positive
+            size = 2 * np.sqrt(5 * np.where(value > 1e-12, value, 0.0))
+            lists = [pa.ListArray.from_arrays(np.arange(len(size) + 1, dtype=np.int32) * n, v.ravel()) for n, v in ((3, size), (9, axes))]
+            keep = [batch.column(c) for c in (*INSTANCE, "z_um", "y_um", "x_um")]
+            yield pa.RecordBatch.from_arrays([*keep, *lists], [*INSTANCE, "z_um", "y_um", "x_um", "diameters", "axes"])
+
+    kinds = dict(voxels.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in INSTANCE), "z_um double, y_um double, x_um double, diameters array<double>, axes array<double>"]))
+
+
+def region_metrics(voxels: DataFrame, spacing: Sequence[float]) -> DataFrame:
+    """Whole masks as one region each: size, boundary, roundness and aspect ratio."""
+    return shapes(voxels.withColumn("label", F.lit(1)), spacing).drop("label")
+
+
 def shapes(voxels: DataFrame, spacing: Sequence[float]) -> DataFrame:
     """Size, surface, roundness and aspect of spatial instances."""
     sized = instance_sizes(voxels, spacing).join(boundary(voxels, spacing), INSTANCE).join(aspect_3d(voxels, spacing), INSTANCE)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granula.plans import instance_queries, table_queries, voxel_queries
+from granula.plans import instance_queries, report_queries, table_queries, voxel_queries
 
-PARTS = (voxel_queries, instance_queries, table_queries)
+PARTS = (voxel_queries, instance_queries, table_queries, report_queries)
 flagship = voxel_queries.flagship
 
 
