@@ -28,6 +28,15 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(differs, 0) - 1, n)
 
 
+def whole_prefix(text: Column, shared: Column, source: Column) -> Column:
+    """``shared`` moved back to the last sign that is no letter or digit, unless the prefix ends between words: c1 is no beginning of c10_mito."""
+    at = lambda t, k: F.substr(t, k, F.lit(1))
+    word = lambda c: c.rlike("[A-Za-z0-9]")
+    splits = (shared > 0) & word(at(text, shared)) & (word(at(text, shared + 1)) | word(at(source, shared + 1)))
+    back = F.length(F.regexp_extract(F.substr(text, F.lit(1), shared), "^(.*[^A-Za-z0-9])?[A-Za-z0-9]*$", 1))
+    return F.when(splits, back).otherwise(shared)
+
+
 def finite(value: Column) -> Column:
     """Null for NaN and the infinities."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)

@@ -160,3 +160,27 @@ def baseline(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFr
     first = cum.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("bin"))).where("k = 1")
     inner = (F.col("baseline_voxels") / 2 - (F.col("cum") - F.col("n"))) / F.col("n")
     return first.select(*keys, "baseline_voxels", "baseline_mean_um", (F.col("lo") + (F.col("bin") + inner) * F.col("wide") / FINE).alias("baseline_median_um"))
+
+
+def baseline_histograms(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(object_id, target, baseline_hist_min_um, baseline_hist_max_um, baseline_hist_counts): COARSE stored bins of the baseline, folded from the FINE ones."""
+    at = ["object_id", "z", "y", "x"]
+    rows = field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti").where("distance_um > 0")
+    keys = ["object_id", "target"]
+    ends = rows.groupBy(*keys).agg(F.min("distance_um").alias("baseline_hist_min_um"), F.max("distance_um").alias("baseline_hist_max_um"))
+    low, high = F.col("baseline_hist_min_um"), F.col("baseline_hist_max_um")
+    coarse = F.floor(binned(F.col("distance_um"), low, high, FINE) / (FINE // COARSE)).cast("int")
+    counted = rows.join(ends, keys).groupBy(*keys, low, high, coarse.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy(*keys, "baseline_hist_min_um", "baseline_hist_max_um").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))  # COARSE entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)))
+    return found.select(*keys, "baseline_hist_min_um", "baseline_hist_max_um", F.to_json(dense).alias("baseline_hist_counts"))
+
+
+def tip_distances(tips: DataFrame, field: DataFrame, shape_box: DataFrame) -> DataFrame:
+    """(object_id, entity, label, target, distance_end_min_um, distance_end_max_um) of skeleton tips (object_id, entity, label, z, y, x in voxels): rounded, clipped to the box of the object and counted once."""
+    rows = tips.join(shape_box, "object_id")
+    for a in "zyx":
+        rows = rows.withColumn(a, F.greatest(F.col(f"{a}0"), F.least(F.col(f"{a}1"), F.rint(a))).cast("int"))
+    once = rows.select("object_id", "entity", "label", "z", "y", "x").distinct()
+    met = once.join(field, ["object_id", "z", "y", "x"]).where(F.col("entity") != F.col("target"))
+    return met.groupBy("object_id", "entity", "label", "target").agg(F.min("distance_um").alias("distance_end_min_um"), F.max("distance_um").alias("distance_end_max_um"))

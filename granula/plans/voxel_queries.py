@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import distance, geometry, graph, morphology, volumes
+from granula.operators import bricks, distance, geometry, graph, morphology, volumes
 from granula.operators.graph import neighbour_offsets
 from granula.sources import voxels as source
 
@@ -189,6 +189,32 @@ def surface_mesh(spark, sf_dir):
     return geometry.surfaces(vox(spark, sf_dir), S)
 
 
+def baseline_histogram(spark, sf_dir):
+    """The 128 stored bins of the chance distances to the cell boundary."""
+    v, field = _field(spark, sf_dir, "cell")
+    field = field.withColumn("distance_um", F.round("distance_um", 9))
+    return rounded(distance.baseline_histograms(field, v.where("entity = 'cell'"), v.where("entity = 'nucleus'")))
+
+
+def tip_distance(spark, sf_dir):
+    """Distances of the corners of each instance's box, taken as its tips, to the other targets."""
+    v, field = _field(spark, sf_dir)
+    box = morphology.bounding_boxes(v.where("entity = 'mito'"))
+    tips = box.select("object_id", "entity", "label", F.explode(F.array(*[F.struct(*[(F.col(f"{k}_{a}") + d).alias(a) for a in "zyx"]) for k, d in (("min", 0.25), ("max", -0.25))])).alias("t")).select("object_id", "entity", "label", "t.*")
+    whole = v.groupBy("object_id").agg(*[f(a).alias(f"{a}{k}") for a in "zyx" for k, f in ((0, F.min), (1, F.max))])
+    return rounded(distance.tip_distances(tips, field, whole))
+
+
+def geometry_rows(spark, sf_dir):
+    """Rows of the geometry file without payloads; which instances get a mesh or an ellipsoid is in surface_kind."""
+    v = vox(spark, sf_dir)
+    shaped = morphology.shapes(v, S)
+    kinds = v.select("object_id", "entity").distinct().withColumn("entity_kind", F.when(F.col("entity") == "mito", "label").otherwise("mask"))
+    pairs = bricks.gaps(v.where("entity = 'mito'"), S, 0.16)
+    found = geometry.geometry_rows(v, kinds, S, shaped, pairs)
+    return rounded(found.select("object_id", "row_type", "entity_name", "label", "voxels", "volume_um3", "sphericity", "fill_ratio", F.col("surface").isNotNull().alias("has_surface"), "entity_a", "label_a", "label_b", "gap_um"), 5)
+
+
 def flagship(spark, sf_dir):
     """Median distance of instances to the boundary of their object against chance, by group."""
     v, field = _field(spark, sf_dir, "cell")
@@ -241,6 +267,9 @@ SQL = {
     "distance_histogram": f"{V}, {_dist_sql()}, m AS (SELECT v.object_id, v.entity, v.label, f.target, round(distance_um, 9) AS v FROM vox v JOIN field f USING (object_id, z, y, x) WHERE v.entity = 'mito' AND f.target <> 'mito'), e AS (SELECT object_id, entity, target, min(v) AS lo, max(v) AS hi FROM m GROUP BY ALL), b AS (SELECT m.object_id, m.entity, m.label, m.target, lo, hi, least(19, greatest(0, floor((v - lo) / CASE WHEN hi <= lo THEN 1 ELSE hi - lo END * 20)))::INT AS bin, count(*) AS n FROM m JOIN e ON m.object_id = e.object_id AND m.target = e.target GROUP BY ALL), k AS (SELECT DISTINCT object_id, entity, label, target, lo, hi FROM b) SELECT k.object_id, k.entity, k.label, k.target, round(lo, 6) AS hist_min, round(hi, 6) AS hist_max, '[' || (SELECT string_agg(coalesce(b.n, 0), ',' ORDER BY r.i) FROM range(20) r(i) LEFT JOIN b ON b.bin = r.i AND b.object_id = k.object_id AND b.label = k.label AND b.target = k.target) || ']' AS hist_counts FROM k",
     "distance_wide": f"{V}, {_dist_sql()}, {_MIN} SELECT {I3}, round(max(distance_um) FILTER (target = 'cell'), 6) AS distance_to_cell_um, round(max(distance_um) FILTER (target = 'nucleus'), 6) AS distance_to_nucleus_um FROM d GROUP BY ALL",
     "baseline_stats": f"{V}, {_dist_sql()}, {_BASE} SELECT object_id, target, baseline_voxels, round(baseline_mean_um, 6) AS baseline_mean_um, round(baseline_median_um, 6) AS baseline_median_um FROM base",
+    "baseline_histogram": f"{V}, {_dist_sql()}, {_BASE}, hc AS (SELECT object_id, target, bin // {distance.FINE // distance.COARSE} AS bin, sum(n) AS n, any_value(lo) AS lo, any_value(wide) AS wide FROM bb WHERE target = 'cell' GROUP BY ALL), ho AS (SELECT object_id, target, any_value(lo) AS lo, any_value(wide) AS wide FROM hc GROUP BY ALL) SELECT ho.object_id, ho.target, round(lo, 6) AS baseline_hist_min_um, round(lo + wide, 6) AS baseline_hist_max_um, '[' || (SELECT string_agg(coalesce(hc.n, 0)::BIGINT, ',' ORDER BY r.i) FROM range({distance.COARSE}) r(i) LEFT JOIN hc ON hc.bin = r.i AND hc.object_id = ho.object_id) || ']' AS baseline_hist_counts FROM ho",
+    "tip_distance": f"{V}, {_dist_sql()}, bx AS (SELECT {I3}, min(z) a, min(y) b, min(x) c, max(z) d, max(y) e, max(x) f FROM vox WHERE entity = 'mito' GROUP BY ALL), tp AS (SELECT {I3}, a AS z, b AS y, c AS x FROM bx UNION SELECT {I3}, d, e, f FROM bx) SELECT object_id, tp.entity, tp.label, target, round(min(distance_um), 6) AS distance_end_min_um, round(max(distance_um), 6) AS distance_end_max_um FROM tp JOIN field USING (object_id, z, y, x) WHERE target <> 'mito' GROUP BY ALL",
+    "geometry_rows": f"{V}, s AS ({_SURF}), n AS (SELECT {I3}, count(*) AS k, count(*) * {VX!r}::DOUBLE AS v, count(*) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)) AS fill FROM vox GROUP BY ALL), ga AS (SELECT a.object_id, a.label AS label_a, b.label AS label_b, min(sqrt(power((a.z - b.z) * {SZ}::DOUBLE, 2) + power((a.y - b.y) * {SY}::DOUBLE, 2) + power((a.x - b.x) * {SX}::DOUBLE, 2))) AS gap_um FROM vox a JOIN vox b ON a.object_id = b.object_id AND a.entity = 'mito' AND b.entity = 'mito' AND a.label < b.label GROUP BY ALL) SELECT object_id, CASE WHEN entity = 'mito' THEN 'instance' ELSE 'file' END AS row_type, entity AS entity_name, CASE WHEN entity = 'mito' THEN label END AS label, k AS voxels, round(v, 5) AS volume_um3, round(cbrt(36 * pi() * v * v) / s, 5) AS sphericity, round(fill, 5) AS fill_ratio, k >= 8 AS has_surface, NULL AS entity_a, NULL AS label_a, NULL AS label_b, NULL::DOUBLE AS gap_um FROM s JOIN n USING ({I3}) UNION ALL SELECT object_id, 'contact', NULL, NULL, NULL, NULL, NULL, NULL, false, 'mito', label_a, label_b, round(gap_um, 5) FROM ga WHERE gap_um <= 0.16",
     "polar_depth": f"{V}, {_dist_sql()}, c AS (SELECT object_id, entity, round_even(avg(z), 0)::INT AS z, round_even(avg(y), 0)::INT AS y, round_even(avg(x), 0)::INT AS x FROM vox GROUP BY ALL) SELECT c.object_id, c.entity, round(coalesce(distance_um, 0), 6) AS polar_depth_um FROM c LEFT JOIN field f ON f.target = 'cell' AND f.object_id = c.object_id AND f.z = c.z AND f.y = c.y AND f.x = c.x WHERE c.entity <> 'cell'",
     "polar_spread": f"{V}, c AS (SELECT object_id, avg(z) cz, avg(y) cy, avg(x) cx FROM vox WHERE entity = 'cell' GROUP BY 1), o AS (SELECT v.object_id, label, (z - cz) * {SZ} AS z, (y - cy) * {SY} AS y, (x - cx) * {SX} AS x FROM vox v JOIN c USING (object_id) WHERE entity = 'mito'), n AS (SELECT object_id, label, z / sqrt(z*z+y*y+x*x) AS z, y / sqrt(z*z+y*y+x*x) AS y, x / sqrt(z*z+y*y+x*x) AS x FROM o WHERE z*z+y*y+x*x > 0), m AS (SELECT object_id, label, avg(z) mz, avg(y) my, avg(x) mx FROM n GROUP BY ALL), a AS (SELECT object_id, label, degrees(acos(greatest(-1, least(1, (z*mz + y*my + x*mx) / sqrt(mz*mz+my*my+mx*mx))))) AS a FROM n JOIN m USING (object_id, label)) SELECT object_id, label, round(CASE WHEN count(a) >= 3 THEN stddev_pop(a) END, 5) AS polar_spread_deg FROM a GROUP BY ALL",
     "voxel_components": f"{V}, {_COMP} SELECT object_id, 'mito' AS entity, z, y, x, component::INT AS component FROM k",

@@ -5,6 +5,7 @@ Works on a listing (path, length) of files, so nothing but metadata is read.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,8 @@ def discovered(files: DataFrame) -> DataFrame:
     best = W.partitionBy("object_dir").orderBy(F.desc("score"), F.desc("length"), "path")
     source = score.withColumn("k", F.row_number().over(best)).where("k = 1").select("object_dir", F.col("path").alias("source_path"), F.col("stem").alias("source_stem"))
     joined = rows.join(source, "object_dir", "left")
-    n = F.when(F.col("nested"), F.lit(0)).otherwise(F.coalesce(scalar.shared_prefix(F.col("body"), F.col("source_stem")), F.lit(0)))
+    shared = scalar.whole_prefix(F.col("body"), scalar.shared_prefix(F.col("body"), F.col("source_stem")), F.col("source_stem"))
+    n = F.when(F.col("nested"), F.lit(0)).otherwise(F.coalesce(shared, F.lit(0)))
     named = joined.withColumn("n", n).withColumn("entity_name", F.nullif(scalar.normal_name(F.expr("substring(body, n + 1)")), F.lit("")))
     twin = F.row_number().over(W.partitionBy("object_dir", "kind", "entity_name").orderBy("path"))
     is_source = F.col("path") == F.col("source_path")
@@ -61,6 +63,33 @@ def discovered(files: DataFrame) -> DataFrame:
     return judged.select("object_dir", "path", role.alias("role"), F.when(role == "entity", F.col("entity_name")).alias("entity_name"), F.when(role == "entity", F.col("kind")).alias("entity_kind"), "reason")
 
 
+def manifest(text: str) -> dict:
+    """A folder's source.json: where its arrays are, which entities they hold and of which kind; missing keys are named.
+
+    Entities are names with an array, or with an array and a kind (label by default); ``masks``
+    adds entities that are masks. The result has store, scale, crop, source, entities as
+    (name, kind, array), object_mask and voxel_size_um.
+    """
+    said = json.loads(text)
+    missing = [k for k in ("store", "entities") if k not in said]
+    if missing:
+        raise ValueError(f"source.json lacks {', '.join(missing)}")
+    entities = []
+    for kind, part in (("label", said["entities"]), ("mask", said.get("masks") or {})):
+        for name, value in part.items():
+            array = value if isinstance(value, str) else (value or {}).get("array")
+            if not array:
+                raise ValueError(f"source.json: entity {name} lacks array")
+            entities.append((name, kind if isinstance(value, str) else value.get("kind", kind), array))
+    size = said.get("voxel_size_um")
+    if size is not None and (len(size) not in (2, 3) or any(not v > 0 for v in size)):
+        raise ValueError("source.json: voxel_size_um has two or three positive numbers")
+    return {
+        "store": said["store"], "scale": said.get("scale"), "crop": crop_box(said.get("crop")), "source": said.get("source"), "entities": entities,
+        "object_mask": said.get("object_mask"), "voxel_size_um": size, "derived": said.get("derived"),
+    }
+
+
 def object_dirs(found: DataFrame) -> DataFrame:
     """Folders with a source and at least one entity, sorted."""
     has = lambda role: F.max(F.when(F.col("role") == role, 1).otherwise(0)) == 1

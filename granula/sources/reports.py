@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from granula.functions import scalar
+from granula.operators import report
 
 PREFIX = "granula."
 
@@ -30,13 +32,32 @@ def write_report(df: DataFrame, path: str, descriptions: dict[str, str] | None =
     fs_path = S.active()._jvm.org.apache.hadoop.fs.Path(parts)
     fs = fs_path.getFileSystem(S.active()._jsc.hadoopConfiguration())
     found = [str(s.getPath().toUri().getPath()) for s in fs.listStatus(fs_path) if s.getPath().getName().endswith(".parquet")]
-    text = {k: v.replace("object", noun) for k, v in (descriptions or {}).items()}
+    text = {k: with_noun(v, noun) for k, v in (descriptions or {}).items()}
     footer = {"created_at": datetime.now(timezone.utc).isoformat(), "columns": json.dumps(text), **provenance}
     _rewritten(found[0], path, footer, text)
     fs.delete(fs_path, True)
     return path
 
 
+def with_noun(text: str, noun: str) -> str:
+    """``object`` and ``objects`` as whole words replaced by the run's noun."""
+    return re.sub(r"\bobject\b", noun.split("/")[0], re.sub(r"\bobjects\b", scalar.plural(noun), text))
+
+
+def recolour(spark: SparkSession, path: str, palette: dict[str, str]) -> int:
+    """Replace the colours of a report's structures and return how many rows have one; the footer stays."""
+    import os
+
+    found = pq.read_schema(path)
+    columns = {f.name: f.metadata[b"description"].decode() for f in found if f.metadata and b"description" in f.metadata}
+    rows = report.recoloured(spark.read.parquet(path), palette)
+    n = rows.where("entity_colour is not null").count()
+    footer = {k: v for k, v in read_footer(path).items() if k not in ("columns", "created_at")}
+    write_report(rows, path + ".writing.parquet", columns, **footer)
+    os.replace(path + ".writing.parquet", path)
+    return n
+
+
 def _rewritten(source: str, target: str, footer: dict[str, str], text: dict[str, str]) -> None:
     reader = pq.ParquetFile(source)
     old = reader.schema_arrow

@@ -66,11 +66,12 @@ def test_payloads():
 def test_surface_net_is_closed_and_wound_outwards():
     z, y, x = np.ogrid[-9:10, -9:10, -9:10]
     vertices, faces = geometry.surface_net(z * z + y * y + x * x <= 49)
+    vertices = vertices[:, ::-1]  # as it is stored: x, y, z
     a, b, c = (vertices[faces[:, k]] for k in range(3))
     volume = np.einsum("ij,ij->i", a, np.cross(b, c)).sum() / 6
     edges = np.sort(np.concatenate([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [2, 0]]]), axis=1)
     assert (np.unique(edges, axis=0, return_counts=True)[1] % 2 == 0).all()
-    assert abs(volume) == pytest.approx(4 / 3 * np.pi * 343, rel=0.08)
+    assert volume == pytest.approx(4 / 3 * np.pi * 343, rel=0.08)
 
 
 def test_skeleton_measures(spark):
