@@ -61,6 +61,7 @@ def recolour(spark: SparkSession, path: str, palette: dict[str, str]) -> int:
 def _rewritten(source: str, target: str, footer: dict[str, str], text: dict[str, str]) -> None:
     reader = pq.ParquetFile(source)
     old = reader.schema_arrow
+    old = pa.schema([f.with_type(pa.timestamp("us", f.type.tz)) if pa.types.is_timestamp(f.type) else f for f in old], metadata=old.metadata)
     fields = [f.with_metadata({**(f.metadata or {}), "description": text[f.name]}) if f.name in text else f for f in old]
     meta = {**(old.metadata or {}), **{(PREFIX + k).encode(): v.encode() for k, v in footer.items()}}
     schema = pa.schema(fields, metadata=meta)
