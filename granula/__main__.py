@@ -1,4 +1,4 @@
-"""Commands: process, dry-run, mesh, cells, colours and describe."""
+"""Commands: process, dry-run, mesh, cells, colours, describe and view."""
 
 from __future__ import annotations
 
@@ -98,6 +98,15 @@ def _describe(args: argparse.Namespace) -> int:
     return 0
 
 
+def _view(args: argparse.Namespace) -> int:
+    from granula.process import serve
+
+    with serve.server(args.folder, args.port) as found:
+        print(f"http://127.0.0.1:{found.server_address[1]}/", flush=True)
+        found.serve_forever()
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="granula", description=__doc__)
     out.add_argument("-q", "--quiet", action="count", default=0)
@@ -142,6 +151,10 @@ def parser() -> argparse.ArgumentParser:
     c.set_defaults(do=_describe)
     c.add_argument("report")
     c.add_argument("text")
+    c = commands.add_parser("view", help="serve a folder of reports to readers on this machine")
+    c.set_defaults(do=_view)
+    c.add_argument("folder")
+    c.add_argument("--port", type=int, default=0)
     return out
 
 

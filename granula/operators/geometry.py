@@ -259,13 +259,15 @@ def ellipsoids(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in ("object_id", "entity", "label")), "surface binary"]))
 
 
-def geometry_rows(voxels: DataFrame, kinds: DataFrame, spacing, metrics: DataFrame, contacts: DataFrame | None = None, choice: str = "auto", method: str = "surface_nets") -> DataFrame:
+def geometry_rows(voxels: DataFrame, kinds: DataFrame, spacing, metrics: DataFrame, contacts: DataFrame | None = None, choice: str = "auto", method: str = "surface_nets", centre: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """The geometry table: a row for each instance, for each whole mask (row_type file) and for each contact.
 
     ``kinds``: (object_id, entity, entity_kind); ``metrics``: by object_id, entity, label with
     volume_um3, surface_area_um2, sphericity and aspect_ratio_major_minor. ``choice`` is mesh,
     ellipsoid or auto (by shape). Metrics and the choice are joins; payloads are made only
-    for the rows that need them.
+    for the rows that need them. ``centre`` (object_id, cz, cy, cx) adds each row's direction
+    from it, null where a part is missing; ``lines`` (of skeletons()) adds measures and
+    payloads of centre lines, which instances without one lack.
     """
     keys = ["object_id", "entity", "label"]
     kind = F.when(F.col("entity_kind") == "label", "instance").otherwise("file")
@@ -276,11 +278,19 @@ def geometry_rows(voxels: DataFrame, kinds: DataFrame, spacing, metrics: DataFra
     round_ones = voxels.join(rows.where("surface_kind = 'ellipsoid'").select(*keys), keys, "left_semi")
     drawn = ellipsoids(morphology.equivalent_ellipsoids(round_ones, spacing)).withColumns({"surface_vertices": F.lit(None).cast("int"), "surface_elements": F.lit(None).cast("int")})
     meshed = surfaces(voxels.join(rows.where("surface_kind = 'mesh'").select(*keys), keys, "left_semi"), spacing, method)
-    rows = rows.join(drawn.unionByName(meshed), keys, "left")
+    rows, more = rows.join(drawn.unionByName(meshed), keys, "left"), []
+    if centre is not None:
+        places = morphology.centroids(voxels, spacing).join(centre, "object_id", "left")
+        found = scalar.direction(*[F.col(f"{a}_um") - F.col(f"c{a}") for a in "zyx"])
+        rows = rows.join(places.select(*keys, *[c.alias(n) for n, c in found.items()]), keys, "left")
+        more += list(found)
+    if lines is not None:
+        rows = rows.join(lines.select(*keys, "skeleton", *[F.col(f"instance_{n}").alias(n) for n in ("branches", "length_um", "tortuosity")]), keys, "left")
+        more += ["skeleton", "branches", "length_um", "tortuosity"]
     out = rows.select(
         "object_id", "row_type", F.col("entity").alias("entity_name"), F.when(F.col("row_type") == "instance", F.col("label").cast("long")).alias("label"), F.col("n").alias("voxels"),
         "volume_um3", "surface_area_um2", "sphericity", "aspect_ratio_major_minor", "fill_ratio", F.when(F.col("surface").isNotNull(), F.col("surface_kind")).alias("surface_kind"),
-        "surface", "surface_vertices", "surface_elements",
+        "surface", "surface_vertices", "surface_elements", *more,
     )
     if contacts is None:
         return out

@@ -1,0 +1,72 @@
+"""A folder over HTTP with byte ranges, so that readers fetch only the parts of a Parquet file that they need."""
+
+from __future__ import annotations
+
+import re
+from functools import partial
+from http import HTTPStatus
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
+
+PIECE = 1 << 20
+
+
+def byte_range(text: str | None, size: int) -> tuple[int, int] | None:
+    """(first, last) of a single range, or nothing for all of it; a range outside the file is an error."""
+    m = re.fullmatch(r"bytes=(\d*)-(\d*)", (text or "").strip())
+    if not m or not (m.group(1) or m.group(2)):
+        return None
+    if not m.group(1):  # the last bytes
+        first, last = max(0, size - int(m.group(2))), size - 1
+    else:
+        first, last = int(m.group(1)), min(int(m.group(2) or size - 1), size - 1)
+    if first > last or first >= size:
+        raise ValueError("the range lies outside the file")
+    return first, last
+
+
+class Handler(SimpleHTTPRequestHandler):
+    """Files of one folder; answers are never cached, so a report written again is read again."""
+
+    def end_headers(self) -> None:
+        self.send_header("Cache-Control", "no-store")
+        self.send_header("Accept-Ranges", "bytes")
+        super().end_headers()
+
+    def do_GET(self) -> None:
+        path = Path(self.translate_path(self.path))
+        if not path.is_file() or "Range" not in self.headers:
+            super().do_GET()
+            return
+        size = path.stat().st_size
+        try:
+            found = byte_range(self.headers["Range"], size)
+        except ValueError:
+            self.send_response(HTTPStatus.REQUESTED_RANGE_NOT_SATISFIABLE)
+            self.send_header("Content-Range", f"bytes */{size}")
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+            return
+        if found is None:
+            super().do_GET()
+            return
+        first, last = found
+        self.send_response(HTTPStatus.PARTIAL_CONTENT)
+        self.send_header("Content-Type", self.guess_type(str(path)))
+        self.send_header("Content-Range", f"bytes {first}-{last}/{size}")
+        self.send_header("Content-Length", str(last - first + 1))
+        self.end_headers()
+        with path.open("rb") as f:
+            f.seek(first)
+            left = last - first + 1
+            while left and (piece := f.read(min(PIECE, left))):
+                self.wfile.write(piece)
+                left -= len(piece)
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+def server(folder: str, port: int = 0) -> ThreadingHTTPServer:
+    """A server for a folder on this machine only; call serve_forever()."""
+    return ThreadingHTTPServer(("127.0.0.1", port), partial(Handler, directory=folder))
