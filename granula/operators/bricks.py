@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granula.functions.storage import spread
+
 SIDE = 64
 
 
@@ -68,7 +70,7 @@ def intercepts(voxels: DataFrame, offsets: list[tuple[int, ...]], keys: list[str
     kind = dict(voxels.dtypes)
     schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"label {kind['label']}", *(f"c{k} long" for k in range(len(offsets)))])
     rows = bricked(voxels.select(*keys, "label", *axes), side, axes)
-    local = rows.groupBy(*keys, *names).applyInArrow(run, schema)
+    local = spread(rows, *keys, *names).groupBy(*keys, *names).applyInArrow(run, schema)
     return local.groupBy(*keys, "label").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(offsets))])
 
 
@@ -116,7 +118,7 @@ def local_components(voxels: DataFrame, offsets: list[tuple[int, ...]], side: in
 
     kind = dict(voxels.dtypes)
     schema = f"object_id {kind['object_id']}, entity {kind['entity']}, z int, y int, x int, own boolean, part struct<z: int, y: int, x: int>"
-    return bricked(voxels.select(*keys, "z", "y", "x"), side).groupBy(*keys, *names).applyInArrow(run, schema)
+    return spread(bricked(voxels.select(*keys, "z", "y", "x"), side), *keys, *names).groupBy(*keys, *names).applyInArrow(run, schema)
 
 
 def gaps(voxels: DataFrame, spacing: Sequence[float], reach: float, side: int = SIDE) -> DataFrame:
@@ -151,5 +153,5 @@ def gaps(voxels: DataFrame, spacing: Sequence[float], reach: float, side: int =
     kind = dict(voxels.dtypes)
     schema = f"object_id {kind['object_id']}, entity {kind['entity']}, label_a {kind['label']}, label_b {kind['label']}, gap_um double"
     rows = bricked(voxels.select(*keys, "label", "z", "y", "x"), side, halo=halo)
-    local = rows.groupBy(*keys, "bz", "by", "bx").applyInArrow(run, schema)
+    local = spread(rows, *keys, "bz", "by", "bx").groupBy(*keys, "bz", "by", "bx").applyInArrow(run, schema)
     return local.groupBy(*keys, "label_a", "label_b").agg(F.min("gap_um").alias("gap_um"))

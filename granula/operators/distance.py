@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import stored
+from granula.functions.storage import spread, stored
 
 FINE, COARSE, BINS = 4096, 128, 20
 #: Cells of a slab of planes, and comparisons of lines that are made directly.
@@ -108,9 +108,9 @@ def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], n
         return pa.table(out | {"d": values})
 
     columns = ", ".join(f"{c} int" for c in line)
-    lines = rows.groupBy("object_id", "target", "slab").applyInArrow(flat, f"{keys}, y int, z int, {columns}, d binary")
+    lines = spread(rows, "object_id", "target", "slab").groupBy("object_id", "target", "slab").applyInArrow(flat, f"{keys}, y int, z int, {columns}, d binary")
     lines = lines.withColumn("across", F.floor(F.col("y") / thick("z", "x")))
-    field = lines.groupBy("object_id", "target", "across").applyInArrow(deep, f"{keys}, z int, y int, x0 int, d array<double>")
+    field = spread(lines, "object_id", "target", "across").groupBy("object_id", "target", "across").applyInArrow(deep, f"{keys}, z int, y int, x0 int, d array<double>")
     # points meet the field by line: one row for each line of an object, as wide as its box
     wanted = points.select("object_id", F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), "x").groupBy("object_id", "z", "y").agg(F.collect_set("x").alias("xs"))
     met = wanted.join(field, ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(F.transform("xs", lambda x: F.struct(x.alias("x"), F.get("d", (x - F.col("x0")).cast("int")).alias("d")))).alias("p"))

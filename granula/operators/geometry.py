@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
+from granula.functions.storage import spread
 from granula.operators import morphology
 from granula.operators.distance import lower_envelope
 
@@ -219,7 +220,7 @@ def surfaces(voxels: DataFrame, spacing=(1.0, 1.0, 1.0), method: str = "surface_
         return pa.table(out | {"surface": pa.array([found[0]], pa.binary()), "surface_vertices": pa.array([found[1]], pa.int32()), "surface_elements": pa.array([found[2]], pa.int32())})
 
     kinds = ", ".join(f"{k} {dict(voxels.dtypes)[k]}" for k in keys)
-    return voxels.groupBy(*keys).applyInArrow(run, f"{kinds}, surface binary, surface_vertices int, surface_elements int")
+    return spread(voxels, *keys).groupBy(*keys).applyInArrow(run, f"{kinds}, surface binary, surface_vertices int, surface_elements int")
 
 
 def outlines(voxels: DataFrame, spacing=(1.0, 1.0)) -> DataFrame:
@@ -242,7 +243,7 @@ def outlines(voxels: DataFrame, spacing=(1.0, 1.0)) -> DataFrame:
         return pa.table(out | {"outline": pa.array([payload], pa.binary()), "outline_points": pa.array([len(points)], pa.int32())})
 
     kinds = ", ".join(f"{k} {dict(voxels.dtypes)[k]}" for k in keys)
-    return voxels.groupBy(*keys).applyInArrow(run, f"{kinds}, outline binary, outline_points int")
+    return spread(voxels, *keys).groupBy(*keys).applyInArrow(run, f"{kinds}, outline binary, outline_points int")
 
 
 def ellipsoids(found: DataFrame) -> DataFrame:

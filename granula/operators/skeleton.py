@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from granula.functions.storage import spread
+
 WINDOW, PASSES = 2, 2
 
 
@@ -264,4 +266,4 @@ def skeletons(voxels: DataFrame, spacing, factor: float = 1.0, cap: int = 2_000_
 
     kinds = dict(voxels.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", instance_branches int, instance_length_um double, instance_tortuosity double, tips array<array<double>>, skeleton binary"
-    return voxels.groupBy(*keys).applyInArrow(run, schema)
+    return spread(voxels, *keys).groupBy(*keys).applyInArrow(run, schema)

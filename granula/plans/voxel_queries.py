@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
+from granula.functions.storage import spread, stored
 from granula.operators import bricks, distance, geometry, graph, morphology, volumes
 from granula.operators.graph import neighbour_offsets
 from granula.sources import voxels as source
@@ -21,7 +22,8 @@ MASKS = ("cell", "nucleus")
 def vox(spark, sf_dir):
     """One object for each supplier, so the voxels grow with the scale factor."""
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return source.generated(suppliers.select(F.concat(F.lit("obj"), "s_suppkey").alias("object_id"), F.col("s_suppkey").alias("k")))
+    objects = suppliers.select(F.concat(F.lit("obj"), "s_suppkey").alias("object_id"), F.col("s_suppkey").alias("k"))
+    return source.generated(spread(objects, "object_id"))
 
 
 def rounded(df, places=6):
@@ -30,7 +32,7 @@ def rounded(df, places=6):
 
 def _field(spark, sf_dir, only=None):
     """Distances from all voxels of entities to the boundary of the cell, the nucleus and the mitos, or to one of them."""
-    v = vox(spark, sf_dir)
+    v = stored(vox(spark, sf_dir), "voxels")  # read several times
     targets = v.where("entity <> 'cell'").select("object_id", F.col("entity").alias("target"), "z", "y", "x")
     targets = targets.unionByName(distance.complement(v, "cell"))
     return v, distance.transform(targets.where(F.col("target") == only) if only else targets, v, S)
