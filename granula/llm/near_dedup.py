@@ -42,6 +42,8 @@ from granula.llm.components import components
 K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 100_000
 #: Rows whose texts and sets a Python worker holds at once, and parts of a long list in a join.
 HELD, SALTS = 256, 16
+#: Classes that can each hold more than one part in this many of all rows.
+MOST_LARGE = 1000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -262,14 +264,21 @@ def near_duplicates(
     """
     rows = stored(sketches(docs, width, k, extra), f"{name}-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
-    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(first.alias("first"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes.select("fp", "first.doc_id", "first.h", "n", "sketch"), f"{name}-classes")
+    classes = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(first.alias("first"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select("fp", "first.doc_id", "first.h", "n", "sketch", "copies"), f"{name}-classes")
     roots = components(links(docs, classes, width, percent, k, least, long_list, block, name), name)
-    of = classes.select("fp", "doc_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "root")
+    of = classes.select("fp", "doc_id", "copies").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "copies", "root")
     low = of.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("low"))
-    of = of.join(low, "root", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    of = of.join(low, "root", "left").select("fp", "copies", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
     more = [*extra, "component"] if extra else []
-    some = rows.where(F.col("fp").isNotNull()).join(of, "fp").select("doc_id", "n_shingles", "component_id", *more)
+    # classes with more than a thousandth of all rows, of which there are fewer than a thousand, meet their rows by broadcast; the others by a shuffle
+    of = stored(of, f"{name}-of")
+    large = F.col("copies") * MOST_LARGE > rows.count()
+    named = rows.where(F.col("fp").isNotNull()).select("doc_id", "n_shingles", "fp", *extra)
+    found = of.where(large).select("fp", "component", "component_id")
+    hot = named.join(F.broadcast(found), "fp")
+    cold = named.join(F.broadcast(found.select("fp")), "fp", "left_anti").join(of.where(~large), "fp")
+    some = hot.select("doc_id", "n_shingles", "component_id", *more).union(cold.select("doc_id", "n_shingles", "component_id", *more))
     none = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra, *[F.lit(None).cast("binary").alias("component")] * bool(extra))
     return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
