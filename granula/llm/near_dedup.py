@@ -11,7 +11,8 @@
 4. Long lists (over ``long_list`` classes) never emit their pairs. Lists that hold mostly
    the same classes are put together, cut into blocks of ``block`` classes within a band
    of set sizes, and each pair of blocks is one task: exact intersections by matrix
-   products over the full sets, of which only a spanning forest of links comes out.
+   products over the full sets. A block alone gives a spanning forest of its links, a pair
+   of blocks only the links that join components of the two.
 5. Connected components over all links.
 
 With k = 32 and least = 14 a pair at the threshold of 0.8 is missed with a probability of
@@ -225,11 +226,18 @@ def _forest(percent: int, chunk: int = 4096):
                 root[a] = a = root[root[a]]
             return a
 
+        # links within a block come from the task of that block alone; a pair of blocks gives only what joins their components
+        block = rows["band"].to_numpy().astype(np.int64) << 32 | rows["part"].to_numpy()
+        a, b = np.nonzero(np.triu(linked, 1))
+        inside = block[a] == block[b]
+        single = (block == block[0]).all()
         out = []
-        for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            if (x := find(int(a))) != (y := find(int(b))):
-                root[y] = x
-                out.append((fps[a], fps[b]))
+        for own in (True, False):
+            for x, y in zip(a[inside == own].tolist(), b[inside == own].tolist(), strict=True):
+                if (p := find(x)) != (q := find(y)):
+                    root[q] = p
+                    if single or not own:
+                        out.append((fps[x], fps[y]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
     return run
