@@ -252,7 +252,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int,
     needed = needed.join(classes.select("fp", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
     # by id and text, so that many rows with one id (or none) do not meet the representatives of others
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h"))).dropDuplicates(["fp"])
+    texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h")))
     sets = stored(full_sets(texts, width), f"{name}-sets")
     side = lambda s: sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"h{s}"))
     both = F.size(F.array_intersect("ha", "hb"))
