@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from granula.llm import lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
+from granula.llm import importance, lexical, lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+        "op11_lexical_search": lexical.op11_lexical_search,
+        "op13_importance": importance.op13_importance,
         "op2_media_columns": media.op2_media_columns,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_mixing": mixing.op4_mixing,
@@ -24,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     """The others have no SQL: their checksums, distances and merges are tested against plain Python."""
     return {
         "op1_url_filter": url_filter.ORACLE,
+        "op11_lexical_search": lexical.ORACLE,
         "op4_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_secret_scan": secret_scan.ORACLE,
