@@ -104,11 +104,11 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return texts.select(utf8(F.col("text")).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, name: str = "gains") -> np.ndarray:
     """One gain for each bucket: floor(1000 ln of the smoothed odds of the target)."""
     s, t = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in "st")
     both = bucket_counts(docs, buckets).withColumnRenamed("n", "s").join(bucket_counts(target, buckets).withColumnRenamed("n", "t"), "bucket", "full")
-    both = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(both, "bucket", "left")
+    both = stored(docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(both, "bucket", "left"), f"{name}-buckets")
     totals = both.agg(F.coalesce(F.sum(s), F.lit(0.0)).alias("all_s"), F.coalesce(F.sum(t), F.lit(0.0)).alias("all_t"))
     gain = F.floor(F.lit(1000.0) * F.log((t + 1) * (F.col("all_s") + buckets) / ((s + 1) * (F.col("all_t") + buckets)))).cast("long")
     found = both.crossJoin(F.broadcast(totals)).select("bucket", gain.alias("gain")).collect()  # one row of totals; ``buckets`` rows
@@ -193,7 +193,7 @@ def drawn(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORD
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, buckets: int = BUCKETS, seed: int = SEED, name: str = "resampled") -> DataFrame:
     """(row, doc_id, n_words, n_features, weight, score, rank) of ``docs`` (doc_id, text), drawn towards ``target`` (text)."""
-    return drawn(weighted(docs, gains(docs, target, buckets), seed), percent, least_words, name)
+    return drawn(weighted(docs, gains(docs, target, buckets, name), seed), percent, least_words, name)
 
 
 def op13_importance(spark, sf_dir: str) -> DataFrame:

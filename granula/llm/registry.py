@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granula.llm import importance, lexical, lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
+from granula.llm import cross_polytope, importance, lexical, lm_scoring, media, mixing, near_dedup, pii, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_neighbours": cross_polytope.op12_neighbours,
         "op13_importance": importance.op13_importance,
         "op2_media_columns": media.op2_media_columns,
         "op3_near_dedup": near_dedup.op3_near_dedup,
@@ -23,7 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others have no SQL: their checksums, distances and merges are tested against plain Python."""
+    """The others have no SQL: their checksums, distances, merges and approximate results are tested against plain Python."""
     return {
         "op1_url_filter": url_filter.ORACLE,
         "op11_lexical_search": lexical.ORACLE,
