@@ -1,7 +1,7 @@
-"""Graph measures of centre lines: chains, length, tortuosity, tips and spur pruning.
+"""Graph measures of one centre line: chains, length, tortuosity, tips and spur pruning.
 
-The numpy kernels take one skeleton (vertices in micrometres, edges, radii); ``metrics``
-applies them per instance in Arrow groups.
+The kernels take one skeleton (vertices in micrometres, edges, radii); ``branches`` has the same
+measures over tables of vertices and edges, for skeletons of any size.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from granula.functions.storage import spread
-
-WINDOW, PASSES = 2, 2
+from granula.operators.branches import PASSES, SPUR_FACTOR, WINDOW
 
 
 def _neighbours(n: int, edges: np.ndarray) -> list[list[int]]:
@@ -75,38 +74,25 @@ def graph_metrics(vertices: np.ndarray, edges: np.ndarray) -> tuple[int, float,
     return len(runs), cable_length(vertices, edges), weighted / total if total else None
 
 
-def pruned(vertices: np.ndarray, edges: np.ndarray, radii: np.ndarray, factor: float = 1.0) -> np.ndarray:
-    """Edges without end chains shorter than factor times the radius at their junction, the shortest first; a junction keeps two arms."""
+def pruned(vertices: np.ndarray, edges: np.ndarray, radii: np.ndarray, factor: float = SPUR_FACTOR) -> np.ndarray:
+    """Edges without end chains shorter than factor times the radius at their junction.
+
+    In a round each junction cuts its shortest (ties by the end) and keeps two arms; rounds go on until none is left.
+    """
     edges = edges.copy()
-    while True:
-        degree = np.bincount(edges.ravel(), minlength=len(vertices)) if len(edges) else np.zeros(len(vertices), int)
-        spurs = []
+    while len(edges) and factor > 0:
+        degree, spurs = np.bincount(edges.ravel(), minlength=len(vertices)), {}
         for run in chains(len(vertices), edges):
             run = run if degree[run[0]] == 1 else run[::-1]
             if degree[run[0]] == 1 and degree[run[-1]] > 2:
                 length = np.linalg.norm(np.diff(vertices[run], axis=0), axis=1).sum()
                 if length < factor * radii[run[-1]]:
-                    spurs.append((length, run))
-        if not spurs:
-            return edges
-        gone = {frozenset(p) for p in zip(min(spurs)[1], min(spurs)[1][1:], strict=False)}
+                    spurs.setdefault(run[-1], []).append((length, run))
+        gone = {frozenset(p) for junction, found in spurs.items() for _, run in sorted(found)[: degree[junction] - 2] for p in zip(run, run[1:], strict=False)}
+        if not gone:
+            break
         edges = np.array([e for e in edges.tolist() if frozenset(e) not in gone], int).reshape(-1, 2)
-
-
-def metrics(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(object_id, entity, label, instance_branches, instance_length_um, instance_tortuosity) from vertex rows (…, v, z, y, x) and edge rows (…, a, b)."""
-    keys = ["object_id", "entity", "label"]
-
-    def run(key, v, e):
-        import pandas as pd
-
-        order = v.sort_values("v")["v"].to_numpy()
-        points = v.sort_values("v")[["z", "y", "x"]].to_numpy(float)
-        found = np.searchsorted(order, e[["a", "b"]].to_numpy()) if len(e) else np.zeros((0, 2), int)
-        return pd.DataFrame([(*key, *graph_metrics(points, found))], columns=[*keys, "instance_branches", "instance_length_um", "instance_tortuosity"])
-
-    kinds = ", ".join(f"{k} {dict(vertices.dtypes)[k]}" for k in keys)
-    return vertices.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(run, f"{kinds}, instance_branches int, instance_length_um double, instance_tortuosity double")
+    return edges
 
 
 def plane_graph(mask: np.ndarray, spacing=(1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +212,7 @@ def smoothed_line(vertices: np.ndarray, edges: np.ndarray, radii: np.ndarray, pa
     return whole[:, :-1], whole[:, -1]
 
 
-def skeletons(voxels: DataFrame, spacing, factor: float = 1.0, cap: int = 2_000_000) -> DataFrame:
+def skeletons(voxels: DataFrame, spacing, factor: float = SPUR_FACTOR, cap: int = 500_000) -> DataFrame:
     """(object_id, entity, label, instance_branches, instance_length_um, instance_tortuosity, tips, skeleton) of each instance, traced in its own box grown by one.
 
     Three spacings trace volumes, two thin planes. Spurs shorter than ``factor`` radii are cut.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import contacts, polarity, scene, skeleton, stats
+from granula.operators import branches, contacts, polarity, scene, stats
 from granula.plans.voxel_queries import rounded
 
 R = 0.12
@@ -189,11 +189,30 @@ def cable_length(spark, sf_dir):
     return rounded(inst(spark, sf_dir).select("object_id").distinct().join(e, "object_id", "left").groupBy("object_id").agg(F.coalesce(F.sum("gap_um"), F.lit(0.0)).alias("length_um")), 5)
 
 
+def _graph(spark, sf_dir):
+    """(vertices, edges) of each entity's contact graph; a vertex's radius is the size of its instance."""
+    i = inst(spark, sf_dir)
+    edges = contacts.contact_pairs(i, R).select("object_id", "entity", F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    return i.select("object_id", "entity", F.col("label").alias("v"), "z", "y", "x", F.col("size").alias("radius")), edges
+
+
 def skeleton_metrics(spark, sf_dir):
     """Branches, length and tortuosity of each entity's contact graph read as a skeleton."""
-    i, e = inst(spark, sf_dir), contacts.contact_pairs(inst(spark, sf_dir), R)
-    vertices = i.select("object_id", "entity", F.lit(1).alias("label"), F.col("label").alias("v"), "z", "y", "x")
-    return skeleton.metrics(e.select("object_id", "entity", F.lit(1).alias("label"), F.col("label_a").alias("a"), F.col("label_b").alias("b")), vertices)
+    vertices, edges = _graph(spark, sf_dir)
+    return rounded(branches.metrics(edges, vertices, ["object_id", "entity"]))
+
+
+def skeleton_branches(spark, sf_dir):
+    """Every branch of these graphs: its ends, edges, length, and smoothed arc and chord."""
+    vertices, edges = _graph(spark, sf_dir)
+    keys = ["object_id", "entity"]
+    return rounded(branches.shapes(branches.chains(edges, keys), vertices, keys))
+
+
+def pruned_spurs(spark, sf_dir):
+    """The edges of these graphs that stay when ends shorter than their junction's radius are cut."""
+    vertices, edges = _graph(spark, sf_dir)
+    return branches.pruned(edges, vertices, ["object_id", "entity"], factor=1.0)
 
 
 def log_binomial(spark, sf_dir):
@@ -208,6 +227,22 @@ K = f"{C}, e AS (SELECT object_id, entity, label_a AS a, label_b AS b FROM p UNI
 RE = f"{K}, d AS (SELECT object_id, entity, label, CASE WHEN label % 7 <> 0 THEN round(d5, 3) END AS reach FROM i), q AS (SELECT object_id, entity, cluster, count(*) AS n, min(reach) AS reach FROM k JOIN d USING (object_id, entity, label) GROUP BY ALL HAVING count(*) >= 2)"
 U = f"{B}, u0 AS (SELECT *, sqrt(z*z + y*y + x*x) AS dist FROM i), u AS (SELECT *, z / dist AS nz, y / dist AS ny, x / dist AS nx, degrees(atan2(y / dist, x / dist)) AS az_deg, CASE WHEN count(CASE WHEN size > 0 THEN 1 END) OVER s = count(*) OVER s THEN size ELSE 1 END AS w FROM u0 WHERE dist > 0 WINDOW s AS (PARTITION BY object_id, entity))"
 SH = f"{B}, s AS (SELECT object_id, entity, label, d6 AS metric, size, CASE WHEN label % 3 = 0 THEN 'file' ELSE 'instance' END AS row_type, label % 7 <> 0 AS has_surface FROM i)"
+#: Walks from every vertex whose degree is not 2 over those whose degree is, in the direction that ends no later than it starts.
+WALK = (
+    f"{C}, e AS (SELECT object_id, entity, label_a AS a, label_b AS b FROM p UNION ALL SELECT object_id, entity, label_b, label_a FROM p), g AS (SELECT object_id, entity, a AS v, count(*) AS degree FROM e GROUP BY ALL), "
+    "w AS (SELECT e.object_id, e.entity, e.a AS s, e.b AS s1, e.a AS was, e.b AS v, 1 AS pos FROM e JOIN g ON g.object_id = e.object_id AND g.entity = e.entity AND g.v = e.a WHERE degree <> 2 "
+    "UNION ALL SELECT w.object_id, w.entity, s, s1, w.v, e.b, pos + 1 FROM w JOIN g ON g.object_id = w.object_id AND g.entity = w.entity AND g.v = w.v AND degree = 2 JOIN e ON e.object_id = w.object_id AND e.entity = w.entity AND e.a = w.v AND e.b <> w.was), "
+    "t AS (SELECT w.object_id, w.entity, s, s1, was AS t1, w.v AS t, pos AS n FROM w JOIN g ON g.object_id = w.object_id AND g.entity = w.entity AND g.v = w.v WHERE degree <> 2 AND (s < w.v OR s = w.v AND s1 <= was)), "
+    "l AS (SELECT t.*, pos, v FROM t JOIN (SELECT object_id, entity, s, s1, pos, v FROM w UNION ALL SELECT object_id, entity, s, s1, 0, s FROM w WHERE pos = 1) USING (object_id, entity, s, s1)), "
+    "l0 AS (SELECT l.*, z, y, x FROM l JOIN i ON i.label = l.v)"
+)
+_SOFT = "SELECT object_id, entity, s, s1, t1, t, n, pos, " + ", ".join(f"CASE WHEN pos = 0 OR pos = n THEN {c} ELSE avg({c}) OVER m END AS {c}" for c in "zyx") + " FROM {} WINDOW m AS (PARTITION BY object_id, entity, s, s1, t1, t ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+_ARC = "(SELECT object_id, entity, s, s1, t1, t, sum(d) AS {1} FROM (SELECT *, sqrt(power(z - lag(z) OVER m, 2) + power(y - lag(y) OVER m, 2) + power(x - lag(x) OVER m, 2)) AS d FROM {0} WINDOW m AS (PARTITION BY object_id, entity, s, s1, t1, t ORDER BY pos)) GROUP BY ALL)"
+SHAPES = (
+    f"{WALK}, m1 AS ({_SOFT.format('l0')}), m2 AS ({_SOFT.format('m1')}), "
+    f"b AS (SELECT f.object_id, f.entity, f.s, f.s1, f.t1, f.t, f.n, length_um, arc_um, sqrt(power(f.z - k.z, 2) + power(f.y - k.y, 2) + power(f.x - k.x, 2)) AS chord_um FROM l0 f JOIN l0 k USING (object_id, entity, s, s1, t1, t) "
+    f"JOIN {_ARC.format('l0', 'length_um')} USING (object_id, entity, s, s1, t1, t) JOIN {_ARC.format('m2', 'arc_um')} USING (object_id, entity, s, s1, t1, t) WHERE f.pos = 0 AND k.pos = k.n)"
+)
 G = "(SELECT entity, label, metric FROM s WHERE entity = 3 AND row_type = 'instance' AND has_surface ORDER BY {} LIMIT 12)"
 
 SQL = {
@@ -242,6 +277,8 @@ SQL = {
     "skeleton_degree": f"{C} SELECT object_id, v AS vertex, count(*) AS degree FROM (SELECT object_id, label_a AS v FROM p UNION ALL SELECT object_id, label_b FROM p) GROUP BY ALL",
     "skeleton_tips": f"{C} SELECT object_id, v AS vertex FROM (SELECT object_id, label_a AS v FROM p UNION ALL SELECT object_id, label_b FROM p) GROUP BY ALL HAVING count(*) = 1",
     "cable_length": f"{C} SELECT o.object_id, round(coalesce(sum(gap_um), 0), 5) AS length_um FROM (SELECT DISTINCT object_id FROM i) o LEFT JOIN p USING (object_id) GROUP BY ALL",
+    "skeleton_branches": f"{SHAPES} SELECT object_id, entity, s, s1, t1, t, n, round(length_um, 6) AS length_um, round(arc_um, 6) AS arc_um, round(chord_um, 6) AS chord_um FROM b",
+    "skeleton_metrics": f"{SHAPES}, k AS (SELECT object_id, entity, count(*) AS runs, sum(arc_um) FILTER (chord_um > 0) AS arc, sum(arc_um * arc_um / chord_um) FILTER (chord_um > 0) AS bent FROM b GROUP BY ALL), c0 AS (SELECT object_id, entity, sum(gap_um) AS len FROM p GROUP BY ALL) SELECT object_id, entity, (CASE WHEN len IS NULL THEN 0 ELSE coalesce(runs, 1) END)::INT AS instance_branches, round(coalesce(len, 0), 6) AS instance_length_um, round(bent / arc, 6) AS instance_tortuosity FROM (SELECT DISTINCT object_id, entity FROM i) LEFT JOIN k USING (object_id, entity) LEFT JOIN c0 USING (object_id, entity)",
     "log_binomial": f"{B}, n AS (SELECT entity, count(*) AS n FROM i GROUP BY ALL) SELECT entity, n, round((SELECT sum(ln(n - s)) - sum(ln(s + 1)) FROM range(5) x(s)), 6) AS ln_binomial FROM n",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "skeleton_metrics"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "pruned_spurs"]}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granula.operators import geometry, skeleton
+from granula.operators import branches, geometry, skeleton
 from granula.sources import images, reports
 
 
@@ -87,4 +87,4 @@ def test_skeleton_measures(spark):
     assert len(skeleton.chains(3, ring)) == 1 and skeleton.tips(3, ring) == []
     v = spark.createDataFrame([("o", "e", 1, k, *map(float, p)) for k, p in enumerate(line)], "object_id string, entity string, label int, v int, z double, y double, x double")
     e = spark.createDataFrame([("o", "e", 1, *map(int, p)) for p in edges], "object_id string, entity string, label int, a int, b int")
-    assert tuple(skeleton.metrics(e, v).first())[3:] == (1, 4.0, pytest.approx(1.0))
+    assert tuple(branches.metrics(e, v).first())[3:] == (1, 4.0, pytest.approx(1.0))
