@@ -45,7 +45,7 @@ SLICE, ITEMS = 4096, 512
 #: Up to so many asked terms travel with the tasks that read documents; more meet them in a join alone.
 SHIPPED = 200_000
 #: Lists that a Python worker holds at once.
-HELD_LISTS = 1024
+HELD_LISTS = 256
 #: The list that holds every document.
 ALL = ""
 
