@@ -7,17 +7,19 @@ through running counts over ranges of the pooled values.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.functions.prefix import running_sums
+from granula.functions.storage import spread, stored
 
 #: Samples of at most this size together are tested exactly.
 EXACT = 20
+#: Pivots between two bounds in a round of selection.
+PIVOTS = 15
 
 
 def object_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -25,38 +27,39 @@ def object_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.median(value).alias("value"))
 
 
-def pairs(groups: DataFrame) -> DataFrame:
-    """All unordered pairs of the group names, n (n - 1) / 2 rows; names are few."""
-    a, b = groups.select(F.col("group").alias("group_a")), groups.select(F.col("group").alias("group_b"))
+def pairs(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All unordered pairs of the group names, n (n - 1) / 2 rows; with ``by`` within each of its values. Names are few."""
+    a, b = groups.select(*by, F.col("group").alias("group_a")), groups.select(*by, F.col("group").alias("group_b"))
+    if by:
+        return a.join(b, [*by]).where(F.col("group_a") < F.col("group_b"))
     return a.join(F.broadcast(b), F.col("group_a") < F.col("group_b"))
 
 
-def _pooled(values: DataFrame) -> DataFrame:
-    names = pairs(values.select("group").distinct())
-    side = lambda g, first: names.join(values, F.col(g) == F.col("group")).select("group_a", "group_b", "value", F.lit(first).alias("first"))
-    return side("group_a", 1).union(side("group_b", 0))
-
-
-def value_counts(values: DataFrame) -> DataFrame:
-    """(group_a, group_b, value, na, nb): how often each value occurs on either side of each pair."""
-    counts = values.where("value is not null").groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))
-    names = pairs(values.select("group").distinct())
-    side = lambda g, na, nb: names.join(counts, F.col(g) == F.col("group")).select("group_a", "group_b", "value", na.alias("na"), nb.alias("nb"))
+def value_counts(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, group_a, group_b, value, na, nb): how often each value occurs on either side of each pair."""
+    counts = values.where("value is not null").groupBy(*by, "group", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = pairs(values.select(*by, "group").distinct(), by)
+    to = lambda g: counts.select(*by, F.col("group").alias(g), "value", "n")
+    side = lambda g, na, nb: names.join(to(g), [*by, g]).select(*by, "group_a", "group_b", "value", na.alias("na"), nb.alias("nb"))
     none = F.lit(0).cast("long")
     both = side("group_a", F.col("n"), none).union(side("group_b", none, F.col("n")))
-    return both.groupBy("group_a", "group_b", "value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    return both.groupBy(*by, "group_a", "group_b", "value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
 
 
-def rank_sums(values: DataFrame, name: str = "ranks") -> DataFrame:
-    """U of group_a, sizes and the tie term of each pair, from running counts over ranges of values."""
-    met = running_sums(value_counts(values), ["group_a", "group_b"], "value", "nb", name)
+def _summed(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    met = running_sums(counts, [*by, "group_a", "group_b"], "value", "nb", name)
     tied = (F.col("na") + F.col("nb")).cast("double")
-    return met.groupBy("group_a", "group_b").agg(
+    return met.groupBy(*by, "group_a", "group_b").agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"),
         F.sum(F.col("na") * (F.col("below") + F.col("nb") / 2)).alias("u"), F.sum(tied * (tied * tied - 1)).alias("ties"),
     )
 
 
+def rank_sums(values: DataFrame, name: str = "ranks", by: Sequence[str] = ()) -> DataFrame:
+    """U of group_a, sizes and the tie term of each pair, from running counts over ranges of values."""
+    return _summed(value_counts(values, by), by, name)
+
+
 def log_binomial(n: Column, k: Column) -> Column:
     """ln C(n, k) as a sum of k logarithms; null for k > n."""
     terms = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -69,47 +72,65 @@ def p_floor(sums: DataFrame) -> DataFrame:
     return sums.withColumn("p_min", least).withColumn("floor", F.col("p_min") >= 0.05)
 
 
-def mann_whitney(values: DataFrame) -> DataFrame:
-    """Two-sided p per pair: exact for small samples without ties, by all splits for small ones with ties, else the tie-corrected normal with continuity; null for groups under two or values all alike."""
-    by = ["group_a", "group_b"]
-    small = rank_sums(values)
-    bounded = F.when(F.col("n_a") + F.col("n_b") <= EXACT, F.lit(True)).otherwise(F.lit(False))
-    pooled = _pooled(values).join(small.select(*by, bounded.alias("small")), by)
-    few = pooled.where("small").groupBy(*by).agg(F.collect_list("value").alias("v"), F.collect_list("first").alias("f"))  # EXACT values at most
+def doubled_ranks(ties: Column) -> Column:
+    """Twice the ranks of pooled values, of which ``ties`` counts those that are alike, by rising value; all alike share their mean rank."""
+    before = lambda j: F.aggregate(F.slice(ties, F.lit(1), j), F.lit(0), lambda a, t: a + t)
+    return F.flatten(F.transform(ties, lambda t, j: F.array_repeat(2 * before(j) + t + 1, t)))
 
-    @F.pandas_udf("double")
-    def exact(v, f):
-        import numpy as np
-        import pandas as pd
-
-        def one(x, first):
-            # distribution of doubled rank sums over all splits: a count for each size and sum
-            x, first = np.asarray(x), np.asarray(first).astype(bool)
-            _, back, n = np.unique(x, return_inverse=True, return_counts=True)
-            if len(n) < 2 or min(first.sum(), (~first).sum()) < 2:
-                return None
-            rank2 = (2 * (np.cumsum(n) - n) + n + 1)[back]
-            k, total = int(first.sum()), int(rank2.sum())
-            ways = np.zeros((k + 1, total + 1))
-            ways[0, 0] = 1
-            for r in rank2:
-                ways[1:, r:] += ways[:-1, : total + 1 - r].copy()
-            centre = total * k / len(x)
-            far = np.abs(np.arange(total + 1) - centre) >= abs(rank2[first].sum() - centre) - 1e-9
-            return min(1.0, ways[k, far].sum() / ways[k].sum())
-
-        return pd.Series([one(a, b) for a, b in zip(v, f, strict=True)], dtype="float64")
+
+def exact_ways(ranks: Column, chosen: Column, width: Column) -> Column:
+    """How many choices of ``chosen`` of the doubled ``ranks`` give each sum 0, 1, 2, ... below ``width``.
+
+    The values are added one after the other to a table of counts by number and sum.
+    """
+    start = F.transform(F.sequence(F.lit(0), (chosen + 1) * width - 1), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    more = lambda ways, r, i: F.when(i % width >= r, F.coalesce(F.get(ways, i - width - r), F.lit(0.0))).otherwise(F.lit(0.0))
+    full = F.aggregate(ranks, start, lambda ways, r: F.transform(ways, lambda w, i: w + more(ways, r, i)))
+    return F.slice(full, chosen * width + 1, width)
+
+
+def exact_p(ways: Column, n_a: Column, n: Column, doubled: Column) -> Column:
+    """Two-sided p: the share of all choices whose doubled rank sum is as far from the middle as ``doubled`` or farther."""
+    centre = n_a * (n + 1)
+    far = F.transform(ways, lambda w, s: F.when(F.abs(s - centre) >= F.abs(doubled - centre) - 1e-9, w).otherwise(F.lit(0.0)))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, w: a + w)
+    return F.least(F.lit(1.0), total(far) / total(ways))
+
+
+def mann_whitney(values: DataFrame, by: Sequence[str] = (), exact: int = EXACT, name: str = "ranks") -> DataFrame:
+    """(by, group_a, group_b, n_a, n_b, u, p, method): two-sided p of each pair.
+
+    Up to ``exact`` values together the p is exact, over all splits with mean ranks where values
+    tie (method "exact" without ties, else "permutation"); the counts of rank sums are worked
+    out once for each size and pattern of ties, whatever the number of pairs that share it.
+    Larger ones take the tie-corrected normal with continuity ("asymptotic"). Null for groups
+    under two or values all alike.
+    """
+    keys = [*by, "group_a", "group_b"]
+    counts = stored(value_counts(values, by), f"{name}-counts")
+    sums = stored(_summed(counts, by, name), f"{name}-sums")
+    n = F.col("n_a") + F.col("n_b")
+    testable = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
+    few = counts.join(sums.where(testable & (n <= exact)).select(*keys), keys, "left_semi").groupBy(*keys)
+    alike = F.transform(F.sort_array(F.collect_list(F.struct("value", (F.col("na") + F.col("nb")).cast("int").alias("n")))), lambda x: x["n"])
+    few = stored(few.agg(alike.alias("tied")).where(F.size("tied") > 1), f"{name}-tied")  # ``exact`` values at most
+    few = few.join(sums, keys)
+    tables = few.select("tied", F.col("n_a").cast("int").alias("k"), (n * (n + 1) + 1).cast("int").alias("width")).distinct()
+    tables = stored(spread(tables.withColumn("ranks", doubled_ranks(F.col("tied"))), "tied", "k"), f"{name}-patterns")
+    tables = stored(tables.select("tied", "k", exact_ways(F.col("ranks"), F.col("k"), F.col("width")).alias("ways")), f"{name}-ways")
+    doubled = 2 * F.col("u") + F.col("n_a") * (F.col("n_a") + 1)
+    found = few.join(tables, (few["tied"] == tables["tied"]) & (F.col("n_a") == F.col("k"))).select(*keys, exact_p(F.col("ways"), F.col("n_a"), n, doubled).alias("p_exact"))
 
     @F.pandas_udf("double")
     def upper_tail(z):
         return 0.5 * z.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore").astype("float64")
 
-    n = F.col("n_a") + F.col("n_b")
-    spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = F.try_divide(F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2) - 0.5), spread)
-    tested = small.join(few.select(*by, exact("v", "f").alias("p_exact")), by, "left")
-    normal = F.when((F.col("n_a") >= 2) & (F.col("n_b") >= 2) & (spread > 0), F.least(F.lit(1.0), 2 * upper_tail(z)))
-    return tested.select(*by, "n_a", "n_b", "u", F.when(n <= EXACT, F.col("p_exact")).otherwise(normal).alias("p"))
+    deviation = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    z = F.try_divide(F.greatest(F.lit(0.0), F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2) - 0.5), deviation)
+    normal = F.when(testable & (deviation > 0), F.least(F.lit(1.0), 2 * upper_tail(z)))
+    p = F.when(n <= exact, F.col("p_exact")).otherwise(normal)
+    method = F.when(p.isNull(), None).when(n > exact, "asymptotic").when(F.col("ties") > 0, "permutation").otherwise("exact")
+    return sums.join(found, keys, "left").select(*keys, "n_a", "n_b", "u", p.alias("p"), method.alias("method"))
 
 
 def effect(values: DataFrame) -> DataFrame:
@@ -117,43 +138,74 @@ def effect(values: DataFrame) -> DataFrame:
     return rank_sums(values).select("group_a", "group_b", F.try_divide(2 * F.col("u") - F.col("n_a") * F.col("n_b"), F.col("n_a") * F.col("n_b")).alias("delta"))
 
 
-def kth_difference(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, k: int) -> float:
-    """The k-th least (from 0) of all a - b, each value as often as it counts; values ascend.
-
-    Bisection on the difference: a step counts the pairs up to it in linear time.
-    """
-    upto = np.concatenate([[0], np.cumsum(nb)])
-    low, high = a[0] - b[-1], a[-1] - b[0]
-    low = np.nextafter(low, -np.inf)
-    while low < high:
-        middle = low + (high - low) / 2
-        if middle in (low, high):
-            break
-        pairs_upto = (na * (upto[-1] - upto[np.searchsorted(b, a - middle, "left")])).sum()
-        low, high = (low, middle) if pairs_upto > k else (middle, high)
-    # of each a the difference next above the lower end
-    at = np.searchsorted(b, a - low, "left") - 1
-    return float((a[at >= 0] - b[at[at >= 0]]).min())
-
-
-def shift(values: DataFrame) -> DataFrame:
-    """Median of all differences a - b of each pair.
-
-    A pair is one task over its distinct values (one value per object comes in), by bisection
-    and never over all differences.
+def _counted(asked: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, k, p, n, m): for each of ``asked`` (keys, k, p) the pairs and the distinct pairs (a, b) with b >= a - p."""
+    none = F.lit(0).cast("long")
+    left = a.join(asked, keys).select(*keys, "k", "p", (F.col("x") - F.col("p")).alias("v"), F.col("n").alias("na"), (none + 1).alias("ma"), none.alias("nb"), none.alias("mb"))
+    right = b.join(asked, keys).select(*keys, "k", "p", F.col("y").alias("v"), none.alias("na"), none.alias("ma"), F.col("n").alias("nb"), (none + 1).alias("mb"))
+    at = [*keys, "k", "p"]
+    met = left.union(right).groupBy(*at, "v").agg(*[F.sum(c).alias(c) for c in ("na", "ma", "nb", "mb")])
+    # one running sum for both: the counts of values and of distinct values of b, side by side
+    met = running_sums(met.withColumn("both", F.col("nb").cast("decimal(20,0)") * F.lit(10**16).cast("decimal(17,0)") + F.col("mb")), at, "v", "both", name)
+    above = (F.col("total") - F.col("below")).cast("decimal(38,0)")
+    nb = F.floor(above / F.lit(10**16).cast("decimal(17,0)")).cast("long")
+    mb = (above % F.lit(10**16).cast("decimal(17,0)")).cast("long")
+    return met.groupBy(*at).agg(F.sum(F.col("na") * nb).alias("n"), F.sum(F.col("ma") * mb).alias("m"))
+
+
+def shift(values: DataFrame, by: Sequence[str] = (), pivots: int = PIVOTS, name: str = "shift") -> DataFrame:
+    """(by, group_a, group_b, shift): the median of all differences a - b of each pair.
+
+    Selection by rounds: between two bounds that enclose the wanted difference lie equally spaced pivots,
+    and running counts over ranges of the pooled values tell how many differences each has
+    below. Bounds close in until they enclose no more distinct pairs of values than a few times
+    the distinct values; only these are listed, by a join of value ranges. No task holds a
+    group, and not all differences are ever listed.
     """
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("value")
-        value, na, nb = (rows[c].to_numpy() for c in ("value", "na", "nb"))
-        a, b = (value[na > 0], na[na > 0]), (value[nb > 0], nb[nb > 0])
-        n = int(a[1].sum() * b[1].sum())
-        middle = [kth_difference(*a, *b, k) for k in {(n - 1) // 2, n // 2}] if n else []
-        return pa.table({"group_a": pa.array([key[0]], rows.schema.field("group_a").type), "group_b": pa.array([key[1]], rows.schema.field("group_b").type), "shift": pa.array([sum(middle) / len(middle) if middle else None], pa.float64())})
-
-    rows = value_counts(values.withColumn("value", F.col("value").cast("double")))
-    kind = dict(rows.dtypes)
-    return rows.groupBy("group_a", "group_b").applyInArrow(run, f"group_a {kind['group_a']}, group_b {kind['group_b']}, shift double")
+    keys = [*by, "group_a", "group_b"]
+    counts = stored(value_counts(values.withColumn("value", F.col("value").cast("double")), by), f"{name}-counts")
+    a = counts.where("na > 0").select(*keys, F.col("value").alias("x"), F.col("na").alias("n"))
+    b = counts.where("nb > 0").select(*keys, F.col("value").alias("y"), F.col("nb").alias("n"))
+    size = counts.groupBy(*keys).agg(
+        F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum((F.col("na") > 0).cast("long")).alias("ma"), F.sum((F.col("nb") > 0).cast("long")).alias("mb"),
+        (F.min(F.when(F.col("na") > 0, F.col("value"))) - F.max(F.when(F.col("nb") > 0, F.col("value")))).alias("low"),
+        (F.max(F.when(F.col("na") > 0, F.col("value"))) - F.min(F.when(F.col("nb") > 0, F.col("value")))).alias("high"),
+    )
+    n = F.col("na") * F.col("nb")
+    middle = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))  # places from 0
+    room = (F.abs("low") + F.abs("high") + 1) * 1e-9
+    state = size.where((F.col("na") > 0) & (F.col("nb") > 0)).select(
+        *keys, F.explode(middle).alias("k"), (F.col("low") - room).alias("low"), (F.col("high") + room).alias("high"), F.lit(0).cast("long").alias("n_low"), F.lit(0).cast("long").alias("m_low"),
+        (F.col("ma") * F.col("mb")).alias("m_high"), (4 * (F.col("ma") + F.col("mb")) + 1000).alias("few"),
+    )
+    state = stored(state, f"{name}-state")
+    step = (F.col("high") - F.col("low")) / (pivots + 1)
+    is_open = (F.col("m_high") - F.col("m_low") > F.col("few")) & (F.col("low") + step > F.col("low")) & (F.col("high") - step < F.col("high"))
+    while not state.where(is_open).isEmpty():
+        asked = state.where(is_open).select(*keys, "k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(pivots)), lambda j: F.col("low") + step * j)).alias("p"))
+        met = _counted(stored(asked, f"{name}-pivots"), a, b, keys, name)
+        under = F.max(F.when(F.col("n") <= F.col("k"), F.struct("p", "n", "m"))).alias("under")
+        over = F.min(F.when(F.col("n") > F.col("k"), F.struct("p", "m"))).alias("over")
+        met = met.groupBy(*keys, "k").agg(under, over)
+        moved = state.join(met, [*keys, "k"], "left").select(
+            *keys, "k", F.coalesce("under.p", "low").alias("low"), F.coalesce("over.p", "high").alias("high"), F.coalesce("under.n", "n_low").alias("n_low"), F.coalesce("under.m", "m_low").alias("m_low"),
+            F.coalesce("over.m", "m_high").alias("m_high"), "few",
+        )
+        state = stored(moved, f"{name}-state")
+    # the pairs between the bounds: values b from a - high up to, but without, a - low; a wide cell of values holds those of one a or its neighbour
+    wide = F.col("high") - F.col("low")
+    held = state.select(*keys, "k", "low", "high", "n_low", wide.alias("wide"))
+    cell = lambda v: F.floor(v / F.col("wide")).cast("long")
+    x = a.withColumnRenamed("n", "na").join(held, keys)
+    x = x.withColumn("from", F.col("x") - F.col("high")).withColumn("to", F.col("x") - F.col("low"))
+    x = x.withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))))
+    y = b.withColumnRenamed("n", "nb").join(held.select(*keys, "k", "wide"), keys).withColumn("cell", cell(F.col("y")))
+    near = x.join(y.select(*keys, "k", "cell", "y", "nb"), [*keys, "k", "cell"]).where((F.col("y") >= F.col("from")) & (F.col("y") < F.col("to")))
+    listed = near.groupBy(*keys, "k", "n_low", (F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+    placed = running_sums(listed, [*keys, "k", "n_low"], "d", "n", f"{name}-listed")
+    at = F.col("k") - F.col("n_low")
+    found = placed.where((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).groupBy(*keys).agg(F.avg("d").alias("shift"))
+    return size.select(*keys).join(found, keys, "left")
 
 
 def ecdf(rows: DataFrame, by: list[str], value: str, name: str = "ecdf") -> DataFrame:
@@ -239,15 +291,24 @@ def significance_label(p: Column) -> Column:
 
 
 def plan(values: DataFrame) -> DataFrame:
-    """(group_a, group_b, n_a, n_b, reason): all pairs of groups, with the reason where a pair cannot be tested; none if no group can."""
+    """(group_a, group_b, n_a, n_b, reason): all pairs of groups, with the reason where a pair cannot be tested, the size first; none if no group can."""
     sizes = values.where("value is not null").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     testable = sizes.where("n >= 2").agg(F.count(F.lit(1)).alias("testable")).where("testable > 0")
     a, b = (sizes.select(F.col("group").alias(f"group_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     found = a.join(b, F.col("group_a") < F.col("group_b")).join(F.broadcast(testable))
-    reason = F.when((F.col("n_a") < 2) & (F.col("n_b") < 2), "both groups have one object").when(F.col("n_a") < 2, F.concat("group_a", F.lit(" has one object"))).when(F.col("n_b") < 2, F.concat("group_b", F.lit(" has one object")))
+    reason = F.when((F.col("n_a") < 2) & (F.col("n_b") < 2), "1 object in both groups").when(F.col("n_a") < 2, F.concat(F.lit("1 object in "), "group_a")).when(F.col("n_b") < 2, F.concat(F.lit("1 object in "), "group_b"))
     return found.select("group_a", "group_b", "n_a", "n_b", reason.alias("reason"))
 
 
+def untested_line(planned: DataFrame) -> DataFrame:
+    """(line, rungs): one line for all pairs of ``planned`` (as of plan()) without a test, naming each group that is too small once, and the rungs over the groups: one for each tested pair and one for the line. No line if all are tested."""
+    small = planned.where("reason is not null").select(F.explode(F.array(F.struct(F.col("group_a").alias("g"), F.col("n_a").alias("n")), F.struct(F.col("group_b").alias("g"), F.col("n_b").alias("n")))).alias("x"))
+    names = small.select("x.*").where("n < 2").distinct().agg(F.array_sort(F.collect_list(F.format_string("%s (%d object)", "g", "n"))).alias("names"))  # groups are few
+    line = F.when(F.size("names") > 0, F.concat(F.lit("not tested: "), F.array_join("names", ", ")))
+    tested = planned.agg(F.count_if(F.col("reason").isNull()).alias("tested"), F.count(F.lit(1)).alias("all"))
+    return names.join(F.broadcast(tested)).select(line.alias("line"), (F.col("tested") + (F.col("all") > F.col("tested")).cast("long")).alias("rungs"))
+
+
 def rungs(tested: DataFrame) -> DataFrame:
     """(group_a, group_b, rung): heights of the brackets over a row of groups, so that brackets of one height do not overlap: by span, then by place.
 

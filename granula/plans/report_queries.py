@@ -212,6 +212,12 @@ def test_plan(spark, sf_dir):
     return stats.plan(tq._values(spark, sf_dir).unionByName(lone))
 
 
+def untested_line(spark, sf_dir):
+    """The line under the plot where small nations of suppliers cannot be tested; every nation is a group of its suppliers' balances."""
+    s = t(spark, sf_dir, "supplier")
+    return stats.untested_line(stats.plan(s.select(F.col("s_nationkey").cast("string").alias("group"), F.col("s_acctbal").alias("value"))))
+
+
 def bracket_rungs(spark, sf_dir):
     return stats.rungs(stats.pairs(tq._values(spark, sf_dir).select("group").distinct()))
 
@@ -279,7 +285,8 @@ SQL = {
     "drawn_curve": f"WITH {tq.EV}, c AS (SELECT structure, value, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT structure, value, 100 * sum(n) OVER (PARTITION BY structure ORDER BY value) / sum(n) OVER (PARTITION BY structure) AS percent FROM c), s AS (SELECT *, ceil(round(percent * 20 / 100, 9))::BIGINT AS step FROM p) SELECT structure, 0 AS step, min(value) AS value, 0.0 AS percent FROM p GROUP BY 1 UNION ALL SELECT structure, step, max(value), round(max(percent), 6) FROM s GROUP BY ALL",
     "extent_gap": f"{V}, {vq._dist_sql()}, {vq._MIN}, r AS (SELECT target, round(distance_um, 6) AS a, round(distance_mean_um, 6) AS b FROM d), g2 AS (SELECT target, median(b - a) AS g FROM r GROUP BY 1) SELECT target, round(g, 5) AS extent_gap_um, round(greatest(0, 0.2 - g), 5) AS corrected_um FROM g2",
     "significance": f"WITH q AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN power(10.0, -(p_partkey % 6)) / 2 END AS p FROM part) SELECT p_partkey, {_STARS} AS stars, CASE WHEN p IS NULL THEN 'untested' ELSE {_STARS} || ' · ' || CASE WHEN p < 1e-4 THEN 'p < 0.0001' ELSE 'p = ' || printf('%.4f', p) END END AS label FROM q",
-    "test_plan": f"WITH {tq.EV}, v AS (SELECT structure AS g, object_id FROM e GROUP BY ALL), n AS (SELECT g, count(*) AS n FROM v GROUP BY g UNION ALL SELECT 'alone', 1) SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, CASE WHEN a.n < 2 AND b.n < 2 THEN 'both groups have one object' WHEN a.n < 2 THEN a.g || ' has one object' WHEN b.n < 2 THEN b.g || ' has one object' END AS reason FROM n a JOIN n b ON a.g < b.g",
+    "test_plan": f"WITH {tq.EV}, v AS (SELECT structure AS g, object_id FROM e GROUP BY ALL), n AS (SELECT g, count(*) AS n FROM v GROUP BY g UNION ALL SELECT 'alone', 1) SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, CASE WHEN a.n < 2 AND b.n < 2 THEN '1 object in both groups' WHEN a.n < 2 THEN '1 object in ' || a.g WHEN b.n < 2 THEN '1 object in ' || b.g END AS reason FROM n a JOIN n b ON a.g < b.g",
+    "untested_line": "WITH n AS (SELECT s_nationkey::VARCHAR AS g, count(*) AS n FROM supplier GROUP BY 1), p AS (SELECT a.n AS na, b.n AS nb FROM n a JOIN n b ON a.g < b.g WHERE (SELECT max(n) FROM n) > 1) SELECT (SELECT 'not tested: ' || string_agg(g || ' (1 object)', ', ' ORDER BY g || ' (1 object)') FROM n WHERE n < 2 AND EXISTS (SELECT 1 FROM p)) AS line, count(*) FILTER (na > 1 AND nb > 1) + (count(*) FILTER (na < 2 OR nb < 2) > 0)::BIGINT AS rungs FROM p",
     "bracket_rungs": f"WITH {tq.EV}, n AS (SELECT structure AS g, row_number() OVER (ORDER BY structure) AS k FROM e GROUP BY 1) SELECT a.g AS group_a, b.g AS group_b, row_number() OVER (ORDER BY b.k - a.k, a.k) AS rung FROM n a JOIN n b ON a.g < b.g",
     "geometry_owners": "SELECT s_suppkey AS object_id, 'supplier.parquet' AS file FROM supplier UNION SELECT n_nationkey + 1000000, 'nation.parquet' FROM nation",
     "deep_columns": "SELECT l_returnflag AS contact_entity, count(*) AS n, max(l_tax) AS gap FROM lineitem GROUP BY 1",

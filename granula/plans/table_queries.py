@@ -230,9 +230,43 @@ def mann_whitney_p(spark, sf_dir):
     return rounded(stats.mann_whitney(_values(spark, sf_dir)).select("group_a", "group_b", "n_a", "n_b", "u", "p"))
 
 
+def _statuses(spark, sf_dir):
+    """Orders of each customer, grouped by status; prices in ten thousands, so that many tie."""
+    o = t(spark, sf_dir, "orders")
+    return o.select("o_custkey", F.col("o_orderstatus").alias("group"), F.round(F.col("o_totalprice") / 10000).alias("value"))
+
+
+def exact_rank_test(spark, sf_dir):
+    """Rank tests within each customer: thousands of small samples with ties."""
+    return rounded(stats.mann_whitney(_statuses(spark, sf_dir), ["o_custkey"], name="exact").where("method <> 'asymptotic'"))
+
+
+def small_shifts(spark, sf_dir):
+    """Shifts within each customer between its order statuses."""
+    return rounded(stats.shift(_statuses(spark, sf_dir), ["o_custkey"]))
+
+
 EV = "e AS (SELECT user_id AS object_id, event_type AS structure, round(value, 2) AS value FROM events)"
 CN = f"WITH {EV}, c AS (SELECT structure, least(9, floor(value / 20))::INT AS bin, count(*) AS n FROM e GROUP BY ALL)"
 MD = "m AS (SELECT structure, (bin + (half - (cum - n)) / n) * 20.0 AS median FROM (SELECT *, sum(n) OVER (PARTITION BY structure ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY structure) / 2 AS half FROM c) WHERE cum >= half QUALIFY row_number() OVER (PARTITION BY structure ORDER BY bin) = 1)"
+#: The exact p of every pair of a customer's order statuses: counts of rank sums by pattern of ties, value by value.
+EXACT_SQL = """
+WITH RECURSIVE v AS (SELECT o_custkey, o_orderstatus AS g, round(o_totalprice / 10000) AS x FROM orders),
+n AS (SELECT o_custkey, g, count(*) AS n FROM v GROUP BY ALL),
+p AS (SELECT a.o_custkey, a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND a.g < b.g),
+u AS (SELECT p.*, (SELECT sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) FROM v a JOIN v b ON a.o_custkey = p.o_custkey AND b.o_custkey = p.o_custkey AND a.g = group_a AND b.g = group_b)::DOUBLE AS u FROM p),
+k AS (SELECT p.o_custkey, group_a, group_b, n_a, x, count(*) AS m FROM p JOIN v ON v.o_custkey = p.o_custkey AND v.g IN (group_a, group_b) WHERE n_a >= 2 AND n_b >= 2 AND n_a + n_b <= 20 GROUP BY ALL),
+t AS (SELECT o_custkey, group_a, group_b, n_a, list(m ORDER BY x) AS tied FROM k GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT DISTINCT tied, n_a FROM t),
+r AS (SELECT tied, n_a, unnest(flatten(list_transform(range(1, len(tied) + 1), lambda j: list_transform(range(tied[j]), lambda z: 2 * coalesce(list_sum(tied[1:j - 1]), 0)::BIGINT + tied[j] + 1)))) AS r FROM d),
+i AS (SELECT tied, n_a, r::BIGINT AS r, row_number() OVER (PARTITION BY tied, n_a ORDER BY r) AS i FROM r),
+w AS (SELECT tied, n_a, 0::BIGINT AS i, 0::BIGINT AS c, 0::BIGINT AS s, 1::DOUBLE AS ways FROM d
+  UNION ALL SELECT w.tied, w.n_a, i.i, w.c + b.b, w.s + b.b * i.r, sum(ways) FROM w JOIN i ON i.tied = w.tied AND i.n_a = w.n_a AND i.i = w.i + 1 JOIN (VALUES (0::BIGINT), (1::BIGINT)) b(b) ON w.c + b.b <= w.n_a GROUP BY ALL),
+f AS (SELECT tied, n_a, s, ways FROM w WHERE c = n_a AND i = list_sum(tied)),
+o AS (SELECT t.*, n_b, u, 2 * u + t.n_a * (t.n_a + 1) AS r2, t.n_a * (t.n_a + n_b + 1) AS mid FROM t JOIN u USING (o_custkey, group_a, group_b))
+SELECT o_custkey, group_a, group_b, any_value(o.n_a) AS n_a, any_value(n_b) AS n_b, any_value(u) AS u, round(sum(ways) FILTER (abs(s - mid) >= abs(r2 - mid) - 1e-9) / sum(ways), 6) AS p, CASE WHEN any_value(list_max(o.tied)) > 1 THEN 'permutation' ELSE 'exact' END AS method
+FROM o JOIN f ON f.tied = o.tied AND f.n_a = o.n_a GROUP BY ALL
+"""
 VA = f"WITH {EV}, v AS (SELECT structure AS g, round(median(value), 3) AS x FROM e GROUP BY structure, object_id), n AS (SELECT g, count(*) AS n FROM v GROUP BY g), p AS (SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b FROM n a JOIN n b ON a.g < b.g), uu AS (SELECT group_a, group_b, n_a, n_b, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END)::DOUBLE AS u FROM p JOIN v a ON a.g = group_a JOIN v b ON b.g = group_b GROUP BY ALL)"
 TI = "t AS (SELECT group_a, group_b, sum(k * (k * k - 1))::DOUBLE AS ties FROM (SELECT group_a, group_b, x, count(*)::DOUBLE AS k FROM p JOIN v ON v.g IN (group_a, group_b) GROUP BY ALL) GROUP BY ALL)"
 FI = "f AS (SELECT page_id, page_id % 40 AS dir, string_split(regexp_replace(url, '[?#].*$', ''), '/')[4] || '-Part ' || (page_id % 7) || CASE page_id % 3 WHEN 0 THEN '_label' WHEN 1 THEN '_MASK' ELSE '_raw' END AS stem, length(html) AS size FROM pages)"
@@ -267,6 +301,8 @@ SQL = {
     "median_of_counts": f"{CN}, {MD} SELECT structure, round(median, 6) AS median FROM m",
     "rebin_histogram": f"{CN}, r AS (SELECT structure, least(3, floor((bin + 0.5) * 20 / 50))::INT AS to_bin, sum(n) AS n FROM c GROUP BY ALL) SELECT structure, to_bin, round(n / sum(n) OVER (PARTITION BY structure) / 50, 6) AS density FROM r",
     "pooled_chance": f"WITH {EV}, f AS (SELECT structure AS facet, object_id, value FROM e UNION ALL SELECT structure || ':' || object_id, object_id, value FROM e), c AS (SELECT facet AS structure, least(9, floor(value / 20))::INT AS bin, count(*) AS n FROM f GROUP BY ALL), {MD}, o AS (SELECT facet, count(DISTINCT object_id) AS k, median(value) AS own FROM f GROUP BY 1) SELECT facet, round(CASE WHEN k > 1 THEN median ELSE own END, 6) AS chance_um FROM o JOIN m ON structure = facet",
+    "exact_rank_test": EXACT_SQL,
+    "small_shifts": "WITH v AS (SELECT o_custkey, o_orderstatus AS g, round(o_totalprice / 10000) AS x FROM orders) SELECT a.o_custkey, a.g AS group_a, b.g AS group_b, round(median(a.x - b.x), 6) AS shift FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.g < b.g GROUP BY ALL",
     "object_medians": f"WITH {EV} SELECT structure, object_id, round(median(value), 6) AS value FROM e GROUP BY ALL",
     "mann_whitney_u": f"{VA}, {TI} SELECT uu.*, ties FROM uu JOIN t USING (group_a, group_b)",
     "mann_whitney_p": f"{VA}, {TI}, z AS (SELECT uu.*, greatest(0, abs(u - n_a * n_b / 2) - 0.5) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) / sqrt(2) AS x FROM uu JOIN t USING (group_a, group_b)) SELECT group_a, group_b, n_a, n_b, u, round(CASE WHEN x = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * (SELECT sum(exp(-x * x + (2 * k + 1) * ln(x) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))) FROM range(200) r(k)) END, 6) AS p FROM z",
