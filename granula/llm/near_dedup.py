@@ -9,10 +9,14 @@
 3. Short lists give pairs, which the union-sketch estimate filters and the exact Jaccard of
    the full sets verifies.
 4. Long lists (over ``long_list`` classes) never emit their pairs. Lists that hold mostly
-   the same classes are put together, cut into blocks of ``block`` classes within a band
-   of set sizes, and each pair of blocks is one task: exact intersections by matrix
-   products over the full sets. A block alone gives a spanning forest of its links, a pair
-   of blocks only the links that join components of the two.
+   the same classes are put together to clusters and cut into blocks of ``block`` classes
+   within a band of set sizes. A task finds exact intersections by matrix products over full
+   sets, and gives only links that join components. First each block meets ``pivots`` classes
+   of its own and the neighbouring bands: a row for a class and ``pivots`` for a block. Then
+   only classes outside their cluster's largest component meet the blocks of the cluster
+   again, u * m / ``block`` rows for u such classes of m; the near copies of one text are in
+   the largest component by then. Lists of unlike texts with one common shingle, where u is
+   about m, stay quadratic by that factor.
 5. Connected components over all links.
 
 With k = 32 and least = 14 a pair at the threshold of 0.8 is missed with a probability of
@@ -21,7 +25,7 @@ about 4e-7, and less above it; sets of up to k shingles are treated exactly.
 Defined results: null or empty texts and texts of white space have no shingles, are linked
 with nothing and are their own component; null doc_ids take part and never are a
 component's id unless all ids in it are null; ``kept`` compares null-safely; repeated rows
-give repeated results; an empty table gives an empty result; a very long text gives its whole
+give repeated results; extra columns named like one of the operator's are refused; an empty table gives an empty result; a very long text gives its whole
 set, a worker holds the texts of HELD rows at once.
 """
 
@@ -35,14 +39,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granula.llm.base import one_thread, slices, stored, table
 from granula.llm.components import components
 
-K, LEAST, LONG_LIST, BLOCK, CACHE = 32, 14, 40, 128, 100_000
+K, LEAST, LONG_LIST, BLOCK, PIVOTS, CACHE = 32, 14, 40, 128, 16, 100_000
 #: Rows whose texts and sets a Python worker holds at once, and parts of a long list in a join.
 HELD, SALTS = 256, 16
+#: Names that extra columns cannot have.
+RESERVED = ("doc_id", "h", "n_shingles", "fp", "sketch", "component", "component_id", "kept", "copies", "text")
 #: Classes that can each hold more than one part in this many of all rows.
 MOST_LARGE = 1000
 
@@ -105,16 +112,16 @@ def sketches(docs: DataFrame, width: int, k: int = K, extra: Sequence[str] = ())
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, hashes) of (fp, text), one row for each fp; rows whose text has another digest are dropped."""
+    """(fp, hashes) of (fp, digest, text), one row for each fp; rows whose text has another digest are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in slices(batches, HELD):
-            found = [(f, s) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if set_digest(s := shingles(t)) == f]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s.astype(np.int64) for _, s in found], pa.list_(pa.int64()))], ["fp", "hashes"])
+            found = [(f, s) for f, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if set_digest(s := shingles(t)) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s.astype(np.int64) for _, s in found], pa.list_(pa.int64()))], ["fp", "hashes"])
 
-    rows = docs.select("fp", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "fp binary, hashes array<long>").dropDuplicates(["fp"])
+    rows = docs.select("fp", "digest", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "fp long, hashes array<long>").dropDuplicates(["fp"])
 
 
 def least_shared(n, percent: int, k: int = K, least: int = LEAST):
@@ -175,29 +182,56 @@ def _merged_lists(long: DataFrame) -> DataFrame:
     return top.select(F.coalesce("up", "value").alias("cluster"), "fp", "n").distinct()
 
 
-def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(cluster, i, j, band, part, fp): each class with every pair of blocks it belongs to.
-
-    Linked sets differ in size by at most 100 / percent, so they lie in one band of sizes or
-    in neighbouring ones.
-    """
+def _banded(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(cluster, fp, n, band, part, parts): each class in one block of its cluster and band of sizes; linked sets lie in one band or in neighbouring ones."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     rows = members.withColumn("band", band)
     sized = rows.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    both = sized.join(sized.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), ["cluster", "band"], "left")
-    both = both.join(sized.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")), ["cluster", "band"], "left")
-    rows = _dealt_join(rows, both, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    to = lambda n, low, here_first: F.transform(
-        F.when(n.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1)),
-        lambda o: F.struct(low.alias("low"), *((F.col("part").alias("i"), o.alias("j")) if here_first else (o.alias("i"), F.col("part").alias("j"))), F.lit(True).alias("two")),
-    )
-    same = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.col("band").alias("low"), F.least("part", o).alias("i"), F.greatest("part", o).alias("j"), F.lit(False).alias("two")))
-    pairs = F.concat(same, to(F.col("above"), F.col("band"), True), to(F.col("below"), F.col("band") - 1, False))
-    return rows.select("cluster", "fp", "band", "part", F.explode(pairs).alias("p")).select("cluster", "p.*", "band", "part", "fp")
+    return _dealt_join(rows, sized, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+
+
+def _to_blocks(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``rows`` (cluster, band, ...) once for each block (cluster, to_band, to_part) of ``sized`` (cluster, band, parts) in the own band and its neighbours."""
+    near = rows.withColumn("to_band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    found = near.join(sized.select("cluster", F.col("band").alias("to_band"), F.col("parts").alias("__parts")), ["cluster", "to_band"])
+    return found.withColumn("to_part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+
+
+def _with_pivots(blocks: DataFrame, pivots: int) -> DataFrame:
+    """(cluster, to_band, to_part, fp, root): the classes of each block, and ``pivots`` of each cluster and band, sent to all blocks that they can be linked with.
+
+    One row for a class and ``pivots`` for a block: linear in the classes.
+    """
+    order = W.partitionBy("cluster", "band").orderBy(F.xxhash64("fp"), "fp")
+    few = blocks.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= pivots).drop("__at")
+    sized = blocks.select("cluster", "band", "parts").distinct()
+    own = blocks.select("cluster", F.col("band").alias("to_band"), F.col("part").alias("to_part"), "fp")
+    return own.union(_to_blocks(few.select("cluster", "band", "fp"), sized).select("cluster", "to_band", "to_part", "fp")).distinct().withColumn("root", F.col("fp"))
+
+
+def _rest_pairs(blocks: DataFrame, roots: DataFrame, block: int, name: str) -> DataFrame:
+    """(cluster, band, part, to_band, to_part, fp, root): what can still join two components.
+
+    In each cluster the classes outside its largest component are dealt to blocks of their
+    own, and each of these meets every block of the cluster; classes of the largest component
+    are never compared among themselves again.
+    """
+    rows = blocks.join(roots, F.col("fp") == F.col("node"), "left").select("cluster", "fp", "band", "part", F.coalesce("root", "fp").alias("root"))
+    rows = stored(rows, f"{name}-members")
+    most = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("most")).select("cluster", F.col("most.root").alias("main"))
+    rest = _dealt_join(rows, most, ["cluster"]).where(F.col("root") != F.col("main")).drop("main", "part")
+    sized = rest.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rest = stored(_dealt_join(rest, sized, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), f"{name}-rest")
+    all_blocks = rows.groupBy("cluster", "band").agg((F.max("part") + 1).alias("parts"))
+    here = _to_blocks(rest.select("cluster", "band", "part", "fp", "root"), all_blocks).select("cluster", "band", "part", "to_band", "to_part", "fp", "root")
+    few = rest.select("cluster", "band", "parts").distinct()
+    there = _to_blocks(rows.select("cluster", "band", "part", "fp", "root"), few)
+    there = there.select("cluster", F.col("to_band").alias("band"), F.col("to_part").alias("part"), F.col("band").alias("to_band"), F.col("part").alias("to_part"), "fp", "root")
+    return here.union(there).distinct()
 
 
 def _forest(percent: int, chunk: int = 4096):
-    """Links of one pair of blocks: exact intersections of all sets, reduced to a spanning forest."""
+    """Links between components in one group of classes: exact intersections of all sets, reduced to what joins two roots."""
 
     def run(rows: pa.Table) -> pa.Table:
         one_thread()
@@ -219,6 +253,8 @@ def _forest(percent: int, chunk: int = 4096):
             m[owner[lo:hi], column[lo:hi] - at] = 1
             both += m @ m.T
         linked = both * 100 >= percent * (size[:, None] + size[None, :] - both)
+        _, first = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        linked &= first[:, None] != first[None, :]
         root = list(range(n))
 
         def find(a):
@@ -226,30 +262,28 @@ def _forest(percent: int, chunk: int = 4096):
                 root[a] = a = root[root[a]]
             return a
 
-        # links within a block come from the task of that block alone; a pair of blocks gives only what joins their components
-        block = rows["band"].to_numpy().astype(np.int64) << 32 | rows["part"].to_numpy()
-        a, b = np.nonzero(np.triu(linked, 1))
-        inside = block[a] == block[b]
-        single = (block == block[0]).all()
         out = []
-        for own in (True, False):
-            for x, y in zip(a[inside == own].tolist(), b[inside == own].tolist(), strict=True):
-                if (p := find(x)) != (q := find(y)):
-                    root[q] = p
-                    if single or not own:
-                        out.append((fps[x], fps[y]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+        a, b = np.nonzero(np.triu(linked, 1))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if (p := find(int(first[x]))) != (q := find(int(first[y]))):
+                root[q] = p
+                out.append((fps[x], fps[y]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int, least: int, long_list: int, block: int, name: str) -> DataFrame:
-    """Links (a, b) between classes: all links of short lists, a forest of those of long ones."""
+def component_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int, least: int, long_list: int, block: int, pivots: int, name: str) -> DataFrame:
+    """(node, root) of all linked classes.
+
+    Short lists give their links one by one. Long ones give, first, what joins the classes of
+    a block and some pivots; second, what joins the components that are left.
+    """
     lists = stored(postings(classes, percent, k, least), f"{name}-lists")
     likely = stored(likely_pairs(candidates(lists, percent, long_list), classes, k, least), f"{name}-pairs")
-    blocks = stored(_block_pairs(_merged_lists(lists.where(F.col("df") > long_list)), percent, block), f"{name}-blocks")
+    blocks = stored(_banded(_merged_lists(lists.where(F.col("df") > long_list)), percent, block), f"{name}-blocks")
     needed = likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(blocks.select("fp")).distinct()
-    needed = needed.join(classes.select("fp", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
+    needed = needed.join(classes.select("fp", "digest", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
     # by id and text, so that many rows with one id (or none) do not meet the representatives of others
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h")))
@@ -257,12 +291,20 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int,
     side = lambda s: sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"h{s}"))
     both = F.size(F.array_intersect("ha", "hb"))
     checked = likely.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    forest = blocks.join(sets, "fp").groupBy("cluster", "low", "two", "i", "j").applyInArrow(_forest(percent), "a binary, b binary")
-    return checked.union(forest)
+    near = _with_pivots(blocks, pivots).join(sets, "fp").groupBy("cluster", "to_band", "to_part").applyInArrow(_forest(percent), "a long, b long")
+    found = stored(checked.union(near), f"{name}-links")
+    roots = components(found, name)
+    rest = stored(_rest_pairs(blocks, roots, block, name), f"{name}-left")
+    if rest.isEmpty():
+        return roots
+    more = rest.join(sets, "fp").groupBy("cluster", "band", "part", "to_band", "to_part").applyInArrow(_forest(percent), "a long, b long")
+    # a component is one node now, named by its root
+    joined = stored(more, f"{name}-more")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(joined), name)
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, least: int = LEAST, long_list: int = LONG_LIST, block: int = BLOCK, name: str = "near", extra: Sequence[str] = ()
+    docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, least: int = LEAST, long_list: int = LONG_LIST, block: int = BLOCK, name: str = "near", extra: Sequence[str] = (), pivots: int = PIVOTS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -270,14 +312,18 @@ def near_duplicates(
     these come too, and ``component``: one value for all rows of a component whatever their
     ids, null for rows without shingles.
     """
+    if taken := [c for c in extra if c.lower() in RESERVED]:
+        raise ValueError(f"extra columns cannot be called {', '.join(taken)}")
     rows = stored(sketches(docs, width, k, extra), f"{name}-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     classes = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(first.alias("first"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.select("fp", "first.doc_id", "first.h", "n", "sketch", "copies"), f"{name}-classes")
-    roots = components(links(docs, classes, width, percent, k, least, long_list, block, name), name)
-    of = classes.select("fp", "doc_id", "copies").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "copies", "root")
+    # a class is a number from here on, fixed as it is written
+    classes = classes.select(F.monotonically_increasing_id().alias("fp"), F.col("fp").alias("digest"), "first.doc_id", "first.h", F.col("n").cast("int").alias("n"), "sketch", "copies")
+    classes = stored(classes, f"{name}-classes")
+    roots = component_roots(docs, classes, width, percent, k, least, long_list, block, pivots, name)
+    of = classes.select("fp", "digest", "doc_id", "copies").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "digest", "doc_id", "copies", "root")
     low = of.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("low"))
-    of = of.join(low, "root", "left").select("fp", "copies", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    of = of.join(low, "root", "left").select(F.col("digest").alias("fp"), "copies", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
     more = [*extra, "component"] if extra else []
     # classes with more than a thousandth of all rows, of which there are fewer than a thousand, meet their rows by broadcast; the others by a shuffle
     of = stored(of, f"{name}-of")
@@ -287,7 +333,7 @@ def near_duplicates(
     hot = named.join(F.broadcast(found), "fp")
     cold = named.join(F.broadcast(found.select("fp")), "fp", "left_anti").join(of.where(~large), "fp")
     some = hot.select("doc_id", "n_shingles", "component_id", *more).union(cold.select("doc_id", "n_shingles", "component_id", *more))
-    none = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra, *[F.lit(None).cast("binary").alias("component")] * bool(extra))
+    none = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra, *[F.lit(None).cast("long").alias("component")] * bool(extra))
     return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
