@@ -20,7 +20,8 @@ def _session() -> SparkSession:
 def _config(args: argparse.Namespace) -> settings.RunConfig:
     return settings.RunConfig.of(
         object_mask=args.object_mask, entities=None if args.entities is None else tuple(settings.parse_names(args.entities)), voxel_size=settings.parse_voxel_size(args.voxel_size) if args.voxel_size else None,
-        label_map=tuple(sorted(settings.label_map(Path(args.label_map).read_text()).items())) if args.label_map else (), contact_um=args.contact_um, histograms=args.histograms, skeletons=args.skeletons,
+        label_map=tuple(sorted(settings.label_map(Path(args.label_map).read_text()).items())) if args.label_map else (), contact_um=args.contact_um, histograms=args.histograms, skeletons=tuple(settings.parse_names(args.skeletons)) if args.skeletons else (),
+        label_map_entity=args.label_map_entity, clip=not args.no_clip, auto_label_masks=args.auto_label_masks, max_skeleton_voxels=args.max_skeleton_voxels, skeleton_prune=args.skeleton_prune, polarity_spread=args.polarity_spread,
         exclude=tuple(args.exclude), baseline_excluded=tuple(args.baseline_excluded), groups=tuple(args.group), noun=args.noun,
     )
 
@@ -29,7 +30,7 @@ def _process(args: argparse.Namespace) -> int:
     from granula.process import run
 
     palette = settings.palette(Path(args.colours).read_text()) if args.colours else None
-    failures = run.process(_session(), args.root, args.output, _config(args), palette)
+    failures = run.process(_session(), args.root, args.output, _config(args), palette, **({"description": args.description} if args.description else {}))
     bad = failures.orderBy("object_id").collect()
     for r in bad:
         print(f"{r.object_id}: {r.error}", file=sys.stderr)
@@ -122,14 +123,22 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--entities")
         c.add_argument("--voxel-size")
         c.add_argument("--label-map")
-        c.add_argument("--contact-um", type=float, default=0.1)
+        c.add_argument("--label-map-entity", help="the one label entity that the map splits")
+        c.add_argument("--no-clip", action="store_true", help="keep what lies outside the object mask")
+        c.add_argument("--auto-label-masks", action="store_true", help="masks of several components become label entities")
+        c.add_argument("--contact-um", type=float, default=0.5)
         c.add_argument("--histograms", action="store_true")
-        c.add_argument("--skeletons", action="store_true")
+        c.add_argument("--skeletons", help="names of the structures whose instances get centre lines")
+        c.add_argument("--max-skeleton-voxels", type=int, default=500_000)
+        c.add_argument("--skeleton-prune", type=float, default=2.0)
+        c.add_argument("--polarity-spread", action="store_true")
         c.add_argument("--exclude", action="append", default=[])
         c.add_argument("--baseline-excluded", action="append", default=[])
         c.add_argument("-p", "--group", action="append", default=[])
         c.add_argument("--noun", default="object")
         c.add_argument("--colours")
+        if name == "process":
+            c.add_argument("--description", default="")
         if name == "mesh":
             c.add_argument("--surface", choices=("auto", "mesh", "ellipsoid"), default="auto")
             c.add_argument("--method", choices=("surface_nets", "isosurface"), default="surface_nets")

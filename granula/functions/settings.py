@@ -227,9 +227,15 @@ class RunConfig:
     entities: tuple[str, ...] | None = None
     voxel_size: tuple[float, ...] | None = None
     label_map: tuple[tuple[int, str], ...] = ()
-    contact_um: float = 0.1
+    label_map_entity: str | None = None
+    clip: bool = True
+    auto_label_masks: bool = False
+    contact_um: float = 0.5
     histograms: bool = False
-    skeletons: bool = False
+    skeletons: tuple[str, ...] = ()
+    max_skeleton_voxels: int = 500_000
+    skeleton_prune: float = 2.0
+    polarity_spread: bool = False
     exclude: tuple[str, ...] = ()
     baseline_excluded: tuple[str, ...] = ()
     geometry: tuple[tuple[str, tuple[str, ...]], ...] = ()

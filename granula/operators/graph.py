@@ -56,3 +56,29 @@ def voxel_components(voxels: DataFrame, full: bool = True, name: str = "voxels")
     numbered = roots.select("root").distinct().withColumn("component", F.row_number().over(order))
     numbers = roots.join(numbered, "root").select(F.col("node.object_id").alias("object_id"), F.col("node.entity").alias("entity"), F.col("node.part").alias("part"), "component")
     return own.join(numbers, ["object_id", "entity", "part"]).select(*at, "component")
+
+
+def promoted(voxels: DataFrame, kinds: DataFrame, mask: str | None = None, auto: bool = False, name: str = "parts") -> tuple[DataFrame, DataFrame]:
+    """``voxels`` (object_id, entity, z, y, x, label) and ``kinds`` (object_id, entity, entity_kind, declared) after their masks are taken apart.
+
+    A label entity that a manifest declares, but whose volume has no second id, is numbered by its
+    components, whatever their number. With ``auto`` every mask of more than one component but
+    the object mask becomes a label entity, as does a label volume with one id. Without it a
+    mask stays one mask however many pieces it has. Full connectivity; counted on the voxels
+    given, so clip them first. Masks that stay have the label 1.
+    """
+    keys = ["object_id", "entity"]
+    top = voxels.groupBy(*keys).agg(F.max("label").alias("top"))
+    known = stored(kinds.join(top, keys, "left"), f"{name}-kinds")
+    one = (F.col("entity_kind") == "mask") | (F.coalesce("top", F.lit(0)) <= 1)
+    declared = F.coalesce("declared", F.lit(False)) & (F.col("entity_kind") == "label") & one
+    free = F.lit(auto) & one & ((F.col("entity") != mask) if mask is not None else F.lit(True))
+    asked = known.where(declared | free).select(*keys, declared.alias("always"))
+    parts = voxel_components(voxels.join(asked, keys, "left_semi").select(*keys, "z", "y", "x"), name=name)
+    several = parts.groupBy(*keys).agg(F.max("component").alias("parts")).join(asked, keys).where((F.col("parts") > 1) | F.col("always")).select(*keys)
+    several = stored(several, f"{name}-several")
+    split = parts.join(several, keys, "left_semi").select(*keys, "z", "y", "x", F.col("component").cast("long").alias("label"))
+    rest = voxels.join(several, keys, "left_anti").join(known.select(*keys, "entity_kind"), keys)
+    rest = rest.select(*keys, "z", "y", "x", F.when(F.col("entity_kind") == "mask", F.lit(1).cast("long")).otherwise(F.col("label").cast("long")).alias("label"))
+    out = known.join(several.withColumn("more", F.lit(True)), keys, "left").select(*keys, F.when(F.col("more"), "label").otherwise(F.col("entity_kind")).alias("entity_kind"))
+    return rest.unionByName(split), out

@@ -6,18 +6,15 @@ import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granula.operators.graph import neighbour_offsets
 
 
 def dilated(voxels: DataFrame, rounds: int = 1) -> DataFrame:
-    """Voxels (object_id, entity, z, y, x) grown by their 26 neighbours, each round one explode and a distinct."""
-    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("zyx", o, strict=True)]) for o in [(0, 0, 0), *neighbour_offsets(3)]])
-    rows = voxels.select("object_id", "entity", "z", "y", "x")
-    for _ in range(rounds):
-        rows = rows.withColumn("o", F.explode(steps)).select("object_id", "entity", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "zyx"]).distinct()
-    return rows
+    """Voxels (object_id, entity, z, y, x) grown by their 26 neighbours, in bricks with a layer of ``rounds`` voxels."""
+    from granula.operators.flood import brick_dilated
+
+    return brick_dilated(voxels, rounds)
 
 
 def shifted_any(mask: np.ndarray, offsets: list[tuple[int, ...]]) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import scalar
 from granula.functions.storage import spread, stored
-from granula.operators import bricks, distance, geometry, graph, morphology, volumes
+from granula.operators import branches, bricks, distance, flood, geometry, graph, morphology, polarity, thinning, volumes
 from granula.operators.graph import neighbour_offsets
 from granula.sources import voxels as source
 
@@ -158,18 +158,9 @@ def polar_depth(spark, sf_dir):
 
 
 def polar_spread(spark, sf_dir):
-    """Standard deviation of the angles of an instance's voxels to their mean direction from the cell centre; null under three voxels."""
     v = vox(spark, sf_dir)
-    centre = v.where("entity = 'cell'").groupBy("object_id").agg(*[F.avg(c).alias(f"c{c}") for c in "zyx"])
-    rows = v.where("entity = 'mito'").join(centre, "object_id")
-    off = [(F.col(c) - F.col(f"c{c}")) * s for c, s in zip("zyx", S, strict=True)]
-    n = F.sqrt(sum(o * o for o in off))
-    rows = rows.select("object_id", "label", *[F.try_divide(o, n).alias(f"n{c}") for o, c in zip(off, "zyx", strict=True)]).where("nz is not null")
-    mean = rows.groupBy("object_id", "label").agg(*[F.avg(f"n{c}").alias(f"m{c}") for c in "zyx"])
-    length = F.sqrt(F.col("mz") ** 2 + F.col("my") ** 2 + F.col("mx") ** 2)
-    dot = sum(F.col(f"n{c}") * F.try_divide(F.col(f"m{c}"), length) for c in "zyx")
-    angle = rows.join(mean, ["object_id", "label"]).withColumn("angle", scalar.cone_angle(dot))
-    return rounded(angle.groupBy("object_id", "label").agg(F.when(F.count("angle") >= 3, F.stddev_pop("angle")).alias("polar_spread_deg")), 5)
+    centre = v.where("entity = 'cell'").groupBy("object_id").agg(*[(F.avg(c) * s).alias(f"c{c}") for c, s in zip("zyx", S, strict=True)])
+    return rounded(polarity.spread(v.where("entity = 'mito'").select("object_id", "label", "z", "y", "x"), centre, S, ["object_id", "label"]), 5)
 
 
 def voxel_components(spark, sf_dir):
@@ -183,7 +174,33 @@ def promote_masks(spark, sf_dir):
 
 
 def dilation(spark, sf_dir):
-    return volumes.dilated(vox(spark, sf_dir).where("entity = 'mito'"))
+    return volumes.dilated(vox(spark, sf_dir).where("entity = 'mito'").select("object_id", "entity", "z", "y", "x"))
+
+
+def _seeds(v):
+    return v.where("entity = 'mito'").select("object_id", "z", "y", "x", F.col("label").alias("seed"))
+
+
+def seeded_flood(spark, sf_dir):
+    """Each voxel of the cell with the mitochondrion that reaches it in the fewest steps over faces, and those steps."""
+    v = stored(vox(spark, sf_dir), "flood-voxels")
+    space = v.where("entity = 'cell'").select("object_id", "z", "y", "x", F.lit(0.0).alias("height"))
+    return flood.flooded(space, _seeds(v), name="seeded").select("object_id", "z", "y", "x", "steps", "seed")
+
+
+def cell_basins(spark, sf_dir):
+    """The cell parted among its mitochondria by a flood that rises from the deepest voxels."""
+    v = stored(vox(spark, sf_dir), "basin-voxels")
+    cell = v.where("entity = 'cell'").select("object_id", "z", "y", "x")
+    depth = distance.transform(distance.complement(v, "cell"), cell, S, "basin-depth").select("object_id", "z", "y", "x", (-F.round("distance_um", 9)).alias("height"))
+    return flood.flooded(depth, _seeds(v), name="basins").groupBy("object_id", "seed").agg(F.count(F.lit(1)).alias("voxels"), F.max("steps").alias("steps"))
+
+
+def centre_lines(spark, sf_dir):
+    """Branches, length and tortuosity of every instance's centre line, thinned in bricks."""
+    v = vox(spark, sf_dir).where("entity <> 'cell'")
+    vertices, edges = thinning.centre_lines(v, S)
+    return rounded(branches.metrics(edges, vertices))
 
 
 def surface_mesh(spark, sf_dir):
@@ -257,7 +274,8 @@ SQL = {
     "instance_perimeter": f"{V}, p AS (SELECT * FROM vox WHERE z = 4) SELECT {I3}, round(sum(w), 6) AS perimeter_um FROM p v, (VALUES {_flat}) d(dy, dx, w) WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.object_id = v.object_id AND q.entity = v.entity AND q.label = v.label AND q.y = v.y + dy AND q.x = v.x + dx) GROUP BY ALL",
     "instance_roundness": f"{V}, s AS ({_SURF}), n AS (SELECT {I3}, count(*) * {VX!r}::DOUBLE AS v FROM vox GROUP BY ALL) SELECT {I3}, round(cbrt(36 * pi() * v * v) / s, 6) AS sphericity FROM s JOIN n USING ({I3})",
     "bounding_box": f"{V} SELECT {I3}, min(z) AS min_z, max(z) AS max_z, min(y) AS min_y, max(y) AS max_y, min(x) AS min_x, max(x) AS max_x, count(*) AS n, round(count(*) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS fill_ratio FROM vox GROUP BY ALL",
-    "clip_to_mask": f"{V} SELECT v.* FROM vox v WHERE EXISTS (SELECT 1 FROM vox m WHERE m.entity = 'cell' AND m.object_id = v.object_id AND m.z = v.z AND m.y = v.y AND m.x = v.x)",
+    "clip_to_mask": f"{V} SELECT v.* FROM vox v SEMI JOIN (SELECT object_id, z, y, x FROM vox WHERE entity = 'cell') m ON m.object_id = v.object_id AND m.z = v.z AND m.y = v.y AND m.x = v.x",
+    "seeded_flood": f"{V}, s AS (SELECT object_id, z, y, x FROM vox WHERE entity = 'cell'), o AS (SELECT * FROM (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) o(dz, dy, dx)), f AS (SELECT v.object_id, v.z, v.y, v.x, label AS seed, 0 AS steps FROM vox v SEMI JOIN s ON s.object_id = v.object_id AND s.z = v.z AND s.y = v.y AND s.x = v.x WHERE entity = 'mito' UNION SELECT s.object_id, s.z, s.y, s.x, seed, steps + 1 FROM f, o, s WHERE s.object_id = f.object_id AND s.z = f.z + dz AND s.y = f.y + dy AND s.x = f.x + dx AND steps < 24) SELECT object_id, z, y, x, min(steps)::BIGINT AS steps, arg_min(seed, (steps, seed))::BIGINT AS seed FROM f GROUP BY ALL",
     "crop_to_bbox": f"{V}, b AS (SELECT object_id, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM vox WHERE entity = 'nucleus' GROUP BY 1) SELECT object_id, entity, z - z0 AS z, y - y0 AS y, x - x0 AS x, label FROM vox JOIN b USING (object_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1",
     "label_map_split": f"{V} SELECT object_id, CASE label WHEN 1 THEN 'left' ELSE 'right' END AS entity, z, y, x, 1 AS label FROM vox WHERE entity = 'mito' AND label IN (1, 3)",
     "auto_kind": f"{V} SELECT object_id, entity, CASE WHEN entity <> 'cell' AND count(DISTINCT label) > 1 THEN 'label' ELSE 'mask' END AS entity_kind FROM vox GROUP BY object_id, entity",
@@ -279,4 +297,4 @@ SQL = {
     "dilation": f"{V}, o AS (SELECT unnest(range(-1, 2)) AS d) SELECT DISTINCT object_id, entity, (z + a.d)::INT AS z, (y + b.d)::INT AS y, (x + c.d)::INT AS x FROM vox, o a, o b, o c WHERE entity = 'mito'",
     "flagship": f"""{V}, {_dist_sql()}, {_MIN}, {_BASE}, o AS (SELECT object_id, entity, median(distance_um) AS m FROM d WHERE target = 'cell' GROUP BY ALL), j AS (SELECT o.*, b.baseline_median_um AS c, CASE WHEN substr(o.object_id, 4)::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS grp FROM o JOIN base b ON b.object_id = o.object_id AND b.target = 'cell') SELECT grp AS "group", entity, count(*) AS n_objects, round(median(m), 4) AS median_um, round(median(c), 4) AS chance_um FROM j GROUP BY ALL""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "surface_mesh"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "surface_mesh", "cell_basins", "centre_lines"]}

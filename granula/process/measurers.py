@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from granula.functions import scalar
 from granula.functions.settings import RunConfig, extent_keys
 from granula.functions.storage import stored
-from granula.operators import bricks, contacts, distance, morphology, report, rows, skeleton
+from granula.operators import branches, bricks, contacts, distance, morphology, polarity, report, rows, skeleton, thinning
 
 INSTANCE = ["object_id", "entity", "label"]
 
@@ -148,9 +148,11 @@ class Instances:
         points = places.select(*INSTANCE, *[F.col(f"{a}_um").alias(a) for a in "zyx"])
         near = contacts.nearest_same_type(points, max(batch.spacing) * 16)
         found = own.join(polar.drop("z_um", "y_um", "x_um"), INSTANCE).join(near, INSTANCE, "left")
+        if config.polarity_spread:
+            found = found.join(polarity.spread(labels.select(*INSTANCE, "z", "y", "x"), batch.centre, batch.space, INSTANCE), INSTANCE, "left")
         if config.skeletons:
-            lines = stored(skeleton.skeletons(labels, batch.spacing), "process-skeletons")
-            found = found.join(lines.drop("tips", "skeleton"), INSTANCE, "left")
+            lines, tips = self.lines(batch, labels.where(F.col("entity").isin(*config.skeletons)))
+            found = found.join(lines, INSTANCE, "left")
         rename = {c: c if c.startswith("instance_") else f"instance_{c}" for c in found.columns if c not in INSTANCE}
         instance = found.withColumnsRenamed(rename).withColumnsRenamed({"entity": "instance_entity", "label": "instance_label"})
         met = labels.join(batch.field, ["object_id", "z", "y", "x"]).where(F.col("entity") != F.col("target"))
@@ -162,7 +164,6 @@ class Instances:
             gaps = gaps.drop("distance_mean_um")
         if config.skeletons:
             box = batch.voxels.groupBy("object_id").agg(*[f(a).alias(f"{a}{k}") for a in "zyx" for k, f in ((0, F.min), (1, F.max))])
-            tips = lines.select(*INSTANCE, F.explode("tips").alias("t")).select(*INSTANCE, *[F.element_at("t", k + 1).alias(a) for k, a in enumerate("zyx")])
             gaps = gaps.join(distance.tip_distances(tips, batch.field, box), [*INSTANCE, "target"], "left")
         gaps = gaps.withColumnsRenamed({"entity": "distance_entity", "label": "distance_label", "target": "distance_target"})
         tables = {"instance": instance, "distance": gaps}
@@ -182,6 +183,25 @@ class Instances:
         return tables
 
 
+    def lines(self, batch: Batch, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(measures by instance, tips (…, z, y, x) in voxels) of centre lines; instances of more voxels than the cap have neither.
+
+        Volumes are thinned in bricks, planes one instance at a time.
+        """
+        config = batch.config
+        small = labels.groupBy(*INSTANCE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= config.max_skeleton_voxels)
+        labels = stored(labels.join(small.drop("n"), INSTANCE, "left_semi"), "process-traced")
+        if batch.dims == 2:
+            lines = stored(skeleton.skeletons(labels, batch.spacing, config.skeleton_prune), "process-skeletons")
+            tips = lines.select(*INSTANCE, F.explode("tips").alias("t")).select(*INSTANCE, *[F.element_at("t", k + 1).alias(a) for k, a in enumerate("zyx")])
+            return lines.drop("tips", "skeleton"), tips
+        vertices, edges = thinning.centre_lines(labels, batch.spacing, INSTANCE, config.skeleton_prune, name="process-lines")
+        measures = stored(branches.metrics(edges, vertices, INSTANCE, "process-lines"), "process-skeletons")
+        ends = branches.degrees(branches.darts(edges, INSTANCE), INSTANCE).where("degree = 1").select(*INSTANCE, "v")
+        tips = vertices.join(ends, [*INSTANCE, "v"]).select(*INSTANCE, *[F.round(F.col(a) / s, 6).alias(a) for a, s in zip("zyx", batch.spacing, strict=True)])
+        return measures, stored(tips, "process-tips")
+
+
 class Contacts:
     """Pairs of instances of one structure whose voxels come near."""
 

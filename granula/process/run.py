@@ -60,25 +60,17 @@ def loaded(spark: SparkSession, root: str, config: RunConfig) -> tuple[DataFrame
     declared = declared.withColumn("entity_kind", kind.when(F.col("kind") == "auto", auto).otherwise(F.col("kind")))
     if config.label_map:
         names = dict(config.label_map)
-        split = morphology.split_labels(voxels.join(declared.where("kind = 'label'").select("object_id", "entity"), ["object_id", "entity"], "left_semi").withColumn("was", F.col("entity")).withColumn("entity", F.lit("*")), names, "*")
-        voxels = voxels.where("kind <> 'label'").drop("kind").unionByName(split)
+        mapped = (F.col("kind") == "label") & ((F.col("entity") == config.label_map_entity) if config.label_map_entity else F.lit(True))
+        split = morphology.split_labels(voxels.where(mapped).drop("kind").withColumn("entity", F.lit("*")), names, "*")
+        voxels = voxels.where(~mapped).drop("kind").unionByName(split)
         made = split.select("object_id", "entity").distinct().withColumn("entity_kind", F.lit("mask"))
-        declared = declared.where("kind <> 'label'").select("object_id", "entity", "entity_kind", F.lit(0).cast("long").alias("top")).unionByName(made.withColumn("top", F.lit(2).cast("long")))
+        declared = declared.where(~mapped).select("object_id", "entity", "entity_kind").unionByName(made)
     else:
         voxels = voxels.drop("kind")
     if mask is not None:
-        voxels = morphology.cropped(morphology.clipped(voxels, mask), mask)
-    # masks are one region each whatever their values
-    kinds = declared.select("object_id", "entity", "entity_kind", "top")
-    voxels = voxels.join(kinds, ["object_id", "entity"]).withColumn("label", F.when(F.col("entity_kind") == "mask", F.lit(1).cast("long")).otherwise(F.col("label").cast("long")))
-    voxels = stored(voxels, "process-voxels")
-    # a mask, or a label volume with one id, of more than one component is a label volume; counted inside the object
-    one = (F.col("entity") != mask if mask is not None else F.lit(True)) & ((F.col("entity_kind") == "mask") | (F.coalesce("top", F.lit(0)) <= 1))
-    parts = graph.voxel_components(voxels.where(one).select("object_id", "entity", "z", "y", "x"), name="process-parts")
-    several = parts.groupBy("object_id", "entity").agg(F.max("component").alias("parts")).where("parts > 1").select("object_id", "entity")
-    split = parts.join(several, ["object_id", "entity"], "left_semi").select("object_id", "entity", "z", "y", "x", F.col("component").cast("long").alias("label"))
-    voxels = voxels.join(several, ["object_id", "entity"], "left_anti").select("object_id", "entity", "z", "y", "x", "label").unionByName(split)
-    kinds = kinds.join(several.withColumn("more", F.lit(True)), ["object_id", "entity"], "left").select("object_id", "entity", F.when(F.col("more"), "label").otherwise(F.col("entity_kind")).alias("entity_kind"))
+        voxels = morphology.cropped(morphology.clipped(voxels, mask) if config.clip else voxels, mask)
+    kinds = declared.select("object_id", "entity", "entity_kind", F.lit(False).alias("declared"))
+    voxels, kinds = graph.promoted(stored(voxels, "process-voxels"), kinds, mask, config.auto_label_masks, "process-parts")
     return stored(voxels, "process-stack"), stored(kinds, "process-kinds"), good, failures
 
 

@@ -39,7 +39,7 @@ def measured(spark, tmp_path_factory):
     (root / "broken").mkdir()
     (root / "broken" / "x.tif").write_bytes(b"II*\0")
     (root / "broken" / "x_pm_mask.tif").write_bytes(images.write_tiff(np.ones(SHAPE, np.uint8), VOXEL))
-    config = RunConfig.of(object_mask="pm", histograms=True, skeletons=True, contact_um=0.5, groups=("control", "treated"))
+    config = RunConfig.of(object_mask="pm", histograms=True, skeletons=("mito",), contact_um=0.5, groups=("control", "treated"))
     out = str(root / "out.parquet")
     failures = run.process(spark, str(root), out, config, {"mito": "#d62728"}, project="demo")
     rows, footer = reports.read_report(spark, out)
