@@ -40,14 +40,20 @@ def orphans(deep: DataFrame, owners: DataFrame, on: list[str]) -> DataFrame:
     return deep.join(owners, on, "left_anti")
 
 
+def beside(rows: DataFrame, names: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row with every name: up to ``most`` names, a proven bound, travel to the rows; more meet them in blocks of a product that neither side has to fit."""
+    few = names.limit(most + 1).count() <= most
+    return rows.crossJoin(F.broadcast(names) if few else names)
+
+
 def missing_structures(present: DataFrame, objects: DataFrame, structures: DataFrame) -> DataFrame:
     """Objects times structures (a short list of names) minus what is present."""
-    return objects.join(F.broadcast(structures)).join(present, [*objects.columns, *structures.columns], "left_anti")
+    return beside(objects, structures).join(present, [*objects.columns, *structures.columns], "left_anti")
 
 
 def composition(parts: DataFrame, whole: DataFrame, structures: DataFrame, key: str) -> DataFrame:
     """Percent of each structure (0 if absent) and the remainder of the whole; ``parts`` (key, structure, size), ``whole`` (key, total)."""
-    dense = whole.join(F.broadcast(structures)).join(parts, [key, "structure"], "left")
+    dense = beside(whole, structures).join(parts, [key, "structure"], "left")
     share = dense.select(key, "structure", (100 * F.try_divide(F.coalesce("size", F.lit(0.0)), F.col("total"))).alias("percent"))
     rest = share.groupBy(key).agg((100 - F.sum("percent")).alias("percent")).select(key, F.lit("remainder").alias("structure"), "percent")
     return share.union(rest)

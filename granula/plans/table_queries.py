@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from granula.functions import scalar
 from granula.operators import report, stats
 from granula.plans.voxel_queries import rounded
+from granula.sources import discovery
 from granula.streaming import resume
 
 
@@ -147,8 +148,8 @@ def entity_name(spark, sf_dir):
 def source_choice(spark, sf_dir):
     """In each folder the file with the greatest sum of shared prefixes, then the largest, then the first."""
     rows = _files(spark, sf_dir).select("dir", "page_id", "stem", "size")
-    other = rows.select("dir", F.col("stem").alias("s2"), F.col("page_id").alias("p2"))
-    scored = rows.join(other, "dir").where("page_id <> p2").groupBy("dir", "page_id", "size").agg(F.sum(scalar.shared_prefix(F.col("stem"), F.col("s2"))).alias("score"))
+    several = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dir")
+    scored = rows.join(several, "dir", "left_semi").join(discovery.prefix_scores(rows), ["dir", "stem"])
     order = W.partitionBy("dir").orderBy(F.desc("score"), F.desc("size"), "page_id")
     return scored.withColumn("k", F.row_number().over(order)).where("k = 1").select("dir", "page_id", "score")
 

@@ -25,6 +25,21 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
 
 
+def prefix_scores(files: DataFrame, folder: str = "dir", stem: str = "stem") -> DataFrame:
+    """(folder, stem, copies, score): for each name of a folder, the characters that it shares from the start with every other file there, added up.
+
+    Each prefix of a name is a row; the files of a folder that begin with it, less the one
+    itself, add one each. Rows grow with the characters of the names and not with the pairs
+    of files; equal names are counted first. Names without a character score 0.
+    """
+    names = files.groupBy(folder, stem).agg(F.count(F.lit(1)).alias("copies"))
+    begin = F.transform(F.sequence(F.lit(1), F.length(stem)), lambda k: F.substr(F.col(stem), F.lit(1), k))
+    each = names.where(F.length(stem) > 0).select(folder, stem, "copies", F.explode(begin).alias("__prefix"))
+    shared = each.groupBy(folder, "__prefix").agg(F.sum("copies").alias("__n")).where("__n > 1")
+    summed = each.join(shared, [folder, "__prefix"]).groupBy(folder, stem).agg(F.sum(F.col("__n") - 1).alias("score"))
+    return names.join(summed, [folder, stem], "left").select(folder, stem, "copies", F.coalesce("score", F.lit(0).cast("long")).alias("score"))
+
+
 def discovered(files: DataFrame) -> DataFrame:
     """(object_dir, path, role, entity_name, entity_kind, reason) of every image.
 
@@ -44,8 +59,7 @@ def discovered(files: DataFrame) -> DataFrame:
     body, kind = scalar.kind_suffix(F.col("stem"))
     rows = rows.withColumn("body", body).withColumn("kind", F.when(kind.isNull() & F.col("nested"), "auto").otherwise(kind))
     bare = rows.where("kind is null").select("object_dir", "path", "length", "stem")
-    other = rows.select("object_dir", F.col("path").alias("p2"), F.col("stem").alias("s2"))
-    score = bare.join(other, "object_dir").groupBy("object_dir", "path", "length", "stem").agg(F.sum(F.when(F.col("path") != F.col("p2"), scalar.shared_prefix(F.col("stem"), F.col("s2"))).otherwise(0)).alias("score"))
+    score = bare.join(prefix_scores(rows, "object_dir").drop("copies"), ["object_dir", "stem"])
     best = W.partitionBy("object_dir").orderBy(F.desc("score"), F.desc("length"), "path")
     source = score.withColumn("k", F.row_number().over(best)).where("k = 1").select("object_dir", F.col("path").alias("source_path"), F.col("stem").alias("source_stem"))
     joined = rows.join(source, "object_dir", "left")
