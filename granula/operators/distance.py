@@ -58,13 +58,15 @@ def lower_envelope(cost: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarr
     return out
 
 
-def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], name: str = "distance") -> DataFrame:
+def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], name: str = "distance", carry: Sequence[str] = ()) -> DataFrame:
     """Least distance from each point (object_id, z, y, x) to the voxels of each target (object_id, target, z, y, x).
 
     Separable and linear in the voxels of the points' box: slabs of planes give the distances
     along x and y, slabs across them the last step along z, each by lower envelopes. A slab
     holds SLAB cells, one plane at least. Lines travel as one row with packed distances.
-    Points without any target voxel have no row.
+    Points without any target voxel have no row. Columns named in ``carry`` travel with the
+    points to the lines of the field, so measures by instance need no join of voxels with it;
+    a point may come with several of them.
     """
     sz, sy, sx = spacing
     ends = [f(c).cast("int").alias(f"{c}{n}") for c in "zyx" for n, f in ((0, F.min), (1, F.max))]
@@ -112,9 +114,10 @@ def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], n
     lines = lines.withColumn("across", F.floor(F.col("y") / thick("z", "x")))
     field = spread(lines, "object_id", "target", "across").groupBy("object_id", "target", "across").applyInArrow(deep, f"{keys}, z int, y int, x0 int, d array<double>")
     # points meet the field by line: one row for each line of an object, as wide as its box
-    wanted = points.select("object_id", F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), "x").groupBy("object_id", "z", "y").agg(F.collect_set("x").alias("xs"))
-    met = wanted.join(field, ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(F.transform("xs", lambda x: F.struct(x.alias("x"), F.get("d", (x - F.col("x0")).cast("int")).alias("d")))).alias("p"))
-    return stored(met.select("object_id", "target", "z", "y", "p.x", F.col("p.d").alias("distance_um")), name)
+    wanted = points.select("object_id", F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), "x", *carry).groupBy("object_id", "z", "y").agg(F.collect_set(F.struct("x", *carry)).alias("xs"))
+    found = F.transform("xs", lambda p: F.struct(p.alias("p"), F.get("d", (p["x"] - F.col("x0")).cast("int")).alias("d")))
+    met = wanted.join(field, ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(found).alias("f"))
+    return stored(met.select("object_id", "target", "z", "y", "f.p.x", *[F.col(f"f.p.{c}") for c in carry], F.col("f.d").alias("distance_um")), name)
 
 
 def complement(voxels: DataFrame, mask: str) -> DataFrame:
@@ -126,12 +129,17 @@ def complement(voxels: DataFrame, mask: str) -> DataFrame:
     return box.select("object_id", "z", "y", "x").join(inside, ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit(mask))
 
 
-def instance_distances(voxels: DataFrame, field: DataFrame) -> DataFrame:
-    """Least and mean distance of each instance to each other entity."""
-    met = voxels.join(field, ["object_id", "z", "y", "x"]).where(F.col("entity") != F.col("target"))
+def nearest(carried: DataFrame) -> DataFrame:
+    """Least and mean distance of each instance to each other entity, from a field that carries entity and label."""
+    met = carried.where(F.col("entity") != F.col("target"))
     return met.groupBy("object_id", "entity", "label", "target").agg(F.min("distance_um").alias("distance_um"), F.avg("distance_um").alias("distance_mean_um"))
 
 
+def instance_distances(voxels: DataFrame, field: DataFrame) -> DataFrame:
+    """The same from voxels and a field of all points."""
+    return nearest(voxels.join(field, ["object_id", "z", "y", "x"]))
+
+
 def binned(value, low, high, bins: int):
     """Bin numbers; the top edge lies in the last bin; an empty range is one wide."""
     width = F.when(high <= low, F.lit(1.0)).otherwise(high - low)
@@ -150,7 +158,12 @@ def histograms(rows: DataFrame, keys: list[str], span: list[str], value: str = "
 def baseline(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFrame:
     """Mean, interpolated median and voxels of the distance to each target over a region, without excluded voxels and the target itself."""
     at = ["object_id", "z", "y", "x"]
-    rows = field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti").where("distance_um > 0")
+    return baseline_of(field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti"))
+
+
+def baseline_of(field: DataFrame) -> DataFrame:
+    """The same for a field of the region's voxels alone."""
+    rows = field.where("distance_um > 0")
     keys = ["object_id", "target"]
     ends = rows.groupBy(*keys).agg(F.min("distance_um").alias("lo"), F.max("distance_um").alias("hi"), F.count(F.lit(1)).alias("baseline_voxels"), F.avg("distance_um").alias("baseline_mean_um"))
     wide = F.when(F.col("hi") <= F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
@@ -165,7 +178,12 @@ def baseline(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFr
 def baseline_histograms(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFrame:
     """(object_id, target, baseline_hist_min_um, baseline_hist_max_um, baseline_hist_counts): COARSE stored bins of the baseline, folded from the FINE ones."""
     at = ["object_id", "z", "y", "x"]
-    rows = field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti").where("distance_um > 0")
+    return baseline_histograms_of(field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti"))
+
+
+def baseline_histograms_of(field: DataFrame) -> DataFrame:
+    """The same for a field of the region's voxels alone."""
+    rows = field.where("distance_um > 0")
     keys = ["object_id", "target"]
     ends = rows.groupBy(*keys).agg(F.min("distance_um").alias("baseline_hist_min_um"), F.max("distance_um").alias("baseline_hist_max_um"))
     low, high = F.col("baseline_hist_min_um"), F.col("baseline_hist_max_um")

@@ -38,6 +38,25 @@ def _field(spark, sf_dir, only=None):
     return v, distance.transform(targets.where(F.col("target") == only) if only else targets, v, S)
 
 
+def _targets(v, only=None):
+    """The nucleus, the mitochondria and what lies around the cell, or one of them."""
+    targets = v.where("entity <> 'cell'").select("object_id", F.col("entity").alias("target"), "z", "y", "x").unionByName(distance.complement(v, "cell"))
+    return targets.where(F.col("target") == only) if only else targets
+
+
+def _region(v):
+    """The voxels of the cell outside its nucleus."""
+    at = ["object_id", "z", "y", "x"]
+    return v.where("entity = 'cell'").select(*at).join(v.where("entity = 'nucleus'").select(*at), at, "left_anti")
+
+
+def _near(spark, sf_dir, only=None):
+    """Distances of the voxels of mitochondria, with their labels, to the other targets."""
+    v = stored(vox(spark, sf_dir), "voxels")
+    mito = v.where("entity = 'mito'").select("object_id", "z", "y", "x", "entity", "label")
+    return distance.transform(_targets(v, only).where("target <> 'mito'"), mito, S, carry=["entity", "label"])
+
+
 def _dist_sql() -> str:
     return f"""
 inside AS (SELECT object_id, z, y, x FROM vox WHERE entity = 'cell'),
@@ -124,18 +143,15 @@ def distance_transform(spark, sf_dir):
 
 
 def distance_min(spark, sf_dir):
-    v, field = _field(spark, sf_dir)
-    return rounded(distance.instance_distances(v.where("entity = 'mito'"), field))
+    return rounded(distance.nearest(_near(spark, sf_dir)))
 
 
 def distance_to_boundary(spark, sf_dir):
-    v, field = _field(spark, sf_dir, "cell")
-    return rounded(distance.instance_distances(v.where("entity = 'mito'"), field).select("object_id", "label", "distance_um"))
+    return rounded(distance.nearest(_near(spark, sf_dir, "cell")).select("object_id", "label", "distance_um"))
 
 
 def distance_histogram(spark, sf_dir):
-    v, field = _field(spark, sf_dir)
-    met = v.where("entity = 'mito'").join(field.where("target <> 'mito'"), ["object_id", "z", "y", "x"]).withColumn("distance_um", F.round("distance_um", 9))
+    met = _near(spark, sf_dir).withColumn("distance_um", F.round("distance_um", 9))
     return rounded(distance.histograms(met, ["object_id", "entity", "label", "target"], ["object_id", "entity", "target"]))
 
 
@@ -145,9 +161,9 @@ def distance_wide(spark, sf_dir):
 
 
 def baseline_stats(spark, sf_dir):
-    v, field = _field(spark, sf_dir)
-    field = field.withColumn("distance_um", F.round("distance_um", 9))
-    return rounded(distance.baseline(field, v.where("entity = 'cell'"), v.where("entity = 'nucleus'")))
+    v = stored(vox(spark, sf_dir), "voxels")
+    field = distance.transform(_targets(v), _region(v), S).withColumn("distance_um", F.round("distance_um", 9))
+    return rounded(distance.baseline_of(field))
 
 
 def polar_depth(spark, sf_dir):
@@ -210,9 +226,9 @@ def surface_mesh(spark, sf_dir):
 
 def baseline_histogram(spark, sf_dir):
     """The 128 stored bins of the chance distances to the cell boundary."""
-    v, field = _field(spark, sf_dir, "cell")
-    field = field.withColumn("distance_um", F.round("distance_um", 9))
-    return rounded(distance.baseline_histograms(field, v.where("entity = 'cell'"), v.where("entity = 'nucleus'")))
+    v = stored(vox(spark, sf_dir), "voxels")
+    field = distance.transform(_targets(v, "cell"), _region(v), S).withColumn("distance_um", F.round("distance_um", 9))
+    return rounded(distance.baseline_histograms_of(field))
 
 
 def tip_distance(spark, sf_dir):
@@ -236,9 +252,12 @@ def geometry_rows(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """Median distance of instances to the boundary of their object against chance, by group."""
-    v, field = _field(spark, sf_dir, "cell")
-    own = distance.instance_distances(v.where("entity = 'mito'"), field).groupBy("object_id", "entity").agg(F.median("distance_um").alias("median_um"))
-    chance = distance.baseline(field, v.where("entity = 'cell'"), v.where("entity = 'nucleus'")).select("object_id", "baseline_median_um")
+    v = stored(vox(spark, sf_dir), "voxels")
+    at = ["object_id", "z", "y", "x"]
+    points = v.where("entity = 'mito'").select(*at, "entity", "label").unionByName(_region(v).select(*at, F.lit("").alias("entity"), F.lit(0).alias("label")))
+    field = distance.transform(_targets(v, "cell"), points, S, carry=["entity", "label"])
+    own = distance.nearest(field.where("entity <> ''")).groupBy("object_id", "entity").agg(F.median("distance_um").alias("median_um"))
+    chance = distance.baseline_of(field.where("entity = ''")).select("object_id", "baseline_median_um")
     rows = own.join(chance, "object_id").withColumn("group", F.when(F.substring("object_id", 4, 9).cast("int") % 2 == 0, "even").otherwise("odd"))
     return rounded(rows.groupBy("group", "entity").agg(F.count(F.lit(1)).alias("n_objects"), F.median("median_um").alias("median_um"), F.median("baseline_median_um").alias("chance_um")), 4)
 
