@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 #: Grid (z, y, x) and spacing in micrometres.
 SHAPE = (9, 13, 13)
 SPACING = (0.1, 0.05, 0.05)
-#: Integer inequalities by entity; k numbers the object.
+#: Integer inequalities by entity; k numbers the object. Place and size go with k by 2, 3, 4 and 5, so 60 objects in a row differ.
 SHAPES = {
-    "cell": "9 * (z - 4) * (z - 4) + 4 * (y - 6) * (y - 6) + 4 * (x - 6) * (x - 6) <= 144",
-    "nucleus": "(z - 4) * (z - 4) + (y - 5) * (y - 5) + (x - 5) * (x - 5) <= 4 + k % 2",
+    "cell": "9 * (z - 4) * (z - 4) + 4 * (y - 6) * (y - 6) + 4 * (x - 6) * (x - 6) <= 144 - 9 * (k % 4)",
+    "nucleus": "(z - 4) * (z - 4) + (y - 5 - k % 2) * (y - 5 - k % 2) + (x - 4 - k % 3) * (x - 4 - k % 3) <= 4 + k % 5",
 }
-#: Boxes of the labelled entity; the number of labels grows with k.
-MITO_LABEL = "CASE WHEN x BETWEEN 8 AND 9 + k % 2 AND z BETWEEN 3 AND 4 + k % 3 AND y BETWEEN 2 AND 3 THEN 1 WHEN x BETWEEN 7 AND 9 AND z BETWEEN 3 AND 5 AND y BETWEEN 6 AND 7 THEN 2 WHEN k % 3 > 0 AND x = 6 AND z BETWEEN 2 AND 6 AND y BETWEEN 9 AND 10 THEN 3 ELSE 0 END"
+#: Boxes of the labelled entity; the number of labels goes with k.
+MITO_LABEL = (
+    "CASE WHEN x BETWEEN 8 AND 9 + k % 2 AND z BETWEEN 3 AND 4 + k % 3 AND y BETWEEN 2 AND 3 + k % 2 THEN 1 WHEN x BETWEEN 7 + k % 3 AND 10 AND z BETWEEN 3 AND 5 AND y BETWEEN 6 AND 7 THEN 2 "
+    "WHEN k % 3 > 0 AND x = 6 AND z BETWEEN 2 AND 6 - k % 2 AND y BETWEEN 9 AND 10 THEN 3 WHEN k % 5 > 1 AND x BETWEEN 2 AND 3 + k % 4 AND z BETWEEN 4 AND 5 AND y = 8 THEN 4 ELSE 0 END"
+)
 
 
 def generated(objects: DataFrame) -> DataFrame:
