@@ -10,6 +10,7 @@ from granula.functions import scalar
 from granula.functions.storage import spread, stored
 from granula.operators import branches, bricks, distance, flood, geometry, graph, morphology, polarity, thinning, volumes
 from granula.operators.graph import neighbour_offsets
+from granula.process import sql as sql_measure
 from granula.sources import voxels as source
 
 S = source.SPACING
@@ -219,6 +220,14 @@ def centre_lines(spark, sf_dir):
     return rounded(branches.metrics(edges, vertices))
 
 
+def sql_measures(spark, sf_dir):
+    """The table function ``measure`` over all voxels, for two measures by name."""
+    sql_measure.register(spark, S)
+    vox(spark, sf_dir).createOrReplaceTempView("measured_voxels")
+    call = "SELECT * FROM measure(TABLE(SELECT object_id, entity, z, y, x, label FROM measured_voxels) PARTITION BY (object_id), '{}')"
+    return rounded(spark.sql(f"{call.format('morphology')} UNION ALL {call.format('boxes')}"))
+
+
 def surface_mesh(spark, sf_dir):
     """Mesh payloads of all instances."""
     return geometry.surfaces(vox(spark, sf_dir), S)
@@ -294,6 +303,7 @@ SQL = {
     "instance_roundness": f"{V}, s AS ({_SURF}), n AS (SELECT {I3}, count(*) * {VX!r}::DOUBLE AS v FROM vox GROUP BY ALL) SELECT {I3}, round(cbrt(36 * pi() * v * v) / s, 6) AS sphericity FROM s JOIN n USING ({I3})",
     "bounding_box": f"{V} SELECT {I3}, min(z) AS min_z, max(z) AS max_z, min(y) AS min_y, max(y) AS max_y, min(x) AS min_x, max(x) AS max_x, count(*) AS n, round(count(*) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS fill_ratio FROM vox GROUP BY ALL",
     "clip_to_mask": f"{V} SELECT v.* FROM vox v SEMI JOIN (SELECT object_id, z, y, x FROM vox WHERE entity = 'cell') m ON m.object_id = v.object_id AND m.z = v.z AND m.y = v.y AND m.x = v.x",
+    "sql_measures": f"{V}, m AS (SELECT {I3}, count(*) AS n, avg(z) * {SZ} AS z_um, avg(y) * {SY} AS y_um, avg(x) * {SX} AS x_um, min(z)::DOUBLE AS min_z, max(z)::DOUBLE AS max_z, min(y)::DOUBLE AS min_y, max(y)::DOUBLE AS max_y, min(x)::DOUBLE AS min_x, max(x)::DOUBLE AS max_x FROM vox GROUP BY ALL), w AS (SELECT {I3}, n * {VX!r}::DOUBLE AS volume_um3, z_um, y_um, x_um, min_z, max_z, min_y, max_y, min_x, max_x, n / ((max_z - min_z + 1) * (max_y - min_y + 1) * (max_x - min_x + 1)) AS fill_ratio FROM m) SELECT object_id, entity, label::BIGINT AS label, metric, round(value, 6) AS value FROM (UNPIVOT w ON volume_um3, z_um, y_um, x_um, min_z, max_z, min_y, max_y, min_x, max_x, fill_ratio INTO NAME metric VALUE value)",
     "seeded_flood": f"{V}, s AS (SELECT object_id, z, y, x FROM vox WHERE entity = 'cell'), o AS (SELECT * FROM (VALUES (0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)) o(dz, dy, dx)), f AS (SELECT v.object_id, v.z, v.y, v.x, label AS seed, 0 AS steps FROM vox v SEMI JOIN s ON s.object_id = v.object_id AND s.z = v.z AND s.y = v.y AND s.x = v.x WHERE entity = 'mito' UNION SELECT s.object_id, s.z, s.y, s.x, seed, steps + 1 FROM f, o, s WHERE s.object_id = f.object_id AND s.z = f.z + dz AND s.y = f.y + dy AND s.x = f.x + dx AND steps < 24) SELECT object_id, z, y, x, min(steps)::BIGINT AS steps, arg_min(seed, (steps, seed))::BIGINT AS seed FROM f GROUP BY ALL",
     "crop_to_bbox": f"{V}, b AS (SELECT object_id, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM vox WHERE entity = 'nucleus' GROUP BY 1) SELECT object_id, entity, z - z0 AS z, y - y0 AS y, x - x0 AS x, label FROM vox JOIN b USING (object_id) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1",
     "label_map_split": f"{V} SELECT object_id, CASE label WHEN 1 THEN 'left' ELSE 'right' END AS entity, z, y, x, 1 AS label FROM vox WHERE entity = 'mito' AND label IN (1, 3)",
