@@ -13,7 +13,7 @@ from granula.functions.storage import stored
 from granula.operators import graph, morphology, report
 from granula.operators import rows as table
 from granula.process import measurers as known
-from granula.sources import discovery, images, reports
+from granula.sources import discovery, images, report_sink, reports
 
 LEVEL = {"object": 0, "entity": 1, "instance": 2, "distance": 2, "contact": 2, "baseline": 2}
 
@@ -113,12 +113,13 @@ def scalar_path(root: str):
 
 
 def process(spark: SparkSession, root: str, output: str, config: RunConfig | None = None, palette: dict[str, str] | None = None, **about: str) -> DataFrame:
-    """Measure everything below ``root`` and write the report; returns the failures (object_id, error)."""
+    """Measure everything below ``root`` and write the report, a folder of files if ``output`` ends in a slash; returns the failures (object_id, error)."""
     config = config or RunConfig()
     rows, failures = measured(spark, root, config)
     if palette:
         rows = report.recoloured(rows, palette)
-    reports.write_report(rows, output, known.descriptions(known.chosen(config.exclude)), config.noun, base_dir=root, loader="folders", fingerprint=config.fingerprint(), **about)
+    write = report_sink.write_report if output.endswith("/") else reports.write_report  # a folder is written by the tasks, one file by one
+    write(rows, output, known.descriptions(known.chosen(config.exclude)), config.noun, base_dir=root, loader="folders", fingerprint=config.fingerprint(), **about)
     return failures
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granula.functions import scalar
 from granula.operators import report
+from granula.sources import report_sink
 
 PREFIX = "granula."
 
@@ -71,6 +72,8 @@ def _rewritten(source: str, target: str, footer: dict[str, str], text: dict[str,
 
 
 def read_footer(path: str) -> dict[str, str]:
+    if path.endswith("/"):
+        return report_sink.read_footer(path)
     meta = pq.read_schema(path).metadata or {}
     return {k.decode()[len(PREFIX) :]: v.decode() for k, v in meta.items() if k.decode().startswith(PREFIX)}
 
