@@ -190,6 +190,19 @@ def test_urls(spark):
     assert url_filter.judged(df.where("false")).count() == 0
 
 
+def test_hosts_of_one_domain_come_apart(spark):
+    """A host with many bad outcomes is blocked, its clean neighbour is not, and a new host takes the domain's posterior."""
+    bad = [("spam.shop.com", 1)] * 60 + [("shop.shop.com", 0)] * 60 + [(f"h{k}.other{k}.com", 0) for k in range(60)] + [("once.lone.com", 1)]
+    outcomes = spark.createDataFrame(bad, "host string, bad int")
+    urls = ["spam.shop.com", "shop.shop.com", "new.shop.com", "new.elsewhere.com", "once.lone.com", "h1.other1.com"]
+    pages = spark.createDataFrame([(u, f"http://{u}/x") for u in urls], "page_id string, url string")
+    got = {r.page_id: r for r in url_filter.judged(pages, rules=(), outcomes=outcomes).collect()}
+    assert got["spam.shop.com"].verdict == "block" and got["shop.shop.com"].verdict == "allow"
+    means = [got[u].bad_mean for u in ("shop.shop.com", "new.elsewhere.com", "new.shop.com", "spam.shop.com")]
+    assert means == sorted(means) and got["h1.other1.com"].bad_mean < got["new.shop.com"].bad_mean
+    assert got["once.lone.com"].verdict == "allow"  # one outcome proves little
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
