@@ -1,4 +1,4 @@
-"""Commands: process, dry-run, mesh, cells, colours, describe and view."""
+"""Commands: process, dry-run, mesh, cells, colours and describe."""
 
 from __future__ import annotations
 
@@ -70,18 +70,11 @@ def _mesh(args: argparse.Namespace) -> int:
 
 
 def _cells(args: argparse.Namespace) -> int:
-    import numpy as np
-
     from granula.process import cells
-    from granula.sources import images
-
-    read = lambda p: images.checked(p, images.read_volume(p, Path(p).read_bytes()))
-    membrane, seeds = read(args.membrane) > 0, read(args.seeds)
-    outside = read(args.outside) > 0 if args.outside else np.zeros(membrane.shape, bool)
-    size = settings.parse_voxel_size(args.voxel_size, 3)
-    found = cells.derived(membrane, seeds, outside, size, args.walls, args.least_um3, args.reach_um)
-    made = cells.write_cells(args.output, found, size, args.store or args.membrane, {}, {"walls": args.walls}, args.drop_edge)
-    print("\n".join(made))
+
+    made = cells.derive(_session(), args.membrane, args.seeds, args.outside, args.output, settings.parse_voxel_size(args.voxel_size), args.walls, args.least_um3, args.reach_um, args.store, drop_edge=args.drop_edge)
+    for r in made.orderBy("label").collect():
+        print(r.folder)
     return 0
 
 
@@ -99,15 +92,6 @@ def _describe(args: argparse.Namespace) -> int:
     return 0
 
 
-def _view(args: argparse.Namespace) -> int:
-    from granula.process import serve
-
-    with serve.server(args.folder, args.port) as found:
-        print(f"http://127.0.0.1:{found.server_address[1]}/", flush=True)
-        found.serve_forever()
-    return 0
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="granula", description=__doc__)
     out.add_argument("-q", "--quiet", action="count", default=0)
@@ -148,8 +132,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(flag, required=True)
     c.add_argument("--outside")
     c.add_argument("--store")
-    c.add_argument("--walls", type=int, default=1)
-    c.add_argument("--least-um3", type=float, default=0.0)
+    c.add_argument("--walls", type=int, default=3)
+    c.add_argument("--least-um3", type=float, default=40.0)
     c.add_argument("--reach-um", type=float)
     c.add_argument("--drop-edge", action="store_true")
     c = commands.add_parser("colours", help="give a report the colours of a palette")
@@ -160,10 +144,6 @@ def parser() -> argparse.ArgumentParser:
     c.set_defaults(do=_describe)
     c.add_argument("report")
     c.add_argument("text")
-    c = commands.add_parser("view", help="serve a folder of reports to readers on this machine")
-    c.set_defaults(do=_view)
-    c.add_argument("folder")
-    c.add_argument("--port", type=int, default=0)
     return out
 
 

@@ -1,9 +1,7 @@
-"""Dilation of voxel tables, and kernels on dense masks: thinning, outlines, watershed and cells."""
+"""Dilation of voxel tables, and kernels on dense masks: growing, components, distances, thinned planes and outlines."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -51,26 +49,6 @@ def labelled(mask: np.ndarray, full: bool = True) -> np.ndarray:
     return out
 
 
-def watershed(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray, full: bool = False) -> np.ndarray:
-    """Seeds flooded over the mask by rising height, the earlier of equals first."""
-    out = np.where(mask, seeds, 0)
-    offsets, order = neighbour_offsets(mask.ndim, full), 0
-    heap = []
-    for at in map(tuple, np.argwhere(out > 0)):
-        heap.append((height[at], order, at))
-        order += 1
-    heapq.heapify(heap)
-    while heap:
-        level, _, at = heapq.heappop(heap)
-        for o in offsets:
-            q = tuple(a + d for a, d in zip(at, o, strict=True))
-            if all(0 <= a < s for a, s in zip(q, mask.shape, strict=True)) and mask[q] and not out[q]:
-                out[q] = out[at]
-                heapq.heappush(heap, (max(level, height[q]), order, q))
-                order += 1
-    return out
-
-
 def squared_distance(mask: np.ndarray, spacing: tuple[float, ...]) -> np.ndarray:
     """Squared distance of each voxel to the nearest one outside the mask, exact, axis by axis; infinite without any."""
     out = np.where(mask, np.inf, 0.0)
@@ -82,15 +60,6 @@ def squared_distance(mask: np.ndarray, spacing: tuple[float, ...]) -> np.ndarray
     return out
 
 
-def cells(membrane: np.ndarray, seeds: np.ndarray, outside: np.ndarray, spacing: tuple[float, ...], walls: int = 1) -> np.ndarray:
-    """Cell ids: free space between thickened membranes flooded from the seeds, grown back over the walls and its membrane, split by a watershed on depth."""
-    free = ~(grown(membrane, walls) | outside)
-    parts = labelled(free | (seeds > 0), full=False)
-    inside = np.isin(parts, np.unique(parts[seeds > 0])) & (parts > 0)
-    space = (grown(inside, walls) | (membrane & grown(inside, walls + 1))) & ~outside
-    return watershed(-squared_distance(space, spacing), seeds, space)
-
-
 def thinned(mask: np.ndarray) -> np.ndarray:
     """One-pixel centre lines of a plane by alternating parallel passes that keep connectivity."""
     m = np.pad(mask.astype(bool), 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-from granula.functions import scalar
+from granula.functions import scalar, settings
 from granula.operators import report
 from granula.sources import report_sink
 
@@ -79,7 +79,10 @@ def read_footer(path: str) -> dict[str, str]:
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    return spark.read.parquet(path), read_footer(path)
+    """Rows and footer keys; a table that is no report is an error with the reason."""
+    rows = spark.read.parquet(path)
+    settings.readable(rows.columns)
+    return rows, read_footer(path)
 
 
 def describe(path: str, text: str) -> None:

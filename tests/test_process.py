@@ -96,17 +96,32 @@ def test_registry():
     assert RunConfig.of(noun="cell").fingerprint() != RunConfig().fingerprint()
 
 
-def test_touching_cells_are_cut(tmp_path):
+def test_touching_cells_are_cut(spark, tmp_path, capsys):
     shape = (24, 30, 60)
     membrane, seeds = np.zeros(shape, bool), np.zeros(shape, np.uint16)
     for k, x in ((2, 18), (1, 41)):
         whole = ball((12, 15, x), (10, 10, 10), shape)
         membrane |= whole & ~ball((12, 15, x), (9, 9, 9), shape)
         seeds[ball((12, 15, x), (4 - k % 2, 4, 4), shape)] = k
-    found = cells.derived(membrane, seeds, np.zeros(shape, bool), (1.0, 1.0, 1.0), least_um3=20, reach_um=12)
-    assert set(np.unique(found)) == {0, 1, 2} and found[12, 15, 18] == 1  # the larger seed is the first
-    made = cells.write_cells(str(tmp_path), found, (0.1, 0.1, 0.1), "s", {"mito": "labels/mito"})
-    assert len(made) == 2 and json.loads((tmp_path / "cell_0001" / "source.json").read_text())["object_mask"] == "cell"
+    for name, v in (("membrane", membrane), ("seeds", seeds)):
+        (tmp_path / f"{name}.tif").write_bytes(images.write_tiff(v.astype(np.uint16), (1.0, 1.0, 1.0)))
+    out = tmp_path / "cells"
+    call = ["cells", "--membrane", str(tmp_path / "membrane.tif"), "--seeds", str(tmp_path / "seeds.tif"), "--voxel-size", "1,1,1", "--output", str(out), "--walls", "1", "--least-um3", "20"]
+    assert commands.main(call) == 0
+    assert capsys.readouterr().out.split() == [f"{out}/cell_0001", f"{out}/cell_0002"]
+    said = [json.loads((out / f"cell_{k:04d}" / "source.json").read_text()) for k in (1, 2)]
+    assert said[0]["object_mask"] == "cell" and said[0]["derived"]["touches"] == "" and said[0]["derived"]["walls"] == 1
+    masks = [images.read_volume("m.tif", (out / f"cell_{k:04d}" / "cell_mask.tif").read_bytes()) for k in (1, 2)]
+    boxes = [[tuple(map(int, p.split(":"))) for p in s["crop"].split(",")] for s in said]
+    whole = np.zeros(shape, int)
+    for k, (m, box) in enumerate(zip(masks, boxes, strict=True), 1):
+        assert m.shape == tuple(b - a for a, b in box)
+        whole[tuple(slice(*b) for b in box)] += k * (m > 0)
+    assert set(np.unique(whole)) == {0, 1, 2} and whole[12, 15, 18] == 1  # the larger seed is the first
+    assert (whole[ball((12, 15, 41), (7, 7, 7), shape)] == 2).all() and whole[0, 0, 0] == 0
+    with pytest.raises(ValueError, match="differ in shape"):
+        (tmp_path / "small.tif").write_bytes(images.write_tiff(np.ones((2, 3, 4), np.uint16), (1.0, 1.0, 1.0)))
+        cells.read(spark, {"membrane": str(tmp_path / "membrane.tif"), "seed": str(tmp_path / "small.tif"), "outside": None})
 
 
 def test_chunked_stores(spark, tmp_path):
