@@ -18,8 +18,9 @@ from granula.functions.storage import spread, stored
 
 #: Samples of at most this size together are tested exactly.
 EXACT = 20
-#: Pivots between two bounds in a round of selection.
-PIVOTS = 15
+#: Pairs of values that are listed for each distinct value, at most, and pivots between two bounds in a round of selection.
+LISTED = 32
+PIVOTS, BINS = 15, 256
 
 
 def object_medians(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -153,12 +154,32 @@ def _counted(asked: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], name
     return met.groupBy(*at).agg(F.sum(F.col("na") * nb).alias("n"), F.sum(F.col("ma") * mb).alias("m"))
 
 
+def _first_pivots(state: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, p): two pivots for each wanted place, from how many values fall in each of BINS bins.
+
+    Pairs of bins give the differences to one bin more or less, so their running counts enclose the place.
+    """
+    ends = counts.groupBy(*keys).agg(F.min("value").alias("from"), ((F.max("value") - F.min("value")) / BINS).alias("width")).where("width > 0")
+    at = F.least(F.lit(BINS - 1), F.floor((F.col("value") - F.col("from")) / F.col("width")))
+    binned = counts.join(ends, keys).groupBy(*keys, "width", at.alias("bin")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    a = binned.where("na > 0").select(*keys, "width", F.col("bin").alias("i"), "na")
+    b = binned.where("nb > 0").select(*keys, F.col("bin").alias("j"), "nb")
+    apart = a.join(b, keys).groupBy(*keys, "width", (F.col("i") - F.col("j")).alias("d")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))  # BINS * BINS pairs of bins
+    upto = W.partitionBy(*keys).orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # 2 * BINS - 1 rows
+    cum = apart.withColumn("cum", F.sum("n").over(upto)).join(state.select(*keys, "k"), keys)
+    room = F.col("width") * 1e-6
+    low = F.max(F.when(F.col("cum") <= F.col("k"), F.col("d") * F.col("width") - room))
+    high = F.min(F.when(F.col("cum") > F.col("k"), (F.col("d") + 1) * F.col("width") + room))
+    found = cum.groupBy(*keys, "k").agg(F.array_compact(F.array(low, high)).alias("ps"))
+    return found.select(*keys, "k", F.explode("ps").alias("p"))
+
+
 def shift(values: DataFrame, by: Sequence[str] = (), pivots: int = PIVOTS, name: str = "shift") -> DataFrame:
     """(by, group_a, group_b, shift): the median of all differences a - b of each pair.
 
-    Selection by rounds: between two bounds that enclose the wanted difference lie equally spaced pivots,
-    and running counts over ranges of the pooled values tell how many differences each has
-    below. Bounds close in until they enclose no more distinct pairs of values than a few times
+    Selection by rounds: between two bounds that enclose the wanted difference lie pivots, first
+    from counts by bins of values and then equally spaced, and running counts over ranges of the
+    pooled values tell how many differences each has below. Bounds close in until they enclose no more distinct pairs of values than a few times
     the distinct values; only these are listed, by a join of value ranges. No task holds a
     group, and not all differences are ever listed.
     """
@@ -176,13 +197,16 @@ def shift(values: DataFrame, by: Sequence[str] = (), pivots: int = PIVOTS, name:
     room = (F.abs("low") + F.abs("high") + 1) * 1e-9
     state = size.where((F.col("na") > 0) & (F.col("nb") > 0)).select(
         *keys, F.explode(middle).alias("k"), (F.col("low") - room).alias("low"), (F.col("high") + room).alias("high"), F.lit(0).cast("long").alias("n_low"), F.lit(0).cast("long").alias("m_low"),
-        (F.col("ma") * F.col("mb")).alias("m_high"), (4 * (F.col("ma") + F.col("mb")) + 1000).alias("few"),
+        (F.col("ma") * F.col("mb")).alias("m_high"), (LISTED * (F.col("ma") + F.col("mb")) + 1000).alias("few"),
     )
     state = stored(state, f"{name}-state")
     step = (F.col("high") - F.col("low")) / (pivots + 1)
     is_open = (F.col("m_high") - F.col("m_low") > F.col("few")) & (F.col("low") + step > F.col("low")) & (F.col("high") - step < F.col("high"))
+    first = True
     while not state.where(is_open).isEmpty():
-        asked = state.where(is_open).select(*keys, "k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(pivots)), lambda j: F.col("low") + step * j)).alias("p"))
+        open_ = state.where(is_open)
+        asked = _first_pivots(open_, counts, keys) if first else open_.select(*keys, "k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(pivots)), lambda j: F.col("low") + step * j)).alias("p"))
+        first = False
         met = _counted(stored(asked, f"{name}-pivots"), a, b, keys, name)
         under = F.max(F.when(F.col("n") <= F.col("k"), F.struct("p", "n", "m"))).alias("under")
         over = F.min(F.when(F.col("n") > F.col("k"), F.struct("p", "m"))).alias("over")
