@@ -23,7 +23,7 @@ def test_only_reports_are_read(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "x.parquet"))
     file = next((tmp_path / "x.parquet").glob("part-*.parquet"))
     with pytest.raises(ValueError, match="no report"):
-        reports.read_report(spark, str(file))
+        reports.read_report(spark, str(file), strict=True)
 
 
 def test_column_families_share_nothing():
