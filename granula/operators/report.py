@@ -71,3 +71,22 @@ def group_label(path: Column, groups: list[str]) -> Column:
     for g in reversed(groups):
         label = F.when((path == g) | path.startswith(g + "/"), g).otherwise(label)
     return label
+
+
+def overview(objects: DataFrame, entities: DataFrame, instances: DataFrame, mask: str | None = None) -> DataFrame:
+    """(objects, groups, instances, structures, dims, mixed): one row about a whole report.
+
+    ``structures`` names the object mask first, then masks, then label structures, each by
+    name; one that is a label anywhere counts as such. ``dims`` maps the number of dimensions
+    to the objects that have it, ``mixed`` says whether there are several. ``objects``
+    (object_id, group, spatial_dims), ``entities`` (entity_name, entity_kind), ``instances`` any
+    rows, one each. Names and dimensions are few; a null group is none.
+    """
+    kinds = entities.groupBy("entity_name").agg(F.max((F.col("entity_kind") == "label").cast("int")).alias("label"))
+    first = F.when(F.col("entity_name") == mask, 0).otherwise(1) if mask is not None else F.lit(1)
+    order = F.sort_array(F.collect_list(F.struct(first.alias("a"), F.col("label").alias("b"), F.col("entity_name").alias("name"))))
+    named = kinds.agg(F.transform(order, lambda x: x["name"]).alias("structures"))
+    dims = objects.groupBy("spatial_dims").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("spatial_dims", "n")))).alias("dims"))
+    counts = objects.agg(F.count_distinct("object_id").alias("objects"), F.count_distinct("group").alias("groups"))
+    found = counts.crossJoin(F.broadcast(instances.agg(F.count(F.lit(1)).alias("instances")))).crossJoin(F.broadcast(named)).crossJoin(F.broadcast(dims))  # a row each
+    return found.withColumn("mixed", F.size("dims") > 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.operators import bricks, graph, morphology, polarity, rows, stats
+from granula.operators import bricks, graph, morphology, polarity, report, rows, stats
 from granula.plans import instance_queries as iq
 from granula.plans import table_queries as tq
 from granula.plans import voxel_queries as vq
@@ -87,6 +87,15 @@ def entity_extras(spark, sf_dir):
     return rounded(rows.with_extras(_entities(spark, sf_dir).distinct(), extras), 2)
 
 
+def overview(spark, sf_dir):
+    """Customers as objects of two and three dimensions, their order priorities as structures, order lines as instances."""
+    c = t(spark, sf_dir, "customer")
+    objects = c.select(F.col("c_custkey").alias("object_id"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("group"), F.when(F.col("c_custkey") % 5 == 0, 2).otherwise(3).alias("spatial_dims"))
+    found = report.overview(objects, _entities(spark, sf_dir), t(spark, sf_dir, "lineitem"), "4-NOT SPECIFIED")
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return found.select("objects", "groups", "instances", F.array_join("structures", ",").alias("structures"), text("dims").alias("dims"), "mixed")
+
+
 def entity_filter(spark, sf_dir):
     return rows.chosen_entities(_entities(spark, sf_dir), ["1-URGENT", "5-LOW"], "3-MEDIUM").groupBy("entity_name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -265,6 +274,7 @@ SQL = {
     "entity_presence": f"WITH {EN} SELECT entity_kind, entity_name, count(DISTINCT object_id) AS objects FROM en GROUP BY ALL",
     "deep_row_kind": "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'label' END AS entity_kind, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
     "entity_extras": f"WITH {EN} SELECT DISTINCT object_id, entity_name, entity_kind, round(x.polar_depth_um, 2) AS polar_depth_um FROM en LEFT JOIN (SELECT o_custkey AS object_id, o_orderpriority AS entity_name, max(o_totalprice) AS polar_depth_um FROM orders GROUP BY ALL HAVING max(o_totalprice) > 200000) x USING (object_id, entity_name)",
+    "overview": f"WITH {EN}, k AS (SELECT entity_name, max((entity_kind = 'label')::INT) AS label FROM en GROUP BY 1), d AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 3 END AS dims, count(*) AS n FROM customer GROUP BY 1) SELECT (SELECT count(DISTINCT c_custkey) FROM customer) AS objects, (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_mktsegment <> 'BUILDING') AS groups, (SELECT count(*) FROM lineitem) AS instances, (SELECT string_agg(entity_name, ',' ORDER BY entity_name <> '4-NOT SPECIFIED', label, entity_name) FROM k) AS structures, (SELECT string_agg(dims || ':' || n, ',' ORDER BY dims) FROM d) AS dims, (SELECT count(*) > 1 FROM d) AS mixed",
     "entity_filter": f"WITH {EN} SELECT entity_name, count(*) AS n FROM en WHERE entity_name IN ('1-URGENT', '5-LOW', '3-MEDIUM') GROUP BY ALL",
     "file_facts": "SELECT page_id % 40 AS object_id, sum(length(html))::BIGINT AS size_bytes, max(page_id) AS modification_date, CASE WHEN count(DISTINCT page_id % 7 = 0) = 1 THEN CASE WHEN bool_and(page_id % 7 = 0) THEN '.nii.gz' ELSE '.tif' END END AS file_extension FROM pages GROUP BY 1",
     "memory_estimate": "SELECT p_partkey, floor(p_partkey * 1000 * (2 * p_size + 4) * 3.5)::BIGINT AS bytes FROM part",
