@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import stored
+from granula.functions.storage import stored, unsent
 
 KEYS = ("object_id", "entity", "label")
 #: Points to either side and passes of the moving mean that takes the steps of voxels out of a chain.
@@ -85,7 +85,7 @@ def _apart(p: str, q: str, axes: tuple[str, ...] = ("z", "y", "x")) -> Column:
 def _at(rows: DataFrame, vertices: DataFrame, keys: list[str], vertex: str, prefix: str) -> DataFrame:
     """``rows`` with the place of the vertex in column ``vertex`` as prefix + z, y, x."""
     places = vertices.select(*keys, F.col("v").alias(vertex), *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in "zyx"])
-    return rows.join(places, [*keys, vertex])
+    return rows.join(unsent(places), [*keys, vertex])
 
 
 def points(runs: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def shapes(runs: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, ..
 
     end = lambda at, p: line.where(at).select(*keys, *CHAIN, "n", *[F.col(c).alias(f"{p}{c}") for c in "zyx"])
     chord = end(F.col("pos") == 0, "p").join(end(F.col("pos") == F.col("n"), "q"), [*keys, *CHAIN, "n"]).select(*keys, *CHAIN, "n", _apart("p", "q").alias("chord_um"))
-    return chord.join(arcs(line, "length_um"), [*keys, *CHAIN]).join(arcs(soft, "arc_um"), [*keys, *CHAIN]).select(*keys, *CHAIN, "n", "length_um", "arc_um", "chord_um")
+    return chord.join(unsent(arcs(line, "length_um")), [*keys, *CHAIN]).join(unsent(arcs(soft, "arc_um")), [*keys, *CHAIN]).select(*keys, *CHAIN, "n", "length_um", "arc_um", "chord_um")
 
 
 def metrics(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "skeleton") -> DataFrame:
@@ -140,7 +140,7 @@ def metrics(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str,
     )
     once = darts(edges, keys).where(F.col("a") < F.col("b"))
     cable = _at(_at(once, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys).agg(F.sum(_apart("p", "q")).alias("__length"))
-    out = vertices.select(*keys).distinct().join(cable, keys, "left").join(each, keys, "left")
+    out = vertices.select(*keys).distinct().join(unsent(cable), keys, "left").join(unsent(each), keys, "left")
     branches = F.when(F.col("__length").isNull(), 0).otherwise(F.coalesce(F.col("__runs"), F.lit(1)))
     return out.select(
         *keys, branches.cast("int").alias("instance_branches"), F.coalesce("__length", F.lit(0.0)).alias("instance_length_um"), (F.col("__bent") / F.col("__arc")).alias("instance_tortuosity")
@@ -169,7 +169,7 @@ def pruned(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, .
         sized = _at(_at(runs, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys, *CHAIN).agg(F.sum(_apart("p", "q")).alias("length"))
         turned = sized.select(*keys, F.col("t").alias("s"), F.col("t1").alias("s1"), F.col("s1").alias("t1"), F.col("s").alias("t"), "length", F.lit(True).alias("turned"))
         ways = sized.select(*keys, *CHAIN, "length", F.lit(False).alias("turned")).unionByName(turned)
-        spurs = ways.join(near, [*keys, "s"], "left_semi").join(far.where("arms > 2"), [*keys, "t"]).join(radius, [*keys, "t"]).where(F.col("length") < F.lit(float(factor)) * F.col("radius"))
+        spurs = ways.join(near, [*keys, "s"], "left_semi").join(far.where("arms > 2"), [*keys, "t"]).join(unsent(radius), [*keys, "t"]).where(F.col("length") < F.lit(float(factor)) * F.col("radius"))
         order = W.partitionBy(*keys, "t").orderBy("length", "s")
         cut = spurs.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= F.col("arms") - 2)
         as_run = lambda c, d: F.when(F.col("turned"), F.col(d)).otherwise(F.col(c)).alias(c)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import spread, stored
+from granula.functions.storage import spread, stored, unsent
 
 FINE, COARSE, BINS = 4096, 128, 20
 #: Cells of a slab of planes, and comparisons of lines that are made directly.
@@ -74,7 +74,7 @@ def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], n
     kind = dict(targets.dtypes)
     keys = f"object_id {kind['object_id']}, target {kind['target']}"
     thick = lambda a, b: F.greatest(F.lit(1), F.floor(F.lit(SLAB) / ((F.col(f"{a}1") - F.col(f"{a}0") + 1) * (F.col(f"{b}1") - F.col(f"{b}0") + 1))))
-    rows = targets.select("object_id", "target", *[F.col(c).cast("int").alias(c) for c in "zyx"]).distinct().join(box, "object_id")
+    rows = targets.select("object_id", "target", *[F.col(c).cast("int").alias(c) for c in "zyx"]).distinct().join(unsent(box), "object_id")
     rows = rows.withColumn("slab", F.floor(F.col("z") / thick("y", "x")))
     line = ["z0", "z1", "y0", "y1", "x0", "x1"]
 
@@ -116,7 +116,7 @@ def transform(targets: DataFrame, points: DataFrame, spacing: Sequence[float], n
     # points meet the field by line: one row for each line of an object, as wide as its box
     wanted = points.select("object_id", F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), "x", *carry).groupBy("object_id", "z", "y").agg(F.collect_set(F.struct("x", *carry)).alias("xs"))
     found = F.transform("xs", lambda p: F.struct(p.alias("p"), F.get("d", (p["x"] - F.col("x0")).cast("int")).alias("d")))
-    met = wanted.join(field, ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(found).alias("f"))
+    met = wanted.join(unsent(field), ["object_id", "z", "y"]).select("object_id", "target", "z", "y", F.explode(found).alias("f"))
     return stored(met.select("object_id", "target", "z", "y", "f.p.x", *[F.col(f"f.p.{c}") for c in carry], F.col("f.d").alias("distance_um")), name)
 
 
@@ -126,7 +126,7 @@ def complement(voxels: DataFrame, mask: str) -> DataFrame:
     box = inside.groupBy("object_id").agg(*[f(c).alias(f"{n}_{c}") for c in "zyx" for n, f in (("min", F.min), ("max", F.max))])
     for c in "zyx":
         box = box.withColumn(c, F.explode(F.sequence(f"min_{c}", f"max_{c}")))
-    return box.select("object_id", "z", "y", "x").join(inside, ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit(mask))
+    return box.select("object_id", "z", "y", "x").join(unsent(inside), ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit(mask))
 
 
 def nearest(carried: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def nearest(carried: DataFrame) -> DataFrame:
 
 def instance_distances(voxels: DataFrame, field: DataFrame) -> DataFrame:
     """The same from voxels and a field of all points."""
-    return nearest(voxels.join(field, ["object_id", "z", "y", "x"]))
+    return nearest(voxels.join(unsent(field), ["object_id", "z", "y", "x"]))
 
 
 def binned(value, low, high, bins: int):
@@ -149,7 +149,7 @@ def binned(value, low, high, bins: int):
 def histograms(rows: DataFrame, keys: list[str], span: list[str], value: str = "distance_um", bins: int = BINS) -> DataFrame:
     """Counts by bin as JSON text for each key; the range is that of the ``span`` group."""
     ends = rows.groupBy(*span).agg(F.min(value).alias("hist_min"), F.max(value).alias("hist_max"))
-    counted = rows.join(ends, span).groupBy(*keys, "hist_min", "hist_max", binned(F.col(value), F.col("hist_min"), F.col("hist_max"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.join(unsent(ends), span).groupBy(*keys, "hist_min", "hist_max", binned(F.col(value), F.col("hist_min"), F.col("hist_max"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     found = counted.groupBy(*keys, "hist_min", "hist_max").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)))
     return found.select(*keys, "hist_min", "hist_max", F.to_json(dense).alias("hist_counts"))
@@ -158,7 +158,7 @@ def histograms(rows: DataFrame, keys: list[str], span: list[str], value: str = "
 def baseline(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFrame:
     """Mean, interpolated median and voxels of the distance to each target over a region, without excluded voxels and the target itself."""
     at = ["object_id", "z", "y", "x"]
-    return baseline_of(field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti"))
+    return baseline_of(field.join(unsent(region.select(*at).distinct()), at, "left_semi").join(unsent(excluded.select(*at).distinct()), at, "left_anti"))
 
 
 def baseline_of(field: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def baseline_of(field: DataFrame) -> DataFrame:
     keys = ["object_id", "target"]
     ends = rows.groupBy(*keys).agg(F.min("distance_um").alias("lo"), F.max("distance_um").alias("hi"), F.count(F.lit(1)).alias("baseline_voxels"), F.avg("distance_um").alias("baseline_mean_um"))
     wide = F.when(F.col("hi") <= F.col("lo"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
-    bins = rows.join(ends, keys).groupBy(*keys, "lo", wide.alias("wide"), "baseline_voxels", "baseline_mean_um", binned(F.col("distance_um"), F.col("lo"), F.col("hi"), FINE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = rows.join(unsent(ends), keys).groupBy(*keys, "lo", wide.alias("wide"), "baseline_voxels", "baseline_mean_um", binned(F.col("distance_um"), F.col("lo"), F.col("hi"), FINE).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     upto = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # 4096 rows at most
     cum = bins.withColumn("cum", F.sum("n").over(upto)).where(F.col("cum") * 2 >= F.col("baseline_voxels"))
     first = cum.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("bin"))).where("k = 1")
@@ -178,7 +178,7 @@ def baseline_of(field: DataFrame) -> DataFrame:
 def baseline_histograms(field: DataFrame, region: DataFrame, excluded: DataFrame) -> DataFrame:
     """(object_id, target, baseline_hist_min_um, baseline_hist_max_um, baseline_hist_counts): COARSE stored bins of the baseline, folded from the FINE ones."""
     at = ["object_id", "z", "y", "x"]
-    return baseline_histograms_of(field.join(region.select(*at).distinct(), at, "left_semi").join(excluded.select(*at).distinct(), at, "left_anti"))
+    return baseline_histograms_of(field.join(unsent(region.select(*at).distinct()), at, "left_semi").join(unsent(excluded.select(*at).distinct()), at, "left_anti"))
 
 
 def baseline_histograms_of(field: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def baseline_histograms_of(field: DataFrame) -> DataFrame:
     ends = rows.groupBy(*keys).agg(F.min("distance_um").alias("baseline_hist_min_um"), F.max("distance_um").alias("baseline_hist_max_um"))
     low, high = F.col("baseline_hist_min_um"), F.col("baseline_hist_max_um")
     coarse = F.floor(binned(F.col("distance_um"), low, high, FINE) / (FINE // COARSE)).cast("int")
-    counted = rows.join(ends, keys).groupBy(*keys, low, high, coarse.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.join(unsent(ends), keys).groupBy(*keys, low, high, coarse.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     found = counted.groupBy(*keys, "baseline_hist_min_um", "baseline_hist_max_um").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))  # COARSE entries at most
     dense = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)))
     return found.select(*keys, "baseline_hist_min_um", "baseline_hist_max_um", F.to_json(dense).alias("baseline_hist_counts"))
@@ -196,9 +196,18 @@ def baseline_histograms_of(field: DataFrame) -> DataFrame:
 
 def tip_distances(tips: DataFrame, field: DataFrame, shape_box: DataFrame) -> DataFrame:
     """(object_id, entity, label, target, distance_end_min_um, distance_end_max_um) of skeleton tips (object_id, entity, label, z, y, x in voxels): rounded, clipped to the box of the object and counted once."""
-    rows = tips.join(shape_box, "object_id")
+    return tip_distances_of(tip_voxels(tips, shape_box).join(unsent(field), ["object_id", "z", "y", "x"]))
+
+
+def tip_voxels(tips: DataFrame, shape_box: DataFrame) -> DataFrame:
+    """The voxels of tips: rounded, clipped to the box of the object and counted once."""
+    rows = tips.join(unsent(shape_box), "object_id")
     for a in "zyx":
         rows = rows.withColumn(a, F.greatest(F.col(f"{a}0"), F.least(F.col(f"{a}1"), F.rint(a))).cast("int"))
-    once = rows.select("object_id", "entity", "label", "z", "y", "x").distinct()
-    met = once.join(field, ["object_id", "z", "y", "x"]).where(F.col("entity") != F.col("target"))
+    return rows.select("object_id", "entity", "label", "z", "y", "x").distinct()
+
+
+def tip_distances_of(carried: DataFrame) -> DataFrame:
+    """The same from a field of the tips' voxels alone, which carries entity and label."""
+    met = carried.where(F.col("entity") != F.col("target"))
     return met.groupBy("object_id", "entity", "label", "target").agg(F.min("distance_um").alias("distance_end_min_um"), F.max("distance_um").alias("distance_end_max_um"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import spread, stored
+from granula.functions.storage import spread, stored, unsent
 from granula.operators import distance, graph
 from granula.operators.bricks import SIDE, Brick, bricked
 from granula.operators.graph import neighbour_offsets
@@ -99,7 +99,7 @@ def flooded(space: DataFrame, seeds: DataFrame, full: bool = False, side: int =
     kind = dict(space.dtypes)["object_id"]
     schema = f"object_id {kind}, z int, y int, x int, level double, steps long, seed long"
     cells = space.groupBy(*AT).agg(F.min(F.col("height").cast("double")).alias("height"))
-    own = cells.join(seeds.where("seed >= 0").groupBy(*AT).agg(F.min(F.col("seed").cast("long")).alias("seed")), AT, "left")
+    own = cells.join(unsent(seeds.where("seed >= 0").groupBy(*AT).agg(F.min(F.col("seed").cast("long")).alias("seed"))), AT, "left")
     own = stored(spread(bricked(own, side, halo=(0, 0, 0)), *NAMES), f"{name}-bricks")
     place = [F.floor(F.col(a) / side).cast("int").alias(f"b{a}") for a in "zyx"]
     elsewhere = ~((F.col("hz") == F.col("bz")) & (F.col("hy") == F.col("by")) & (F.col("hx") == F.col("bx")))
@@ -167,7 +167,7 @@ def cells(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float], wal
     axes = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(a) for n, a in zip(shape, "zyx", strict=True)]
     grid = voxels.select("object_id").distinct().select("object_id", axes[0]).select("*", axes[1]).select("*", axes[2])
     wall = grow(membrane, walls).union(outside)
-    free = grid.join(wall, AT, "left_anti")
+    free = grid.join(unsent(wall), AT, "left_anti")
     seed = stored(graph.voxel_components(part("seed").withColumn("entity", F.lit("seed")), full=False, name=f"{name}-seeds"), f"{name}-seeds")
     volume = float(np.prod(spacing))
     sized = seed.groupBy("object_id", "component").agg((F.count(F.lit(1)) * volume).alias("size")).where(F.col("size") >= least_um3)
@@ -176,7 +176,7 @@ def cells(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float], wal
     parts = stored(graph.voxel_components(free.withColumn("entity", F.lit("free")), full=False, name=f"{name}-free").select(*AT, "component"), f"{name}-free")
     met = parts.join(ranked, AT, "left_semi").select("object_id", "component").distinct()
     reached = parts.join(met, ["object_id", "component"], "left_semi").select(*AT)
-    body = stored(grow(reached, walls).join(outside, AT, "left_anti"), f"{name}-body")
+    body = stored(grow(reached, walls).join(unsent(outside), AT, "left_anti"), f"{name}-body")
     body = stored(body.union(membrane.join(grow(body, 1), AT, "left_semi")).distinct(), f"{name}-body")
     if reach_um is not None:
         away = distance.transform(membrane.withColumn("target", F.lit("membrane")), body, spacing)

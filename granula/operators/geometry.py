@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
-from granula.functions.storage import spread
+from granula.functions.storage import spread, unsent
 from granula.operators import morphology
 from granula.operators.distance import lower_envelope
 
@@ -272,21 +272,21 @@ def geometry_rows(voxels: DataFrame, kinds: DataFrame, spacing, metrics: DataFra
     """
     keys = ["object_id", "entity", "label"]
     kind = F.when(F.col("entity_kind") == "label", "instance").otherwise("file")
-    rows = metrics.join(kinds, ["object_id", "entity"]).withColumn("row_type", kind)
+    rows = metrics.join(unsent(kinds), ["object_id", "entity"]).withColumn("row_type", kind)
     boxes = morphology.bounding_boxes(voxels).select(*keys, "n", "fill_ratio")
     wanted = scalar.surface_choice(F.col("aspect_ratio_major_minor"), F.col("sphericity"), F.lit(0), F.lit(False)) if choice == "auto" else F.lit(choice)
-    rows = rows.join(boxes, keys, "left").withColumn("surface_kind", F.when(F.col("row_type") == "file", "mesh").otherwise(wanted))
-    round_ones = voxels.join(rows.where("surface_kind = 'ellipsoid'").select(*keys), keys, "left_semi")
+    rows = rows.join(unsent(boxes), keys, "left").withColumn("surface_kind", F.when(F.col("row_type") == "file", "mesh").otherwise(wanted))
+    round_ones = voxels.join(unsent(rows.where("surface_kind = 'ellipsoid'").select(*keys)), keys, "left_semi")
     drawn = ellipsoids(morphology.equivalent_ellipsoids(round_ones, spacing)).withColumns({"surface_vertices": F.lit(None).cast("int"), "surface_elements": F.lit(None).cast("int")})
-    meshed = surfaces(voxels.join(rows.where("surface_kind = 'mesh'").select(*keys), keys, "left_semi"), spacing, method)
-    rows, more = rows.join(drawn.unionByName(meshed), keys, "left"), []
+    meshed = surfaces(voxels.join(unsent(rows.where("surface_kind = 'mesh'").select(*keys)), keys, "left_semi"), spacing, method)
+    rows, more = rows.join(unsent(drawn.unionByName(meshed)), keys, "left"), []
     if centre is not None:
-        places = morphology.centroids(voxels, spacing).join(centre, "object_id", "left")
+        places = morphology.centroids(voxels, spacing).join(unsent(centre), "object_id", "left")
         found = scalar.direction(*[F.col(f"{a}_um") - F.col(f"c{a}") for a in "zyx"])
-        rows = rows.join(places.select(*keys, *[c.alias(n) for n, c in found.items()]), keys, "left")
+        rows = rows.join(unsent(places.select(*keys, *[c.alias(n) for n, c in found.items()])), keys, "left")
         more += list(found)
     if lines is not None:
-        rows = rows.join(lines.select(*keys, "skeleton", *[F.col(f"instance_{n}").alias(n) for n in ("branches", "length_um", "tortuosity")]), keys, "left")
+        rows = rows.join(unsent(lines.select(*keys, "skeleton", *[F.col(f"instance_{n}").alias(n) for n in ("branches", "length_um", "tortuosity")])), keys, "left")
         more += ["skeleton", "branches", "length_um", "tortuosity"]
     out = rows.select(
         "object_id", "row_type", F.col("entity").alias("entity_name"), F.when(F.col("row_type") == "instance", F.col("label").cast("long")).alias("label"), F.col("n").alias("voxels"),

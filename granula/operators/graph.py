@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import stored
+from granula.functions.storage import stored, unsent
 
 
 def components(nodes: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
@@ -21,9 +21,9 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
     labels = nodes.select("node", F.col("node").alias("root"))
     while True:
         heard = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("m"))
-        near = labels.join(heard, F.col("node") == F.col("n"), "left").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        near = labels.join(unsent(heard), F.col("node") == F.col("n"), "left").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         far = labels.select(F.col("node").alias("n"), F.col("root").alias("m"))
-        after = stored(near.join(far, F.col("root") == F.col("n")).select("node", "was", F.least("root", "m").alias("root")), f"{name}-labels")
+        after = stored(near.join(unsent(far), F.col("root") == F.col("n")).select("node", "was", F.least("root", "m").alias("root")), f"{name}-labels")
         if after.where(F.col("was") != F.col("root")).isEmpty():
             return after.select("node", "root")
         labels = after.select("node", "root")
@@ -55,7 +55,7 @@ def voxel_components(voxels: DataFrame, full: bool = True, name: str = "voxels")
     order = W.partitionBy("root.object_id", "root.entity").orderBy("root.part")
     numbered = roots.select("root").distinct().withColumn("component", F.row_number().over(order))
     numbers = roots.join(numbered, "root").select(F.col("node.object_id").alias("object_id"), F.col("node.entity").alias("entity"), F.col("node.part").alias("part"), "component")
-    return own.join(numbers, ["object_id", "entity", "part"]).select(*at, "component")
+    return own.join(unsent(numbers), ["object_id", "entity", "part"]).select(*at, "component")
 
 
 def promoted(voxels: DataFrame, kinds: DataFrame, mask: str | None = None, auto: bool = False, name: str = "parts") -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import scalar
 from granula.functions.prefix import running_sums
+from granula.functions.storage import unsent
 
 
 def size_weights(rows: DataFrame, size: str, by: list[str]) -> DataFrame:
@@ -111,12 +112,12 @@ def recovered_centres(rows: DataFrame, by: list[str], position: dict[str, str])
 
 def spread(voxels: DataFrame, centre: DataFrame, spacing: Sequence[float], keys: list[str]) -> DataFrame:
     """(keys, polar_spread_deg): standard deviation of the angles of an instance's voxels to their mean direction from the centre (object_id, cz, cy, cx) in micrometres; null under three voxels off the centre."""
-    rows = voxels.join(centre, "object_id")
+    rows = voxels.join(unsent(centre), "object_id")
     off = [F.col(c) * s - F.col(f"c{c}") for c, s in zip("zyx", spacing, strict=True)]
     n = F.sqrt(sum(o * o for o in off))
     rows = rows.select(*keys, *[F.try_divide(o, n).alias(f"n{c}") for o, c in zip(off, "zyx", strict=True)]).where("nz is not null")
     mean = rows.groupBy(*keys).agg(*[F.avg(f"n{c}").alias(f"m{c}") for c in "zyx"])
     length = F.sqrt(F.col("mz") ** 2 + F.col("my") ** 2 + F.col("mx") ** 2)
     dot = sum(F.col(f"n{c}") * F.try_divide(F.col(f"m{c}"), length) for c in "zyx")
-    angle = rows.join(mean, keys).withColumn("angle", scalar.cone_angle(dot))
+    angle = rows.join(unsent(mean), keys).withColumn("angle", scalar.cone_angle(dot))
     return angle.groupBy(*keys).agg(F.when(F.count("angle") >= 3, F.stddev_pop("angle")).alias("polar_spread_deg"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.functions.storage import spread, stored
+from granula.functions.storage import spread, stored, unsent
 from granula.operators import branches, distance
 from granula.operators.bricks import SIDE, bricked
 from granula.operators.flood import brick_dilated
@@ -126,7 +126,7 @@ def graph_of(line: DataFrame, keys: Sequence[str] = KEYS, name: str = "line") ->
     both = steps.select(*keys, "a", "b", F.struct("w", "a", "b").alias("rank")).union(steps.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), F.struct("w", "a", "b")))
     x = both.select(*keys, "a", F.col("b").alias("c"), F.col("rank").alias("r1"))
     y = both.select(*keys, F.col("a").alias("c"), "b", F.col("rank").alias("r2"))
-    around = x.join(y, [*keys, "c"]).where(F.col("a") < F.col("b"))  # 26 neighbours at most
+    around = x.join(unsent(y), [*keys, "c"]).where(F.col("a") < F.col("b"))  # 26 neighbours at most
     longest = steps.withColumn("rank", F.struct("w", "a", "b")).join(around, [*keys, "a", "b"]).where((F.col("r1") < F.col("rank")) & (F.col("r2") < F.col("rank")))
     return vertices, steps.select(*keys, "a", "b").join(longest.select(*keys, "a", "b").distinct(), [*keys, "a", "b"], "left_anti")
 
@@ -136,7 +136,7 @@ def radii(vertices: DataFrame, voxels: DataFrame, spacing: Sequence[float], keys
     keys = list(keys)
     one = F.to_json(F.struct(*keys))
     own = voxels.select(one.alias("object_id"), "z", "y", "x").distinct()
-    edge = brick_dilated(own, 1, ["object_id"]).join(own, ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit("out"))
+    edge = brick_dilated(own, 1, ["object_id"]).join(unsent(own), ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit("out"))
     points = vertices.select(one.alias("object_id"), "z", "y", "x")
     found = distance.transform(edge, points, spacing, name).select("object_id", "z", "y", "x", F.col("distance_um").alias("radius"))
     return vertices.withColumn("object_id_", one).join(found.withColumnRenamed("object_id", "object_id_"), ["object_id_", "z", "y", "x"]).select(*keys, "v", "z", "y", "x", "radius")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from granula.functions import scalar
 from granula.functions.settings import RunConfig, extent_keys
-from granula.functions.storage import stored
+from granula.functions.storage import stored, unsent
 from granula.operators import branches, bricks, contacts, distance, morphology, polarity, report, rows, skeleton, thinning
 
 INSTANCE = ["object_id", "entity", "label"]
@@ -70,7 +70,7 @@ class Batch:
         box = inside.groupBy("object_id").agg(*[f(c).alias(f"{n}_{c}") for c in "zyx" for n, f in (("min", F.min), ("max", F.max))])
         for c in "zyx":
             box = box.withColumn(c, F.explode(F.sequence(F.col(f"min_{c}") - grow[c], F.col(f"max_{c}") + grow[c])))
-        return box.select("object_id", "z", "y", "x").join(inside, ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit(mask))
+        return box.select("object_id", "z", "y", "x").join(unsent(inside), ["object_id", "z", "y", "x"], "left_anti").withColumn("target", F.lit(mask))
 
     @cached_property
     def shaped(self) -> DataFrame:
