@@ -15,7 +15,8 @@
    of its own and the neighbouring bands: a row for a class and ``pivots`` for a block. Then
    only classes outside their cluster's largest component meet the blocks of the cluster
    again, u * m / ``block`` rows for u such classes of m; the near copies of one text are in
-   the largest component by then. Lists of unlike texts with one common shingle, where u is
+   the largest component by then. These rows carry sketches; only classes with a possible
+   partner in a block meet it with their full sets. Lists of unlike texts with one common shingle, where u is
    about m, stay quadratic by that factor.
 5. Connected components over all links.
 
@@ -273,6 +274,38 @@ def _forest(percent: int, chunk: int = 4096):
     return run
 
 
+def _may_link(rows: DataFrame, marks: DataFrame, group: list[str], percent: int, k: int, least: int, once: bool = False) -> DataFrame:
+    """The ``rows`` (group, fp, root) with another root in their group that their sketches and sizes allow a link with.
+
+    ``marks``: (fp, size, sketch, clusters). With ``once`` a pair counts only in the least of the
+    clusters that both are in, for groups that compare all of a cluster. Sketches are a small part of full sets, which only the rows
+    that are left meet. No pair is lost that likely_pairs() would keep: what two sketches
+    share is never less than what they share of their union's sketch.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        one_thread()
+        n, sketch = len(rows), rows["sketch"].combine_chunks()
+        held = sketch.value_lengths().to_numpy()
+        _, column = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros((n, int(column.max()) + 1), np.float32)
+        has[np.repeat(np.arange(n), held), column] = 1
+        both = has @ has.T
+        whole = np.minimum(k, held[:, None] + held[None, :] - both)
+        size = rows["size"].to_numpy().astype(np.int64)
+        fits = np.minimum(size[:, None], size[None, :]) * 100 >= np.maximum(size[:, None], size[None, :]) * percent
+        _, first = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        may = (both * k >= whole * least) & fits & (first[:, None] != first[None, :])
+        if once:
+            here, clusters = rows["cluster"][0].as_py(), [set(c) for c in rows["clusters"].to_pylist()]
+            for a, b in np.argwhere(np.triu(may)).tolist():
+                may[a, b] = may[b, a] = min(clusters[a] & clusters[b]) == here
+        return rows.select([*group, "fp", "root"]).filter(pa.array(may.any(axis=1)))
+
+    kinds = dict(rows.dtypes)
+    return rows.join(marks, "fp").groupBy(*group).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [*group, "fp", "root"]))
+
+
 def component_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int, least: int, long_list: int, block: int, pivots: int, name: str) -> DataFrame:
     """(node, root) of all linked classes.
 
@@ -282,22 +315,31 @@ def component_roots(docs: DataFrame, classes: DataFrame, width: int, percent: in
     lists = stored(postings(classes, percent, k, least), f"{name}-lists")
     likely = stored(likely_pairs(candidates(lists, percent, long_list), classes, k, least), f"{name}-pairs")
     blocks = stored(_banded(_merged_lists(lists.where(F.col("df") > long_list)), percent, block), f"{name}-blocks")
-    needed = likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(blocks.select("fp")).distinct()
-    needed = needed.join(classes.select("fp", "digest", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
-    # by id and text, so that many rows with one id (or none) do not meet the representatives of others
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h")))
-    sets = stored(full_sets(texts, width), f"{name}-sets")
+    of = blocks.groupBy("fp").agg(F.collect_set("cluster").alias("clusters"))  # k values at most
+    marks = stored(classes.select("fp", F.col("n").alias("size"), "sketch").join(of, "fp"), f"{name}-marks")
+    near = stored(_may_link(_with_pivots(blocks, pivots), marks, ["cluster", "to_band", "to_part"], percent, k, least), f"{name}-near")
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """Full sets of the classes ``needed`` (fp)."""
+        needed = needed.join(classes.select("fp", "digest", F.col("doc_id").alias("__rep"), F.col("h").alias("__h")), "fp")
+        # by id and text, so that many rows with one id (or none) do not meet the representatives of others
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("h") == F.col("__h")))
+        return stored(full_sets(texts, width), f"{name}-sets")
+
+    sets = sets_of(likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(near.select("fp")).distinct())
     side = lambda s: sets.select(F.col("fp").alias(s), F.col("hashes").alias(f"h{s}"))
     both = F.size(F.array_intersect("ha", "hb"))
     checked = likely.join(side("a"), "a").join(side("b"), "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-    near = _with_pivots(blocks, pivots).join(sets, "fp").groupBy("cluster", "to_band", "to_part").applyInArrow(_forest(percent), "a long, b long")
-    found = stored(checked.union(near), f"{name}-links")
+    joins = near.join(sets, "fp").groupBy("cluster", "to_band", "to_part").applyInArrow(_forest(percent), "a long, b long")
+    found = stored(checked.union(joins), f"{name}-links")
     roots = components(found, name)
-    rest = stored(_rest_pairs(blocks, roots, block, name), f"{name}-left")
+    group = ["cluster", "band", "part", "to_band", "to_part"]
+    rest = stored(_may_link(_rest_pairs(blocks, roots, block, name), marks, group, percent, k, least, once=True), f"{name}-left")
     if rest.isEmpty():
         return roots
-    more = rest.join(sets, "fp").groupBy("cluster", "band", "part", "to_band", "to_part").applyInArrow(_forest(percent), "a long, b long")
+    sets = sets.union(sets_of(rest.select("fp").distinct().join(sets.select("fp"), "fp", "left_anti")))
+    more = rest.join(sets, "fp").groupBy(*group).applyInArrow(_forest(percent), "a long, b long")
     # a component is one node now, named by its root
     joined = stored(more, f"{name}-more")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(joined), name)

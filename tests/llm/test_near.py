@@ -63,3 +63,13 @@ def test_clashing_extra_columns(spark):
     extra = ["h", "n_shingles", "fp", "sketch"]
     with pytest.raises(ValueError, match="h, n_shingles, fp, sketch"):
         near_dedup.near_duplicates(docs, extra=extra)
+
+
+def test_only_possible_partners_meet_with_full_sets(spark):
+    rows = [("v", 1, 1), ("v", 2, 2), ("v", 3, 3), ("w", 1, 1), ("w", 2, 2)]
+    rows = spark.createDataFrame([(c, i, r) for c, i, r in rows], "cluster string, fp long, root long")
+    full = [*range(32)]
+    marks = spark.createDataFrame([(1, 40, full, ["v", "w"]), (2, 40, full[:20] + [*range(50, 62)], ["v", "w"]), (3, 40, full[:2] + [*range(70, 100)], ["v"])], "fp long, size int, sketch array<long>, clusters array<string>")
+    found = lambda once: sorted(tuple(r) for r in near_dedup._may_link(rows, marks, ["cluster"], 80, 32, 14, once).collect())
+    assert found(False) == [("v", 1, 1), ("v", 2, 2), ("w", 1, 1), ("w", 2, 2)]
+    assert found(True) == [("v", 1, 1), ("v", 2, 2)]
