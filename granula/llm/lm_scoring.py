@@ -37,26 +37,27 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.base import one_thread, received, send, slices, stored, table
+from granula.llm.base import keep_memory, one_thread, received, send, slices, stored, table
 
 FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
-#: Words before a word that predict it; noise samples of the group (shared by a batch) and of the class (for each word); words of a step.
-CONTEXT, GROUP_NOISE, CLASS_NOISE, STEP_WORDS = 3, 32, 3, 2048
+#: Words before a word that predict it; noise samples of the group (shared by a step) and of the class, and the words of a group that share these; words of a step.
+CONTEXT, GROUP_NOISE, CLASS_NOISE, SHARING, STEP_WORDS = 3, 32, 8, 16, 4096
 #: The end of a text among the words; no word is empty.
 END = b""
-FLUSH = 300_000
+FLUSH = 1_000_000
 #: Rows whose words are held as Python objects at once.
 SLICE = 500
 BUCKETS = 16
 #: Of the pass over all words: words handled at once, rows of a block of vectors, step and its precision before any word.
-CHUNK, BLOCK, STEP, PRIOR = 50_000, 1024, 0.1, 3.0
+CHUNK, BLOCK, STEP, PRIOR = 50_000, 1024, 0.14, 3.0
 
 
 def fold(modulus: int) -> Column:
@@ -68,31 +69,41 @@ def words(data: bytes | None) -> list[bytes]:
     return (data or b"").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words() of all texts (binary), end to end, and the number of each."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    parent, flat = pc.list_parent_indices(found), found.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty piece
+    flat, parent = flat.filter(some), parent.filter(some)
+    return flat, np.bincount(parent.to_numpy(), minlength=len(texts))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, seen) of ``docs`` (text, held_out): how often a word occurs in rows that train and in all, END included; counted in each partition before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    kind = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("seen", pa.int64())])
 
-        seen: Counter = Counter()
-        held: Counter = Counter()
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum"), ("seen", "sum")])
+        return found.select(["word", "c_sum", "seen_sum"]).rename_columns(kind.names)
 
-        def flush() -> pa.RecordBatch:
-            train = [n - held[w] if w in held else n for w, n in seen.items()] if held else list(seen.values())
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(train, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "c", "seen"])
-            seen.clear()
-            held.clear()
-            return out
-
-        for batch in batches:
-            for data, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [*words(data), END]
-                seen.update(found)
-                if out:
-                    held.update(found)
-                if len(seen) > FLUSH:
-                    yield flush()
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        held = 0
+        for batch in slices(batches, SLICE):
+            found, lengths = split(batch.column(0))
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            one = pa.table({"word": found.view(pa.binary()), "c": np.repeat(~out, lengths).astype(np.int64), "seen": np.ones(len(found), np.int64)})
+            ends = pa.table({"word": pa.array([END], pa.binary()), "c": [int((~out).sum())], "seen": [len(out)]})
+            parts.append(summed([one, ends]))
+            held += len(parts[-1])
+            if held > FLUSH:
+                parts = [summed(parts)]
+                if (held := len(parts[0])) > FLUSH // 2:
+                    yield from parts[0].cast(kind).combine_chunks().to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from summed(parts).cast(kind).combine_chunks().to_batches()
 
     rows = docs.select(F.col("text").cast("binary").alias("text"), "held_out")
     return rows.mapInArrow(run, "word binary, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
@@ -131,6 +142,9 @@ class Vocabulary:
     def suffix(self, word: bytes) -> int:
         return self.frequent + 1 + zlib.crc32(word[-3:]) % SUFFIXES
 
+    def array(self) -> pa.Array:
+        return pa.array(self.words, pa.binary()).view(pa.string())
+
     def index(self) -> dict[bytes, int]:
         return dict(zip(self.words, range(len(self.words)), strict=True))
 
@@ -178,16 +192,10 @@ def class_pairs(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = received(sent)
-        index, suffixes, total = vocab.index(), {}, np.zeros((n + 1) * n, np.int64)
-        for batch in batches:
-            codes = []
-            for data in batch.column(0).to_pylist():
-                kind = class_row(words(data), vocab, index, suffixes)[1]
-                before = np.empty_like(kind)
-                before[0], before[1:] = n, kind[:-1]
-                codes.append(before * n + kind)
-            if codes:
-                total += np.bincount(np.concatenate(codes), minlength=len(total))
+        shipped, total = vocab.array(), np.zeros((n + 1) * n, np.int64)
+        for batch in slices(batches, SLICE):
+            _, kind, lengths, _ = class_rows(batch.column(0), vocab, shipped)
+            total += np.bincount(contexts(kind, lengths, n, 1)[:, 0] * n + kind, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "c"])
 
@@ -282,9 +290,12 @@ class LogBilinear:
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The predicted vectors of contexts (the nearest class first), with a 1 that meets the bias."""
-        h = self.q[before[:, 0]] * self.places[0]
+        h = self.q.take(before[:, 0], axis=0)
+        h *= self.places[0]
         for k in range(1, before.shape[1]):
-            h += self.q[before[:, k]] * self.places[k]
+            more = self.q.take(before[:, k], axis=0)
+            more *= self.places[k]
+            h += more
         h[:, -1] = 1.0
         return h
 
@@ -377,50 +388,75 @@ class Learner:
         self.classes_upto = np.cumsum(share[self.model.order])
         self.class_noise = np.log(CLASS_NOISE * share / mass[model.group_of]).astype(np.float32)
 
-    def update(self, at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
-        rows, total = at[order][heads], np.add.reduceat(grad[order], heads, axis=0)
+    def update(self, places: list[np.ndarray], grads: list[np.ndarray]) -> None:
+        """A step along the gradients (a column for each of ``places``), added up by row."""
+        at = np.concatenate(places)
+        met = np.zeros(len(self.state), bool)
+        met[at] = True
+        rows = np.flatnonzero(met)
+        number = np.empty(len(met), np.int64)
+        number[rows] = np.arange(len(rows))
+        at, grad = number[at], np.concatenate(grads, axis=1)
+        total = np.empty((len(grad), len(rows)), np.float32)
+        for k, g in enumerate(grad):
+            total[k] = np.bincount(at, g, len(rows))
+        total = np.ascontiguousarray(total.T)
         self.state[rows] += (total * total).mean(axis=1)
         self.model.rows[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
 
     def learn(self, before: np.ndarray, kind: np.ndarray) -> None:
         """All words once in another order."""
-        m, order = self.model, self.rng.permutation(len(kind))
-        n, wide = m.classes, 2 * m.classes + 1
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        order = self.rng.permutation(len(kind))
         for lo in range(0, len(order), STEP_WORDS):
             at = order[lo : lo + STEP_WORDS]
-            x, y = before[at], kind[at]
-            group = m.group_of[y]
-            h = m.predicted(x)
-            # the group, against samples that the batch shares
-            other = np.minimum(np.searchsorted(self.groups_upto, self.rng.random(GROUP_NOISE) * self.groups_upto[-1]), m.groups - 1)
-            right, wrong = m.rows[wide + group], m.rows[wide + other]
-            true = sigmoid((h * right).sum(axis=1) - self.group_noise[group]) - 1
-            false = sigmoid(h @ wrong.T - self.group_noise[other])
-            dh = true[:, None] * right + false @ wrong
-            places, grads = [wide + group, wide + other], [true[:, None] * h, false.T @ h]
-            # the class, against others of its group
-            low, high = m.begin[group], m.begin[group + 1]
-            several = np.flatnonzero(high - low > 1)
-            if len(several):
-                floor = np.append(0.0, self.classes_upto)
-                u = floor[low[several], None] + self.rng.random((len(several), CLASS_NOISE)) * (floor[high[several]] - floor[low[several]])[:, None]
-                drawn = np.clip(np.searchsorted(self.classes_upto, u), low[several, None], high[several, None] - 1)
-                drawn, mine, hs = m.order[drawn], y[several], h[several]
-                right, wrong = m.rows[n + 1 + mine], m.rows[n + 1 + drawn]
-                true = sigmoid((hs * right).sum(axis=1) - self.class_noise[mine]) - 1
-                false = sigmoid(np.einsum("bd,bkd->bk", hs, wrong) - self.class_noise[drawn])
-                dh[several] += true[:, None] * right + np.einsum("bk,bkd->bd", false, wrong)
-                places += [n + 1 + mine, (n + 1 + drawn).ravel()]
-                grads += [true[:, None] * hs, (false[:, :, None] * hs[:, None, :]).reshape(-1, h.shape[1])]
-            dh[:, -1] = 0.0
-            weights = m.rows[-x.shape[1] :].copy()
-            for k in range(x.shape[1]):
-                places += [x[:, k], [len(m.rows) - x.shape[1] + k]]
-                grads += [dh * weights[k], (dh * m.rows[x[:, k]]).sum(axis=0, keepdims=True)]
-            self.update(np.concatenate(places), np.concatenate(grads))
+            at = at[np.argsort(self.model.group_of[kind[at]], kind="stable")]
+            self.step(before[at], kind[at])
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        """One step over words that are sorted by their group."""
+        m = self.model
+        n, wide = m.classes, 2 * m.classes + 1
+        sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+        group = m.group_of[y]
+        h = m.predicted(x)
+        # the group, against samples that the batch shares
+        other = np.minimum(np.searchsorted(self.groups_upto, self.rng.random(GROUP_NOISE) * self.groups_upto[-1]), m.groups - 1)
+        right, wrong = m.wide.take(group, axis=0), m.wide[other]
+        true = sigmoid(np.einsum("bd,bd->b", h, right) - self.group_noise[group]) - 1
+        false = sigmoid(h @ wrong.T - self.group_noise[other])
+        dh = true[:, None] * right + false @ wrong
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        across = np.ascontiguousarray(h.T)
+        places, grads = [wide + group[heads], wide + other], [np.add.reduceat(across * true, heads, axis=1), (false.T @ h).T]
+        # the class, against others of its group; SHARING words of a group share them
+        sizes = np.diff(heads, append=len(group))
+        several = (m.begin[group[heads] + 1] - m.begin[group[heads]]) > 1
+        if several.any():
+            blocks = np.where(several, -(-sizes // SHARING), 0)
+            of = np.repeat(np.arange(len(heads)), blocks)
+            begin = heads[of] + SHARING * (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+            at = begin[:, None] + np.arange(SHARING)
+            real = at < (heads + sizes)[of, None]
+            at = np.where(real, at, begin[:, None])  # places without a word repeat the first one and count nothing
+            low, high = m.begin[group[begin]], m.begin[group[begin] + 1]
+            floor = np.append(0.0, self.classes_upto)
+            u = floor[low, None] + self.rng.random((len(of), CLASS_NOISE)) * (floor[high] - floor[low])[:, None]
+            drawn = m.order[np.clip(np.searchsorted(self.classes_upto, u), low[:, None], high[:, None] - 1)]
+            hs, wrong = h.take(at, axis=0), m.r[drawn]
+            false = sigmoid(hs @ wrong.transpose(0, 2, 1) - self.class_noise[drawn][:, None, :]) * real[:, :, None]
+            placed = np.flatnonzero(real)
+            mine = slice(None) if several.all() else at.ravel()[placed]  # words stay in their order
+            right = m.r.take(y[mine], axis=0)
+            true = sigmoid(np.einsum("bd,bd->b", h[mine], right) - self.class_noise[y[mine]]) - 1
+            dh[mine] += true[:, None] * right + (false @ wrong).reshape(-1, h.shape[1]).take(placed, axis=0)
+            places += [n + 1 + y[mine], n + 1 + drawn.ravel()]
+            grads += [across[:, mine] * true, (false.transpose(0, 2, 1) @ hs).reshape(-1, h.shape[1]).T]
+        dh[:, -1] = 0.0
+        weights, down = m.places.copy(), np.ascontiguousarray(dh.T)
+        for k in range(x.shape[1]):
+            places += [x[:, k], [len(m.rows) - x.shape[1] + k]]
+            grads += [down * weights[k][:, None], np.einsum("bd,bd->d", dh, m.q.take(x[:, k], axis=0))[:, None]]
+        self.update(places, grads)
 
     def changes(self) -> np.ndarray:
         """Of each row the change times its precision, and what its words add to the precision."""
@@ -433,11 +469,31 @@ def added(first: np.ndarray, change: np.ndarray) -> np.ndarray:
     return first + change[:, :-1] / (PRIOR + change[:, -1:])
 
 
-def class_rows(batch: pa.RecordBatch, column: int, vocab: Vocabulary, index: dict, suffixes: dict) -> tuple[np.ndarray, np.ndarray, list[int], list[list[bytes]]]:
-    """Of the texts of a batch, end to end: places among the shipped words, classes, lengths, and the words of each that are not shipped."""
-    found = [class_row(words(data), vocab, index, suffixes) for data in batch.column(column).to_pylist()]
-    join = lambda k: np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
-    return join(0), join(1), [len(f[0]) for f in found], [f[2] for f in found]
+def class_rows(texts: pa.Array, vocab: Vocabulary, shipped: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """class_row() of all texts (binary), end to end: places among the shipped words, classes, lengths, and the words that are not shipped; ``shipped`` is vocab.array()."""
+    found, lengths = split(texts)
+    lengths = lengths + 1
+    at = np.empty(lengths.sum(), np.int64)
+    ends = np.cumsum(lengths) - 1
+    inner = np.ones(len(at), bool)
+    inner[ends] = False
+    at[inner] = pc.fill_null(pc.index_in(found, value_set=shipped), -1).to_numpy()
+    at[ends] = pc.fill_null(pc.index_in(pa.array([END.decode()]), value_set=shipped), -1)[0].as_py()
+    kind = vocab.class_of[at] if len(vocab.words) else np.zeros(len(at), np.int64)
+    kind[ends] = vocab.end
+    missing = at < 0
+    if len(ends) and at[ends[0]] < 0:  # the ends are not shipped either
+        place = np.zeros(len(at), np.int64)
+        place[inner] = np.arange(1, len(found) + 1)
+        rest = pa.concat_arrays([pa.array([END.decode()]), found]).take(pa.array(place[missing]))
+    else:
+        rest = found.filter(pa.array(missing[inner]))
+    if len(rest):
+        tails = pc.binary_slice(rest.view(pa.binary()), -3).dictionary_encode()
+        classes = np.array([vocab.suffix(w) for w in tails.dictionary.to_pylist()], np.int64)
+        kind[missing] = classes[tails.indices.to_numpy()]
+        kind[ends] = vocab.end
+    return at, kind, lengths, rest.view(pa.binary())
 
 
 def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBilinear:
@@ -447,10 +503,11 @@ def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBiline
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        keep_memory()
         vocab, model = received(sent)
-        learner, index, suffixes, before, kinds = Learner(model, vocab.tokens), vocab.index(), {}, [], []
+        learner, shipped, before, kinds = Learner(model, vocab.tokens), vocab.array(), [], []
         for batch in slices(batches, SLICE):
-            _, kind, lengths, _ = class_rows(batch, 0, vocab, index, suffixes)
+            _, kind, lengths, _ = class_rows(batch.column(0), vocab, shipped)
             before.append(contexts(kind, lengths, vocab.classes).astype(np.int32))
             kinds.append(kind)
             if sum(map(len, kinds)) > CHUNK:
@@ -486,33 +543,39 @@ def trained(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> LogBiline
     return LogBilinear(out, model.group_of)
 
 
+def rare_words(row: np.ndarray, words: pa.Array, rows: int) -> pa.Array:
+    """Of each of ``rows`` texts its words that are not shipped, each once with its number; ``row`` rises."""
+    found = pa.table({"row": row, "word": words}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("row").combine_chunks()
+    upto = np.searchsorted(found["row"].to_numpy(), np.arange(rows + 1)).astype(np.int32)
+    whole = lambda name, kind: found[name].combine_chunks().cast(kind) if len(found) else pa.array([], kind)
+    return pa.ListArray.from_arrays(upto, pa.StructArray.from_arrays([whole("word", pa.binary()), whole("count_all", pa.int64())], ["word", "tf"]))
+
+
 def partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
     """(doc_id, held_out, h, n_tokens, known, shipped_sum, model_sum, rare) of every row.
 
     ``rare``: the words that are not shipped with their number; the sums lack log10(c + 0.5) of those.
     """
     sent = send(docs.sparkSession, (vocab, model))
-    kind_of = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         one_thread()
+        keep_memory()
         vocab, model = received(sent)
-        index, suffixes = vocab.index(), {}
+        shipped = vocab.array()
         log_c = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last place, index -1, is set to 0 for words that are not shipped
         log_c[-1] = 0.0
         known = np.append(vocab.counts > 0, False).astype(np.int64)
         inside = np.append(np.where(vocab.single[vocab.class_of], 0.0, log_c[:-1]) if len(vocab.words) else np.empty(0), 0.0)
         room = np.where(vocab.single, 0.0, vocab.room)
         for batch in slices(batches, SLICE):
-            at, kind, lengths, rest = class_rows(batch, 2, vocab, index, suffixes)
+            at, kind, lengths, rest = class_rows(batch.column(2), vocab, shipped)
             score = model.log10(contexts(kind, lengths, vocab.classes), kind) + inside[at] - room[kind]
-            heads = np.cumsum([0, *lengths[:-1]])  # each text has its end at least
+            heads = np.cumsum(lengths) - lengths  # each text has its end at least
             total = lambda x, heads=heads: np.add.reduceat(x, heads) if len(x) else x
-            rare = [[{"word": w, "tf": n} for w, n in Counter(r).items()] for r in rest]
+            rare = rare_words(np.repeat(np.arange(len(lengths)), lengths)[at < 0], rest, len(lengths))
             digests = [xxhash.xxh3_64_intdigest(data or b"") - (1 << 63) for data in batch.column(2).to_pylist()]
-            new = [pa.array(digests, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total(known[at]), pa.int64()), pa.array(total(log_c[at]), pa.float64()), pa.array(total(score), pa.float64()), pa.array(rare, kind_of)]
+            new = [pa.array(digests, pa.int64()), pa.array(lengths, pa.int64()), pa.array(total(known[at]), pa.int64()), pa.array(total(log_c[at]), pa.float64()), pa.array(total(score), pa.float64()), rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["doc_id", "held_out", "h", "n_tokens", "known", "shipped_sum", "model_sum", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text"))
