@@ -62,15 +62,16 @@ def _ranked(both: DataFrame, degree: DataFrame, keys: list[str], name: str) -> D
     return state.where("done").drop("done")
 
 
-def chains(edges: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "chains") -> DataFrame:
+def chains(edges: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "chains", degree: DataFrame | None = None) -> DataFrame:
     """(keys, s, s1, t1, t, n, pos, a, b): the darts of every maximal run between vertices whose degree is not 2.
 
     A run goes from s by s1 to t1 and t, n edges long, in the one of its two directions whose
     (s, s1) is not after (t, t1); a dart a -> b has its head at place ``pos`` from 1 to n.
+    ``degree`` (keys, v, degree) gives the degrees where ``edges`` are not all of the graph's.
     """
     keys = list(keys)
     both = stored(darts(edges, keys), f"{name}-darts")
-    found = _ranked(both, stored(degrees(both, keys), f"{name}-degrees"), keys, name)
+    found = _ranked(both, stored(degrees(both, keys), f"{name}-degrees") if degree is None else degree, keys, name)
     back = found.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), F.col("eb").alias("s"), F.col("ea").alias("s1"), F.col("steps").alias("before"))
     whole = found.join(back, [*keys, "a", "b"]).select(
         *keys, "s", "s1", F.col("ea").alias("t1"), F.col("eb").alias("t"), (F.col("steps") + F.col("before") + 1).alias("n"), (F.col("before") + 1).alias("pos"), "a", "b"
@@ -125,6 +126,27 @@ def shapes(runs: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, ..
     return chord.join(unsent(arcs(line, "length_um")), [*keys, *CHAIN]).join(unsent(arcs(soft, "arc_um")), [*keys, *CHAIN]).select(*keys, *CHAIN, "n", "length_um", "arc_um", "chord_um")
 
 
+def dense_shapes(edges: DataFrame, vertices: DataFrame, degree: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "dense") -> DataFrame:
+    """shapes() of graphs with far more edges than vertices; edges (keys, a, b, gap_um, degree_a, degree_b), a < b, come once and know the degrees of their ends.
+
+    An edge between two vertices whose degree is not 2 is a run of its own, and arc and chord
+    are its length. Only edges at a vertex of degree 2, at most two for each, are contracted;
+    the others are neither written nor shuffled.
+    """
+    keys = list(keys)
+    inner = (F.col("degree_a") == 2) | (F.col("degree_b") == 2)
+    one = F.lit(1).cast("long").alias("n")
+    short = edges.where(~inner).select(*keys, F.col("a").alias("s"), F.col("b").alias("s1"), F.col("a").alias("t1"), F.col("b").alias("t"), one, *[F.col("gap_um").alias(c) for c in ("length_um", "arc_um", "chord_um")])
+    runs = stored(chains(edges.where(inner).select(*keys, "a", "b"), keys, name, degree), f"{name}-chains")
+    return short.unionByName(shapes(runs, vertices, keys, name))
+
+
+def dense_metrics(edges: DataFrame, vertices: DataFrame, degree: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "dense") -> DataFrame:
+    """metrics() of the graphs of dense_shapes(); edges meet their sums before any shuffle."""
+    keys = list(keys)
+    return _measured(dense_shapes(edges, vertices, degree, keys, name), edges.groupBy(*keys).agg(F.sum("gap_um").alias("__length")), vertices, keys)
+
+
 def metrics(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, name: str = "skeleton") -> DataFrame:
     """(keys, instance_branches, instance_length_um, instance_tortuosity) of every graph that has a vertex.
 
@@ -133,13 +155,17 @@ def metrics(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str,
     keys = list(keys)
     edges = stored(edges.select(*keys, "a", "b"), f"{name}-edges")
     runs = stored(chains(edges, keys, name), f"{name}-chains")
-    found = shapes(runs, vertices, keys, name)
+    once = darts(edges, keys).where(F.col("a") < F.col("b"))
+    cable = _at(_at(once, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys).agg(F.sum(_apart("p", "q")).alias("__length"))
+    return _measured(shapes(runs, vertices, keys, name), cable, vertices, keys)
+
+
+def _measured(found: DataFrame, cable: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of metrics() from the shapes of all runs and the length of all edges."""
     open_ = (F.col("chord_um") > 0) & (F.col("arc_um") > 0)
     each = found.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__runs"), F.sum(F.when(open_, F.col("arc_um"))).alias("__arc"), F.sum(F.when(open_, F.col("arc_um") * F.col("arc_um") / F.col("chord_um"))).alias("__bent")
     )
-    once = darts(edges, keys).where(F.col("a") < F.col("b"))
-    cable = _at(_at(once, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys).agg(F.sum(_apart("p", "q")).alias("__length"))
     out = vertices.select(*keys).distinct().join(unsent(cable), keys, "left").join(unsent(each), keys, "left")
     branches = F.when(F.col("__length").isNull(), 0).otherwise(F.coalesce(F.col("__runs"), F.lit(1)))
     return out.select(

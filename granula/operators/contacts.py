@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granula.functions.storage import stored
+from granula.functions.storage import stored, unsent
 from granula.operators.graph import components
 
 AXES = ("z", "y", "x")
@@ -24,23 +24,37 @@ def _cells(df: DataFrame, size: float) -> DataFrame:
     return df.withColumns({f"c{a}": F.floor(F.col(a) / size) for a in AXES})
 
 
-def band_join(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of one object and entity within ``reach``: (object_id, entity, label_a, label_b, gap_um).
+def band_join(left: DataFrame, right: DataFrame, reach: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one object and entity within ``reach``: (object_id, entity, label_a, label_b, gap_um), and the columns ``carry`` of both as name_a, name_b.
 
     The left side is dealt to its 27 neighbouring cells, the right side stands in its own.
     """
+    both = lambda p: [F.col(c).alias(f"{c}_{p}") for c in carry]
     steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for o in product((-1, 0, 1), repeat=3)])
     a = _cells(left, reach).withColumn("s", F.explode(steps))
-    a = a.select(*KEYS, F.col("label").alias("label_a"), *[F.col(x).alias(f"a{x}") for x in AXES], *[(F.col(f"c{x}") + F.col(f"s.d{x}")).alias(f"c{x}") for x in AXES])
-    b = _cells(right, reach).select(*KEYS, F.col("label").alias("label_b"), *[F.col(x).alias(f"b{x}") for x in AXES], *[f"c{x}" for x in AXES])
+    a = a.select(*KEYS, F.col("label").alias("label_a"), *both("a"), *[F.col(x).alias(f"a{x}") for x in AXES], *[(F.col(f"c{x}") + F.col(f"s.d{x}")).alias(f"c{x}") for x in AXES])
+    b = _cells(right, reach).select(*KEYS, F.col("label").alias("label_b"), *both("b"), *[F.col(x).alias(f"b{x}") for x in AXES], *[f"c{x}" for x in AXES])
     gap = F.sqrt(sum((F.col(f"a{x}") - F.col(f"b{x}")) ** 2 for x in AXES))
-    return a.join(b, [*KEYS, *[f"c{x}" for x in AXES]]).select(*KEYS, "label_a", "label_b", gap.alias("gap_um")).where(F.col("gap_um") <= reach)
+    met = a.join(unsent(b), [*KEYS, *[f"c{x}" for x in AXES]])
+    return met.select(*KEYS, "label_a", "label_b", *[f"{c}_{p}" for c in carry for p in "ab"], gap.alias("gap_um")).where(F.col("gap_um") <= reach)
 
 
-def contact_pairs(instances: DataFrame, threshold: float) -> DataFrame:
-    """Touching pairs, label_a < label_b, with the least gap (several points of an instance may be given)."""
-    found = band_join(instances, instances, threshold).where("label_a < label_b")
-    return found.groupBy(*KEYS, "label_a", "label_b").agg(F.min("gap_um").alias("gap_um"))
+def contact_pairs(instances: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Touching pairs, label_a < label_b, with the least gap (several points of an instance may be given).
+
+    Pairs grow with the square of the density. Those of instances with one point come once from
+    the join and go on without a shuffle; only those with more points are grouped. ``carry``
+    names columns that all points of an instance share.
+    """
+    counted = instances.withColumn("__points", F.count(F.lit(1)).over(W.partitionBy(*KEYS, "label")))
+    one, more = counted.where("__points = 1"), counted.where("__points > 1")
+    pair = [*KEYS, "label_a", "label_b", *[f"{c}_{p}" for c in carry for p in "ab"]]
+    once = band_join(one, one, threshold, carry).where("label_a < label_b").select(*pair, "gap_um")
+    met = band_join(more, instances, threshold, carry).where("label_a <> label_b")
+    low = F.col("label_a") < F.col("label_b")
+    turned = lambda c: [F.when(low, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a"), F.when(low, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b")]
+    met = met.select(*KEYS, *[x for c in ("label", *carry) for x in turned(c)], "gap_um")
+    return once.unionByName(met.groupBy(*pair).agg(F.min("gap_um").alias("gap_um")))
 
 
 def nearest_same_type(instances: DataFrame, cell: float, name: str = "nearest") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granula.functions import scalar
+from granula.functions.storage import stored, unsent
 from granula.operators import branches, contacts, polarity, scene, stats
 from granula.plans.voxel_queries import rounded
 
@@ -196,17 +197,27 @@ def _graph(spark, sf_dir):
     return i.select("object_id", "entity", F.col("label").alias("v"), "z", "y", "x", F.col("size").alias("radius")), edges
 
 
+def _dense_graph(spark, sf_dir):
+    """(edges with their gaps and the degrees of their ends, vertices, degrees) of these graphs; the edges are found by joins and not written."""
+    i, keys = inst(spark, sf_dir), ["object_id", "entity"]
+    pairs = contacts.contact_pairs(i, R)
+    ends = [pairs.select(*keys, F.col(c).alias("v")) for c in ("label_a", "label_b")]
+    degree = stored(ends[0].union(ends[1]).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("degree")), "contact-degrees")
+    placed = i.join(unsent(degree.withColumnRenamed("v", "label")), [*keys, "label"])
+    edges = contacts.contact_pairs(placed, R, ("degree",)).withColumnsRenamed({"label_a": "a", "label_b": "b"})
+    return edges, i.select(*keys, F.col("label").alias("v"), "z", "y", "x"), degree
+
+
 def skeleton_metrics(spark, sf_dir):
     """Branches, length and tortuosity of each entity's contact graph read as a skeleton."""
-    vertices, edges = _graph(spark, sf_dir)
-    return rounded(branches.metrics(edges, vertices, ["object_id", "entity"]))
+    edges, vertices, degree = _dense_graph(spark, sf_dir)
+    return rounded(branches.dense_metrics(edges, vertices, degree, ["object_id", "entity"]))
 
 
 def skeleton_branches(spark, sf_dir):
     """Every branch of these graphs: its ends, edges, length, and smoothed arc and chord."""
-    vertices, edges = _graph(spark, sf_dir)
-    keys = ["object_id", "entity"]
-    return rounded(branches.shapes(branches.chains(edges, keys), vertices, keys))
+    edges, vertices, degree = _dense_graph(spark, sf_dir)
+    return rounded(branches.dense_shapes(edges, vertices, degree, ["object_id", "entity"]))
 
 
 def pruned_spurs(spark, sf_dir):
