@@ -6,10 +6,11 @@ never all pairs.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,6 +88,53 @@ def clusters(instances: DataFrame, contacts: DataFrame, reach: float, name: str
     return found.select("node.*", F.col("root.label").alias("cluster"))
 
 
+def near_clusters(instances: DataFrame, reach: float, name: str = "clusters") -> DataFrame:
+    """clusters() over all pairs of points within ``reach``, without the pairs.
+
+    Points of one fine cell, and of cells that touch, are always within reach (cells are a
+    little narrower than reach / sqrt(12)), so components are found over cells. Only cells of
+    different components that lie near meet point by point: outliers and the rims of clusters,
+    few where points are dense. A second search over those components settles the rest. Each
+    instance has one point; one without a finite coordinate is near nothing.
+    """
+    fine = reach / math.sqrt(12) * (1 - 1e-9)
+    names = [f"c{a}" for a in AXES]
+    at = [*KEYS, *names]
+    placed = stored(_cells(instances.select(*KEYS, "label", *AXES), fine), f"{name}-cells")
+    finite = reduce(Column.__and__, [F.col(a).isNotNull() & (F.abs(a) < F.lit(math.inf)) for a in AXES])  # NaN is above all
+    whole = placed.where(finite)
+    cell = lambda *cols: F.struct(*KEYS, *cols)
+    cells = stored(whole.select(*at).distinct(), f"{name}-distinct")
+
+    def shifted(rows: DataFrame, steps: list[tuple[int, ...]], more: list[str]) -> DataFrame:
+        moves = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for o in steps])
+        rows = rows.withColumn("s", F.explode(moves))
+        return rows.select(*KEYS, *[F.col(c).alias(f"from_{c}") for c in names], *[(F.col(f"c{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in AXES], *more)
+
+    half = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
+    touching = shifted(cells, half, []).join(unsent(cells), at)
+    links = touching.select(cell(*[F.col(f"from_{c}").alias(c) for c in names]).alias("a"), cell(*names).alias("b"))
+    parts = stored(components(cells.select(cell(*names).alias("node")), links, name).select("node.*", "root"), f"{name}-parts")
+    # cells that do not touch, whose nearest corners are within reach; one of two unlike cells is outside the largest component
+    apart = lambda o: math.sqrt(sum(max(0, abs(d) - 1) ** 2 for d in o)) * fine
+    far = [o for o in product(range(-5, 6), repeat=3) if max(map(abs, o)) > 1 and apart(o) <= reach]
+    sizes = parts.groupBy(*KEYS, "root").agg(F.count(F.lit(1)).alias("cells"))
+    largest = sizes.groupBy(*KEYS).agg(F.max(F.struct("cells", "root")).alias("most")).select(F.col("most.root").alias("root"))
+    small = stored(parts.join(unsent(largest), "root", "left_anti"), f"{name}-small")
+    other = parts.withColumnRenamed("root", "other")
+    unlike = shifted(small, far, ["root"]).join(unsent(other), at).where(F.col("root") != F.col("other"))
+    unlike = stored(unlike, f"{name}-unlike")
+    ends = lambda p, cols: whole.select(*KEYS, *[F.col(c).alias(n) for c, n in zip(names, cols, strict=True)], *[F.col(a).alias(f"{p}{a}") for a in AXES]).distinct()
+    met = unlike.join(unsent(ends("p", [f"from_{c}" for c in names])), [*KEYS, *[f"from_{c}" for c in names]]).join(unsent(ends("q", names)), at)
+    gap = F.sqrt(sum((F.col(f"p{a}") - F.col(f"q{a}")) ** 2 for a in AXES))
+    joined = met.where(gap <= reach).select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()
+    above = components(parts.select(F.col("root").alias("node")).distinct(), joined, f"{name}-above").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    member = stored(whole.join(unsent(parts), at).join(unsent(above), "root").select(*KEYS, "label", "top"), f"{name}-members")
+    least = member.groupBy("top").agg(F.min("label").alias("cluster"))
+    lone = placed.where(~finite).select(*KEYS, "label", F.col("label").alias("cluster"))
+    return member.join(unsent(least), "top").select(*KEYS, "label", "cluster").unionByName(lone)
+
+
 def cluster_sizes(members: DataFrame) -> DataFrame:
     """Clusters of two or more."""
     return members.groupBy(*KEYS, "cluster").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

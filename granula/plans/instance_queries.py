@@ -70,13 +70,13 @@ def contact_structures(spark, sf_dir):
 
 def contact_clusters(spark, sf_dir):
     i = inst(spark, sf_dir)
-    return contacts.cluster_sizes(contacts.clusters(i, contacts.contact_pairs(i, R), R))
+    return contacts.cluster_sizes(contacts.near_clusters(i, R))
 
 
 def _reach(spark, sf_dir):
     i = inst(spark, sf_dir)
     d = i.select("object_id", "entity", "label", F.when(F.col("label") % 7 != 0, F.round("d5", 3)).alias("reach"))
-    return d, contacts.cluster_reach(contacts.clusters(i, contacts.contact_pairs(i, R), R), d)
+    return d, contacts.cluster_reach(contacts.near_clusters(i, R), d)
 
 
 def cluster_reach(spark, sf_dir):

@@ -53,3 +53,18 @@ def test_edges_between_junctions_are_not_contracted(spark, monkeypatch):
     assert seen[0] <= 2 * degree.where("degree = 2").count() < plain.count()
     measured = [*KEYS, "instance_branches", "instance_length_um", "instance_tortuosity"]
     assert rows(branches.dense_metrics(edges, vertices, degree, KEYS), measured) == rows(branches.metrics(plain, vertices, KEYS), measured)
+
+
+def test_clusters_by_cells_are_those_of_all_pairs(spark):
+    rng, rows = random.Random(5), []
+    for o, centre in enumerate((0.0, 0.09, 0.2, 0.35, 0.5)):  # clumps at distances around the reach, and outliers
+        rows += [(0, 1, 100 * o + k, *(round(centre + rng.uniform(-0.01, 0.01), 6) if a == "z" else round(rng.uniform(0, 0.02), 6) for a in "zyx")) for k in range(25)]
+    rows += [(1, 1, 1000 + k, *(round(rng.uniform(-0.5, 0.5), 6) for _ in "zyx")) for k in range(150)]
+    rows += [(1, 1, 2000, 0.1, 0.1, 0.1), (1, 1, 2001, 0.1, 0.1, 0.1), (1, 2, 2002, 0.1, 0.1, 0.1), (1, 1, 2003, None, 0.1, 0.1), (1, 1, 2004, math.nan, 0.0, 0.0), (1, 1, 2005, math.inf, 0.0, 0.0)]
+    rows += [(2, 1, 3000, 0.0, 0.0, 0.0), (2, 1, 3001, 0.12, 0.0, 0.0), (2, 1, 3002, 0.240001, 0.0, 0.0)]
+    i = frame(spark, rows)
+    found = lambda df: sorted(tuple(r) for r in df.select(*KEYS, "label", "cluster").collect())
+    near = i.where("label <> 2005").localCheckpoint()  # grid cells of pairs have no infinite place
+    plain = sorted([*found(contacts.clusters(near, contacts.contact_pairs(near, 0.12), 0.12)), (1, 1, 2005, 2005)])
+    assert found(contacts.near_clusters(i, 0.12)) == plain and len(plain) == len(rows)
+    assert len({r[3] for r in plain if r[0] == 0}) == 3 and [r[3] for r in plain if r[0] == 2] == [3000, 3000, 3002]
