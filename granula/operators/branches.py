@@ -14,6 +14,8 @@ graph has no end and no junction (then the graph counts one branch); a graph wit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,6 +175,22 @@ def _measured(found: DataFrame, cable: DataFrame, vertices: DataFrame, keys: lis
     )
 
 
+def _spurs(runs: DataFrame, degree: DataFrame, vertices: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, s, s1, t1, t): those of ``runs`` that a round of pruned() cuts."""
+    radius = vertices.select(*keys, F.col("v").alias("t"), F.col("radius").cast("double").alias("radius"))
+    # both ends of a run can be its free end, so each run is read from the end that is one
+    far = degree.select(*keys, F.col("v").alias("t"), F.col("degree").alias("arms"))
+    near = degree.where("degree = 1").select(*keys, F.col("v").alias("s"))
+    sized = _at(_at(runs, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys, *CHAIN).agg(F.sum(_apart("p", "q")).alias("length"))
+    turned = sized.select(*keys, F.col("t").alias("s"), F.col("t1").alias("s1"), F.col("s1").alias("t1"), F.col("s").alias("t"), "length", F.lit(True).alias("turned"))
+    ways = sized.select(*keys, *CHAIN, "length", F.lit(False).alias("turned")).unionByName(turned)
+    spurs = ways.join(near, [*keys, "s"], "left_semi").join(far.where("arms > 2"), [*keys, "t"]).join(unsent(radius), [*keys, "t"]).where(F.col("length") < F.lit(float(factor)) * F.col("radius"))
+    order = W.partitionBy(*keys, "t").orderBy("length", "s")
+    cut = spurs.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= F.col("arms") - 2)
+    as_run = lambda c, d: F.when(F.col("turned"), F.col(d)).otherwise(F.col(c)).alias(c)
+    return cut.select(*keys, as_run("s", "t"), as_run("s1", "t1"), as_run("t1", "s1"), as_run("t", "s"))
+
+
 def pruned(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, factor: float = SPUR_FACTOR, name: str = "pruned") -> DataFrame:
     """(keys, a, b), a < b: ``edges`` without spurs; ``vertices`` have a ``radius``, too.
 
@@ -184,22 +202,11 @@ def pruned(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, .
     keys = list(keys)
     live = stored(darts(edges, keys).where(F.col("a") < F.col("b")), f"{name}-live")
     settled: DataFrame | None = None
-    radius = vertices.select(*keys, F.col("v").alias("t"), F.col("radius").cast("double").alias("radius"))
     while factor > 0:
         both = darts(live, keys)
         degree = stored(degrees(both, keys), f"{name}-degree")
         runs = stored(chains(live, keys, name), f"{name}-chains")
-        # both ends of a run can be its free end, so each run is read from the end that is one
-        far = degree.select(*keys, F.col("v").alias("t"), F.col("degree").alias("arms"))
-        near = degree.where("degree = 1").select(*keys, F.col("v").alias("s"))
-        sized = _at(_at(runs, vertices, keys, "a", "p"), vertices, keys, "b", "q").groupBy(*keys, *CHAIN).agg(F.sum(_apart("p", "q")).alias("length"))
-        turned = sized.select(*keys, F.col("t").alias("s"), F.col("t1").alias("s1"), F.col("s1").alias("t1"), F.col("s").alias("t"), "length", F.lit(True).alias("turned"))
-        ways = sized.select(*keys, *CHAIN, "length", F.lit(False).alias("turned")).unionByName(turned)
-        spurs = ways.join(near, [*keys, "s"], "left_semi").join(far.where("arms > 2"), [*keys, "t"]).join(unsent(radius), [*keys, "t"]).where(F.col("length") < F.lit(float(factor)) * F.col("radius"))
-        order = W.partitionBy(*keys, "t").orderBy("length", "s")
-        cut = spurs.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= F.col("arms") - 2)
-        as_run = lambda c, d: F.when(F.col("turned"), F.col(d)).otherwise(F.col(c)).alias(c)
-        cut = stored(cut.select(*keys, as_run("s", "t"), as_run("s1", "t1"), as_run("t1", "s1"), as_run("t", "s")), f"{name}-cut")
+        cut = stored(_spurs(runs, degree, vertices, keys, factor), f"{name}-cut")
         if cut.isEmpty():
             break
         gone = runs.join(cut, [*keys, *CHAIN], "left_semi").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -208,3 +215,35 @@ def pruned(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, .
         settled = still if settled is None else settled.union(still)
         live = stored(live.join(changed, keys, "left_semi").join(gone, [*keys, "a", "b"], "left_anti"), f"{name}-live")
     return live if settled is None else settled.union(live)
+
+
+def dense_spurs(edges_at: Callable[[DataFrame], DataFrame], vertices: DataFrame, degree: DataFrame, keys: list[str] | tuple[str, ...] = KEYS, factor: float = SPUR_FACTOR, name: str = "spurs") -> DataFrame | None:
+    """(keys, v): the vertices that pruned() leaves without an edge, in graphs with far more edges than vertices; None without any.
+
+    Every edge of a spur has an end that the cut leaves bare, and a junction keeps two arms, so
+    the edges that stay are those between all other vertices. A spur runs over vertices of
+    degree 1 and 2 only: ``edges_at`` finds the edges (keys, a, b) at given vertices (keys, v)
+    and is asked for those of at most two edges, and later for junctions that a round left with
+    two. No other edge is written or shuffled.
+    """
+    keys = list(keys)
+    light = degree.where("degree <= 2").select(*keys, "v")
+    live = stored(edges_at(light).select(*keys, "a", "b").distinct(), f"{name}-live")
+    bare: DataFrame | None = None
+    while factor > 0:
+        runs = stored(chains(live, keys, name, degree), f"{name}-chains")
+        cut = stored(_spurs(runs, degree, vertices, keys, factor), f"{name}-cut")
+        if cut.isEmpty():
+            break
+        gone = runs.join(cut, [*keys, *CHAIN], "left_semi").select(*keys, F.explode(F.array("a", "b")).alias("v"))
+        lost = gone.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("lost"))
+        left = stored(degree.join(unsent(lost), [*keys, "v"], "left").withColumn("left", F.col("degree") - F.coalesce("lost", F.lit(0))), f"{name}-left")
+        out = left.where("lost is not null and degree <= 2").select(*keys, "v")
+        bare = out if bare is None else bare.union(out)
+        more = edges_at(left.where("degree > 2 and left <= 2").select(*keys, "v")).select(*keys, "a", "b")
+        live = live.union(more).distinct()
+        for end in "ab":
+            live = live.join(unsent(bare.withColumnRenamed("v", end)), [*keys, end], "left_anti")
+        live = stored(live.select(*keys, "a", "b"), f"{name}-live")
+        degree = left.where("left > 0").select(*keys, "v", F.col("left").alias("degree"))
+    return bare

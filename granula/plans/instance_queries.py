@@ -190,19 +190,16 @@ def cable_length(spark, sf_dir):
     return rounded(inst(spark, sf_dir).select("object_id").distinct().join(e, "object_id", "left").groupBy("object_id").agg(F.coalesce(F.sum("gap_um"), F.lit(0.0)).alias("length_um")), 5)
 
 
-def _graph(spark, sf_dir):
-    """(vertices, edges) of each entity's contact graph; a vertex's radius is the size of its instance."""
-    i = inst(spark, sf_dir)
-    edges = contacts.contact_pairs(i, R).select("object_id", "entity", F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    return i.select("object_id", "entity", F.col("label").alias("v"), "z", "y", "x", F.col("size").alias("radius")), edges
+def _degrees(i):
+    """(object_id, entity, v, degree) of the contact graphs' vertices with an edge; pairs are counted where they are found."""
+    ends = contacts.contact_pairs(i, R).select("object_id", "entity", F.explode(F.array("label_a", "label_b")).alias("v"))
+    return stored(ends.groupBy("object_id", "entity", "v").agg(F.count(F.lit(1)).alias("degree")), "contact-degrees")
 
 
 def _dense_graph(spark, sf_dir):
     """(edges with their gaps and the degrees of their ends, vertices, degrees) of these graphs; the edges are found by joins and not written."""
     i, keys = inst(spark, sf_dir), ["object_id", "entity"]
-    pairs = contacts.contact_pairs(i, R)
-    ends = [pairs.select(*keys, F.col(c).alias("v")) for c in ("label_a", "label_b")]
-    degree = stored(ends[0].union(ends[1]).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("degree")), "contact-degrees")
+    degree = _degrees(i)
     placed = i.join(unsent(degree.withColumnRenamed("v", "label")), [*keys, "label"])
     edges = contacts.contact_pairs(placed, R, ("degree",)).withColumnsRenamed({"label_a": "a", "label_b": "b"})
     return edges, i.select(*keys, F.col("label").alias("v"), "z", "y", "x"), degree
@@ -221,9 +218,18 @@ def skeleton_branches(spark, sf_dir):
 
 
 def pruned_spurs(spark, sf_dir):
-    """The edges of these graphs that stay when ends shorter than their junction's radius are cut."""
-    vertices, edges = _graph(spark, sf_dir)
-    return branches.pruned(edges, vertices, ["object_id", "entity"], factor=1.0)
+    """The edges of these graphs that stay when ends shorter than their junction's radius (the size of its instance) are cut; they are found by joins and not written."""
+    i, keys = inst(spark, sf_dir), ["object_id", "entity"]
+
+    def edges_at(marks):
+        own = i.join(unsent(marks.withColumnRenamed("v", "label")), [*keys, "label"], "left_semi")
+        met = contacts.band_join(own, i, R).where("label_a <> label_b")
+        return met.select(*keys, F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b"))
+
+    vertices = i.select(*keys, F.col("label").alias("v"), "z", "y", "x", F.col("size").alias("radius"))
+    bare = branches.dense_spurs(edges_at, vertices, _degrees(i), keys, factor=1.0)
+    kept = i if bare is None else i.join(unsent(bare.withColumnRenamed("v", "label")), [*keys, "label"], "left_anti")
+    return contacts.contact_pairs(kept, R).select(*keys, F.col("label_a").alias("a"), F.col("label_b").alias("b"))
 
 
 def log_binomial(spark, sf_dir):

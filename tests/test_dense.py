@@ -68,3 +68,28 @@ def test_clusters_by_cells_are_those_of_all_pairs(spark):
     plain = sorted([*found(contacts.clusters(near, contacts.contact_pairs(near, 0.12), 0.12)), (1, 1, 2005, 2005)])
     assert found(contacts.near_clusters(i, 0.12)) == plain and len(plain) == len(rows)
     assert len({r[3] for r in plain if r[0] == 0}) == 3 and [r[3] for r in plain if r[0] == 2] == [3000, 3000, 3002]
+
+
+def test_spurs_of_dense_graphs_are_cut_without_their_edges(spark, monkeypatch):
+    rng, edges, n = random.Random(8), set(), 40
+    for g in (0, 1):  # a dense core; trees of several depths on it, so junctions turn into parts of chains, and a tree of its own
+        edges |= {(g, a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6}
+        edges |= {(g, rng.randrange(n if v < n + 25 else v), v) for v in range(n, n + 70)}
+        edges |= {(g, 200 + rng.randrange(k), 200 + k) for k in range(1, 15)}
+        edges |= {(g, 300 + k, 301 + k) for k in range(5)} | {(g, 300, 305)} | {(g, 300, 310), (g, 310, 311), (g, 311, 312), (g, 311, 313), (g, 400, 401)}
+    names = sorted({(g, v) for g, *ends in edges for v in ends})
+    vertices = spark.createDataFrame([(g, 1, v, *(rng.random() for _ in "zyx"), rng.choice([0.0, 0.4, 0.9, 3.0])) for g, v in names], "object_id long, entity long, v long, z double, y double, x double, radius double")
+    whole = spark.createDataFrame([(g, 1, a, b) for g, a, b in edges], "object_id long, entity long, a long, b long").localCheckpoint()
+    degree = branches.degrees(branches.darts(whole, KEYS), KEYS).localCheckpoint()
+    asked, sizes, stored = [], [], branches.stored
+
+    def edges_at(marks):
+        asked.append(marks.count())
+        return whole.join(marks, (whole.object_id == marks.object_id) & ((whole.a == marks.v) | (whole.b == marks.v)), "left_semi")
+
+    monkeypatch.setattr(branches, "stored", lambda df, name: (sizes.append((out := stored(df, name)).count()), out)[1])
+    bare = {(r.object_id, r.v) for r in branches.dense_spurs(edges_at, vertices, degree, KEYS).collect()}
+    monkeypatch.undo()
+    kept = {(r.object_id, r.a, r.b) for r in branches.pruned(whole, vertices, KEYS).collect()}
+    assert {(g, a, b) for g, a, b in edges if (g, a) not in bare and (g, b) not in bare} == kept and len(kept) < len(edges)
+    assert len(asked) > 2 and asked[1] > 0 and max(sizes) < len(edges) / 2
