@@ -7,7 +7,7 @@ neighbours of its own voxels. A brick of SIDE cubed bounds what one task holds.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from granula.functions.storage import spread
 
 SIDE = 64
+#: Voxels of whole bricks, and places of their boxes, that a task works on at once.
+ROWS, CELLS = 50_000, 4_000_000
 
 
 def bricked(voxels: DataFrame, side: int = SIDE, axes: str = "zyx", halo: Sequence[int] = (1, 1, 1)) -> DataFrame:
@@ -51,27 +53,88 @@ class Brick:
         return sum(d * s for d, s in zip(offset, self.steps, strict=True))
 
 
-def intercepts(voxels: DataFrame, offsets: list[tuple[int, ...]], keys: list[str], axes: str = "zyx", side: int = SIDE) -> DataFrame:
-    """(keys, label, c0, c1, ...): of each label, the voxels whose neighbour at each offset is of another label or none.
+def whole_bricks(batches: Iterable[pa.RecordBatch], names: Sequence[str], rows: int = ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole bricks, ``rows`` long or more where there are as many, and the place of each brick's first row.
 
-    Integer counts, so sums do not depend on how bricks are dealt.
+    ``batches`` are sorted by ``names``; no brick is parted. Bricks of few voxels are worked
+    through many at once, as each call costs as much as thousands of voxels.
     """
-    names = [f"b{a}" for a in axes]
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        brick = Brick(np.stack([rows[a].to_numpy() for a in axes], 1).astype(np.int64), [k.as_py() for k in key[len(keys) :]], side)
-        found, code = np.unique(rows["label"].to_numpy(), return_inverse=True)
-        dense = brick.field(code, -1)
-        at, mine = brick.flat[brick.own], code[brick.own]
-        counts = [np.bincount(mine[dense[at + brick.step(o)] != mine], minlength=len(found)) for o in offsets]
-        out = {k: pa.array([v] * len(found), rows.schema.field(k).type) for k, v in zip(keys, key, strict=False)}
-        return pa.table(out | {"label": pa.array(found, rows.schema.field("label").type)} | {f"c{k}": pa.array(c, pa.int64()) for k, c in enumerate(counts)})
+    def heads(table: pa.Table) -> np.ndarray:
+        new = np.arange(len(table)) == 0
+        for c in names:
+            code = table[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    need = rows
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(len(b) for b in held) >= need:
+            table = pa.Table.from_batches(held).combine_chunks()
+            first = heads(table)
+            last = int(first[-1])
+            if last:
+                yield table.slice(0, last), first[:-1]
+            held = table.slice(last).to_batches()
+            need = rows if last else 2 * len(table)  # a long brick is not looked through again at every batch
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, heads(table)
+
+
+def _counted(at: np.ndarray, brick: np.ndarray, corner: np.ndarray, label: np.ndarray, code: np.ndarray, n: int, offsets: list[tuple[int, ...]], side: int) -> list[np.ndarray]:
+    """Of each of ``n`` codes its own voxels, and those whose neighbour at each offset is of another label or none; ``brick`` rises from 0, with a row of ``corner`` each."""
+    inner = at - corner[brick] * side
+    own = ((inner >= 0) & (inner < side)).all(axis=1)
+    first = np.flatnonzero(np.diff(brick, prepend=-1))
+    low, high = np.minimum.reduceat(inner, first) - 1, np.maximum.reduceat(inner, first) + 1  # a layer around keeps bricks apart
+    shape = high - low + 1
+    steps = np.ones_like(shape)
+    for k in range(shape.shape[1] - 1, 0, -1):
+        steps[:, k - 1] = steps[:, k] * shape[:, k]
+    size = shape.prod(axis=1)
+    flat = (np.cumsum(size) - size)[brick] + ((inner - low[brick]) * steps[brick]).sum(axis=1)
+    dense = np.full(size.sum(), -1, np.int32)
+    dense[flat] = label
+    flat, mine, code, steps = flat[own], label[own], code[own], np.ascontiguousarray(steps[brick[own]].T)
+    return [np.bincount(code, minlength=n)] + [np.bincount(code[dense[flat + sum(d * s for d, s in zip(o, steps, strict=True) if d)] != mine], minlength=n) for o in offsets]
+
+
+def intercepts(voxels: DataFrame, offsets: list[tuple[int, ...]], keys: list[str], axes: str = "zyx", side: int = SIDE, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
+    """(keys, label, n, c0, c1, ...): of each label its voxels, and those whose neighbour at each offset is of another label or none.
+
+    Integer counts, so sums do not depend on how bricks are dealt. Bricks are counted together,
+    about ``rows`` voxels and ``cells`` places of their boxes at once, or one brick.
+    """
+    names = [f"b{a}" for a in axes]
+    counts = ["n", *(f"c{k}" for k in range(len(offsets)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, heads in whole_bricks(batches, [*keys, *names], rows):
+            at, corner = (np.stack([table[c].to_numpy() for c in of], 1).astype(np.int64) for of in (axes, names))
+            found, label = np.unique(table["label"].to_numpy(), return_inverse=True)
+            ends = np.append(heads[1:], len(table))
+            extent = np.maximum.reduceat(at, heads) - np.minimum.reduceat(at, heads) + 3
+            part = np.cumsum(extent.prod(axis=1)) // cells
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(heads))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                span = slice(heads[lo], ends[hi - 1])
+                brick = np.repeat(np.arange(hi - lo), ends[lo:hi] - heads[lo:hi])
+                pair, place, code = np.unique(brick * len(found) + label[span], return_index=True, return_inverse=True)
+                got = _counted(at[span], brick, corner[heads[lo:hi]], label[span].astype(np.int32), code, len(pair), offsets, side)
+                out = table.select([*keys, "label"]).take(pa.array(place + span.start)).combine_chunks()
+                for c, v in zip(counts, got, strict=True):
+                    out = out.append_column(c, pa.array(v, pa.int64()))
+                yield from out.to_batches()
 
     kind = dict(voxels.dtypes)
-    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"label {kind['label']}", *(f"c{k} long" for k in range(len(offsets)))])
-    rows = bricked(voxels.select(*keys, "label", *axes), side, axes)
-    local = spread(rows, *keys, *names).groupBy(*keys, *names).applyInArrow(run, schema)
-    return local.groupBy(*keys, "label").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(offsets))])
+    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), f"label {kind['label']}", *(f"{c} long" for c in counts)])
+    dealt = bricked(voxels.select(*keys, "label", *axes), side, axes)
+    local = spread(dealt, *keys, *names).sortWithinPartitions(*keys, *names).mapInArrow(run, schema)
+    return local.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
