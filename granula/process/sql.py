@@ -2,7 +2,10 @@
 
 A measure is a class that adds up batches of one object's voxels and gives its rows at the end;
 it holds sums by instance and never the voxels. New ones are registered by name and are at
-once known to the table function.
+once known to the table function. Several names, parted by commas, are measured in one pass.
+
+Spark looks at each row of such a table in Python, so voxels should come packed: z, y and x may
+be arrays, a row for many voxels of an instance, as ``packed`` makes them.
 
 Defined results: without voxels there are no rows; voxels with a null object_id form an object
 of their own; an unknown name is an error; columns other than entity, z, y, x and label are
@@ -16,9 +19,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udtf
 
+#: Side of the cubes whose voxels share a row.
+PACK = 8
 SCHEMA = "object_id string, entity string, label long, metric string, value double"
 
 
@@ -43,9 +50,11 @@ class Sums:
 
     def places(self, entity: np.ndarray, label: np.ndarray) -> np.ndarray:
         """The number of each row's instance."""
-        kinds, code = np.unique(entity.astype(str), return_inverse=True)
-        pairs, back = np.unique(np.stack([code, label], 1), axis=0, return_inverse=True)
-        own = [(str(kinds[k]), int(v)) for k, v in pairs.tolist()]
+        kinds = pa.array(entity, pa.string()).dictionary_encode("encode")
+        labels, code = np.unique(label, return_inverse=True)
+        pairs, back = np.unique(kinds.indices.to_numpy().astype(np.int64) * len(labels) + code, return_inverse=True)
+        names = kinds.dictionary.to_pylist()
+        own = [(str(names[k]), int(labels[v])) for k, v in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(labels)))), strict=True)]
         for name in own:
             if name not in self.at:
                 self.at[name] = len(self.names)
@@ -106,6 +115,23 @@ class Boxes(Sums):
 MEASURES: dict[str, type] = {"morphology": Morphology, "boxes": Boxes}
 
 
+def packed(voxels: DataFrame) -> DataFrame:
+    """``voxels`` (object_id, entity, z, y, x, label) with arrays for z, y and x: a row for the voxels of an instance in a cube of PACK."""
+    cube = [F.floor(F.col(a) / PACK).alias(f"c{a}") for a in "zyx"]
+    rows = voxels.groupBy("object_id", "entity", "label", *cube).agg(F.collect_list(F.struct("z", "y", "x")).alias("v"))
+    return rows.select("object_id", "entity", *[F.col(f"v.{a}").alias(a) for a in "zyx"], "label")
+
+
+def _unpacked(voxels: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entity, label and place of each voxel of a batch, packed or not."""
+    entity, label = np.array(voxels.column("entity").to_pylist(), object), voxels.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+    at = [voxels.column(a) for a in "zyx"]
+    if pa.types.is_list(at[0].type):
+        n = pc.list_value_length(at[0]).to_numpy(zero_copy_only=False)
+        entity, label, at = np.repeat(entity, n), np.repeat(label, n), [a.flatten() for a in at]
+    return entity, label, np.stack([a.to_numpy(zero_copy_only=False) for a in at], 1).astype(np.float64)
+
+
 def register(spark: SparkSession, spacing: Sequence[float] = (1.0, 1.0, 1.0), more: dict[str, type] | None = None, name: str = "measure") -> None:
     """Make ``name`` known in SQL: a table function of a table of voxels, partitioned by object, and the name of a measure."""
     known, size = MEASURES | (more or {}), tuple(spacing)
@@ -113,21 +139,23 @@ def register(spark: SparkSession, spacing: Sequence[float] = (1.0, 1.0, 1.0), mo
     @arrow_udtf(returnType=SCHEMA)
     class Measured:
         def __init__(self):
-            self.measure, self.object = None, None
+            self.measures, self.object = [], None
 
         def eval(self, voxels: pa.RecordBatch, measure: pa.Array):
             if voxels.num_rows:
-                if self.measure is None:
-                    called = measure[0].as_py()
-                    if called not in known:
-                        raise ValueError(f"no measure is called {called!r}; there are {', '.join(sorted(known))}")
-                    self.measure, self.object = known[called](size), voxels.column("object_id")[0].as_py()
-                at = np.stack([voxels.column(a).to_numpy(zero_copy_only=False) for a in "zyx"], 1).astype(np.float64)
-                self.measure.add(np.array(voxels.column("entity").to_pylist(), object), voxels.column("label").to_numpy(zero_copy_only=False).astype(np.int64), at)
+                if not self.measures:
+                    called = [name.strip() for name in measure[0].as_py().split(",")]
+                    for name in called:
+                        if name not in known:
+                            raise ValueError(f"no measure is called {name!r}; there are {', '.join(sorted(known))}")
+                    self.measures, self.object = [known[name](size) for name in called], voxels.column("object_id")[0].as_py()
+                rows = _unpacked(voxels)
+                for one in self.measures:
+                    one.add(*rows)
             return iter(())
 
         def terminate(self):
-            found = list(self.measure.rows()) if self.measure else []
+            found = [row for one in self.measures for row in one.rows()]
             cols = list(zip(*found, strict=True)) or [(), (), (), ()]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.float64())
             named = dict(zip(("entity", "label", "metric", "value"), (pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), strict=True))

@@ -54,3 +54,15 @@ def test_own_measures_names_and_empty_tables(spark, voxels):
     assert call(spark, "voxels", "no_voxels", "counted").count() == 0
     with pytest.raises(PySparkException, match="no measure is called"):
         call(spark, "volume", function="counted").collect()
+
+
+def test_packed_voxels_and_several_names_in_one_pass(spark, voxels):
+    sql.register(spark, SPACING)
+    more = voxels.union(voxels.limit(20)).union(spark.createDataFrame([(None, "a", -3, 8, 70, 2), ("o1", None, 0, 0, 0, 5)], voxels.schema))  # repeated voxels each count
+    more.createOrReplaceTempView("more_voxels")
+    rows = sql.packed(more).localCheckpoint()
+    rows.createOrReplaceTempView("packed_voxels")
+    assert rows.count() < more.count() / 4 and rows.selectExpr("max(size(z))").first()[0] <= sql.PACK**3 * 2
+    found = lambda df: sorted((str(r.object_id), r.entity, r.label, r.metric, round(r.value, 9)) for r in df.collect())
+    plain = found(call(spark, "morphology", "more_voxels").union(call(spark, "boxes", "more_voxels")))
+    assert found(call(spark, "morphology, boxes", "packed_voxels")) == plain and found(call(spark, "boxes,morphology", "more_voxels")) == plain
