@@ -56,6 +56,8 @@ FLUSH = 1_000_000
 #: Rows whose words are held as Python objects at once.
 SLICE = 500
 BUCKETS = 16
+#: Scores of a block of a softmax.
+CACHED = 1 << 16
 #: Of the pass over all words: words handled at once, rows of a block of vectors, step and its precision before any word.
 CHUNK, BLOCK, STEP, PRIOR = 50_000, 1024, 0.14, 3.0
 
@@ -220,14 +222,19 @@ class Flat:
 
 
 def log_softmax(h: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row of ``h @ rows.T`` the logarithm of its softmax at one place."""
-    scores = h @ rows.T
-    chosen = scores[np.arange(len(scores)), at]
-    top = scores.max() if scores.size else 0.0
-    if not -60.0 < top < 60.0:  # else no exponential is out of range and the greatest need not be taken off each row
-        greatest = scores.max(axis=1)
-        return chosen - greatest - np.log(np.exp(scores - greatest[:, None]).sum(axis=1))
-    return chosen - np.log(np.exp(scores, out=scores).sum(axis=1) + 1e-37)
+    """Of each row of ``h @ rows.T`` the logarithm of its softmax at one place; worked through in blocks of CACHED scores, which stay in a core's cache."""
+    out = np.empty(len(h), np.result_type(h, rows))
+    one, step = np.ones(len(rows), out.dtype), max(1, CACHED // max(1, len(rows)))
+    for lo in range(0, len(h), step):
+        scores = h[lo : lo + step] @ rows.T
+        chosen = scores[np.arange(len(scores)), at[lo : lo + step]]
+        top = scores.max() if scores.size else 0.0
+        if not -60.0 < top < 60.0:  # else no exponential is out of range and the greatest need not be taken off each row
+            greatest = scores.max(axis=1)
+            out[lo : lo + step] = chosen - greatest - np.log(np.exp(scores - greatest[:, None]) @ one)
+        else:
+            out[lo : lo + step] = chosen - np.log(np.exp(scores, out=scores) @ one + 1e-37)
+    return out
 
 
 def grouped(vectors: np.ndarray, tokens: np.ndarray, groups: int) -> np.ndarray:
@@ -301,17 +308,19 @@ class LogBilinear:
 
     def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of classes after their contexts: one matrix product over the groups, one for each group over its classes."""
-        out = np.empty(len(kind))
+        out, rows = np.empty(len(kind)), self.r.take(self.order, axis=0)
         for lo in range(0, len(kind), CHUNK):
             part = slice(lo, lo + CHUNK)
             h, group, place = self.predicted(before[part]), self.group_of[kind[part]], self.place[kind[part]]
             found = log_softmax(h, self.wide, group).astype(np.float64)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.int16) if self.groups < 1 << 15 else group, kind="stable")  # short numbers are sorted by radix
             ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+            h, place, within = h.take(order, axis=0), (place - self.begin[group])[order], np.zeros(len(order))
             for g in np.flatnonzero(np.diff(ends)).tolist():
                 if self.begin[g + 1] - self.begin[g] > 1:
-                    at, members = order[ends[g] : ends[g + 1]], self.order[self.begin[g] : self.begin[g + 1]]
-                    found[at] += log_softmax(h[at], self.r[members], place[at] - self.begin[g])
+                    at = slice(ends[g], ends[g + 1])
+                    within[at] = log_softmax(h[at], rows[self.begin[g] : self.begin[g + 1]], place[at])
+            found[order] += within
             out[part] = found
         return out / np.log(10)
 

@@ -38,3 +38,17 @@ def test_a_step_sends_each_rows_gradient_once():
         assert np.allclose(learner.state[row], gained) and np.allclose(learner.model.rows[row], rows[row] - lm_scoring.STEP / np.sqrt(lm_scoring.PRIOR + gained) * g, atol=1e-5)
     others = np.setdiff1d(np.arange(len(rows)), [3, 7])
     assert (learner.model.rows[others] == rows[others]).all() and not learner.state[others].any()
+
+
+def test_softmax_in_blocks_that_stay_in_the_cache(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, rows, at = rng.normal(0, 1, (500, 9)), rng.normal(0, 1, (37, 9)), rng.integers(0, 37, 500)
+    h[:5] *= 80  # blocks out of the range of plain exponentials
+    scores = h @ rows.T
+    shifted = scores - scores.max(axis=1, keepdims=True)
+    want = shifted[np.arange(500), at] - np.log(np.exp(shifted).sum(axis=1))
+    widest, log = [], np.log
+    monkeypatch.setattr(lm_scoring.np, "log", lambda x: (widest.append(x.size), log(x))[1])
+    monkeypatch.setattr(lm_scoring, "CACHED", 370)
+    found = lm_scoring.log_softmax(h, rows, at)
+    assert np.allclose(found, want) and max(widest) == 10 and lm_scoring.log_softmax(h[:0], rows, at[:0]).shape == (0,)
