@@ -9,12 +9,13 @@ The model predicts a vector from the CONTEXT classes before a word, each vector
 its place: ``h = sum c[i] * q[class i before]``. The probability of a class is factored into
 that of its group and that of the class within the group, both log-bilinear:
 ``h . R[group] + B[group]`` and ``h . r[class] + b[class]``, each normalised by a log-softmax.
-Groups halve the classes along the main direction of their vectors until there are about as
-many as classes in each, so a word costs two short matrix products.
+Groups halve the classes along the main direction of their vectors. More than SIDE_BY_SIDE
+groups are factored again, into the top that holds neighbouring groups and the group within
+it, so a word costs three short matrix products.
 
 The vectors start from a flat model of few classes (FREQUENT words) fitted on the driver to
-the counts of pairs. Then each task goes over all words of its rows with noise-contrastive
-steps on both factors; its changes are weighed by the squares of their gradients, as
+the counts of pairs. Then each task goes over all words of its rows with steps on all factors,
+noise-contrastive ones within groups and whole softmaxes above; its changes are weighed by the squares of their gradients, as
 precisions, and added up. How rows are dealt to tasks changes the vectors a little. Within a
 class, words have additive 0.5-smoothed frequencies, so the score of a text is a normalised
 log10 probability in which all words never seen share one place of their class.
@@ -48,8 +49,12 @@ FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
-#: Words before a word that predict it; noise samples of the group (shared by a step) and of the class, and the words of a group that share these; words of a step.
-CONTEXT, GROUP_NOISE, CLASS_NOISE, SHARING, STEP_WORDS = 3, 32, 8, 16, 4096
+#: Words before a word that predict it; noise samples of the class and the words of a group that share these; words of a text that stay together in a step.
+CONTEXT, CLASS_NOISE, SHARING, RUN = 3, 4, 8, 32
+#: Words of a step at first and at most; between, a part of the words that a task has learned from.
+FIRST_STEP, STEP_WORDS, STEP_SHARE = 4096, 16_384, 16
+#: Groups beyond these are reached by a level of their own.
+SIDE_BY_SIDE = 64
 #: The end of a text among the words; no word is empty.
 END = b""
 FLUSH = 1_000_000
@@ -73,11 +78,12 @@ def words(data: bytes | None) -> list[bytes]:
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """words() of all texts (binary), end to end, and the number of each."""
-    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
-    parent, flat = pc.list_parent_indices(found), found.flatten()
-    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty piece
-    flat, parent = flat.filter(some), parent.filter(some)
-    return flat, np.bincount(parent.to_numpy(), minlength=len(texts))
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))  # white space at either end would leave an empty piece
+    blank = pc.equal(pc.binary_length(texts), 0)
+    if pc.any(blank).as_py():
+        texts = pc.if_else(blank, pa.scalar(None, pa.string()), texts)
+    found = pc.ascii_split_whitespace(texts)
+    return found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy().astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -120,6 +126,7 @@ class Vocabulary:
         self.frequent, self.by_suffix = frequent, by_suffix
         self.words, self.counts, self.n, self.v = [w for w, _ in shipped], np.array([c for _, c in shipped], np.int64), n, v
         self.end, self.classes = frequent, frequent + 1 + SUFFIXES
+        self.end_at = self.words.index(END) if END in self.words else -1
         place = {w: k for k, w in enumerate(own)} | {END: self.end}
         self.class_of = np.array([place[w] if w in place else self.suffix(w) for w in self.words], np.int64)
         # of the suffix classes: tokens and words without those that have a class of their own
@@ -259,15 +266,28 @@ def grouped(vectors: np.ndarray, tokens: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def reaches(groups: int) -> np.ndarray:
+    """Where the groups of each top begin and end: neighbours, which the halving kept together; all in one if they are few."""
+    tops = 1 if groups <= SIDE_BY_SIDE else round(groups**0.5)
+    return np.arange(tops + 1) * groups // tops
+
+
+def by_number(numbers: np.ndarray, below: int) -> np.ndarray:
+    """The order of small numbers, equal ones as they stand; short ones are sorted by radix."""
+    return np.argsort(numbers.astype(np.int16) if below < 1 << 15 else numbers, kind="stable")
+
+
 class LogBilinear:
-    """Class given the CONTEXT classes before it, by group and class within the group.
+    """Class given the CONTEXT classes before it, by top (if groups are many), group within the top and class within the group.
 
-    ``rows`` holds all vectors: contexts (the last one stands before a text), classes and
-    groups with their bias in the last column, and the weights of the places.
+    ``rows`` holds all vectors: contexts (the last one stands before a text), classes,
+    groups and tops with their bias in the last column, and the weights of the places.
     """
 
     def __init__(self, rows: np.ndarray, group_of: np.ndarray):
         self.group_of, self.classes, self.groups = group_of, len(group_of), int(group_of.max()) + 1 if len(group_of) else 0
+        self.reach = reaches(self.groups)
+        self.top_of = np.repeat(np.arange(len(self.reach) - 1), np.diff(self.reach))
         self.set_rows(rows)
         self.order = np.argsort(group_of, kind="stable")  # classes by group
         self.place = np.empty(self.classes, np.int64)
@@ -278,20 +298,31 @@ class LogBilinear:
         n = self.classes
         self.rows = rows
         at = 2 * n + 1 + self.groups
-        self.q, self.r, self.wide, self.places = rows[: n + 1], rows[n + 1 : 2 * n + 1], rows[2 * n + 1 : at], rows[at:]
+        upto = at + (len(self.reach) - 1 if len(self.reach) > 2 else 0)
+        self.q, self.r, self.wide, self.tops, self.places = rows[: n + 1], rows[n + 1 : 2 * n + 1], rows[2 * n + 1 : at], rows[at:upto], rows[upto:]
 
     @classmethod
     def started(cls, flat: Flat, tokens: np.ndarray, context: int = CONTEXT) -> LogBilinear:
-        """From a flat model: the word before counts in full, others a little; a group starts as the mean of its classes, and these as what they differ by."""
-        group_of = grouped(flat.r.astype(float), tokens, max(1, round(len(tokens) ** 0.5)))
-        n, groups = len(tokens), int(group_of.max()) + 1
-        rows = np.zeros((2 * n + 1 + groups + context, flat.q.shape[1] + 1), np.float32)
+        """From a flat model: the word before counts in full, others a little; a group starts as the mean of its classes, and these as what they differ by; so do tops and groups."""
+        n, root = len(tokens), len(tokens) ** 0.5
+        group_of = grouped(flat.r.astype(float), tokens, max(1, round(root if root <= SIDE_BY_SIDE else 2 * root)))
+        groups = int(group_of.max()) + 1
+        reach = reaches(groups)
+        tops = len(reach) - 1 if len(reach) > 2 else 0
+        rows = np.zeros((2 * n + 1 + groups + tops + context, flat.q.shape[1] + 1), np.float32)
         share = (tokens + 0.5) / (tokens + 0.5).sum()
         mass = np.bincount(group_of, share, groups)
         mean = np.stack([np.bincount(group_of, share * flat.r[:, k], groups) for k in range(flat.r.shape[1])], 1) / mass[:, None]
         at = 2 * n + 1 + groups
         rows[: n + 1, :-1], rows[n + 1 : 2 * n + 1, :-1], rows[n + 1 : 2 * n + 1, -1] = flat.q, flat.r - mean[group_of], flat.b - np.log(mass)[group_of]
         rows[2 * n + 1 : at, :-1], rows[2 * n + 1 : at, -1] = mean, np.log(mass)
+        if tops:
+            whole, of = np.add.reduceat(mass, reach[:-1]), np.repeat(np.arange(tops), np.diff(reach))
+            middle = np.add.reduceat(mean * mass[:, None], reach[:-1], axis=0) / whole[:, None]
+            rows[2 * n + 1 : at, :-1] -= middle[of]
+            rows[2 * n + 1 : at, -1] -= np.log(whole)[of]
+            rows[at : at + tops, :-1], rows[at : at + tops, -1] = middle, np.log(whole)
+            at += tops
         rows[at, :-1], rows[at + 1 :, :-1] = 1.0, 0.1
         return cls(rows, group_of)
 
@@ -307,21 +338,26 @@ class LogBilinear:
         return h
 
     def log10(self, before: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of classes after their contexts: one matrix product over the groups, one for each group over its classes."""
+        """Normalised log10 probabilities of classes after their contexts: one matrix product over the tops, one for each top over its groups and one for each group over its classes."""
         out, rows = np.empty(len(kind)), self.r.take(self.order, axis=0)
         for lo in range(0, len(kind), CHUNK):
             part = slice(lo, lo + CHUNK)
-            h, group, place = self.predicted(before[part]), self.group_of[kind[part]], self.place[kind[part]]
-            found = log_softmax(h, self.wide, group).astype(np.float64)
-            order = np.argsort(group.astype(np.int16) if self.groups < 1 << 15 else group, kind="stable")  # short numbers are sorted by radix
-            ends = np.searchsorted(group[order], np.arange(self.groups + 1))
-            h, place, within = h.take(order, axis=0), (place - self.begin[group])[order], np.zeros(len(order))
+            group = self.group_of[kind[part]]
+            order = by_number(group, self.groups)
+            group, h, place = group[order], self.predicted(before[part][order]), self.place[kind[part][order]]
+            found = np.zeros(len(order))
+            if len(self.tops):
+                found += log_softmax(h, self.tops, self.top_of[group])
+            ends = np.searchsorted(group, self.reach)
+            for t in np.flatnonzero(np.diff(ends)).tolist():
+                at, first = slice(ends[t], ends[t + 1]), self.reach[t]
+                found[at] += log_softmax(h[at], self.wide[first : self.reach[t + 1]], group[at] - first)
+            ends = np.searchsorted(group, np.arange(self.groups + 1))
             for g in np.flatnonzero(np.diff(ends)).tolist():
                 if self.begin[g + 1] - self.begin[g] > 1:
                     at = slice(ends[g], ends[g + 1])
-                    within[at] = log_softmax(h[at], rows[self.begin[g] : self.begin[g + 1]], place[at])
-            found[order] += within
-            out[part] = found
+                    found[at] += log_softmax(h[at], rows[self.begin[g] : self.begin[g + 1]], place[at] - self.begin[g])
+            out[lo + order] = found
         return out / np.log(10)
 
 
@@ -390,10 +426,9 @@ class Learner:
 
     def __init__(self, model: LogBilinear, tokens: np.ndarray, seed: int = SEED):
         self.model = LogBilinear(model.rows.copy(), model.group_of)
-        self.first, self.state, self.rng = model.rows, np.zeros(len(model.rows)), np.random.default_rng(seed)
+        self.first, self.state, self.met, self.rng = model.rows, np.zeros(len(model.rows)), 0, np.random.default_rng(seed)
         share = (tokens + 0.5) / (tokens + 0.5).sum()
         mass = np.bincount(model.group_of, share, model.groups)
-        self.groups_upto, self.group_noise = np.cumsum(mass), np.log(GROUP_NOISE * mass).astype(np.float32)
         self.classes_upto = np.cumsum(share[self.model.order])
         self.class_noise = np.log(CLASS_NOISE * share / mass[model.group_of]).astype(np.float32)
 
@@ -405,38 +440,76 @@ class Learner:
         rows = np.flatnonzero(met)
         number = np.empty(len(met), np.int64)
         number[rows] = np.arange(len(rows))
-        at, grad = number[at], np.concatenate(grads, axis=1)
+        at, grad = number[at], grads[0] if len(grads) == 1 else np.concatenate(grads, axis=1)
         total = np.empty((len(grad), len(rows)), np.float32)
         for k, g in enumerate(grad):
             total[k] = np.bincount(at, g, len(rows))
         total = np.ascontiguousarray(total.T)
-        self.state[rows] += (total * total).mean(axis=1)
+        self.state[rows] += np.einsum("rd,rd->r", total, total) / total.shape[1]
         self.model.rows[rows] -= (STEP / np.sqrt(PRIOR + self.state[rows]))[:, None].astype(np.float32) * total
 
     def learn(self, before: np.ndarray, kind: np.ndarray) -> None:
-        """All words once in another order."""
-        order = self.rng.permutation(len(kind))
-        for lo in range(0, len(order), STEP_WORDS):
-            at = order[lo : lo + STEP_WORDS]
-            at = at[np.argsort(self.model.group_of[kind[at]], kind="stable")]
-            self.step(before[at], kind[at])
-
-    def step(self, x: np.ndarray, y: np.ndarray) -> None:
-        """One step over words that are sorted by their group."""
-        m = self.model
+        """All words once, as contexts() gives them: runs of RUN words of a text (fewer at its end) in another order."""
+        place = np.arange(len(kind))
+        since = place - np.maximum.accumulate(np.where(before[:, 0] == self.model.classes, place, 0))
+        heads = np.flatnonzero(since % RUN == 0)
+        order = self.rng.permutation(len(heads))
+        lengths = np.diff(heads, append=len(kind))[order]
+        heads, upto = heads[order], np.cumsum(lengths)
+        size = min(max(FIRST_STEP, self.met // STEP_SHARE), STEP_WORDS)
+        self.met += len(kind)
+        cuts = np.append(np.flatnonzero(np.diff((upto - lengths) // size, prepend=-1)), len(heads))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self.step(before, kind, heads[lo:hi], lengths[lo:hi])
+
+    def step(self, before: np.ndarray, kind: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> None:
+        """One step over the words of some runs, each from its head on.
+
+        Words of a run share their contexts, so these are looked up once, laid end to end
+        with those that stand before the run, and weighed by shifting them against each other.
+        """
+        m, more = self.model, before.shape[1] - 1
         n, wide = m.classes, 2 * m.classes + 1
         sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+        begin, count, run = np.cumsum(lengths) - lengths, lengths.sum(), np.arange(len(heads))
+        of = np.repeat(run, lengths)
+        words = np.arange(count) + (heads - begin)[of]
+        spot = np.arange(count) + more * (of + 1)
+        x = np.empty(count + more * len(heads), np.int64)
+        x[spot] = before[words, 0]
+        for k in range(1, more + 1):
+            x[begin + more * (run + 1) - k] = before[heads, k]
+        y = kind[words]
+        order = by_number(m.group_of[y], m.groups)
+        y, spot = y[order], spot[order]
         group = m.group_of[y]
-        h = m.predicted(x)
-        # the group, against samples that the batch shares
-        other = np.minimum(np.searchsorted(self.groups_upto, self.rng.random(GROUP_NOISE) * self.groups_upto[-1]), m.groups - 1)
-        right, wrong = m.wide.take(group, axis=0), m.wide[other]
-        true = sigmoid(np.einsum("bd,bd->b", h, right) - self.group_noise[group]) - 1
-        false = sigmoid(h @ wrong.T - self.group_noise[other])
-        dh = true[:, None] * right + false @ wrong
+        q = m.q.take(x, axis=0)
+        mixed = q * m.places[0]
+        for k in range(1, more + 1):
+            mixed[k:] += q[:-k] * m.places[k]
+        h = mixed.take(spot, axis=0)
+        h[:, -1] = 1.0
+        dh, levels = np.zeros_like(h), np.zeros((h.shape[1], m.groups + len(m.tops)), np.float32)
+
+        def softmax(at: slice, first: int, upto: int, chosen: np.ndarray) -> None:
+            """Gradients of the softmax of words ``at`` over the groups and tops from ``first`` to ``upto``."""
+            rows = m.rows[wide + first : wide + upto]
+            p = h[at] @ rows.T
+            if not -60.0 < p.max() < 60.0:
+                p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= (p @ np.ones(len(rows), p.dtype) + 1e-37)[:, None]
+            p[np.arange(len(p)), chosen] -= 1
+            dh[at] += p @ rows
+            levels[:, first:upto] = h[at].T @ p
+
+        if len(m.tops):
+            softmax(slice(None), m.groups, m.groups + len(m.tops), m.top_of[group])
+        ends = np.searchsorted(group, m.reach)
+        for t in np.flatnonzero(np.diff(ends)).tolist():
+            at, first = slice(ends[t], ends[t + 1]), m.reach[t]
+            softmax(at, first, m.reach[t + 1], group[at] - first)
         heads = np.flatnonzero(np.diff(group, prepend=-1))
-        across = np.ascontiguousarray(h.T)
-        places, grads = [wide + group[heads], wide + other], [np.add.reduceat(across * true, heads, axis=1), (false.T @ h).T]
         # the class, against others of its group; SHARING words of a group share them
         sizes = np.diff(heads, append=len(group))
         several = (m.begin[group[heads] + 1] - m.begin[group[heads]]) > 1
@@ -458,14 +531,19 @@ class Learner:
             right = m.r.take(y[mine], axis=0)
             true = sigmoid(np.einsum("bd,bd->b", h[mine], right) - self.class_noise[y[mine]]) - 1
             dh[mine] += true[:, None] * right + (false @ wrong).reshape(-1, h.shape[1]).take(placed, axis=0)
-            places += [n + 1 + y[mine], n + 1 + drawn.ravel()]
-            grads += [across[:, mine] * true, (false.transpose(0, 2, 1) @ hs).reshape(-1, h.shape[1]).T]
+            grad = np.empty((h.shape[1], len(true) + drawn.size), np.float32)
+            np.multiply(h[mine].T, true, out=grad[:, : len(true)])
+            grad[:, len(true) :] = (false.transpose(0, 2, 1) @ hs).reshape(-1, h.shape[1]).T
+            self.update([n + 1 + y[mine], n + 1 + drawn.ravel()], [grad])
         dh[:, -1] = 0.0
-        weights, down = m.places.copy(), np.ascontiguousarray(dh.T)
-        for k in range(x.shape[1]):
-            places += [x[:, k], [len(m.rows) - x.shape[1] + k]]
-            grads += [down * weights[k][:, None], np.einsum("bd,bd->d", dh, m.q.take(x[:, k], axis=0))[:, None]]
-        self.update(places, grads)
+        down = np.zeros_like(mixed)
+        down[spot] = dh
+        back = down * m.places[0]
+        for k in range(1, more + 1):
+            back[:-k] += down[k:] * m.places[k]
+        weighed = np.stack([np.einsum("bd,bd->d", down[k:], q[: len(q) - k]) for k in range(more + 1)], 1)
+        self.update([np.arange(wide, len(m.rows))], [np.hstack([levels, weighed])])
+        self.update([x], [np.ascontiguousarray(back.T)])
 
     def changes(self) -> np.ndarray:
         """Of each row the change times its precision, and what its words add to the precision."""
@@ -486,8 +564,13 @@ def class_rows(texts: pa.Array, vocab: Vocabulary, shipped: pa.Array) -> tuple[n
     ends = np.cumsum(lengths) - 1
     inner = np.ones(len(at), bool)
     inner[ends] = False
-    at[inner] = pc.fill_null(pc.index_in(found, value_set=shipped), -1).to_numpy()
-    at[ends] = pc.fill_null(pc.index_in(pa.array([END.decode()]), value_set=shipped), -1)[0].as_py()
+    # shipped words are looked up among the distinct ones of the texts: a table of all shipped words would cost more than the words
+    distinct = found.dictionary_encode()
+    place = pc.fill_null(pc.index_in(shipped, value_set=distinct.dictionary), len(distinct.dictionary)).to_numpy()
+    shipped_at = np.full(len(distinct.dictionary) + 1, -1)
+    shipped_at[place] = np.arange(len(shipped))
+    at[inner] = shipped_at[distinct.indices.to_numpy()] if len(found) else 0
+    at[ends] = vocab.end_at
     kind = vocab.class_of[at] if len(vocab.words) else np.zeros(len(at), np.int64)
     kind[ends] = vocab.end
     missing = at < 0

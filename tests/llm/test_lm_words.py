@@ -52,3 +52,64 @@ def test_softmax_in_blocks_that_stay_in_the_cache(monkeypatch):
     monkeypatch.setattr(lm_scoring, "CACHED", 370)
     found = lm_scoring.log_softmax(h, rows, at)
     assert np.allclose(found, want) and max(widest) == 10 and lm_scoring.log_softmax(h[:0], rows, at[:0]).shape == (0,)
+
+
+def chained(n, dim, group_of, rng, dtype=np.float32):
+    """A model with random vectors."""
+    groups = int(group_of.max()) + 1
+    tops = len(lm_scoring.reaches(groups)) - 1
+    rows = rng.normal(0, 0.3, (2 * n + 1 + groups + (tops if tops > 1 else 0) + lm_scoring.CONTEXT, dim + 1)).astype(dtype)
+    rows[: n + 1, -1] = 0
+    return lm_scoring.LogBilinear(rows, group_of)
+
+
+def test_many_classes_take_few_scores_a_word(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, words = 6400, 3000
+    tokens = 1e6 / np.arange(1, n + 1)
+    flat = lm_scoring.Flat(rng.normal(0, 0.3, (n + 1, 8)).astype(np.float32), rng.normal(0, 0.3, (n, 8)).astype(np.float32), np.log(tokens / tokens.sum()).astype(np.float32))
+    model = lm_scoring.LogBilinear.started(flat, tokens)
+    assert abs((10 ** model.log10(np.repeat([[3, 5, n]], n, 0), np.arange(n))).sum() - 1) < 1e-4
+    made, real = [], lm_scoring.log_softmax
+    monkeypatch.setattr(lm_scoring, "log_softmax", lambda h, rows, at: (made.append(len(h) * len(rows)), real(h, rows, at))[1])
+    model.log10(rng.integers(0, n, (words, 3)), rng.choice(n, words, p=tokens / tokens.sum()))
+    assert sum(made) / words < n**0.5  # with two levels 80 groups and about as many classes
+
+
+def test_gradients_of_levels_and_contexts_are_those_of_the_likelihood(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (20, 100):  # one class in each group, so all of the likelihood is in groups and tops
+        model = chained(n, 4, np.arange(n), rng, np.float64)
+        lengths = [70, 1, 33, 2]
+        kind = rng.integers(0, n, sum(lengths))
+        before = lm_scoring.contexts(kind, lengths, n)
+        sent = np.zeros(model.rows.shape)
+        rows = []
+
+        def take(self, places, grads, sent=sent, rows=rows):
+            np.add.at(sent, np.concatenate(places), np.concatenate(grads, axis=1).T)
+            rows.extend(np.concatenate(places).tolist())
+
+        monkeypatch.setattr(lm_scoring.Learner, "update", take)
+        lm_scoring.Learner(model, np.ones(n)).learn(before, kind)
+        assert sum(r <= n for r in rows) < 1.3 * len(kind)  # contexts are shared by the words of a run
+        like = lambda model=model, before=before, kind=kind: -np.log(10) * model.log10(before, kind).sum()
+        for r, d in {*zip(rng.integers(0, len(model.rows), 60).tolist(), rng.integers(0, 5, 60).tolist(), strict=True), *((len(model.rows) - 1 - k, 2) for k in range(3)), (n, 1)}:
+            if (r <= n or r >= len(model.rows) - 3) and d == 4:
+                continue  # no bias
+            was, model.rows[r, d] = model.rows[r, d], model.rows[r, d] + 1e-5
+            more = like()
+            model.rows[r, d] = was - 1e-5
+            less = like()
+            model.rows[r, d] = was
+            assert abs((more - less) / 2e-5 - sent[r, d]) < 1e-3
+
+
+def test_shipped_words_are_no_table_of_each_slice(monkeypatch):
+    words = [b"w%d" % k for k in range(5000)]
+    vocab = lm_scoring.Vocabulary([(w, 2) for w in [*words, lm_scoring.END]], {k: (10**6, 10**5) for k in range(lm_scoring.SUFFIXES)}, 10_002, 5001)
+    tables, real = [], lm_scoring.pc.index_in
+    monkeypatch.setattr(lm_scoring.pc, "index_in", lambda x, value_set: (tables.append(len(value_set)), real(x, value_set=value_set))[1])
+    at, _, lengths, _ = lm_scoring.class_rows(pa.array([b" w7 w9 w7 none\n", None]), vocab, vocab.array())
+    assert [vocab.words[k] if k >= 0 else None for k in at.tolist()] == [b"w7", b"w9", b"w7", None, b"", b""] and lengths.tolist() == [5, 1]
+    assert sum(tables) < 100
