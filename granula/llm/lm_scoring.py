@@ -49,10 +49,8 @@ FREQUENT, SUFFIXES, SHIPPED = 512, 128, 200_000
 #: Distinct words for each word with a class of its own.
 SHARE = 50
 DIM, NOISE, BATCH, STEPS, RATE, SEED = 32, 64, 1024, 2000, 1.0, 7
-#: Words before a word that predict it; noise samples of the class and the words of a group that share these; words of a text that stay together in a step.
-CONTEXT, CLASS_NOISE, SHARING, RUN = 3, 4, 8, 32
-#: Words of a step at first and at most; between, a part of the words that a task has learned from.
-FIRST_STEP, STEP_WORDS, STEP_SHARE = 4096, 16_384, 16
+#: Words before a word that predict it; noise samples of the class and the words of a group that share these; words of a step, and of a text that stay together in it.
+CONTEXT, CLASS_NOISE, SHARING, STEP_WORDS, RUN = 3, 8, 16, 4096, 32
 #: Groups beyond these are reached by a level of their own.
 SIDE_BY_SIDE = 64
 #: The end of a text among the words; no word is empty.
@@ -426,7 +424,7 @@ class Learner:
 
     def __init__(self, model: LogBilinear, tokens: np.ndarray, seed: int = SEED):
         self.model = LogBilinear(model.rows.copy(), model.group_of)
-        self.first, self.state, self.met, self.rng = model.rows, np.zeros(len(model.rows)), 0, np.random.default_rng(seed)
+        self.first, self.state, self.rng = model.rows, np.zeros(len(model.rows)), np.random.default_rng(seed)
         share = (tokens + 0.5) / (tokens + 0.5).sum()
         mass = np.bincount(model.group_of, share, model.groups)
         self.classes_upto = np.cumsum(share[self.model.order])
@@ -456,9 +454,7 @@ class Learner:
         order = self.rng.permutation(len(heads))
         lengths = np.diff(heads, append=len(kind))[order]
         heads, upto = heads[order], np.cumsum(lengths)
-        size = min(max(FIRST_STEP, self.met // STEP_SHARE), STEP_WORDS)
-        self.met += len(kind)
-        cuts = np.append(np.flatnonzero(np.diff((upto - lengths) // size, prepend=-1)), len(heads))
+        cuts = np.append(np.flatnonzero(np.diff((upto - lengths) // STEP_WORDS, prepend=-1)), len(heads))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.step(before, kind, heads[lo:hi], lengths[lo:hi])
 
