@@ -202,6 +202,9 @@ def pruned(edges: DataFrame, vertices: DataFrame, keys: list[str] | tuple[str, .
     keys = list(keys)
     live = stored(darts(edges, keys).where(F.col("a") < F.col("b")), f"{name}-live")
     settled: DataFrame | None = None
+    if factor > 0:  # only graphs with a junction have spurs
+        forked = stored(degrees(darts(live, keys), keys).where("degree > 2").select(*keys).distinct(), f"{name}-forked")
+        settled, live = live.join(forked, keys, "left_anti"), stored(live.join(forked, keys, "left_semi"), f"{name}-live")
     while factor > 0:
         both = darts(live, keys)
         degree = stored(degrees(both, keys), f"{name}-degree")

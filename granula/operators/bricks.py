@@ -85,6 +85,13 @@ def whole_bricks(batches: Iterable[pa.RecordBatch], names: Sequence[str], rows:
         yield table, heads(table)
 
 
+def box_cuts(at: np.ndarray, heads: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Where to part bricks, whose first rows are ``heads``, so that the boxes of a part, with a layer around each, have about ``cells`` places."""
+    extent = np.maximum.reduceat(at, heads) - np.minimum.reduceat(at, heads) + 3
+    part = np.cumsum(extent.prod(axis=1)) // cells
+    return np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(heads))
+
+
 def _counted(at: np.ndarray, brick: np.ndarray, corner: np.ndarray, label: np.ndarray, code: np.ndarray, n: int, offsets: list[tuple[int, ...]], side: int) -> list[np.ndarray]:
     """Of each of ``n`` codes its own voxels, and those whose neighbour at each offset is of another label or none; ``brick`` rises from 0, with a row of ``corner`` each."""
     inner = at - corner[brick] * side
@@ -117,9 +124,7 @@ def intercepts(voxels: DataFrame, offsets: list[tuple[int, ...]], keys: list[str
             at, corner = (np.stack([table[c].to_numpy() for c in of], 1).astype(np.int64) for of in (axes, names))
             found, label = np.unique(table["label"].to_numpy(), return_inverse=True)
             ends = np.append(heads[1:], len(table))
-            extent = np.maximum.reduceat(at, heads) - np.minimum.reduceat(at, heads) + 3
-            part = np.cumsum(extent.prod(axis=1)) // cells
-            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(heads))
+            cuts = box_cuts(at, heads, cells)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 span = slice(heads[lo], ends[hi - 1])
                 brick = np.repeat(np.arange(hi - lo), ends[lo:hi] - heads[lo:hi])
