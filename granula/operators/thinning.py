@@ -219,7 +219,9 @@ def thinned(voxels: DataFrame, keys: Sequence[str] = KEYS, side: int = SIDE, tur
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         corner = np.array([k.as_py() for k in key[len(keys) :]]) * side
         at = np.stack([rows[a].to_numpy() for a in "zyx"], 1).astype(np.int64)
-        low, high = at.min(axis=0) - 1, at.max(axis=0) + 1
+        if not ((at >= corner) & (at < corner + side)).all(axis=1).any():  # only the layer of others
+            at = at[:0]
+        low, high = (at.min(axis=0) - 1, at.max(axis=0) + 1) if len(at) else (corner, corner)
         mask = np.zeros(high - low + 1, bool)
         mask[tuple((at - low).T)] = True
         for _ in range(turns):

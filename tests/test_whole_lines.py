@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_thinning import shapes, table
 
 from granula.operators import branches, thinning
+from granula.sources import voxels as source
 
 SPACING = (0.1, 0.05, 0.07)
 
@@ -53,3 +54,9 @@ def test_graphs_without_a_junction_are_not_contracted(spark, monkeypatch):
     monkeypatch.setattr(branches, "chains", lambda edges, *a, **k: seen.extend(r.g for r in edges.select("g").distinct().collect()) or chains(edges, *a, **k))
     left = branches.pruned(rows, vertices, ["g"])
     assert set(seen) == {1} and left.where("g <> 1").count() == 8 and left.where("g = 1").count() == 3
+
+
+def test_generated_voxels_are_compiled(spark):
+    objects = spark.range(7).selectExpr("concat('obj', id) AS object_id", "id AS k")
+    plan = source.generated(objects)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and source.generated(objects).where("entity = '' or label = 0").isEmpty()
