@@ -288,10 +288,11 @@ def centre_lines(voxels: DataFrame, spacing: Sequence[float], keys: Sequence[str
     fits = fits & reduce(lambda p, q: p & q, [F.first(F.col(k).isNotNull()) for k in keys])  # rows without a key meet none in joins
     boxes = stored(live.groupBy(*keys).agg(fits.alias("whole")), f"{name}-boxes")
     small = boxes.where("whole").select(*keys)
-    rows = spread(live, *keys).join(unsent(small), keys, "left_semi").sortWithinPartitions(*keys)
-    found = stored(whole_lines(rows, spacing, keys), f"{name}-whole")
+    parted = not boxes.where("not whole").isEmpty()
+    rows = live.join(unsent(small), keys, "left_semi") if parted else live
+    found = stored(whole_lines(spread(rows, *keys).sortWithinPartitions(*keys), spacing, keys), f"{name}-whole")
     wide, edges = found.select(*keys, "v", "z", "y", "x", "radius"), found.select(*keys, F.col("v").alias("a"), F.explode("ends").alias("b"))
-    if not boxes.where("not whole").isEmpty():
+    if parted:
         large = live.join(unsent(small), keys, "left_anti")
         vertices, more = graph_of(thinned(large, keys, side, name=name), keys, name)
         wide = wide.unionByName(radii(vertices, large, spacing, keys, f"{name}-radius"))
